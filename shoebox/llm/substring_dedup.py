@@ -95,7 +95,7 @@ def repeated_places(docs: DataFrame, window: int, first: int) -> DataFrame:
     found = None
     for n, length in enumerate(levels(first, window)):
         source = docs if found is None else docs.join(found, docs["_row"] == found["row"])
-        source = source.select("_row", "_text", *(["places"] if n else []))
+        source = source.select(*docs.columns, *(["places"] if n else []))  # the same columns each time, so that Spark reuses the shuffle
         before = levels(first, window)[n - 1] if n else 0
 
         def run(batches, length=length, before=before):
@@ -108,7 +108,7 @@ def repeated_places(docs: DataFrame, window: int, first: int) -> DataFrame:
                         continue
                     alive = targets(words, window)
                     if before:
-                        alive = survivors(window_hash(words.hash, before), flat_places(batch.column(2), lo, hi, words), alive, window - before + 1)
+                        alive = survivors(window_hash(words.hash, before), flat_places(batch.column(batch.num_columns - 1), lo, hi, words), alive, window - before + 1)
                     h = window_hash(words.hash, length)
                     at = picks(h, alive, window - length + 1)
                     keys.append(h[at])
@@ -123,7 +123,8 @@ def repeated_places(docs: DataFrame, window: int, first: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, *columns) -> DataFrame:
-    """Adds a row number, so that repeated and null ids stay apart; a retried task gives the same ones."""
+    """Adds a row number, so that repeated and null ids stay apart. docs must be read from files (or a cut), so
+    that a retried or repeated read gives the same numbers."""
     return docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"), *columns)
 
 
@@ -140,7 +141,7 @@ def find(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch.column(1)):
                 words = Words(buf, offs)
-                gone = covered(flat_places(batch.column(2), lo, hi, words), window, len(words))
+                gone = covered(flat_places(batch.column(3), lo, hi, words), window, len(words))
                 removed = np.bincount(words.text[gone], minlength=hi - lo)
                 keep = np.ones(len(words), bool)
                 keep[gone] = False
@@ -150,18 +151,18 @@ def find(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
                     if removed[i]:
                         own = compress(own, keep[words.first[i] : words.first[i + 1]].tolist())
                     digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = rows.join(places, rows["_row"] == places["row"], "left").select("_id", "_text", "places")
+    joined = rows.join(places, rows["_row"] == places["row"], "left").select("_row", "_text", "_id", "places")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, first: int = 18, keep_first: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
     """docs with the repeated words cut out of their texts; all columns stay. A text without repeats stays byte for byte;
     the others keep their words joined by one space. Texts that lose every word become empty."""
     names = docs.columns
     rows = numbered(docs, *[F.col(f"`{c}`") for c in names])
-    places = repeated_places(rows.select("_row", "_text"), window, first)
+    places = repeated_places(rows, window, first)
     at = 2 + names.index("text")
 
     def run(batches):
