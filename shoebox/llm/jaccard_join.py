@@ -187,7 +187,7 @@ def prefix_of(hashes: np.ndarray, border: np.ndarray, often: np.ndarray, percent
     return hashes[order][keep], owner[keep]
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 1024, frequent: int = 10_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, frequent: int = 10_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Texts whose sets have a Jaccard similarity of at least percent/100 link; component_id is the smallest
@@ -265,7 +265,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85, block: int = 1024, freq
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 ORACLE = {
