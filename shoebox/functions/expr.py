@@ -83,7 +83,7 @@ def canonical_utc(text: Column) -> Column:
 
 def canonical_decimal(x: Column) -> Column:
     """Shortest decimal without an exponent; zero of either sign is 0."""
-    return F.when(x == 0, "0").otherwise(F.format_number(x, "0." + "#" * 30))
+    return F.when(x == 0, "0").otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 30)))
 
 
 def location(exif: Column, geo: Column) -> Column:
