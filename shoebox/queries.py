@@ -285,7 +285,7 @@ def _(s, d):
     return e.select("event_id", X.epoch_to_utc(F.col("e")).alias("utc")).withColumn("ms", X.rfc3339_ms(F.col("utc")))
 
 
-@query("geo_normalize", "select event_id, case when round(value, 1) <= 90 and round(value, 1) <> 0 and event_id % 4 < 3 then round(value, 1) end lat, case when round(value, 1) <= 90 and round(value, 1) <> 0 and event_id % 4 < 3 then -round(value * 2, 1) end lon from events")
+@query("geo_normalize", "select event_id, case when round(value, 1) <= 90 and not (round(value, 1) = 0 and round(value * 2, 1) = 0) and event_id % 4 < 3 then round(value, 1) end lat, case when round(value, 1) <= 90 and not (round(value, 1) = 0 and round(value * 2, 1) = 0) and event_id % 4 < 3 then -round(value * 2, 1) end lon from events")
 def _(s, d):
     g = ex("named_struct('latitude', round(value, 1), 'longitude', -round(value * 2, 1))")
     e = t(s, d, "events").withColumn("exif", F.when(ex("event_id % 4 = 3"), ex("named_struct('latitude', 0D, 'longitude', 0D)")).when(ex("event_id % 4 = 1"), g)).withColumn("geo", g)
