@@ -104,7 +104,7 @@ def chunks_of(text: bytes) -> list[bytes]:
 def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = 2000, size: int = 20_000) -> dict[bytes, int]:
     """Tier 1: lengths of the ``size`` most frequent chunks of at most ``sample_docs`` texts (bounded warm-up)."""
     seen: Counter = Counter()
-    for row in docs.select("text").where("text is not null").limit(sample_docs).toLocalIterator():
+    for row in docs.select("text").where("text is not null").take(sample_docs):
         seen.update(chunks_of(row.text.encode()))
     best = [c for c, _ in seen.most_common(size)]
     encoder = load(tokenizer)
