@@ -89,7 +89,7 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, symbols: int, classes: int, size: int):
         total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v, self.classes = int(total.n or 0), int(total.v), classes
-        top = counts.orderBy(F.desc("n"), "key").limit(size).toPandas()
+        top = cut(counts.orderBy(F.desc("n"), "key").limit(size)).toPandas()  # cut: else every task sends its best to the driver
         key, n, kind = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["class"].to_numpy(np.int64)
         by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
         mass, kinds = np.zeros(classes), np.zeros(classes)
