@@ -7,12 +7,13 @@
     the corpus last, which keeps groups small. For each shingle in such a
     prefix, the smallest class that has it leads a cell; classes join the cells of their leaders.
     Every pair that may link thus meets in a cell.
-3.  In a cell, classes hang in a signature tree: a leaf's node has the class's bitmap and size, a node above it the OR of the
+3.  In a cell, classes hang in a signature tree: a leaf has the class's bitmap and size, a node above it the OR of the
     bitmaps and the range of sizes. Two trees are traversed together and node pairs are pruned
-    by the largest overlap that their bitmaps and sizes allow. Leaf pairs are checked on the sets.
-    Pairs that are already connected need no check, as only components are asked for; so a task
-    returns fewer links than it has classes. Cells above ``block`` classes
-    are cut into blocks, and each pair of blocks is a task of its own.
+    by the largest overlap that their bitmaps and sizes allow; bitmaps hold a fixed quarter of all shingles. This first runs on
+    signatures alone, and what they allow joins classes into groups, so that each class is in one. Then it runs in each group with the
+    whole sets, on which leaf pairs are checked. Pairs that are already connected need no
+    check, as only components are asked for; so a task returns fewer links than it has
+    classes. Cells and groups above ``block`` classes are cut into blocks, and each pair of blocks is a task of its own.
 4.  Components of the links come from ``components``; a component's number is its smallest doc_id.
 """
 
@@ -27,7 +28,9 @@ from .common import cut, table
 from .components import components
 from .kernels import LOWER, U, Words, mix, text_slices, window_hash
 
-BITS = 1024
+BITS = 1 << 14
+#: Shingles whose fingerprint has these bits clear are the sample that signatures hold: a quarter of all.
+SAMPLE = U(3)
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int):
@@ -67,43 +70,83 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def signatures(hashes: np.ndarray, border: np.ndarray):
+    """Per set: (packed bitmap of its sampled shingles, size, shingles outside the sample, sampled ones that share a bit)."""
+    n, size = len(border) - 1, np.diff(border)
+    owner = np.repeat(np.arange(n), size)
+    inside = hashes & SAMPLE == 0
+    bits = np.zeros((n, BITS), bool)
+    bits[owner[inside], ((hashes[inside] >> U(20)) % U(BITS)).astype(np.int64)] = True
+    sampled = np.bincount(owner[inside], minlength=n)
+    return np.packbits(bits, axis=1), size, size - sampled, sampled - bits.sum(1)
+
+
 class Tree:
-    """Signature tree over a cell's classes: levels of (bitmap, smallest size, largest size, largest count of bits lost to collisions)."""
+    """Signature tree over classes. A node: OR of the bitmaps below it, least and most size, most shingles outside
+    the sample, most sampled shingles that share a bit with another."""
 
     FANOUT = 8
 
-    def __init__(self, sets: list[np.ndarray]):
-        n = len(sets)
-        size = np.array([len(s) for s in sets])
-        bits = np.zeros((n, BITS), bool)
-        bits[np.repeat(np.arange(n), size), (np.concatenate(sets).view(U) >> U(20)) % U(BITS)] = True
-        order = np.lexsort((bits.argmax(1), size))  # neighbours are alike in size, then in their first bit
-        self.sets, self.order = [sets[i] for i in order], order
-        packed = np.packbits(bits[order], axis=1).view(U)
-        size = size[order]
-        lost = size - bits[order].sum(1)
-        self.levels = [(packed, size, size, lost)]
+    def __init__(self, bitmap: np.ndarray, size: np.ndarray, rest: np.ndarray, lost: np.ndarray, sets: list | None = None):
+        order = np.lexsort((*bitmap[:, :2].T, size))  # neighbours are alike in size, then in their first bits
+        self.order, self.sets = order, sets and [sets[i] for i in order]
+        self.levels = [(np.ascontiguousarray(bitmap[order]).view(U), size[order], size[order], rest[order], lost[order])]
         while len(self.levels[-1][0]) > self.FANOUT:
-            b, lo, hi, x = self.levels[-1]
+            b, lo, hi, rest, lost = self.levels[-1]
             at = np.arange(0, len(b), self.FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(x, at)))
+            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), *(np.maximum.reduceat(x, at) for x in (hi, rest, lost))))
+
+    def __len__(self) -> int:
+        return len(self.order)
 
 
 def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether node pairs (i, j) may hold a linking pair, by size ranges and the largest possible overlap."""
+    """Whether node pairs (i, j) may hold a linking pair, by size ranges and the largest possible overlap: shared
+    bits, collisions, and everything outside the sample."""
     keep = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
     at = np.flatnonzero(keep)
     i, j = i[at], j[at]
     shared = np.bitwise_count(a[0][i] & b[0][j]).sum(1)
-    most = np.minimum(shared + np.minimum(a[3][i], b[3][j]), np.minimum(a[2][i], b[2][j]))
-    keep[at] = most >= least_overlap(a[1][i], b[1][j], percent)
+    most = shared + np.minimum(a[4][i], b[4][j]) + np.minimum(a[3][i], b[3][j])
+    keep[at] = np.minimum(most, np.minimum(a[2][i], b[2][j])) >= least_overlap(a[1][i], b[1][j], percent)
     return keep
 
 
+def traverse(left: Tree, right: Tree | None, percent: int, leaves) -> None:
+    """Dual traversal of two trees (or of one with itself): leaves(i, j) gets the leaf pairs that are not pruned."""
+    other = right or left
+    fan = np.arange(Tree.FANOUT)
+
+    def down(la: int, lb: int, i: np.ndarray, j: np.ndarray) -> None:
+        keep = possible(left.levels[la], i, other.levels[lb], j, percent)
+        if right is None:
+            keep &= (i < j) if la == 0 else (i <= j)
+        i, j = i[keep], j[keep]
+        if la == 0 and lb == 0:
+            leaves(i, j)
+            return
+        go_a, go_b = la >= lb, lb >= la  # the higher node is opened, or both
+        for lo in range(0, len(i), 2048):  # a bounded number of node pairs at a time
+            a, b = i[lo : lo + 2048], j[lo : lo + 2048]
+            if go_a:
+                a, b = (a[:, None] * Tree.FANOUT + fan).reshape(-1), np.repeat(b, Tree.FANOUT)
+                fits = a < len(left.levels[la - 1][0])
+                a, b = a[fits], b[fits]
+            if go_b:
+                a, b = np.repeat(a, Tree.FANOUT), (b[:, None] * Tree.FANOUT + fan).reshape(-1)
+                fits = b < len(other.levels[lb - 1][0])
+                a, b = a[fits], b[fits]
+            down(la - go_a, lb - go_b, a, b)
+
+    i, j = np.meshgrid(np.arange(len(left.levels[-1][0])), np.arange(len(other.levels[-1][0])), indexing="ij")
+    down(len(left.levels) - 1, len(other.levels) - 1, i.reshape(-1), j.reshape(-1))
+
+
 def links(left: Tree, right: Tree | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the linking pairs (numbers in the trees' input order; the right tree's follow the left's)."""
-    other, n = right or left, len(left.sets)
-    parent = list(range(n + (len(right.sets) if right else 0)))
+    """A spanning forest of the linking pairs (numbers in input order; the right tree's follow the left's). Of trees
+    without sets, a forest of the pairs that the signatures allow."""
+    other, n = right or left, len(left)
+    parent = list(range(n + (len(right) if right else 0)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -119,46 +162,55 @@ def links(left: Tree, right: Tree | None, percent: int) -> list[tuple[int, int]]
             ra, rb = root(a), root(b)
             if ra == rb:
                 continue
-            s, t = left.sets[x], other.sets[y]
-            both = len(s) + len(t) - len(np.union1d(s, t))
-            if 100 * both >= percent * (len(s) + len(t) - both):
-                parent[max(ra, rb)] = min(ra, rb)
-                out.append((a, b))
-
-    def down(la: int, lb: int, i: np.ndarray, j: np.ndarray) -> None:
-        """Dual traversal, a bounded number of node pairs at a time."""
-        keep = possible(left.levels[la], i, other.levels[lb], j, percent)
-        if right is None and la == lb:
-            keep &= (i < j) if la == 0 else (i <= j)
-        i, j = i[keep], j[keep]
-        if la == 0 and lb == 0:
-            leaves(i, j)
-            return
-        for lo in range(0, len(i), 2048):
-            a, b = i[lo : lo + 2048], j[lo : lo + 2048]
-            fan = np.arange(Tree.FANOUT)
-            if la >= lb:
-                a, b = (a[:, None] * Tree.FANOUT + fan).reshape(-1), np.repeat(b, Tree.FANOUT)
-                fits = a < len(left.levels[la - 1][0])
-            if la < lb or (la == lb and right is None):
-                if la == lb:
-                    a, b = np.repeat(a[fits], Tree.FANOUT), (b[fits][:, None] * Tree.FANOUT + fan).reshape(-1)
-                else:
-                    a, b = np.repeat(a, Tree.FANOUT), (b[:, None] * Tree.FANOUT + fan).reshape(-1)
-                fits = b < len(other.levels[lb - 1][0])
-                down(la - (la == lb), lb - 1, a[fits], b[fits])
-            else:
-                down(la - 1, lb, a[fits], b[fits])
-
-    tops = len(left.levels) - 1, len(other.levels) - 1
-    i, j = np.meshgrid(np.arange(len(left.levels[-1][0])), np.arange(len(other.levels[-1][0])), indexing="ij")
-    down(*tops, i.reshape(-1), j.reshape(-1))
+            if left.sets:
+                s, t = left.sets[x], other.sets[y]
+                both = len(s) + len(t) - len(np.union1d(s, t))
+                if 100 * both < percent * (len(s) + len(t) - both):
+                    continue
+            parent[max(ra, rb)] = min(ra, rb)
+            out.append((a, b))
+
+    traverse(left, right, percent, leaves)
     return out
 
 
-def frequent_shingles(docs: DataFrame, k: int, size: int, share: float = 0.004) -> np.ndarray:
-    """At most ``size`` shingles that many documents share, sorted. Counted over all documents: each slice of texts sends on those
-    in at least ``share`` of its texts (two or more). They only set the order of shingles, so any result keeps the join exact."""
+def forest(group: pa.Table, percent: int) -> pa.Table:
+    """(u, v) links of one task: the members of one block with each other, or those of two blocks. Members
+    come with their signatures, or with their whole sets."""
+    ids, right = group["class"].to_numpy(), group["right"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((ids, right))
+    ids, right = ids[order], right[order]
+    if "members" in group.column_names:
+        members = group["members"].combine_chunks()
+        members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
+        values, border = members.values.to_numpy(zero_copy_only=False).view(U), members.offsets.to_numpy()
+        sets = [np.sort(values[border[i] : border[i + 1]]) for i in order]
+        parts = signatures(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    else:
+        sets = None
+        bitmap = np.frombuffer(b"".join(group["bitmap"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
+        parts = [bitmap[order], *(group[c].to_numpy()[order] for c in ("n", "rest", "lost"))]
+    n = int((~right).sum())
+    tree = lambda lo, hi: Tree(*(x[lo:hi] for x in parts), sets and sets[lo:hi])
+    pairs = []
+    if group["low"][0].as_py() == group["high"][0].as_py():
+        pairs = links(tree(0, len(ids)), None, percent) if len(ids) > 1 else []
+    elif 0 < n < len(ids):
+        pairs = links(tree(0, n), tree(n, len(ids)), percent)
+    return pa.table({"u": pa.array([int(ids[i]) for i, _ in pairs], pa.int64()), "v": pa.array([int(ids[j]) for _, j in pairs], pa.int64())})
+
+
+def tasks_of(cells: DataFrame, block: int) -> DataFrame:
+    """(cell, class) -> (cell, low, high, right, class): cells above ``block`` classes are cut, each pair of parts is a task."""
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
+    split = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return split.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "class")
+
+
+def frequent_shingles(docs: DataFrame, k: int, size: int) -> np.ndarray:
+    """At most ``size`` shingles that many documents share, sorted. Counted over all documents: each Arrow batch sends on those
+    that two or more of its texts have. They only set the order of shingles, so any result keeps the join exact."""
 
     def run(batches):
         for batch in batches:
@@ -166,11 +218,11 @@ def frequent_shingles(docs: DataFrame, k: int, size: int, share: float = 0.004)
             every = np.sort(np.concatenate(every)) if every else np.zeros(0, U)
             new = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, int)
             count = np.diff(np.append(new, len(every)))
-            keep = count >= max(3, share * batch.num_rows)
+            keep = count >= 2
             yield pa.RecordBatch.from_arrays([pa.array(every[new][keep].view(np.int64)), pa.array(count[keep])], ["key", "n"])
 
     top = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
-    return np.sort(np.array([r.key for r in top.collect()], np.int64).view(U))
+    return np.sort(cut(top.select("key")).toPandas()["key"].to_numpy(np.int64).view(U))
 
 
 def prefix_of(hashes: np.ndarray, border: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +239,7 @@ def prefix_of(hashes: np.ndarray, border: np.ndarray, often: np.ndarray, percent
     return hashes[order][keep], owner[keep]
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, frequent: int = 10_000) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, frequent: int = 100_000) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
     Texts whose sets have a Jaccard similarity of at least percent/100 link; component_id is the smallest
@@ -221,43 +273,35 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, freq
                 new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(key[new]), pa.array(ids[new])], ["key", "class"])
 
-    def sets(batches):
+    def signed(batches):
+        for batch in batches:
+            for _, _, buf, offs in text_slices(batch.column(0)):
+                hashes, border = shingle_sets(buf, offs, k)
+                bitmap, size, rest, lost = signatures(hashes, border)
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(hashes, border)), pa.array([x.tobytes() for x in bitmap], pa.binary()), pa.array(size), pa.array(rest), pa.array(lost)], ["class", "bitmap", "n", "rest", "lost"])
+
+    def whole(batches):
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch.column(0)):
                 hashes, border = shingle_sets(buf, offs, k)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(hashes, border)), pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["class", "members"])
+                sets = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                rows = pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), sets], [*batch.schema.names[1:], "members"])
+                yield rows.filter(pa.array(class_ids(hashes, border) == rows["class"].to_numpy()))  # another text may have the same doc_id
 
     described = cut(base.mapInArrow(describe, "doc_id long, n_shingles long, class long"))
     prefix = base.mapInArrow(prefixes, "key long, class long")
     lead = prefix.groupBy("key").agg(F.min("class").alias("cell"), F.max("class").alias("last")).where("cell < last").select("key", "cell")
     cells = cut(prefix.join(lead, "key").select("cell", "class").distinct())
-    wanted = cells.select("class").distinct()
-    # one text of each class that is in a cell
-    holder = described.where("class >= 0 and doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    found = base.join(holder, "doc_id", "left_semi").select("text").mapInArrow(sets, "class long, members array<long>").dropDuplicates(["class"])
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    tasks = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "class")
-
-    def traverse(group: pa.Table) -> pa.Table:
-        ids, right = group["class"].to_numpy(), group["right"].to_numpy(zero_copy_only=False)
-        members = group["members"].combine_chunks()
-        members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
-        values, border = members.values.to_numpy(), members.offsets.to_numpy()
-        own = [np.sort(values[a:b].view(U)) for a, b in zip(border[:-1], border[1:], strict=True)]
-        order = np.argsort(ids, kind="stable")
-        a, b = [i for i in order if not right[i]], [i for i in order if right[i]]
-        pairs = []
-        if group["low"][0].as_py() == group["high"][0].as_py():
-            pairs = links(Tree([own[i] for i in order]), None, percent) if len(order) > 1 else []
-            both = ids[order]
-        elif a and b:
-            pairs = links(Tree([own[i] for i in a]), Tree([own[i] for i in b]), percent)
-            both = ids[a + b]
-        return pa.table({"u": pa.array([int(both[i]) for i, _ in pairs], pa.int64()), "v": pa.array([int(both[j]) for _, j in pairs], pa.int64())})
-
-    edges = tasks.join(found, "class").groupBy("cell", "low", "high").applyInArrow(traverse, "u long, v long")
+    # signatures: pairs that may link, and the groups they form
+    sign = base.mapInArrow(signed, "class long, bitmap binary, n long, rest long, lost long").dropDuplicates(["class"])
+    maybe = tasks_of(cells, block).join(sign, "class").groupBy("cell", "low", "high").applyInArrow(lambda g: forest(g, percent), "u long, v long")
+    near = components(maybe).select(F.col("component").alias("cell"), F.col("node").alias("class"))
+    # whole sets: each class is in one such group, and one of its texts stands for it
+    holder = described.where("class >= 0 and doc_id is not null").join(near, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    placed = tasks_of(near, block).join(holder, "class")
+    sets = base.join(placed, "doc_id").select("text", "cell", "low", "high", "right", "class")
+    sets = sets.mapInArrow(whole, "cell long, low int, high int, right boolean, class long, members array<long>")
+    edges = sets.groupBy("cell", "low", "high").applyInArrow(lambda g: forest(g, percent), "u long, v long")
     groups = components(edges)
     named = described.join(groups, described["class"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("group"))
     first = named.where("group >= 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
