@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Extensions, export noise, reserved names and the supplemental marker.
 IMAGES = ("jpg", "jpeg", "png", "heic", "heif", "webp", "gif", "tif", "tiff", "dng", "cr2", "cr3", "arw", "raf", "nef")
@@ -172,7 +173,7 @@ def target_path(ident: Column, name: Column) -> Column:
     return F.concat_ws("/", F.lit("assets"), ident, name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 

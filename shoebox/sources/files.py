@@ -21,7 +21,7 @@ def scan_media(spark: SparkSession, root: str, prefix: str | None = None, limit_
     listing; files above limit_bytes are listed without digests, as a binary cell ends at 2 GiB."""
     names = "*.{" + ",".join([*X.IMAGES, *X.VIDEOS, "json", "xmp"]) + "}"
     reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names)
-    top = F.lit(root.rstrip("/") + "/")
+    top = root.rstrip("/") + "/"
     files = reader().load(root).where(F.col("length") <= limit_bytes)
     large = reader().load(root).drop("content").where(F.col("length") > limit_bytes)
     cols = [F.substring_index(F.col("path"), top, -1).alias("path"), F.col("length").alias("byte_len"), F.unix_millis("modificationTime").alias("modified")]
