@@ -14,6 +14,7 @@ document are looked up by a join; as each is rare, no key of that join is hot.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,13 +91,14 @@ class Vocabulary:
         total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v, self.classes = int(total.n or 0), int(total.v), classes
         top = cut(counts.orderBy(F.desc("n"), "key").limit(size)).toPandas()  # cut: else every task sends its best to the driver
+        if END not in set(top["key"]):  # the end always is in the table and a symbol
+            top = pd.concat([top, counts.where(F.col("key") == END).select(*top.columns).toPandas()])
         key, n, kind = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["class"].to_numpy(np.int64)
         by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
         mass, kinds = np.zeros(classes), np.zeros(classes)
         mass[by_class["class"]], kinds[by_class["class"]] = by_class["n"], by_class["v"]
         own = np.arange(len(key)) < symbols
-        if END not in key[own]:  # the end always is a symbol
-            own |= key == END
+        own |= key == END
         np.subtract.at(mass, kind[own], n[own])
         np.subtract.at(kinds, kind[own], 1)
         self.room = np.log10(mass + kinds + 1)  # of each class
