@@ -42,7 +42,7 @@ class Encoder:
     into pre-tokens here and each distinct pre-token is encoded once by the tokenizer's model;
     all others go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -78,7 +78,7 @@ def load(path: str) -> Encoder:
 class ChunkCache(dict):
     """Chunk -> value, filled on a miss; bounded: a full cache is emptied, which costs time only."""
 
-    def __init__(self, path: str, of, limit: int = 700_000):
+    def __init__(self, path: str, of, limit: int = 300_000):
         super().__init__()
         self.encoder, self.of, self.limit = load(path), of, limit
 
