@@ -75,10 +75,15 @@ def signatures(hashes: np.ndarray, border: np.ndarray):
     n, size = len(border) - 1, np.diff(border)
     owner = np.repeat(np.arange(n), size)
     inside = hashes & SAMPLE == 0
-    bits = np.zeros((n, BITS), bool)
-    bits[owner[inside], ((hashes[inside] >> U(20)) % U(BITS)).astype(np.int64)] = True
-    sampled = np.bincount(owner[inside], minlength=n)
-    return np.packbits(bits, axis=1), size, size - sampled, sampled - bits.sum(1)
+    owner, bit = owner[inside], ((hashes[inside] >> U(20)) % U(BITS)).astype(np.int64)
+    sampled, packed, used = np.bincount(owner, minlength=n), np.zeros((n, BITS // 8), np.uint8), np.zeros(n, np.int64)
+    first = np.append(0, np.cumsum(sampled))
+    for lo in range(0, n, 256):  # unpacked bitmaps are large
+        hi = min(lo + 256, n)
+        bits = np.zeros((hi - lo, BITS), bool)
+        bits[owner[first[lo] : first[hi]] - lo, bit[first[lo] : first[hi]]] = True
+        packed[lo:hi], used[lo:hi] = np.packbits(bits, axis=1), bits.sum(1)
+    return packed, size, size - sampled, sampled - used
 
 
 class Tree:
