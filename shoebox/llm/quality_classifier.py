@@ -74,7 +74,7 @@ class PuModel:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = 700, unlabelled: int = 1400) -> PuModel | None:
+def train(docs: DataFrame, labels: DataFrame, positives: int = 500, unlabelled: int = 1000) -> PuModel | None:
     """From at most ``positives`` labelled rows and ``unlabelled`` rows of docs, both picked by a hash of doc_id; None without positives."""
     known = labels.where(F.col("quality").isNotNull())
     count = known.agg(F.avg(F.col("quality").cast("double")).alias("prior")).first()
