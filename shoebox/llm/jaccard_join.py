@@ -109,11 +109,13 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) ->
     """Whether node pairs (i, j) may hold a linking pair, by size ranges and the largest possible overlap: shared
     bits, collisions, and everything outside the sample."""
     keep = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i])
-    at = np.flatnonzero(keep)
-    i, j = i[at], j[at]
-    shared = np.bitwise_count(a[0][i] & b[0][j]).sum(1)
-    most = shared + np.minimum(a[4][i], b[4][j]) + np.minimum(a[3][i], b[3][j])
-    keep[at] = np.minimum(most, np.minimum(a[2][i], b[2][j])) >= least_overlap(a[1][i], b[1][j], percent)
+    every = np.flatnonzero(keep)
+    for lo in range(0, len(every), 1024):  # gathered bitmaps are large
+        at = every[lo : lo + 1024]
+        x, y = i[at], j[at]
+        shared = np.bitwise_count(a[0][x] & b[0][y]).sum(1)
+        most = shared + np.minimum(a[4][x], b[4][y]) + np.minimum(a[3][x], b[3][y])
+        keep[at] = np.minimum(most, np.minimum(a[2][x], b[2][y])) >= least_overlap(a[1][x], b[1][y], percent)
     return keep
 
 
