@@ -171,7 +171,7 @@ def links(left: Tree, right: Tree | None, percent: int) -> list[tuple[int, int]]
                 continue
             if left.sets:
                 s, t = left.sets[x], other.sets[y]
-                both = len(s) + len(t) - len(np.union1d(s, t))
+                both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
                 if 100 * both < percent * (len(s) + len(t) - both):
                     continue
             parent[max(ra, rb)] = min(ra, rb)
