@@ -72,6 +72,13 @@ def materialization(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", action.alias("action"))
 
 
+def archive_report(manifest: DataFrame, listing: DataFrame) -> DataFrame:
+    """K-5: what applying a manifest (path, byte_len, sha1) to a destination does -> one row. Its first three counts add up to the manifest's rows."""
+    x = manifest.select("path", "byte_len").join(materialization(manifest, listing), "path")
+    counts = [F.count_if(F.col("action") == a).alias(n) for a, n in (("download", "downloaded"), ("complete", "already_complete"), ("conflict", "conflicts"))]
+    return x.agg(*counts, F.coalesce(F.sum(F.when(F.col("action") == "download", F.col("byte_len"))), F.lit(0)).alias("bytes_written"))
+
+
 def remote_roles(inventory: DataFrame) -> DataFrame:
     """J-21: (id, kind, linked_id) -> images with a link: (image, video, violation). The video must exist, be one, link to nothing and have one owner."""
     images = inventory.where("linked_id is not null").select(F.col("id").alias("image"), F.col("linked_id").alias("video"))

@@ -26,6 +26,11 @@ def report(effects: DataFrame) -> DataFrame:
     return effects.agg(*counts, F.coalesce(F.sum("retry_count"), F.lit(0)).alias("retried"), F.countDistinct("effect_key").alias("keys"))
 
 
+def gauges(history: DataFrame, status: str) -> DataFrame:
+    """A-20: rows by status."""
+    return history.groupBy(status).agg(F.count("*").alias("n"))
+
+
 def dry_run(plan: DataFrame, done: DataFrame) -> DataFrame:
     """A-15: planned, resumed, would_upload."""
     x = plan.join(done.select("operation_id").distinct().withColumn("d", F.lit(1)), "operation_id", "left")

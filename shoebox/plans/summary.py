@@ -65,6 +65,20 @@ def upload_violations(operations: DataFrame) -> DataFrame:
     return _violation(pairs.where("i <> 1 or v <> 1"), "pair", "pair_id").unionByName(_violation(operations.where("(pair_id is null) <> (role is null)"), "role", "operation_id"))
 
 
+def archive_violations(assets: DataFrame) -> DataFrame:
+    """V-4: manifest rows (asset_id, original_file_name, target_path, byte_len, checksum_sha1) -> (check_id, key).
+    An absent value is a violation like a wrong one."""
+    from ..functions import expr as X
+
+    ident, name = F.col("asset_id"), F.col("original_file_name")
+    fine = X.is_uuid4(ident) & X.safe_name(name) & X.is_hex(F.col("checksum_sha1"), 40) & (F.col("byte_len") >= 0) & (F.col("target_path") == X.target_path(ident, name))
+    return reduce(DataFrame.unionByName, [
+        _violation(assets.where(~F.coalesce(fine, F.lit(False))), "asset", "asset_id"),
+        _violation(assets.groupBy("asset_id").count().where("count > 1"), "asset_unique", "asset_id"),
+        _violation(assets.groupBy("target_path").count().where("count > 1"), "path_unique", "target_path"),
+    ])
+
+
 def metadata_violations(assets: DataFrame) -> DataFrame:
     """V-7: albums must be strictly increasing and times canonical -> (check_id, key)."""
     from ..functions.expr import canonical_utc

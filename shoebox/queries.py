@@ -133,10 +133,9 @@ def part_media(s, d):
 PART = "(select 'd' || p_size || '/' || p_partkey || case when p_partkey % 5 = 0 then '(2)' else '' end || case p_partkey % 3 when 0 then '.jpg' when 1 then '.mp4' else '.heic' end as path, p_partkey, p_size, 'd' || p_size dir, p_partkey || case when p_partkey % 5 = 0 then '(2)' else '' end stem, case p_partkey % 3 when 0 then '.jpg' when 1 then '.mp4' else '.heic' end ext from part)"
 
 
-@query("sidecar_exact_match", f"select path || '.json' sidecar, path media from {PART} where p_partkey % 2 = 0")
+@query("sidecar_exact_match", f"select path || '.json' sidecar, path media from {PART}")
 def _(s, d):
-    side = part_media(s, d).select(F.concat("path", F.lit(".json")).alias("path"), X.stem(F.col("path")).alias("k")).where("cast(regexp_extract(k, '^([0-9]+)', 1) as bigint) % 2 = 0")
-    return M.exact_sidecars(side, part_media(s, d))
+    return M.exact_sidecars(part_media(s, d).select(F.concat("path", F.lit(".json")).alias("path")), part_media(s, d))
 
 
 @query("sidecar_basename_match", """with m as (select 's' || s_nationkey dir, cast(s_suppkey % 7 as varchar) stem, case when s_suppkey % 2 = 0 then 'jpg' else 'mp4' end ext, s_suppkey from supplier),
@@ -221,19 +220,19 @@ def _(s, d):
     return P.import_summary(c.select(ex("c_acctbal > 0").alias("has_metadata"), F.array("n_name", "c_mktsegment").alias("albums")))
 
 
-@query("albums_by_operation", "select 'op' || c_custkey operation_id, array_to_string(list_sort(list(distinct o_orderpriority)), ',') albums, 0::bigint as unknown from orders join customer on o_custkey = c_custkey where c_custkey % 2 = 0 group by 1 union all select null, array_to_string(list_sort(list(distinct o_orderpriority)), ','), count(*) from orders where o_custkey % 2 = 1")
+@query("albums_by_operation", "select 'op' || c_custkey operation_id, array_to_string(list_sort(list(distinct o_orderpriority)), ',') albums, 0::bigint as unknown from orders join customer on o_custkey = c_custkey where c_acctbal > 5000 group by 1 union all select null, array_to_string(list_sort(list(distinct o_orderpriority)), ','), count(*) from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 5000)")
 def _(s, d):
     members = t(s, d, "orders").select(F.col("o_orderpriority").alias("album"), F.col("o_custkey").alias("asset_id"))
-    ops = t(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("asset_id"), ex("concat('op', c_custkey)").alias("operation_id"))
+    ops = t(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("asset_id"), ex("concat('op', c_custkey)").alias("operation_id"))
     return joined(C.albums_by_operation(members, ops), "albums")
 
 
-@query("caption_join", "select 'n' || c_nationkey || '/' || c_custkey path, 'n' || c_nationkey dir, case when c_custkey % 3 = 0 then 'cap' || c_custkey else c_mktsegment end description, case when c_nationkey % 2 = 0 then n_name end album from customer join nation on c_nationkey = n_nationkey")
+@query("caption_join", "select 'n' || c_nationkey || '/' || c_custkey path, 'n' || c_nationkey dir, case when c_acctbal < 3000 then 'cap' || c_custkey else c_mktsegment end description, case when n_regionkey <> 1 then n_name end album from customer join nation on c_nationkey = n_nationkey")
 def _(s, d):
     c = t(s, d, "customer")
     assets = c.select(ex("concat('n', c_nationkey, '/', c_custkey)").alias("path"), F.col("c_mktsegment").alias("description"))
-    caps = c.where("c_custkey % 3 = 0").select(ex("concat('n', c_nationkey)").alias("dir"), F.col("c_custkey").cast("string").alias("name"), ex("concat('cap', c_custkey)").alias("caption"))
-    dirs = t(s, d, "nation").where("n_nationkey % 2 = 0").select(ex("concat('n', n_nationkey)").alias("dir"), F.col("n_name").alias("album"))
+    caps = c.where("c_acctbal < 3000").select(ex("concat('n', c_nationkey)").alias("dir"), F.col("c_custkey").cast("string").alias("name"), ex("concat('cap', c_custkey)").alias("caption"))
+    dirs = t(s, d, "nation").where("n_regionkey <> 1").select(ex("concat('n', n_nationkey)").alias("dir"), F.col("n_name").alias("album"))
     return M.with_captions(assets, caps, dirs)
 
 
@@ -319,12 +318,9 @@ def _(s, d):
     return o.select("o_orderkey", c.alias("created"), m.alias("modified"))
 
 
-@query("canonical_order", f"select path, row_number() over (order by path) nth from {MEDIA} order by path limit 1000")
+@query("canonical_order", f"select path, byte_len from {MEDIA} order by path")
 def _(s, d):
-    from pyspark.sql import Window
-
-    top = media(s, d).select("path").orderBy("path").limit(1000)  # the operator is a bounded page of the order
-    return top.withColumn("nth", F.row_number().over(Window.orderBy("path")).cast("long"))
+    return media(s, d).select("path", "byte_len").orderBy("path")  # O-1: bytewise, a range-partitioned sort
 
 
 @query("json_sidecar_parse", "select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k, false as invalid from events")
@@ -391,16 +387,16 @@ def _(s, d):
     return J.dry_run(order_plan(s, d), done_orders(s, d))
 
 
-@query("duplicate_check", "with i as (select sha256(p_name) sha1, min(p_partkey) asset_id from part where p_partkey % 2 = 0 group by 1) select p_partkey, sha256(p_name) sha1, asset_id, case when asset_id is null then 'accept' else 'duplicate' end decision from part left join i on sha256(p_name) = i.sha1")
+@query("duplicate_check", "with i as (select sha256(p_name) sha1, min(p_partkey) asset_id from part where p_size <= 25 group by 1) select p_partkey, sha256(p_name) sha1, asset_id, case when asset_id is null then 'accept' else 'duplicate' end decision from part left join i on sha256(p_name) = i.sha1")
 def _(s, d):
-    p = t(s, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("sha1"))
-    return C.duplicate_check(p, p.where("p_partkey % 2 = 0").select("sha1", F.col("p_partkey").alias("asset_id")))
+    p = t(s, d, "part").select("p_partkey", "p_size", F.sha2("p_name", 256).alias("sha1"))
+    return C.duplicate_check(p.drop("p_size"), p.where("p_size <= 25").select("sha1", F.col("p_partkey").alias("asset_id")))
 
 
-@query("foreign_journal_keys", "select distinct 'asset:' || sha256(cast(user_id as varchar)) effect_key from events where user_id not in (select c_custkey from customer where c_custkey % 3 > 0)")
+@query("foreign_journal_keys", "select distinct 'asset:' || sha256(cast(user_id as varchar)) effect_key from events where user_id not in (select c_custkey from customer where c_acctbal > 0)")
 def _(s, d):
     keys = t(s, d, "events").select(ex("concat('asset:', sha2(cast(user_id as string), 256))").alias("effect_key"))
-    plan = t(s, d, "customer").where("c_custkey % 3 > 0").select(ex("sha2(cast(c_custkey as string), 256)").alias("operation_id"), F.array("c_mktsegment").alias("albums"))
+    plan = t(s, d, "customer").where("c_acctbal > 0").select(ex("sha2(cast(c_custkey as string), 256)").alias("operation_id"), F.array("c_mktsegment").alias("albums"))
     return C.foreign_keys(keys, C.allowed_keys(plan))
 
 
@@ -410,10 +406,10 @@ def _(s, d):
     return C.drift(o, o.withColumn("o_orderstatus", ex("case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end")))
 
 
-@query("list_detail_consistency", "select o_orderkey, case when o_orderkey % 9 = 0 then 'left_only' else 'differs' end reason from orders where o_orderkey % 9 = 0 or o_orderkey % 7 = 0")
+@query("list_detail_consistency", "select o_orderkey, case when o_orderstatus = 'P' then 'left_only' else 'differs' end reason from orders where o_orderstatus = 'P' or o_orderkey % 7 = 0")
 def _(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return C.mismatches(o, o.where("o_orderkey % 9 <> 0").withColumn("o_custkey", ex("case when o_orderkey % 7 = 0 then -1 else o_custkey end")), "o_orderkey", ["o_custkey", "o_orderstatus"])
+    return C.mismatches(o, o.where("o_orderstatus <> 'P'").withColumn("o_custkey", ex("case when o_orderkey % 7 = 0 then -1 else o_custkey end")), "o_orderkey", ["o_custkey", "o_orderstatus"])
 
 
 @query("album_convergence", "select c_mktsegment album, case when n is null then 'create' when n = 1 then 'reuse' else 'ambiguous' end decision, case when n = 1 then id end album_id from (select distinct c_mktsegment from customer) left join (select p_brand b, count(*) n, min(p_partkey) id from part group by 1) on b = c_mktsegment union all select n_name, 'reuse', n_nationkey from nation")
@@ -423,12 +419,23 @@ def _(s, d):
     return C.album_decisions(wanted, server)
 
 
-@query("archive_materialization", "select 'a/' || o_orderkey path, case when o_orderkey % 3 = 0 then 'download' when o_orderkey % 5 = 0 then 'conflict' else 'complete' end action from orders union all select 'x/' || c_custkey, 'extra' from customer")
+@query("archive_materialization", "select 'a/' || o_orderkey path, case when o_orderstatus = 'P' then 'download' when o_orderkey % 5 = 0 then 'conflict' else 'complete' end action from orders union all select 'x/' || c_custkey, 'extra' from customer")
 def _(s, d):
     o = t(s, d, "orders").select("o_orderkey", ex("concat('a/', o_orderkey)").alias("path"), F.col("o_custkey").alias("byte_len"), F.col("o_orderstatus").alias("sha1"))
-    have = o.where("o_orderkey % 3 <> 0").withColumn("sha1", ex("case when o_orderkey % 5 = 0 then 'zz' else sha1 end")).drop("o_orderkey")
+    return C.materialization(o, archive_listing(s, d, o))
+
+
+def archive_listing(s, d, o):
+    """What a destination holds: orders but for pending ones, some with another checksum, and strangers."""
+    have = o.where("sha1 <> 'P'").withColumn("sha1", ex("case when o_orderkey % 5 = 0 then 'zz' else sha1 end")).drop("o_orderkey")
     extra = t(s, d, "customer").select(ex("concat('x/', c_custkey)").alias("path"), F.col("c_custkey").alias("byte_len"), F.lit("q").alias("sha1"))
-    return C.materialization(o, have.unionByName(extra))
+    return have.unionByName(extra)
+
+
+@query("archive_report", "select count(*) filter (o_orderstatus = 'P') downloaded, count(*) filter (o_orderstatus <> 'P' and o_orderkey % 5 <> 0) already_complete, count(*) filter (o_orderstatus <> 'P' and o_orderkey % 5 = 0) conflicts, cast(sum(o_custkey) filter (o_orderstatus = 'P') as bigint) bytes_written from orders")
+def _(s, d):
+    o = t(s, d, "orders").select("o_orderkey", ex("concat('a/', o_orderkey)").alias("path"), F.col("o_custkey").alias("byte_len"), F.col("o_orderstatus").alias("sha1"))
+    return C.archive_report(o, archive_listing(s, d, o))
 
 
 @query("remote_live_roles", """with i as (select o_orderkey id, case when o_orderkey % 5 = 0 then 'image' else 'video' end kind, case when o_orderkey % 5 = 0 then o_orderkey + o_custkey % 7 end link from orders), m as (select id image, link video from i where link is not null), o as (select video, count(*) n from m group by 1)
@@ -473,9 +480,9 @@ def _(s, d):
     return J.dependency_order(c.withColumn("key", F.col("pair_id")).withColumn("pair_id", F.col("pair_id").cast("string"))).withColumn("pair_id", F.col("key")).drop("key")
 
 
-@query("history_retention", "select event_id sequence, user_id from events where event_id % 1000 >= 100 order by event_id desc limit 50")
+@query("history_retention", "select event_id sequence, user_id from events where value >= 100 order by event_id desc limit 50")
 def _(s, d):
-    return J.retain(t(s, d, "events").select(F.col("event_id").alias("sequence"), "user_id", ex("event_id % 1000").alias("recorded_unix")), 100, 50).select("sequence", "user_id")
+    return J.retain(t(s, d, "events").select(F.col("event_id").alias("sequence"), "user_id", F.col("value").alias("recorded_unix")), 100, 50).select("sequence", "user_id")
 
 
 @query("page_contiguity", "with p as (select conv_id listing, turn page, strlen(role) items, 4 declared from conversations where turn <> 2) select listing, page, lead(page) over (partition by listing order by page) <> page + 1 gap, items <> declared count_off from p qualify coalesce(gap, false) or count_off")
@@ -505,7 +512,7 @@ def _(s, d):
 
 @query("status_gauges", f"select outcome, count(*) n from {JOURNAL} group by 1")
 def _(s, d):
-    return journal(s, d).groupBy("outcome").agg(F.count("*").alias("n"))
+    return J.gauges(journal(s, d), "outcome")
 
 
 @query("receipt_freshness", "select c_custkey receipt_ref, c_nationkey plan_ref, c_custkey % 3 plan_digest, c_mktsegment config from customer join nation on n_nationkey = c_nationkey where c_custkey % 3 = n_regionkey % 3")
@@ -543,6 +550,15 @@ def _(s, d):
     return P.metadata_violations(p)
 
 
+@query("archive_violations", """with h as (select o_orderkey k, sha256(cast(o_orderkey - case when o_orderkey % 17 = 0 then 1 else 0 end as varchar)) h, case when o_orderkey % 13 = 0 then 'con.txt' else o_orderkey || '.jpg' end as name from orders),
+i as (select *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || case when k % 11 = 0 then '5' else '4' end || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) id from h), a as (select *, case when k % 19 = 0 then 'other/' else 'assets/' end || id || '/' || name path from i)
+select 'asset' check_id, id as key from a where k % 11 = 0 or k % 13 = 0 or k % 19 = 0 union all select 'asset_unique', id from a group by id having count(*) > 1 union all select 'path_unique', path from a group by path having count(*) > 1""")
+def _(s, d):
+    h = t(s, d, "orders").select(F.col("o_orderkey").alias("k"), ex("sha2(cast(o_orderkey - case when o_orderkey % 17 = 0 then 1 else 0 end as string), 256)").alias("h"), F.col("o_custkey").alias("byte_len"), ex("case when o_orderkey % 13 = 0 then 'con.txt' else concat(o_orderkey, '.jpg') end").alias("original_file_name"))
+    a = h.withColumn("asset_id", ex("concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', case when k % 11 = 0 then '5' else '4' end, substr(h, 14, 3), '-a', substr(h, 18, 3), '-', substr(h, 21, 12))"))
+    return P.archive_violations(a.withColumn("checksum_sha1", ex("substr(h, 1, 40)")).withColumn("target_path", ex("concat(case when k % 19 = 0 then 'other/' else 'assets/' end, asset_id, '/', original_file_name)")))
+
+
 @query("progress_stream", "select user_id run, max(event_id) sequence, arg_max(event_type, event_id) stage, max(cast(floor(value) as bigint)) assets_observed from events group by 1")
 def _(s, d):
     e = R.event_stream(s, d, "events", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def append_effects(path: str):
     return write
 
 
+def read_effects(spark: SparkSession, path: str) -> DataFrame:
+    """S-8: the journal that append_effects wrote."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def append_receipts(new: DataFrame, path: str, key: str = "receipt_ref") -> None:
     """K-4: receipts that are not yet there."""
     spark = new.sparkSession

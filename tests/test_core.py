@@ -150,7 +150,21 @@ def test_effects_are_appended_once(spark, tmp_path):
     write = sinks.append_effects(str(tmp_path / "j"))
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "j")).count() == 2
+    assert rows(sinks.read_effects(spark, str(tmp_path / "j"))) == [("asset:1", 1), ("asset:2", 2)]
+
+
+def test_archive_manifest_and_report(spark):
+    a, b = "00000000-0000-4000-8000-000000000001", "00000000-0000-4000-8000-000000000002"
+    cols = "asset_id string, original_file_name string, target_path string, byte_len int, checksum_sha1 string"
+    good, bad = (a, "x.jpg", f"assets/{a}/x.jpg", 1, "0" * 40), (b, "con.txt", f"assets/{b}/con.txt", 1, "0" * 40)
+    assert rows(P.archive_violations(spark.createDataFrame([good], cols))) == []
+    none = (b, "y.jpg", f"assets/{b}/y.jpg", None, "0" * 40)
+    assert rows(P.archive_violations(spark.createDataFrame([good, good, bad, none], cols))) == [("asset", b), ("asset", b), ("asset_unique", a), ("asset_unique", b), ("path_unique", good[2])]
+    side = "path string, byte_len int, sha1 string"
+    want = spark.createDataFrame([("p", 3, "1"), ("q", 4, "2"), ("r", 5, "3")], side)
+    have = spark.createDataFrame([("q", 4, "2"), ("r", 5, "9"), ("s", 1, "1")], side)
+    assert rows(C.archive_report(want, have)) == [(1, 1, 1, 3)]
+    assert rows(C.archive_report(want.limit(0), have)) == [(0, 0, 0, 0)]
 
 
 def test_every_sql_twin_has_a_query():
