@@ -21,14 +21,15 @@ def in_fold(doc_id: Column, parts: int, which: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, classes: int = 64) -> DataFrame:
     """(text, label): at most ``per_class`` texts of each of the ``classes`` most common labels.
 
-    Rows are picked by a hash of doc_id, so any partitioning gives the same rows. Only
-    ids are ranked and Spark cuts each task's ranking before the shuffle; then the
-    bounded ids (per_class * classes at most) are broadcast to fetch the texts.
+    Rows are picked by a hash of doc_id, so any partitioning gives the same rows. Of a label with many rows only those
+    whose hash is low enough for about 8 * per_class of them are ranked, so that what reaches a label's task does not
+    grow with the input. Then the bounded ids (per_class * classes at most) are broadcast to fetch the texts.
     """
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
-    common = some.groupBy("label").count().orderBy(F.desc("count"), "label").limit(classes).select("label")
+    common = some.groupBy("label").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "label").limit(classes)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = some.join(F.broadcast(common), "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
+    low = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) * F.col("rows") <= 8 * per_class
+    ids = some.join(F.broadcast(common), "label").where(low).select("doc_id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("text", "label", "doc_id")
 
 
