@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, low: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with the smallest node m of each u. m is written first, so that the join stands between plain shuffles, which
+    adaptive execution can split: a hub's links are no single task's work."""
+    low = cut(low)
+    return edges.join(low, "u"), low
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    moved, low = _joined(both, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    moved, low = _joined(down, down.groupBy("u").agg(F.min("v").alias("m")))
+    moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), low
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links of long node numbers -> (node, component), component being the smallest node.
 
-    Only linked nodes are returned. Each round is written to the shared folder; the driver sees two
-    numbers a round. An empty table gives no rows; loops and repeated links do no harm.
+    Only linked nodes are returned. Each round is written to the shared folder, and the round before is deleted; the driver sees two
+    numbers a round. An empty table gives no rows; null ends, loops and repeated links do no harm.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
@@ -35,5 +42,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             break
-        seen, now = mark, cut(_small_star(_large_star(now)))
+        large, low = _large_star(now)
+        large = cut(large)
+        small, lower = _small_star(large)
+        seen, before, now = mark, now, cut(small)
+        discard(before, large, low, lower)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

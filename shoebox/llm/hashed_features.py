@@ -55,23 +55,48 @@ def margins(weights: np.ndarray, parts) -> np.ndarray:
     return total
 
 
-def matrix(texts: list[str]):
-    """Sparse rows (row, bucket, value) of a bounded list of texts."""
-    rows, cols, vals = [], [], []
-    for lo, hi, _, _, _, parts in family_slices(pa.array(texts, pa.string())):
-        for code, start, end in parts:
-            keep = np.zeros(len(code) + 1, np.int64)
-            np.add.at(keep, start, 1)
-            np.add.at(keep, end, -1)
-            inside = np.cumsum(keep[:-1]) > 0
-            row = np.repeat(np.arange(hi - lo), end - start)
-            key, count = np.unique(row.astype(np.int64) * SIZE + code[inside], return_counts=True)
-            r = key // SIZE
-            rows.append((r + lo).astype(np.int32))
-            cols.append((key % SIZE).astype(np.int32))
-            vals.append((SCALE * count / (end - start)[r]).astype(np.float32))
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(rows, np.int32), cat(cols, np.int32), cat(vals, np.float32)
+class Features:
+    """The features of a bounded list of texts, in blocks of texts, so that no step needs memory for all of them at once."""
+
+    def __init__(self, texts: list[str], block: int = 256):
+        self.n, self.blocks = len(texts), []
+        for at in range(0, self.n, block):
+            keys, counts, sizes = [], [], []
+            for lo, hi, _, _, _, parts in family_slices(pa.array(texts[at : at + block], pa.string())):
+                for f, (code, start, end) in enumerate(parts):
+                    keep = np.zeros(len(code) + 1, np.int64)
+                    np.add.at(keep, start, 1)
+                    np.add.at(keep, end, -1)
+                    row = np.repeat(np.arange(lo, hi), end - start)
+                    key, count = np.unique(row * SIZE + code[np.cumsum(keep[:-1]) > 0], return_counts=True)
+                    size = np.zeros(block)
+                    size[lo:hi] = end - start
+                    keys.append(key)
+                    counts.append((SCALE * count / size[key // SIZE]).astype(np.float32))
+            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            order = np.argsort(key)
+            value = np.concatenate(counts)[order] if keys else np.zeros(0, np.float32)
+            row, col = key[order] // SIZE, key[order] % SIZE
+            rows = min(block, self.n - at)
+            self.blocks.append((at, rows, np.searchsorted(row, np.arange(rows + 1)), col, value))
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """The margin of each text."""
+        out, low = np.zeros(self.n), w.astype(np.float32)
+        for at, rows, first, col, value in self.blocks:
+            if len(col):
+                part = low.take(col)
+                part *= value
+                sums = np.add.reduceat(part, np.minimum(first[:-1], len(part) - 1))
+                out[at : at + rows] = np.where(np.diff(first) > 0, sums, 0)
+        return out
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        """The sum over texts of d times their features."""
+        out = np.zeros(SIZE)
+        for at, rows, first, col, value in self.blocks:
+            out += np.bincount(col, value * np.repeat(d[at : at + rows], np.diff(first)), minlength=SIZE)
+        return out
 
 
 class Adam:

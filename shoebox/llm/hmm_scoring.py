@@ -3,11 +3,12 @@
 Counts of all training words are one aggregation. The ``symbols`` most frequent words are
 symbols of their own; every other word belongs to one of ``classes`` classes by its last bytes. Latent states emit symbols;
 a word of a class then has probability (c + 1) / (tokens + words of the class + 1), which leaves room for
-unknown words. Baum-Welch: a start on a bounded sample, then passes over all training documents,
-whose expected counts are summed across partitions. A text's score is exact: the scaled forward
+unknown words. Baum-Welch: a start on a bounded sample, then passes over all training documents, whole texts
+by the forward-backward recursion, whose expected counts are summed across partitions. A text's score is exact: the scaled forward
 recursion over all of its tokens, batch-wise, plus the words' probabilities inside their classes.
 
-Counts of the ``table`` most frequent words are broadcast (a bound that does not grow). The other words of a
+Words are 64-bit fingerprints: of v different ones about v * v / 2**65 pairs would count as one word.
+Counts of the ``size`` most frequent words are broadcast (a bound that does not grow). The other words of a
 document are looked up by a join; as each is rare, no key of that join is hot.
 """
 
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_fold, labelled_sample, table
-from .kernels import LOWER, U, Words, mix, text_buffer, text_slices
+from .common import cut, in_fold, labelled_sample, table, top_counts
+from .kernels import LOWER, U, Words, lean, mix, release, text_slices
 
 END = int(mix(np.array([0xE0D], U)).view(np.int64)[0])
-STEPS = 64
+#: Tokens whose forward values a task holds at a time; longer slices are redone block by block from the states at block borders.
+HELD = 1 << 19
 
 
 class Lookup:
@@ -81,7 +83,7 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(kinds[new].astype(np.int32)), pa.array(np.diff(np.append(new, len(keys))))], ["key", "class", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -90,7 +92,7 @@ class Vocabulary:
     def __init__(self, counts: DataFrame, symbols: int, classes: int, size: int):
         total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v, self.classes = int(total.n or 0), int(total.v), classes
-        top = cut(counts.orderBy(F.desc("n"), "key").limit(size)).toPandas()  # cut: else every task sends its best to the driver
+        top = top_counts(counts, size).toPandas().sort_values(["n", "key"], ascending=[False, True], ignore_index=True)
         if END not in set(top["key"]):  # the end always is in the table and a symbol
             top = pd.concat([top, counts.where(F.col("key") == END).select(*top.columns).toPandas()])
         key, n, kind = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64), top["class"].to_numpy(np.int64)
@@ -139,44 +141,65 @@ class Hmm:
         self.emit = self.base * rng.gamma(0.6, 1, (states, len(mass))) + 0.05 * self.base
         self.emit /= self.emit.sum(1, keepdims=True)
 
-    def expect(self, symbols: np.ndarray, border: np.ndarray, total: dict) -> None:
-        """Adds the expected counts of a slice. Sequences are cut into segments of STEPS tokens for this."""
+    def expect(self, symbols: np.ndarray, border: np.ndarray, total: dict, held: int = HELD) -> None:
+        """Adds the expected counts of whole sequences (forward-backward, all of them in step). Values lie in time-major order: step by
+        step, longest sequence first. Above ``held`` tokens only the forward states at block borders are kept, and a block is redone on the way back."""
         lengths = np.diff(border)
-        parts = -(-lengths // STEPS)
-        owner = np.repeat(np.arange(len(lengths)), parts)
-        nth = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(parts)[:-1]]), parts)
-        start = border[:-1][owner] + nth * STEPS
-        size = np.minimum(STEPS, lengths[owner] - nth * STEPS)
-        steps = np.arange(STEPS)
-        inside = steps < size[:, None]
-        x = np.where(inside, symbols[np.minimum(start[:, None] + steps, len(symbols) - 1)], 0)
-        e = self.emit.T.astype(np.float32)[x]  # segment, step, state
-        e[~inside] = 1
-        move = self.move.astype(np.float32)
-        alpha = np.empty_like(e)
-        scale = np.empty(x.shape, np.float32)
-        now = np.broadcast_to(self.first.astype(np.float32), e[:, 0].shape)
-        for t in range(STEPS):
-            now = (now @ move if t else now) * e[:, t]
-            scale[:, t] = now.sum(1)
-            now = now / scale[:, t, None]
-            alpha[:, t] = now
-        beta = np.ones(e[:, 0].shape, np.float32)
-        for t in range(STEPS - 1, -1, -1):
-            gamma = alpha[:, t] * beta
+        order = np.argsort(-lengths, kind="stable")
+        sizes, begin = lengths[order], border[:-1][order]
+        most = int(sizes[0]) if len(sizes) else 0
+        if not most:
+            return
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(most), "right")  # sequences that have step t
+        at = np.append(0, np.cumsum(active))
+        turn = np.unique(np.append(np.searchsorted(at[:-1], np.arange(0, at[-1], held)), most))  # block borders, in steps
+        emit, move = np.ascontiguousarray(self.emit.T, np.float32), self.move.astype(np.float32)
+
+        def seen(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            """(symbols, emission weights) of steps lo to hi."""
+            n = active[lo:hi]
+            step = np.repeat(np.arange(lo, hi), n)
+            x = symbols[begin[np.arange(len(step)) - np.repeat(at[lo:hi] - at[lo], n)] + step]
+            return x, emit[x]
+
+        def forward(now: np.ndarray, lo: int, hi: int, e: np.ndarray, keep: bool):
+            alpha, scale = (np.empty_like(e), np.empty(len(e), np.float32)) if keep else (None, None)
+            for t in range(lo, hi):
+                a, b = at[t] - at[lo], at[t + 1] - at[lo]
+                now = (now[: b - a] @ move if t else now) * e[a:b]
+                s = now.sum(1)
+                now /= s[:, None]
+                if keep:
+                    alpha[a:b], scale[a:b] = now, s
+            return now, alpha, scale
+
+        entry = [np.broadcast_to(self.first.astype(np.float32), (len(sizes) if active[0] == len(sizes) else int(active[0]), self.k))]
+        for lo, hi in zip(turn[:-2].tolist(), turn[1:-1].tolist(), strict=True):
+            entry.append(forward(entry[-1], lo, hi, seen(lo, hi)[1], False)[0])
+        after = None  # what the step behind the block hands back: emission * beta / scale of its sequences
+        for b_no in range(len(turn) - 2, -1, -1):
+            lo, hi = int(turn[b_no]), int(turn[b_no + 1])
+            x, e = seen(lo, hi)
+            _, alpha, scale = forward(entry[b_no], lo, hi, e, True)
+            beta, ahead = np.ones_like(e), e
+            ahead /= scale[:, None]
+            for t in range(hi - 1, lo - 1, -1):
+                a, b = at[t] - at[lo], at[t + 1] - at[lo]
+                if after is not None and len(after):
+                    beta[a : a + len(after)] = after @ move.T
+                ahead[a:b] *= beta[a:b]
+                after = ahead[a:b]
+            gamma = alpha * beta
             gamma /= gamma.sum(1, keepdims=True)
-            gamma[~inside[:, t]] = 0
             for s in range(self.k):
-                total["emit"][s] += np.bincount(x[:, t], gamma[:, s], minlength=total["emit"].shape[1]) if len(x) > 4096 else 0
-            if len(x) <= 4096:
-                np.add.at(total["emit"].T, x[:, t], gamma)
-            if t == 0:
-                total["first"] += gamma[nth == 0].sum(0)
-            else:
-                ahead = e[:, t] * beta / scale[:, t, None]
-                ahead[~inside[:, t]] = 0
-                total["move"] += self.move * (alpha[:, t - 1].T @ ahead)
-                beta = np.where(inside[:, t, None], (e[:, t] * beta / scale[:, t, None]) @ move.T, 1)
+                total["emit"][s] += np.bincount(x, gamma[:, s], minlength=total["emit"].shape[1])
+            if lo == 0:
+                total["first"] += gamma[: active[0]].sum(0)
+            elif hi > lo:
+                total["move"] += self.move * (entry[b_no][: active[lo]].T.astype(np.float64) @ ahead[: active[lo]])
+            n = active[lo + 1 : hi]
+            back = np.repeat(at[lo : hi - 1] - at[lo], n) + np.arange(n.sum()) - np.repeat(at[lo + 1 : hi] - at[lo + 1], n)
+            total["move"] += self.move * (alpha[back].T @ ahead[active[lo] :]).astype(np.float64)
 
     def empty(self) -> dict:
         return {"emit": np.zeros(self.emit.shape), "move": np.zeros((self.k, self.k)), "first": np.zeros(self.k)}
@@ -210,6 +233,24 @@ class Hmm:
         return back
 
 
+def together(slices, limit: int):
+    """Slices joined to about ``limit`` tokens, so that many sequences go in step: (symbols, borders)."""
+    held, size = [], 0
+    for _, _, symbols, border, *_ in slices:
+        if held and size + len(symbols) > limit:
+            yield _joined(held)
+            held, size = [], 0
+        held.append((symbols, border))
+        size += len(symbols)
+    if held:
+        yield _joined(held)
+
+
+def _joined(slices):
+    ends = np.cumsum([0] + [len(s) for s, _ in slices])
+    return np.concatenate([s for s, _ in slices]), np.concatenate([[0], *(b[1:] + end for (_, b), end in zip(slices, ends[:-1], strict=True))])
+
+
 def baum_welch(docs: DataFrame, words, model: Hmm) -> Hmm:
     """One pass over docs: expected counts by task, summed across partitions by symbol."""
     shared = docs.sparkSession.sparkContext.broadcast((words.value, model))
@@ -219,18 +260,19 @@ def baum_welch(docs: DataFrame, words, model: Hmm) -> Hmm:
         vocabulary, model = shared.value
         total = model.empty()
         for batch in batches:
-            for _, _, symbols, border, *_ in vocabulary.read(batch.column(0)):
+            for symbols, border in together(vocabulary.read(batch.column(0)), 8 * HELD):
                 model.expect(symbols, border, total)
         rows = np.concatenate([total["emit"].T, total["move"], total["first"][None]])
         used = np.flatnonzero(rows.sum(1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(rows[used, s]) for s in range(k))], ["at", *(f"s{s}" for s in range(k))])
 
     schema = "at long, " + ", ".join(f"s{s} double" for s in range(k))
-    sums = docs.select("text").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
+    sums = docs.select("text").mapInArrow(lean(run), schema).groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).toPandas()
     size = model.emit.shape[1]
     rows = np.zeros((size + k + 1, k))
     rows[sums["at"].to_numpy(int)] = sums.drop(columns="at").to_numpy(float)
     model.update({"emit": rows[:size].T, "move": rows[size : size + k], "first": rows[-1]})
+    shared.destroy()
     return model
 
 
@@ -246,13 +288,15 @@ def score(docs: DataFrame, training: DataFrame, states: int = 6, symbols: int =
     vocabulary = Vocabulary(counts, symbols, classes, size)
     words = spark.sparkContext.broadcast(vocabulary)
     model = Hmm(states, vocabulary.mass)
-    some = labelled_sample(training, training.select("doc_id", F.lit(1).alias("any")), "any", sample, 1).orderBy("doc_id").toPandas()
-    slices = [x for x in vocabulary.read(pa.array(some.text, pa.string()))] if len(some) else []
+    some = labelled_sample(training, training.select("doc_id", F.lit(1).alias("any")), "any", sample).orderBy("doc_id").toPandas()
+    slices = list(together(vocabulary.read(pa.array(some.text, pa.string())), HELD)) if len(some) else []
     for _ in range(25 if slices else 0):
         total = model.empty()
         for x in slices:
-            model.expect(x[2], x[3], total)
+            model.expect(*x, total)
         model.update(total)
+    del some, slices
+    release()
     for _ in range(passes if vocabulary.n else 0):
         model = baum_welch(training, words, model)
     best = spark.sparkContext.broadcast(model)
@@ -295,7 +339,7 @@ def score(docs: DataFrame, training: DataFrame, states: int = 6, symbols: int =
             )
 
     source = docs.select(F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    parts = source.mapInArrow(run, "key long, row long, times long, doc_id long, n_tokens long, n_known long, base double, total double")
+    parts = source.mapInArrow(lean(run), "key long, row long, times long, doc_id long, n_tokens long, n_known long, base double, total double")
     joined = parts.join(counts.select("key", "n"), "key", "left")
     gain = F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1))
     found = joined.groupBy("row").agg(

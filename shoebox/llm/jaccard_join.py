@@ -1,7 +1,8 @@
 """N-gram Jaccard join (operator 9): exact, with signature trees inside cells.
 
 1.  Each text becomes a set of shingle fingerprints, and the set a class id (a fingerprint of the
-    set). Equal sets are one class from here on, so exact copies cost nothing further.
+    set). Equal sets are one class from here on, so exact copies cost nothing further. A second fingerprint of each set tells
+    whether different sets got the same id; such ids are replaced by ids of both fingerprints.
 2.  Two sets with Jaccard similarity >= t share one of the first |s| - ceil(t |s|) + 1 shingles of either, for any
     fixed order of all shingles. The order here is by fingerprint, with shingles that are frequent in
     the corpus last, which keeps groups small. For each shingle in such a
@@ -11,22 +12,25 @@
     bitmaps and the range of sizes. Two trees are traversed together and node pairs are pruned
     by the largest overlap that their bitmaps and sizes allow; bitmaps hold a fixed quarter of all shingles. This first runs on
     signatures alone, and what they allow joins classes into groups, so that each class is in one. Then it runs in each group with the
-    whole sets, on which leaf pairs are checked. Pairs that are already connected need no
-    check, as only components are asked for; so a task returns fewer links than it has
-    classes. Cells and groups above ``block`` classes are cut into blocks, and each pair of blocks is a task of its own.
-4.  Components of the links come from ``components``; a component's number is its smallest doc_id.
+    whole sets, on which leaf pairs are checked. Only components are asked for, so pairs (and node pairs) that are already connected
+    need no check, and a task returns fewer links than it has classes.
+4.  A cell or group above ``block`` classes is cut into blocks. First each block is joined in itself, together with the same few
+    classes (the cell's smallest ids) in all blocks, which ties the blocks' components to each other. Then only
+    the classes outside the cell's largest component meet all classes of the cell, block by block; so a group of n
+    near copies costs about n rows, and n * r / block where r classes stay outside.
+5.  Components of the links come from ``components``; a component's number is its smallest doc_id.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import apart, cut, discard, table, together, top_counts
 from .components import components
-from .kernels import LOWER, U, Words, mix, text_slices, window_hash
+from .kernels import LOWER, U, Words, lean, mix, text_slices, window_hash
 
 BITS = 1 << 14
 #: Shingles whose fingerprint has these bits clear are the sample that signatures hold: a quarter of all.
@@ -56,13 +60,19 @@ def _whole(h: np.ndarray) -> np.uint64:
     return window_hash(h, len(h))[0] ^ U(len(h))
 
 
-def class_ids(hashes: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """A positive 63-bit fingerprint of each set; -1 for empty ones. The size goes into it."""
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(mix(hashes ^ U(0x2545F4914F6CDD1D)), out=total[1:])
-    size = np.diff(border)
-    out = (mix((total[border[1:]] - total[border[:-1]]) ^ mix(size.astype(U))) >> U(1)).astype(np.int64)
-    return np.where(size > 0, out, -1)
+def class_ids(hashes: np.ndarray, border: np.ndarray, odd: np.ndarray, bits: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """(a positive fingerprint of ``bits`` bits of each set, -1 for empty ones; a second fingerprint). The size goes into them.
+    Fingerprints listed in ``odd`` (sorted) stand for several sets and are replaced by one of both."""
+    size, both = np.diff(border), []
+    for seed in (U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)):
+        total = np.zeros(len(hashes) + 1, U)
+        np.cumsum(mix(hashes ^ seed), out=total[1:])
+        both.append(mix((total[border[1:]] - total[border[:-1]]) ^ mix(size.astype(U) + seed)))
+    out, check = both[0] >> U(64 - bits), both[1].view(np.int64)
+    if len(odd):
+        many = odd[np.minimum(np.searchsorted(odd, out), len(odd) - 1)] == out
+        out = np.where(many, mix(both[0] ^ both[1] * U(3)) >> U(1), out)
+    return np.where(size > 0, out.astype(np.int64), -1), check
 
 
 def least_overlap(a, b, percent: int):
@@ -119,73 +129,92 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) ->
     return keep
 
 
-def traverse(left: Tree, right: Tree | None, percent: int, leaves) -> None:
-    """Dual traversal of two trees (or of one with itself): leaves(i, j) gets the leaf pairs that are not pruned."""
-    other = right or left
-    fan = np.arange(Tree.FANOUT)
+class Forest:
+    """Components of numbered classes: labels that node pairs are pruned by, and the links that made them."""
+
+    def __init__(self, n: int):
+        self.label, self.links, self.changes = np.arange(n), [], 0
+
+    def join(self, a: int, b: int) -> None:
+        low, high = sorted((self.label[a], self.label[b]))
+        self.label[self.label == high] = low
+        self.links.append((a, b))
+        self.changes += 1
+
+    def of_nodes(self, own: np.ndarray, levels: int) -> list[np.ndarray]:
+        """Per level of a tree over the classes ``own``: the label that all leaves below a node share, or -1."""
+        out = [self.label[own]]
+        for _ in range(levels - 1):
+            at = np.arange(0, len(out[-1]), Tree.FANOUT)
+            low, high = np.minimum.reduceat(out[-1], at), np.maximum.reduceat(out[-1], at)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+
+def traverse(left: Tree, right: Tree, mine: np.ndarray, yours: np.ndarray, percent: int, found: Forest) -> None:
+    """Dual traversal of two trees (or of one with itself) over the classes ``mine`` and ``yours``: joins linking pairs in ``found``; trees
+    without sets join all pairs that signatures allow."""
+    fan, same = np.arange(Tree.FANOUT), left is right
+    marks = {"at": -1}
+
+    def labels():
+        if marks["at"] != found.changes:
+            marks.update(at=found.changes, a=found.of_nodes(mine, len(left.levels)), b=found.of_nodes(yours, len(right.levels)))
+        return marks["a"], marks["b"]
+
+    def apart(la: int, lb: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = labels()
+        return (a[la][i] < 0) | (a[la][i] != b[lb][j])
+
+    def leaves(i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            keep = apart(0, 0, i, j)
+            i, j = i[keep], j[keep]
+            for x, y in zip(i[:64].tolist(), j[:64].tolist(), strict=True):
+                a, b = mine[x], yours[y]
+                if found.label[a] == found.label[b]:
+                    continue
+                if left.sets:
+                    s, t = left.sets[x], right.sets[y]
+                    both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+                    if 100 * both < percent * (len(s) + len(t) - both):
+                        continue
+                found.join(int(a), int(b))
+            i, j = i[64:], j[64:]
 
     def down(la: int, lb: int, i: np.ndarray, j: np.ndarray) -> None:
-        keep = possible(left.levels[la], i, other.levels[lb], j, percent)
-        if right is None:
+        keep = apart(la, lb, i, j)
+        if same:
             keep &= (i < j) if la == 0 else (i <= j)
         i, j = i[keep], j[keep]
+        keep = possible(left.levels[la], i, right.levels[lb], j, percent)
+        i, j = i[keep], j[keep]
         if la == 0 and lb == 0:
             leaves(i, j)
             return
         go_a, go_b = la >= lb, lb >= la  # the higher node is opened, or both
-        for lo in range(0, len(i), 2048):  # a bounded number of node pairs at a time
-            a, b = i[lo : lo + 2048], j[lo : lo + 2048]
+        for lo in range(0, len(i), 512):  # a bounded number of node pairs at a time
+            a, b = i[lo : lo + 512], j[lo : lo + 512]
             if go_a:
                 a, b = (a[:, None] * Tree.FANOUT + fan).reshape(-1), np.repeat(b, Tree.FANOUT)
                 fits = a < len(left.levels[la - 1][0])
                 a, b = a[fits], b[fits]
             if go_b:
                 a, b = np.repeat(a, Tree.FANOUT), (b[:, None] * Tree.FANOUT + fan).reshape(-1)
-                fits = b < len(other.levels[lb - 1][0])
+                fits = b < len(right.levels[lb - 1][0])
                 a, b = a[fits], b[fits]
             down(la - go_a, lb - go_b, a, b)
 
-    i, j = np.meshgrid(np.arange(len(left.levels[-1][0])), np.arange(len(other.levels[-1][0])), indexing="ij")
-    down(len(left.levels) - 1, len(other.levels) - 1, i.reshape(-1), j.reshape(-1))
-
-
-def links(left: Tree, right: Tree | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the linking pairs (numbers in input order; the right tree's follow the left's). Of trees
-    without sets, a forest of the pairs that the signatures allow."""
-    other, n = right or left, len(left)
-    parent = list(range(n + (len(right) if right else 0)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-
-    def leaves(i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = int(left.order[x]), int(other.order[y]) + (n if right else 0)
-            ra, rb = root(a), root(b)
-            if ra == rb:
-                continue
-            if left.sets:
-                s, t = left.sets[x], other.sets[y]
-                both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                if 100 * both < percent * (len(s) + len(t) - both):
-                    continue
-            parent[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
-
-    traverse(left, right, percent, leaves)
-    return out
+    i, j = np.meshgrid(np.arange(len(left.levels[-1][0])), np.arange(len(right.levels[-1][0])), indexing="ij")
+    down(len(left.levels) - 1, len(right.levels) - 1, i.reshape(-1), j.reshape(-1))
 
 
 def forest(group: pa.Table, percent: int) -> pa.Table:
-    """(u, v) links of one task: the members of one block with each other, or those of two blocks. Members
+    """(u, v) links of one task: its classes with each other, or those of the left side with those of the right. Members
     come with their signatures, or with their whole sets."""
     ids, right = group["class"].to_numpy(), group["right"].to_numpy(zero_copy_only=False)
     order = np.lexsort((ids, right))
+    order = order[np.append(True, (ids[order][1:] != ids[order][:-1]) | (right[order][1:] != right[order][:-1]))]
     ids, right = ids[order], right[order]
     if "members" in group.column_names:
         members = group["members"].combine_chunks()
@@ -199,20 +228,47 @@ def forest(group: pa.Table, percent: int) -> pa.Table:
         parts = [bitmap[order], *(group[c].to_numpy()[order] for c in ("n", "rest", "lost"))]
     n = int((~right).sum())
     tree = lambda lo, hi: Tree(*(x[lo:hi] for x in parts), sets and sets[lo:hi])
-    pairs = []
-    if group["low"][0].as_py() == group["high"][0].as_py():
-        pairs = links(tree(0, len(ids)), None, percent) if len(ids) > 1 else []
+    names, number = np.unique(ids, return_inverse=True)
+    found = Forest(len(names))
+    if n == len(ids) and n > 1:
+        one = tree(0, n)
+        traverse(one, one, number[one.order], number[one.order], percent, found)
     elif 0 < n < len(ids):
-        pairs = links(tree(0, n), tree(n, len(ids)), percent)
-    return pa.table({"u": pa.array([int(ids[i]) for i, _ in pairs], pa.int64()), "v": pa.array([int(ids[j]) for _, j in pairs], pa.int64())})
+        a, b = tree(0, n), tree(n, len(ids))
+        traverse(a, b, number[a.order], number[n:][b.order], percent, found)
+    ends = np.array(found.links, np.int64).reshape(-1, 2)
+    return pa.table({"u": pa.array(names[ends[:, 0]], pa.int64()), "v": pa.array(names[ends[:, 1]], pa.int64())})
+
+
+TASK = ("cell", "low", "high")
 
 
-def tasks_of(cells: DataFrame, block: int) -> DataFrame:
-    """(cell, class) -> (cell, low, high, right, class): cells above ``block`` classes are cut, each pair of parts is a task."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
-    split = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return split.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "class")
+def linked(cells: DataFrame, links_of, block: int, shared: int = 64) -> DataFrame:
+    """(u, v) links that connect what links within the cells (cell, class). links_of: tasks (cell, low, high, right, class) -> links.
+
+    Small cells are one task. See 4. above for the others; ``shared`` classes are in all blocks of a cell.
+    """
+    sizes = cut(cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"))
+    large = cells.join(sizes, "cell").withColumn("low", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    one = cells.join(sizes, "cell", "left_anti").select("cell", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(False).alias("right"), "class")
+    if sizes.isEmpty():
+        return links_of(one)
+    first = Window.partitionBy("cell").orderBy("class")
+    ties = large.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= shared).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = large.select("cell", "low", "class").unionByName(ties.select("cell", "low", "class")).distinct()
+    own = own.select("cell", "low", F.col("low").alias("high"), F.lit(False).alias("right"), "class")
+    near = cut(links_of(one.unionByName(own)))
+    named = components(near).select(F.col("node").alias("class"), "component")
+    placed = cut(large.join(named, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    most = placed.groupBy("cell", "component").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    most = cut(most)
+    out = cut(placed.join(most, "cell").where("component <> main").select("cell", "class", "blocks"))
+    rest = cut(out.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+    left = out.join(rest, "cell").withColumn("low", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = placed.join(rest, "cell").withColumn("high", F.col("low")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = left.select(*TASK, F.lit(False).alias("right"), "class").unionByName(right.select(*TASK, F.lit(True).alias("right"), "class"))
+    far = links_of(tasks.withColumn("low", -1 - F.col("low")))
+    return near.unionByName(far)
 
 
 def frequent_shingles(docs: DataFrame, k: int, size: int) -> np.ndarray:
@@ -228,8 +284,10 @@ def frequent_shingles(docs: DataFrame, k: int, size: int) -> np.ndarray:
             keep = count >= 2
             yield pa.RecordBatch.from_arrays([pa.array(every[new][keep].view(np.int64)), pa.array(count[keep])], ["key", "n"])
 
-    top = docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
-    return np.sort(cut(top.select("key")).toPandas()["key"].to_numpy(np.int64).view(U))
+    counts = cut(docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 8"))
+    out = np.sort(top_counts(counts, size).select("key").toPandas()["key"].to_numpy(np.int64).view(U))
+    discard(counts)
+    return out
 
 
 def prefix_of(hashes: np.ndarray, border: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,31 +304,39 @@ def prefix_of(hashes: np.ndarray, border: np.ndarray, often: np.ndarray, percent
     return hashes[order][keep], owner[keep]
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, frequent: int = 100_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs.
-
-    Texts whose sets have a Jaccard similarity of at least percent/100 link; component_id is the smallest
-    doc_id that links lead to. Null, empty and blank texts have an empty set, link with
-    nothing and keep their own id. Repeated rows link with each other (equal sets). A row with a null doc_id is kept and takes the component of its
-    set, but a set that only such rows have links with no other. Other columns are ignored. docs must be read from files.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int, block: int, frequent: int, bits: int = 63, shared: int = 64) -> tuple[DataFrame, DataFrame]:
+    """docs (row, text, doc_id) -> (described: row, doc_id, n_shingles, class; lookup: class, group, for all classes with a text)."""
     spark = docs.sparkSession
-    base = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    often = spark.sparkContext.broadcast(frequent_shingles(base, k, frequent))
-
-    def describe(batches):
-        for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch.column(0)):
-                hashes, border = shingle_sets(buf, offs, k)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(np.diff(border)), pa.array(class_ids(hashes, border))], ["doc_id", "n_shingles", "class"])
+    base = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "row")
+
+    def describe(odd):
+        def run(batches):
+            for batch in batches:
+                for lo, hi, buf, offs in text_slices(batch.column(0)):
+                    hashes, border = shingle_sets(buf, offs, k)
+                    ids, check = class_ids(hashes, border, odd, bits)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), pa.array(np.diff(border)), pa.array(ids), pa.array(check)], ["doc_id", "row", "n_shingles", "class", "check"])
+
+        return run
+
+    odd = np.zeros(0, U)
+    while True:
+        described = cut(base.mapInArrow(lean(describe(odd)), "doc_id long, row long, n_shingles long, class long, check long"))
+        clash = described.where("class >= 0").groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("class").toPandas()
+        if clash.empty:  # as a rule: of c classes about c * c / 2**64 pairs clash
+            break
+        odd = np.union1d(odd, clash["class"].to_numpy(np.int64).view(U))
+        discard(described)
+    often = spark.sparkContext.broadcast((frequent_shingles(base, k, frequent), odd))
 
     def prefixes(batches):
+        late, odd = often.value
         for batch in batches:
             seen = []
             for _, _, buf, offs in text_slices(batch.column(0), 1 << 18):
                 hashes, border = shingle_sets(buf, offs, k)
-                ids = class_ids(hashes, border)
-                key, owner = prefix_of(hashes, border, often.value, percent)
+                ids, _ = class_ids(hashes, border, odd, bits)
+                key, owner = prefix_of(hashes, border, late, percent)
                 seen.append(np.stack([key.view(np.int64), ids[owner]]))
             if seen:
                 key, ids = np.concatenate(seen, 1)
@@ -285,34 +351,79 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 1024, freq
             for _, _, buf, offs in text_slices(batch.column(0)):
                 hashes, border = shingle_sets(buf, offs, k)
                 bitmap, size, rest, lost = signatures(hashes, border)
-                yield pa.RecordBatch.from_arrays([pa.array(class_ids(hashes, border)), pa.array([x.tobytes() for x in bitmap], pa.binary()), pa.array(size), pa.array(rest), pa.array(lost)], ["class", "bitmap", "n", "rest", "lost"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_ids(hashes, border, often.value[1], bits)[0]), pa.array([x.tobytes() for x in bitmap], pa.binary()), pa.array(size), pa.array(rest), pa.array(lost)], ["class", "bitmap", "n", "rest", "lost"])
 
     def whole(batches):
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch.column(0)):
                 hashes, border = shingle_sets(buf, offs, k)
                 sets = pa.ListArray.from_arrays(pa.array(border.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), sets], [*batch.schema.names[1:], "members"])
-                yield rows.filter(pa.array(class_ids(hashes, border) == rows["class"].to_numpy()))  # another text may have the same doc_id
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), sets], [*batch.schema.names[1:], "members"])
 
-    described = cut(base.mapInArrow(describe, "doc_id long, n_shingles long, class long"))
-    prefix = base.mapInArrow(prefixes, "key long, class long")
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*TASK).applyInArrow(lambda g: forest(g, percent), "u long, v long")
+
+    def by_signature(tasks: DataFrame) -> DataFrame:
+        return joined(tasks.join(sign, "class"))
+
+    def by_set(tasks: DataFrame) -> DataFrame:
+        texts = base.join(tasks.join(holder, "class"), "row").select("text", *TASK, "right", "class")
+        return joined(texts.mapInArrow(lean(whole), "cell long, low int, high int, right boolean, class long, members array<long>"))
+
+    prefix = base.mapInArrow(lean(prefixes), "key long, class long")
     lead = prefix.groupBy("key").agg(F.min("class").alias("cell"), F.max("class").alias("last")).where("cell < last").select("key", "cell")
     cells = cut(prefix.join(lead, "key").select("cell", "class").distinct())
     # signatures: pairs that may link, and the groups they form
-    sign = base.mapInArrow(signed, "class long, bitmap binary, n long, rest long, lost long").dropDuplicates(["class"])
-    maybe = tasks_of(cells, block).join(sign, "class").groupBy("cell", "low", "high").applyInArrow(lambda g: forest(g, percent), "u long, v long")
-    near = components(maybe).select(F.col("component").alias("cell"), F.col("node").alias("class"))
-    # whole sets: each class is in one such group, and one of its texts stands for it
-    holder = described.where("class >= 0 and doc_id is not null").join(near, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    placed = tasks_of(near, block).join(holder, "class")
-    sets = base.join(placed, "doc_id").select("text", "cell", "low", "high", "right", "class")
-    sets = sets.mapInArrow(whole, "cell long, low int, high int, right boolean, class long, members array<long>")
-    edges = sets.groupBy("cell", "low", "high").applyInArrow(lambda g: forest(g, percent), "u long, v long")
-    groups = components(edges)
-    named = described.join(groups, described["class"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("group"))
-    first = named.where("group >= 0").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return named.join(first, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group") >= 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    sign = cut(base.mapInArrow(lean(signed), "class long, bitmap binary, n long, rest long, lost long").where("class >= 0").dropDuplicates(["class"]).join(cells.select("class").distinct(), "class", "left_semi"))
+    near = cut(components(linked(cells, by_signature, block, shared)).select(F.col("component").alias("cell"), F.col("node").alias("class")))
+    discard(cells, sign)
+    # whole sets: each class is in one such group, and one of its rows stands for it
+    holder = cut(described.where("class >= 0").join(near.select("class"), "class", "left_semi").groupBy("class").agg(F.min("row").alias("row")))
+    groups = components(linked(near, by_set, block, shared))
+    lookup = described.where("class >= 0").select("class").distinct().join(groups.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("group"))
+    lookup = cut(lookup)
+    discard(near, holder)
+    often.destroy()
+    return described, lookup
+
+
+def _named(described: DataFrame, lookup: DataFrame, first) -> DataFrame:
+    """(class, first): the smallest ``first`` among the rows of the class's group. Classes are aggregated before groups, and both tables are
+    written before they are joined, so that Spark can split the join at a hot group."""
+    own = cut(described.where("class >= 0").groupBy("class").agg(F.min(first).alias("first")))
+    best = cut(own.join(lookup, "class").groupBy("group").agg(F.min("first").alias("first")))
+    out = cut(lookup.join(best, "group").select("class", "first"))
+    discard(own, best)
+    return out
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048, frequent: int = 100_000, bits: int = 63, shared: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs.
+
+    Texts whose sets have a Jaccard similarity of at least percent/100 link; component_id is the smallest
+    doc_id that links lead to. Null, empty and blank texts have an empty set, link with
+    nothing and keep their own id. Repeated rows link with each other (equal sets). A row with a null doc_id links like any other and takes
+    the component_id of its group, null if no row there has an id. Other columns are ignored, whatever their names; an empty
+    table gives no rows. docs must be read from files, so that rows are numbered alike whenever they are read.
+    """
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("row", F.monotonically_increasing_id())
+    described, lookup = _grouped(rows, k, percent, block, frequent, bits, shared)
+    named = _named(described, lookup, F.col("doc_id"))
+    discard(lookup)
+    out = described.join(named, "class", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("class") >= 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 2048, frequent: int = 100_000) -> DataFrame:
+    """docs with one row of each group of linked texts: the one with the smallest doc_id (rows without an id come last; among equal ids, such as
+    different texts that share one, the first row read). Rows without a word link with nothing and stay. All columns stay, whatever their names."""
+    text, rest = apart(docs)
+    rows = docs.select(text, rest, F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    described, lookup = _grouped(rows.select("text", "doc_id", "row"), k, percent, block, frequent)
+    best = _named(described, lookup, F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).select("first.row").distinct()
+    stay = cut(best.unionByName(described.where("class < 0").select("row")))
+    discard(described, lookup)
+    return together(rows.join(stay, "row", "left_semi").select("text", "rest"), docs)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

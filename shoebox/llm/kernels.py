@@ -1,12 +1,15 @@
 """Vectorised helpers that run inside Spark tasks on Arrow batches of texts.
 
 All of them work on the UTF-8 bytes of many texts at once. Fingerprints are
-64-bit; they come from fixed constants, so every executor agrees on them.
+64-bit; they come from fixed constants, so every executor agrees on them. Of n different
+values about n * n / 2**65 pairs share one; users say what that means for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-_BASE = U(0xD6E8FEB86659FD93)
-_WORD_BASE = U(0xA0761D6478BD642F)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out, dtype=U)
-
-
-_BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_POW, _INVERSE = _powers(_BASE, 1 << 18), _powers(_BASE_INVERSE, 1 << 18)
+_STEP, _OTHER = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Spans up to so many bytes are hashed eight bytes at a time, all at once; longer ones singly.
+LONG = 64
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +94,48 @@ class Words:
 
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of byte spans: differences of one running polynomial, shifted back to the span's start."""
-    global _POW, _INVERSE
-    if len(buf) > len(_POW):
-        _POW, _INVERSE = _powers(_BASE, 2 * len(buf)), _powers(_BASE_INVERSE, 2 * len(buf))
-    run = np.zeros(len(buf) + 1, U)
-    np.cumsum(_BYTE[buf] * _POW[: len(buf)], out=run[1:])
-    return mix((run[end] - run[start]) * _INVERSE[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+    """64-bit fingerprints of byte spans: a chain of mixed eight-byte blocks over the length, so that no pattern of bytes
+    cancels out; blake2b for spans above LONG bytes."""
+    size = end - start
+    h = mix(size.astype(U) * _STEP)
+    if not len(h):
+        return h
+    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", wide.data, strides=(1,))  # the eight bytes from each place on
+    open_ = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(open_):
+        left = np.minimum(size[open_] - at, 8)
+        block = eight[start[open_] + at] & (U(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(U) % U(64))
+        h[open_] = mix((h[open_] ^ np.where(left > 0, block, U(0))) * _STEP + _OTHER)
+        at += 8
+        open_ = open_[size[open_] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprint of h[i:i+k] for each i, by doubling; ends wrap and must be masked."""
-    out, have, part, size, power = np.zeros(len(h), U), 0, h, 1, _WORD_BASE
-    out_power = U(1)
+    """Fingerprint of h[i:i+k] for each i, by doubling with a scramble at each step; ends wrap and must be masked."""
+    out, have, part, size = np.zeros(len(h), U), 0, h, 1
     with np.errstate(over="ignore"):
         while size <= k:
             if k & size:
-                out = out + out_power * np.roll(part, -have) if len(h) else out
-                have, out_power = have + size, out_power * power
-            part, power, size = part + power * np.roll(part, -size), power * power, size * 2
-    return mix(out)
+                out = _joined(out, np.roll(part, -have)) if len(h) else out
+                have += size
+            if 2 * size <= k:
+                part = _joined(part, np.roll(part, -size))
+            size *= 2
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * _STEP
+    out ^= out >> U(32)
+    out += b
+    out *= _OTHER
+    out ^= out >> U(29)
+    return out * _STEP ^ (out >> U(32))
 
 
 def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
@@ -135,12 +150,30 @@ def sliding(op, x: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that hands the memory it used back to the system when its task ends: Python workers
+    outlive tasks, and what one task needed at most would else stay with the executor."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    """Gives free memory of this process back to the system, where its allocator can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive borders."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return np.diff(total[first])
-
-
-def ids_of(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]

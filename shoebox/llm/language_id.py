@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, labelled_sample, table
-from .kernels import text_buffer
+from .kernels import lean, release, text_buffer
 
 WIDTH = 256
 SIZES = (2, 3, 4)
@@ -53,30 +53,35 @@ class ByteCnn:
         at = act.argmax(1)
         return np.take_along_axis(act, at[:, None], 1)[:, 0], at
 
+    def gradients(self, x: np.ndarray, goal: np.ndarray) -> tuple[float, dict]:
+        """Mean cross entropy of windows x with labels goal, and its gradient by parameter."""
+        tops = {k: self.pooled(x, k, True) for k in SIZES}
+        hidden = np.concatenate([tops[k][0] for k in SIZES], 1)
+        z = hidden @ self.p["w"] + self.p["b"]
+        z = np.exp(z - z.max(1, keepdims=True))
+        z /= z.sum(1, keepdims=True)
+        rows = np.arange(len(x))
+        loss = float(-np.log(z[rows, goal] + 1e-30).mean())
+        z[rows, goal] -= 1
+        z /= len(x)
+        back = z @ self.p["w"].T
+        grads = {"w": hidden.T @ z, "b": z.sum(0)}
+        for i, k in enumerate(SIZES):
+            g, part = np.zeros_like(self.p[k]), back[:, i * self.filters : (i + 1) * self.filters]
+            at = tops[k][1]
+            cols = np.broadcast_to(np.arange(self.filters), at.shape)
+            for j in range(k):
+                np.add.at(g[j], (np.take_along_axis(x, at + j, 1), cols), part)
+            grads[k] = g
+        return loss, grads
+
     def fit(self, windows: np.ndarray, y: np.ndarray, steps: int = 160, batch: int = 64, rate: float = 0.02, seed: int = 11) -> ByteCnn:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         for t in range(1, steps + 1):
             pick = rng.integers(0, len(windows), batch)
-            x, goal = windows[pick], y[pick]
-            tops = {k: self.pooled(x, k, True) for k in SIZES}
-            hidden = np.concatenate([tops[k][0] for k in SIZES], 1)
-            z = hidden @ self.p["w"] + self.p["b"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(batch), goal] -= 1
-            z /= batch
-            back = z @ self.p["w"].T
-            grads = {"w": hidden.T @ z, "b": z.sum(0)}
-            for i, k in enumerate(SIZES):
-                g, part = np.zeros_like(self.p[k]), back[:, i * self.filters : (i + 1) * self.filters]
-                at = tops[k][1]
-                cols = np.broadcast_to(np.arange(self.filters), at.shape)
-                for j in range(k):
-                    np.add.at(g[j], (np.take_along_axis(x, at + j, 1), cols), part)
-                grads[k] = g
-            for k, g in grads.items():
+            for k, g in self.gradients(windows[pick], y[pick])[1].items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
                 self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
@@ -107,26 +112,30 @@ class ByteCnn:
         return out
 
 
-def train(docs: DataFrame, per_language: int = 400, windows_per_text: int = 6, languages: int = 64) -> ByteCnn | None:
-    """Fits on at most ``per_language`` texts of each of the ``languages`` most common languages; None without any."""
-    rows = labelled_sample(docs, docs, "lang", per_language, languages).orderBy("doc_id").toPandas()
+def train(docs: DataFrame, per_language: int = 400, most: int = 20_000, windows: int = 1200) -> ByteCnn | None:
+    """Fits on at most ``per_language`` texts of each language and about ``most`` texts in all (see ``labelled_sample``: no language
+    is left out), from which ``windows`` windows a language are drawn among all windows of its texts; None without any text."""
+    rows = labelled_sample(docs, docs, "lang", per_language, most).orderBy("doc_id").toPandas()
     if rows.empty:
         return None
     labels = sorted(rows.label.unique())
     buf, offs = text_buffer(pa.array(rows.text, pa.string()))
-    windows, text, _ = window_matrix(buf, offs)
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    count = np.bincount(text, minlength=len(rows))[text]
-    keep = (place * windows_per_text // count) != ((place - 1) * windows_per_text // count)
+    every, text, _ = window_matrix(buf, offs)
     y = np.searchsorted(labels, rows.label.to_numpy())[text]
-    # the same number of windows a language
+    # the same number of windows a language, and within it a text's chance does not grow with its length
+    share = 1 / np.bincount(text, minlength=len(rows))[text] if len(text) else np.zeros(0)
     rng, pick = np.random.default_rng(3), []
     for c in range(len(labels)):
-        own = np.flatnonzero(keep & (y == c))
+        own = np.flatnonzero(y == c)
         if len(own):
-            pick.append(rng.choice(own, 1200, replace=True))
-    pick = np.concatenate(pick) if pick else np.zeros(0, int)
-    return ByteCnn(labels).fit(windows[pick], y[pick]) if len(pick) else None
+            pick.append(rng.choice(own, windows, p=share[own] / share[own].sum()))
+    model = None
+    if pick:
+        pick = np.concatenate(pick)
+        model = ByteCnn(labels).fit(every[pick], y[pick])
+    del rows, buf, every
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
@@ -155,7 +164,7 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(out, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     some = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return some.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return some.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .token_counts import chunks_of, worker_cache
+from .kernels import lean
+from .token_counts import ChunkCache, chunks_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     tail = as_bytes([end_id])
 
     def run(batches):
-        cache, packer = worker_cache(tokenizer, "ids", as_bytes), Packer(capacity, group_windows, slack, piece)
+        cache, packer = ChunkCache(tokenizer, as_bytes), Packer(capacity, group_windows, slack, piece)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
@@ -170,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
         packer.flush()
         yield packer.batch()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

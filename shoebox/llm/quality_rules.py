@@ -14,22 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, labelled_sample, table
-from .hashed_features import SIZE, Adam, family_slices, margins, matrix, sigmoid
+from .hashed_features import SIZE, Adam, Features, family_slices, margins, sigmoid
+from .kernels import lean, release
 from .text_stats import base_counts
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def fit_logistic(texts: list[str], y: np.ndarray, steps: int = 80, rate: float = 0.08, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias; both classes weigh the same."""
-    row, col, val = matrix(texts)
+def fit_logistic(x: Features, y: np.ndarray, use: np.ndarray, steps: int = 80, rate: float = 0.08, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from the texts marked in ``use``; both classes weigh the same."""
     w, opt = np.zeros(SIZE + 1), Adam(SIZE + 1, rate)
-    share = np.clip(y.mean(), 0.01, 0.99)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    share = np.clip(y[use].mean(), 0.01, 0.99)
+    weight = np.where(use, np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / use.sum(), 0)
     for _ in range(steps):
-        z = np.bincount(row, val * w[col], minlength=len(y)) + w[-1]
-        d = (sigmoid(z) - y) * weight
-        opt.step(w, np.append(np.bincount(col, val * d[row], minlength=SIZE) + l2 * w[:-1], d.sum()))
+        d = (sigmoid(x.dot(w[:-1]) + w[-1]) - y) * weight
+        opt.step(w, np.append(x.back(d) + l2 * w[:-1], d.sum()))
     return w[:-1].astype(np.float32), float(w[-1])
 
 
@@ -49,19 +48,20 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 800):
-    """(weights, bias, a, b) from at most ``per_class`` rows of either label; None unless both occur."""
-    rows = labelled_sample(docs, labels, "quality", per_class, 2).orderBy("doc_id").toPandas()
+    """(weights, bias, a, b) from at most ``per_class`` rows of either label; None unless both occur. Every third text is left
+    out of the fit and calibrates it, if both labels are among them."""
+    rows = labelled_sample(docs, labels.where("quality in (0, 1)"), "quality", per_class).orderBy("doc_id").toPandas()
     y = rows.label.to_numpy(float)
     if len(set(y)) < 2:
         return None
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    w, bias = fit_logistic(list(rows.text[~held]), y[~held])
-    z = np.zeros(len(y))
-    for lo, hi, _, _, _, parts in family_slices(pa.array(rows.text, pa.string())):
-        z[lo:hi] = margins(w, parts) + bias
-    a, b = platt(z[held], y[held]) if held.any() else (1.0, 0.0)
+    x = Features(list(rows.text))
+    w, bias = fit_logistic(x, y, ~held)
+    a, b = platt((x.dot(w) + bias)[held], y[held]) if held.any() else (1.0, 0.0)
+    del x, rows
+    release()
     return w, bias, a, b
 
 
@@ -85,7 +85,7 @@ def apply_rules(docs: DataFrame, model, threshold: float = 0.5, min_words: int =
             failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > repeat_percent * out["n_words"])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k]) for k in COUNTS), pa.array(failed), pa.array(~failed & (out["p"] >= threshold)), pa.array(out["p"])], ["doc_id", *COUNTS, "base_failed", "kept", "probability"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double")
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ represented at twice the length, until the last level, where the pick is the win
 So the first level shuffles a small share of all positions, and each further one only
 those that survive.
 
-A level is one shuffle by fingerprint. Fingerprints that already repeat inside an Arrow
+A level is one shuffle by fingerprint. On the last level, which decides, a second fingerprint is compared too (64 + 32 bits):
+of w different windows about w * w / 2**97 pairs would count as equal, 0.0006 for 10**13 windows. Fingerprints that already repeat inside an Arrow
 batch are known there: their places skip the count, and a single counted row stands for the batch,
 so a passage that a third of all documents share sends one row a batch to its
 key. Places come back grouped by document and are joined with the texts on a row number; both
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
-from .kernels import U, Words, mix, sliding, text_slices, window_hash
+from .common import apart, table, together
+from .kernels import U, Words, lean, mix, sliding, text_slices, window_hash
 from .text_stats import covered
 
+#: Turns word fingerprints into those of the second window fingerprint.
+SECOND = U(0xC2B2AE3D27D4EB4F)
 TOP = U(0xFFFFFFFFFFFFFFFF)
-PLACES = "key long, row long, place int, times int"
+PLACES = "key long, row long, place int, times int, sure int"
 
 
 def levels(first: int, window: int) -> list[int]:
@@ -68,39 +71,39 @@ def flat_places(column: pa.Array, lo: int, hi: int, words: Words) -> np.ndarray:
     return values + np.repeat(words.first[:-1], counts)
 
 
-def level_rows(rows: np.ndarray, keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def level_rows(rows: np.ndarray, keys: np.ndarray, sure: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     """Rows to count. What repeats inside the batch is known: it is keyed by its own document with times = 2, and one
-    row without a place stands for it under its fingerprint."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+    row without a place stands for it under its fingerprints."""
+    order = np.lexsort((sure, keys))
+    k, c = keys[order], sure[order]
     new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     size = np.diff(np.append(np.flatnonzero(new), len(k)))
     times = np.empty(len(k), np.int64)
     times[order] = np.repeat(size, size)
     known = times > 1
-    heads = k[new][size > 1]
+    first = np.flatnonzero(new)[size > 1]
     own = mix(rows.astype(U) ^ U(0x5851F42D4C957F2D))
-    key = np.concatenate([np.where(known, own, keys), heads]).view(np.int64)
-    none = np.zeros(len(heads), np.int64)
-    is_head = np.concatenate([np.zeros(len(keys), bool), np.ones(len(heads), bool)])
+    key = np.concatenate([np.where(known, own, keys), k[first]]).view(np.int64)
+    none = np.zeros(len(first), np.int64)
+    is_head = np.concatenate([np.zeros(len(keys), bool), np.ones(len(first), bool)])
     return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(np.concatenate([rows, none]), mask=is_head), pa.array(np.concatenate([places, none]).astype(np.int32), mask=is_head), pa.array(np.concatenate([np.where(known, 2, 1), none + 2]).astype(np.int32))],
-        ["key", "row", "place", "times"],
+        [pa.array(key), pa.array(np.concatenate([rows, none]), mask=is_head), pa.array(np.concatenate([places, none]).astype(np.int32), mask=is_head), pa.array(np.concatenate([np.where(known, 2, 1), none + 2]).astype(np.int32)), pa.array(np.concatenate([np.where(known, 0, sure), c[first]]).astype(np.uint32).view(np.int32))],
+        ["key", "row", "place", "times", "sure"],
     )
 
 
 def repeated_places(docs: DataFrame, window: int, first: int) -> DataFrame:
-    """docs: (_row, _text, ...) -> (row, places): starts of windows that occur more than once."""
-    found = None
-    for n, length in enumerate(levels(first, window)):
-        source = docs if found is None else docs.join(found, docs["_row"] == found["row"])
+    """docs: (row, text, ...) -> (at, places): starts of windows that occur more than once, by row."""
+    found, steps = None, levels(first, window)
+    for n, length in enumerate(steps):
+        source = docs if found is None else docs.join(found, docs["row"] == found["at"])
         source = source.select(*docs.columns, *(["places"] if n else []))  # the same columns each time, so that Spark reuses the shuffle
-        before = levels(first, window)[n - 1] if n else 0
+        before, last = steps[n - 1] if n else 0, n + 1 == len(steps)
 
-        def run(batches, length=length, before=before):
+        def run(batches, length=length, before=before, last=last):
             for batch in batches:
-                keys, rows, places = [], [], []
+                keys, checks, rows, places = [], [], [], []
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 for lo, hi, buf, offs in text_slices(batch.column(1)):
                     words = Words(buf, offs)
@@ -112,33 +115,36 @@ def repeated_places(docs: DataFrame, window: int, first: int) -> DataFrame:
                     h = window_hash(words.hash, length)
                     at = picks(h, alive, window - length + 1)
                     keys.append(h[at])
+                    checks.append(window_hash(words.hash ^ SECOND, length)[at] >> U(32) if last else np.zeros(len(at), U))
                     rows.append(ids[lo + words.text[at]])
                     places.append(at - words.first[words.text[at]])
                 if keys:
-                    yield level_rows(np.concatenate(rows), np.concatenate(keys), np.concatenate(places))
+                    yield level_rows(*map(np.concatenate, (rows, keys, checks, places)))
 
-        counted = source.mapInArrow(run, PLACES).withColumn("total", F.sum("times").over(Window.partitionBy("key")))
-        found = counted.where("total > 1 and row is not null").groupBy("row").agg(F.collect_list("place").alias("places"))
+        counted = source.mapInArrow(lean(run), PLACES).withColumn("total", F.sum("times").over(Window.partitionBy("key", "sure")))
+        found = counted.where("total > 1 and row is not null").groupBy(F.col("row").alias("at")).agg(F.collect_list("place").alias("places"))
     return found
 
 
-def numbered(docs: DataFrame, *columns) -> DataFrame:
-    """Adds a row number, so that repeated and null ids stay apart. docs must be read from files (or a cut), so
-    that a retried or repeated read gives the same numbers."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"), *columns)
+def _covered(docs: DataFrame, window: int, first: int) -> DataFrame:
+    """(row, text, rest, places) of all rows of docs; see ``apart``. docs must be read from files (or a cut), so that a retried or
+    repeated read numbers the rows alike."""
+    text, rest = apart(docs)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), text, rest)
+    places = repeated_places(rows, window, first)
+    return rows.join(places, rows["row"] == places["at"], "left").select("row", "text", "rest", "places")
 
 
 def find(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) with the repeated words removed; one row for each input row.
 
     Null and empty texts have no words; texts shorter than the window keep all. Repeated rows are
-    repeats of each other. Other columns are ignored.
+    repeats of each other; null ids stay. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("_id"))
-    places = repeated_places(rows, window, first)
 
     def run(batches):
         for batch in batches:
+            ids = batch.column(2).field("c0")
             for lo, hi, buf, offs in text_slices(batch.column(1)):
                 words = Words(buf, offs)
                 gone = covered(flat_places(batch.column(3), lo, hi, words), window, len(words))
@@ -151,36 +157,33 @@ def find(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
                     if removed[i]:
                         own = compress(own, keep[words.first[i] : words.first[i + 1]].tolist())
                     digests.append(hashlib.sha256(b" ".join(own)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = rows.join(places, rows["_row"] == places["row"], "left").select("_row", "_text", "_id", "places")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, first)
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, first: int = 18) -> DataFrame:
-    """docs with the repeated words cut out of their texts; all columns stay. A text without repeats stays byte for byte;
-    the others keep their words joined by one space. Texts that lose every word become empty."""
-    names = docs.columns
-    rows = numbered(docs, *[F.col(f"`{c}`") for c in names])
-    places = repeated_places(rows, window, first)
-    at = 2 + names.index("text")
+def remove_repeats(docs: DataFrame, window: int = 35, first: int = 18, drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated words cut out of their texts; all columns stay, whatever their names. A text without repeats stays byte for
+    byte; the others keep their words joined by one space. Texts that lose every word become empty, or their rows go if ``drop_emptied``.
+    Null and empty texts stay as they are; repeated rows are repeats of each other. An empty table stays empty."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts, stay = batch.column(1).to_pylist(), np.ones(batch.num_rows, bool)
             for lo, hi, buf, offs in text_slices(batch.column(1)):
                 words = Words(buf, offs)
-                gone = covered(flat_places(batch.column(batch.num_columns - 1), lo, hi, words), window, len(words))
+                gone = covered(flat_places(batch.column(3), lo, hi, words), window, len(words))
                 keep = np.ones(len(words), bool)
                 keep[gone] = False
                 for i in np.unique(words.text[gone]).tolist():
                     own = buf[offs[i] : offs[i + 1]].tobytes().split()
                     texts[lo + i] = b" ".join(compress(own, keep[words.first[i] : words.first[i + 1]].tolist())).decode()
-            columns = [pa.array(texts, batch.schema.field(at).type) if j == at else batch.column(j) for j in range(2, 2 + len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    stay[lo + i] = bool(texts[lo + i]) or not drop_emptied
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "rest"]).filter(pa.array(stay))
 
-    joined = rows.join(places, rows["_row"] == places["row"], "left").select("_row", "_text", *[F.col(f"`{c}`") for c in names], "places")
-    return joined.mapInArrow(run, docs.schema)
+    rows = _covered(docs, window, first)
+    return together(rows.mapInArrow(lean(run), rows.select("text", "rest").schema), docs)
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

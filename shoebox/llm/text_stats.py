@@ -4,46 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernels import U, Words, mix, span_hash, sums
+from .kernels import U, Words, mix, sums
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
-_NOT_NEWLINE = np.ones(256, bool)
-_NOT_NEWLINE[10] = False
+
 
 
 def base_counts(buf: np.ndarray, offs: np.ndarray, words: Words, window: int = 8) -> dict[str, np.ndarray]:
     """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     lead = words.inside & ((buf & 0xC0) != 0x80)
     out = {"n_words": words.count, "word_chars": sums(lead, offs), "n_symbols": sums(_SYMBOL[buf], offs)}
-    out["n_dup_lines"] = duplicate_lines(buf, offs, words)
+    out["n_dup_lines"] = duplicate_lines(buf, offs)
     out["n_repeat_words"] = repeated_words(words, window)
     return out
 
 
-def duplicate_lines(buf: np.ndarray, offs: np.ndarray, words: Words) -> np.ndarray:
-    """Lines (split at newlines) with a word that equal an earlier line of the same text."""
-    n, texts = len(buf), len(offs) - 1
-    if not n:
-        return np.zeros(texts, np.int64)
-    begins = np.zeros(n + 1, bool)
-    begins[offs] = True
-    begins[1:] |= buf == 10
-    start = np.flatnonzero(begins[:n])
-    end = np.append(start[1:], n)
-    end = end - (buf[end - 1] == 10)
-    has = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
-    start, end = start[has], end[has]
-    text = np.searchsorted(offs, start, "right") - 1
-    key = span_hash(buf, start, end) ^ mix(text.astype(U))
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(key), bool)
-    same[order[1:]] = key[order[1:]] == key[order[:-1]]
-    return np.bincount(text[same], minlength=texts)
+def duplicate_lines(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Lines (split at newlines) with a word that equal an earlier line of the same text; compared byte by byte."""
+    out = np.zeros(len(offs) - 1, np.int64)
+    newlines = np.searchsorted(np.flatnonzero(buf == 10), offs)
+    for i in np.flatnonzero(np.diff(newlines)).tolist():
+        lines = [x for x in buf[offs[i] : offs[i + 1]].tobytes().split(b"\n") if x.strip()]
+        out[i] = len(lines) - len(set(lines))
+    return out
 
 
 def repeated_words(words: Words, k: int) -> np.ndarray:
-    """Words inside windows of k words that occur twice or more in the same text."""
+    """Words inside windows of k words that occur twice or more in the same text. Windows are compared by 64-bit
+    fingerprints: in a text of n words two different ones agree with a probability below n * n / 2**65."""
     texts = len(words.count)
     h, fits = words.windows(k)
     at = np.flatnonzero(fits)

@@ -1,10 +1,10 @@
 """Token counts (operator 10): map-side two-tier lookup of pre-token lengths.
 
-White space never lies inside a pre-token of the tokenizer used here, so a text's
-count is the sum over its white-space-free runs ("chunks"). Tier 1 is a broadcast
-hash table with the lengths of the most frequent chunks; tier 2 is a cache in each
-Python worker, filled by encoding the misses of a batch together. No chunk is ever
-shuffled. The table only saves work: any table gives the same counts.
+A text is cut into pre-tokens as the tokenizer cuts it, and its count is the sum of their lengths in tokens. Tier 1 is a broadcast
+hash table with the lengths of the most frequent pre-tokens of a bounded sample; tier 2 is a cache of the task,
+filled by encoding what the table lacks, once each. No pre-token of the corpus is ever
+shuffled. The table only saves work: any table gives the same counts. Texts with letters outside ASCII and Latin-1
+go by their white-space-free runs ("chunks"), of which the odd ones go through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -13,18 +13,19 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .kernels import lean
 
-_STATE: dict = {}
 #: The split pattern of the word-level byte-pair tokenizer, as its file states it,
 #: and the same pattern for texts of ASCII and Latin-1 letters.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = "a-zß-öø-ÿ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+").findall
-_SIMPLE = re.compile(r"[!-~ß-öø-ÿÀ-ÖØ-Þ]+").fullmatch
+_SIMPLE = re.compile(r"[\t-\r -~ß-öø-ÿÀ-ÖØ-Þ]*").fullmatch
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,58 +43,62 @@ class Encoder:
     into pre-tokens here and each distinct pre-token is encoded once by the tokenizer's model;
     all others go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit_bytes: int = 12_000_000):
         import json
 
         from tokenizers import Tokenizer
 
-        self.whole, self.limit, self.pieces = Tokenizer.from_file(path), limit, {}
+        self.whole, self.pieces = Tokenizer.from_file(path), Bounded(limit_bytes)
         parts = json.loads(self.whole.to_str()).get("pre_tokenizer") or {}
         self.simple = any((p.get("pattern") or {}).get("Regex") == WORD_PATTERN for p in parts.get("pretokenizers", []))
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        ids = self.pieces[piece] = tuple(t.id for t in self.whole.model.tokenize(shown))
+        """Ids of one pre-token."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+            ids = tuple(t.id for t in self.whole.model.tokenize(shown))
+            self.pieces.put(piece, ids, 150 + len(piece) + 8 * len(ids))
         return ids
 
+    def cut(self, text: str) -> list[str] | None:
+        """The text's pre-tokens; None if it must go through the whole tokenizer."""
+        return _PIECES(text.lower()) if self.simple and _SIMPLE(text) and "<|" not in text else None
+
     def ids(self, chunk: bytes) -> list[int]:
         text = chunk.decode()
-        if self.simple and _SIMPLE(text) and "<|" not in text:
-            out, known = [], self.pieces
-            for p in _PIECES(text.lower()):
-                out.extend(known.get(p) or self.piece(p))
-            return out
-        return self.whole.encode(text, add_special_tokens=False).ids
-
+        pieces = self.cut(text)
+        if pieces is None:
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return [i for p in pieces for i in self.piece(p)]
 
-def load(path: str) -> Encoder:
-    """The encoder for a tokenizer file, once per worker."""
-    if path not in _STATE:
-        _STATE[path] = Encoder(path)
-    return _STATE[path]
 
+class Bounded(dict):
+    """A cache bounded in bytes (as given with each value): a full one is emptied, which costs time only."""
 
-class ChunkCache(dict):
-    """Chunk -> value, filled on a miss; bounded: a full cache is emptied, which costs time only."""
-
-    def __init__(self, path: str, of, limit: int = 300_000):
+    def __init__(self, limit_bytes: int):
         super().__init__()
-        self.encoder, self.of, self.limit = load(path), of, limit
+        self.limit, self.size = limit_bytes, 0
 
-    def __missing__(self, chunk: bytes):
-        if len(self) >= self.limit:
+    def put(self, key, value, size: int) -> None:
+        self.size += size
+        if self.size > self.limit:
             self.clear()
-        value = self[chunk] = self.of(self.encoder.ids(chunk))
-        return value
+            self.size = size
+        self[key] = value
+
 
+class ChunkCache(Bounded):
+    """Chunk -> value, filled on a miss."""
 
-def worker_cache(path: str, kind: str, of) -> ChunkCache:
-    """The cache of this Python worker; it outlives the task."""
-    if (path, kind) not in _STATE:
-        _STATE[path, kind] = ChunkCache(path, of)
-    return _STATE[path, kind]
+    def __init__(self, path: str, of, limit_bytes: int = 24_000_000):
+        super().__init__(limit_bytes)
+        self.encoder, self.of = Encoder(path), of
+
+    def __missing__(self, chunk: bytes):
+        value = self.of(self.encoder.ids(chunk))
+        self.put(chunk, value, 150 + len(chunk) + (len(value) if isinstance(value, bytes) else 0))
+        return value
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -101,14 +106,24 @@ def chunks_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = 2000, size: int = 20_000) -> dict[bytes, int]:
-    """Tier 1: lengths of the ``size`` most frequent chunks of at most ``sample_docs`` texts (bounded warm-up)."""
-    seen: Counter = Counter()
-    for row in docs.select("text").where("text is not null").take(sample_docs):
-        seen.update(chunks_of(row.text.encode()))
-    best = [c for c, _ in seen.most_common(size)]
-    encoder = load(tokenizer)
-    return {c: len(encoder.ids(c)) for c in best}
+def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = 2000, sample_bytes: int = 16_000_000, size: int = 20_000) -> dict[str, int]:
+    """Tier 1: lengths of the ``size`` most frequent pre-tokens of a sample: texts whose hash is low enough for about ``sample_docs`` of them,
+    of which a task leaves out those beyond ``sample_bytes``. Tasks cut and encode; the driver gets the table only."""
+    rows = docs.count()
+    low = F.xxhash64("doc_id", "text").cast("double") / 2.0**64 + 0.5 <= sample_docs / max(1, rows)
+
+    def run(batches):
+        encoder, seen, room = Encoder(tokenizer), Counter(), sample_bytes
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                room -= len(text)
+                if room >= 0:
+                    seen.update(encoder.cut(text) or ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([len(encoder.piece(p)) for p in seen], pa.int32())], ["piece", "n", "length"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").where(low).mapInArrow(lean(run), "piece string, n long, length int")
+    counts = found.groupBy("piece").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
+    return {r.piece: r.length for r in counts.orderBy(F.desc("n"), "piece").limit(size).collect()}  # the sample is bounded, and so is what is ranked
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, sample_docs: int = 2000, table_size: int = 20_000) -> DataFrame:
@@ -116,19 +131,31 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, sample_docs
 
     Null and empty texts have no tokens. Rows are kept one to one, repeated and
     null ids included; other columns are ignored. Special strings count as the
-    tokenizer's default handles them.
+    tokenizer's default handles them. An empty table gives no rows.
     """
-    known = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, sample_docs, table_size))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, sample_docs, size=table_size))
 
     def run(batches):
-        table, cache = known.value, worker_cache(tokenizer, "length", len)
+        table, rare = known.value, ChunkCache(tokenizer, len)
+        encoder = rare.encoder
+
+        def length(piece: str) -> int:
+            n = table.get(piece)
+            return len(encoder.piece(piece)) if n is None else n
+
+        def tokens(text: str) -> int:
+            pieces = encoder.cut(text)
+            if pieces is not None:
+                return sum([table[p] if p in table else length(p) for p in pieces])
+            return sum([rare[c] for c in chunks_of(text.encode())])
+
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            n_tokens = [sum([table[c] if c in table else cache[c] for c in chunks_of(t.as_py() or b"")]) for t in texts]
-            n_bytes = [len(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            n_tokens = [tokens(t) for t in texts]
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("shoebox.llm.queries")
@@ -158,9 +159,10 @@ def test_quality_models_hold_out(spark, none):
     rules = quality_rules.apply_rules(docs, quality_rules.train(docs, learn)).where("doc_id % 3 = 1").collect()
     assert sum(r.kept == (truth[r.doc_id] == 1) for r in rules) >= 0.95 * len(rules)
     model = quality_classifier.train(docs.where("doc_id % 3 <> 1"), learn)
-    scores = quality_classifier.score_ids(docs, model).where("doc_id % 3 = 1").collect()
+    scores = quality_classifier.score(docs, model).where("doc_id % 3 = 1").collect()
     assert sum((r.pu_score >= 0.5) == (truth[r.doc_id] == 1) for r in scores) >= 0.95 * len(scores)
     assert quality_classifier.score(none, model).columns[-1] == "pu_score" and quality_classifier.score(none, None).count() == 0
+    assert abs(model.prior - 0.75) < 0.12
 
 
 def test_hmm_base_score_and_forward(docs, none):
@@ -208,8 +210,8 @@ def test_substring_dedup(docs, none, window, first):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
-@pytest.mark.parametrize("block", [60, 4_000_000])
-def test_decontamination(spark, docs, none, block):
+@pytest.mark.parametrize(("block", "group"), [(10, 1), (10, 10_000_000), (50_000, 32_000_000)])
+def test_decontamination(spark, docs, none, block, group):
     rows = docs.collect()
     items = [(1, " ".join(ALNUM.findall(rows[30].text or "x")[:14])), (2, "one TWO"), (3, None), (4, "!!"), (10, "one"), (5, " ".join(ALNUM.findall(rows[40].text or "")[2:30])), (5, "12 34"), (11, "a " * 14)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -225,14 +227,33 @@ def test_decontamination(spark, docs, none, block):
                     hit.update(range(i, i + k))
                     found.add(item)
         want.append((r.doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
-    assert key(map(tuple, decontamination.find(docs, bench, block_bytes=block).collect())) == key(want)
+    assert key(map(tuple, decontamination.find(docs, bench, block_words=block, group_bytes=group).collect())) == key(want)
     assert decontamination.find(none, bench).count() == 0 and decontamination.find(docs, bench.limit(0)).where("contaminated").count() == 0
-    left = decontamination.remove_spans(docs, bench.where("item_id = 1"), coverage=1.0)
+    left = decontamination.remove_spans(docs, bench.where("item_id = 1"), coverage=1.0, block_words=block, group_bytes=group)
     assert decontamination.find(left, bench.where("item_id = 1")).where("contaminated").count() == 0
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 1024), (5, 80, 3), (2, 60, 2)])
-def test_jaccard_join(docs, none, k, percent, block):
+def test_automaton_against_naive_search():
+    rng = random.Random(8)
+    for trial in range(60):
+        items = [(i, " ".join(rng.choices("abc", k=rng.randint(1, 9)))) for i in range(rng.randint(1, 6))]
+        window = rng.randint(2, 5)
+        block = decontamination.Block(decontamination.pack_block(items, window))
+        words = [decontamination.Words(*decontamination.text_buffer(pa.array([x])), decontamination.NOT_ALNUM).hash[0] for x in "abcd"]
+        number = {x: int(decontamination.np.flatnonzero(block.vocabulary == h)[0]) if h in block.vocabulary else -1 for x, h in zip("abcd", words, strict=True)}
+        text = rng.choices("abcd", k=40)
+        got = {(at, n, item) for at, n, found in block.stream([number[x] for x in text]) for item in found}
+        want = set()
+        for item, own in items:
+            own = own.split()
+            n = min(window, len(own))
+            for i in range(len(own) - n + 1):
+                want |= {(j + n - 1, n, item) for j in range(len(text) - n + 1) if text[j : j + n] == own[i : i + n]}
+        assert got == want, trial
+
+
+@pytest.mark.parametrize(("k", "percent", "block", "shared", "bits"), [(4, 85, 1024, 64, 63), (5, 80, 3, 1, 63), (2, 60, 2, 1, 4)])
+def test_jaccard_join(docs, none, k, percent, block, shared, bits):
     rows = [r for r in docs.collect() if r.doc_id is not None]
     sets = {}
     for r in rows:
@@ -250,7 +271,7 @@ def test_jaccard_join(docs, none, k, percent, block):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 label[max(x, y)] = min(x, y)
-    got = jaccard_join.join(docs.where("doc_id is not null"), k, percent, block).collect()
+    got = jaccard_join.join(docs.where("doc_id is not null"), k, percent, block, bits=bits, shared=shared).collect()
     assert key(map(tuple, got)) == key((r.doc_id, len(sets[r.doc_id]), root(r.doc_id)) for r in rows)
     assert jaccard_join.join(none, k, percent).count() == 0
 
