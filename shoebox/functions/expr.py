@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -14,6 +14,8 @@ IMAGES = ("jpg", "jpeg", "png", "heic", "heif", "webp", "gif", "tif", "tiff", "d
 VIDEOS = ("mp4", "mov", "avi", "mkv", "m4v", "3gp")
 NOISE = ("@eadir", ".spotlight-v100", ".photostructure", "recently deleted", ".ds_store", "thumbs.db")
 SUPPLEMENTAL = "supplemental-metadata"
+INI_NAME = ".picasa.ini"
+TAKEOUT_PREFIX = "Takeout/Google Photos"
 NO_ALBUM_DIRECTORIES = ("Archive", "Trash", "Bin")
 
 
@@ -22,14 +24,13 @@ def filename(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """Before the last slash, or empty."""
-    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    """Before the last slash, or empty. These three name their input once or twice only, so that Spark can inline them without blowing plans up."""
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
 def stem(path: Column) -> Column:
     """Before the last dot of the filename; the whole name without one; empty for a leading dot alone."""
-    name = filename(path)
-    return F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)).otherwise(name)
+    return F.regexp_replace(filename(path), r"\.[^.]*$", "")
 
 
 def extension(path: Column) -> Column:
@@ -64,7 +65,8 @@ def unsafe_entry(name: Column) -> Column:
 
 def entry_rejection(size: Column, csize: Column, method: Column, flags: Column, max_bytes: int, max_ratio: int, grace: int) -> Column:
     """Why an archive entry must not be read; null if it may."""
-    bomb = (size > grace) & ((csize <= 0) | (F.floor(size / F.greatest(csize, F.lit(1))) > max_ratio))
+    whole = F.call_function("div", size, F.greatest(csize, F.lit(1)))  # integer division: exact for any length
+    bomb = (size > grace) & ((csize <= 0) | (whole > max_ratio))
     return F.when(flags.bitwiseAND(1) == 1, "encrypted").when(~method.isin(0, 8), "unsupported_method").when(size > max_bytes, "too_large").when(bomb, "ratio")
 
 
@@ -87,12 +89,34 @@ def canonical_decimal(x: Column) -> Column:
     return F.when(x == 0, "0").otherwise(F.call_function("format_number", x, F.lit("0." + "#" * 30)))
 
 
+def chosen_geo(exif: Column, geo: Column) -> Column:
+    """exif wins wherever it is there, even as (0, 0)."""
+    return F.when(exif.isNotNull(), exif).otherwise(geo)
+
+
 def location(exif: Column, geo: Column) -> Column:
-    """exif wins wherever it is there; (0, 0) and out-of-range coordinates are no location."""
-    use = F.when(exif.isNotNull(), exif).otherwise(geo)
+    """The chosen coordinates as canonical decimals; (0, 0) and invalid ones are no location (see ``geo_invalid``)."""
+    use = chosen_geo(exif, geo)
     lat, lon = use["latitude"], use["longitude"]
-    fine = lat.isNotNull() & lon.isNotNull() & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0))
-    return F.when(fine, F.struct(canonical_decimal(lat).alias("latitude"), canonical_decimal(lon).alias("longitude")))
+    zero = (lat == 0) & (lon == 0)
+    return F.when(use.isNotNull() & ~geo_invalid(exif, geo) & ~zero, F.struct(canonical_decimal(lat).alias("latitude"), canonical_decimal(lon).alias("longitude")))
+
+
+def geo_invalid(exif: Column, geo: Column) -> Column:
+    """The chosen coordinates lack a half or are out of range: the whole document is invalid."""
+    use = chosen_geo(exif, geo)
+    return use.isNotNull() & ~F.coalesce(use["latitude"].between(-90, 90) & use["longitude"].between(-180, 180), F.lit(False))
+
+
+def hides_location(exif: Column, geo: Column) -> Column:
+    """An exif (0, 0) that hides a plain location; for a metric."""
+    zero = lambda g: (g["latitude"] == 0) & (g["longitude"] == 0)
+    return F.coalesce(exif.isNotNull() & zero(exif) & geo.isNotNull() & ~zero(geo), F.lit(False))
+
+
+def capture_time(taken: Column, created: Column) -> Column:
+    """F-15: the time the photo was taken, else the time the document gives for its creation; taken wins wherever it is there."""
+    return F.when(taken.isNotNull(), taken).otherwise(created)
 
 
 def text_valid(text: Column, max_bytes: int, layout: bool = False) -> Column:
@@ -105,13 +129,15 @@ def description(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def length_prefixed(x: Column) -> Column:
+    """The text's bytes after their number as eight little-endian bytes."""
+    h = F.lpad(F.hex(F.octet_length(x)), 16, "0")
+    return F.concat(F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])), F.encode(x, "UTF-8"))
+
+
 def stable_id(*fields: Column) -> Column:
     """sha256 over fields, each after its byte length as eight little-endian bytes."""
-    def one(x: Column) -> Column:
-        h = F.lpad(F.hex(F.octet_length(x)), 16, "0")
-        return F.concat(F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])), F.encode(x, "UTF-8"))
-
-    return F.sha2(F.concat(*map(one, fields)), 256)
+    return F.sha2(F.concat(*map(length_prefixed, fields)), 256)
 
 
 def sha1_hex(base64: Column) -> Column:
@@ -139,13 +165,19 @@ def filename_date(name: Column) -> Column:
     return F.date_format(F.try_to_timestamp(F.regexp_extract(name, "^([0-9]{8}-[0-9]{6})", 1), F.lit("yyyyMMdd-HHmmss")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def _beginnings(word: str) -> str:
+    """A pattern for any non-empty beginning of word."""
+    out = ""
+    for letter in reversed(word):
+        out = letter + (f"(?:{out})?" if out else "")
+    return out
+
+
 def indexed_target(name: Column) -> Column:
-    """``a.jpg.supp(2).json`` and ``a.jpg(2).json`` -> ``a(2).jpg``."""
-    head, index = F.regexp_extract(name, r"^(.*)\(([0-9]+)\)\.json$", 1), F.regexp_extract(name, r"^(.*)\(([0-9]+)\)\.json$", 2)
-    marker = F.regexp_extract(head, r"^(.*)\.([^.]*)$", 2)
-    media = F.when((marker != "") & F.startswith(F.lit(SUPPLEMENTAL), marker), F.regexp_extract(head, r"^(.*)\.([^.]*)$", 1)).otherwise(head)
-    a, b = F.regexp_extract(media, r"^(.+)\.([^.]+)$", 1), F.regexp_extract(media, r"^(.+)\.([^.]+)$", 2)
-    return F.when((index != "") & (a != ""), F.concat(a, F.lit("("), index, F.lit(")."), b))
+    """``a.jpg.supp(2).json`` and ``a.jpg(2).json`` -> ``a(2).jpg``; null for other names. A last part that begins the marker is never the extension."""
+    mark = _beginnings(SUPPLEMENTAL)
+    pattern = rf"(?s)^(?:(.+)\.([^.]+)\.{mark}|(.+)\.(?!{mark}\([0-9]+\)\.json$)([^.]+))\(([0-9]+)\)\.json$"
+    return F.when(name.rlike(pattern), F.regexp_replace(name, pattern, "$1$3($5).$2$4"))
 
 
 def album_from_path(path: Column, mode: str, joiner: str = " / ") -> Column:
@@ -179,5 +211,14 @@ def _nfc(x: pd.Series) -> pd.Series:
 
 
 def nfc(x: Column) -> Column:
-    """NFC. Spark has no function for it; ASCII texts skip the Arrow round trip's work."""
-    return F.when(F.octet_length(x) == F.char_length(x), x).otherwise(_nfc(x))
+    """NFC. Spark has no function for it, so this is an Arrow UDF on every row; see ``with_nfc``."""
+    return _nfc(x)
+
+
+def with_nfc(df: DataFrame, column: str = "path") -> DataFrame:
+    """df with the column in NFC. Only rows with a sign outside ASCII go through Python: Spark would run a UDF inside a
+    condition on all rows, so the others take a branch of their own."""
+    plain = F.coalesce(F.octet_length(column) == F.char_length(column), F.lit(True))
+    rest = [F.col(f"`{c}`") for c in df.columns]
+    odd = df.where(~plain).select(*[_nfc(F.col(column)).alias(column) if c == column else F.col(f"`{c}`") for c in df.columns])
+    return df.where(plain).select(*rest).unionByName(odd)

@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..diagnostics import finding, first_paths
 from ..functions import expr as X
 
-MAX_PATHS = 8
-
-
-def some_paths(column) -> F.Column:
-    """W-5: at most eight paths, sorted, distinct."""
-    return F.slice(F.array_sort(F.collect_set(column)), 1, MAX_PATHS)
-
 
 def unicode_collisions(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     """A-1, U-1: normalised paths that occur more than once over both -> (path, n). Those paths are to be dropped."""
-    both = media.select("path").unionByName(sidecars.select("path"))
-    return both.groupBy(X.nfc(F.col("path")).alias("path")).agg(F.count("*").alias("n")).where("n > 1")
+    both = X.with_nfc(media.select("path").unionByName(sidecars.select("path")))
+    return both.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def drop_collisions(media: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A-1: (media, sidecars, findings) with paths in NFC and without those that collide."""
+    twice = unicode_collisions(media, sidecars)
+    fine = [X.with_nfc(df).join(twice, "path", "left_anti").select(*df.columns) for df in (media, sidecars)]
+    return *fine, finding(twice, "native_paths_share_nfc_path", F.col("path"))
 
 
 def case_collisions(media: DataFrame) -> DataFrame:
     """A-2: -> (folded, n, paths)."""
-    return media.groupBy(F.lower("path").alias("folded")).agg(F.count("*").alias("n"), some_paths("path").alias("paths")).where("n > 1")
+    rows = media.select(F.lower("path").alias("folded"), "path")
+    many = rows.groupBy("folded").agg(F.count("*").alias("n")).where("n > 1")
+    return many.join(first_paths(rows, "folded"), "folded")
 
 
 def duplicate_basenames(media: DataFrame) -> DataFrame:
     """A-3: a file name in more than one directory -> (name, n_dirs, paths)."""
-    g = media.groupBy(F.lower(X.filename(F.col("path"))).alias("name")).agg(F.countDistinct(X.parent(F.col("path"))).alias("n_dirs"), some_paths("path").alias("paths"))
-    return g.where("n_dirs > 1")
+    rows = media.select(F.lower(X.filename(F.col("path"))).alias("name"), X.parent(F.col("path")).alias("dir"), "path")
+    dirs = rows.select("name", "dir").distinct().groupBy("name").agg(F.count("*").alias("n_dirs")).where("n_dirs > 1")
+    return dirs.join(first_paths(rows, "name"), "name")
 
 
 def merge_archives(entries: DataFrame, identity: list[str]) -> DataFrame:
@@ -39,25 +43,52 @@ def merge_archives(entries: DataFrame, identity: list[str]) -> DataFrame:
 
 
 def canonical(media: DataFrame) -> DataFrame:
-    """W-2: marks the copy of a content that stands for all."""
-    w = Window.partitionBy("byte_len", "sha256").orderBy("rank", "path")
-    return media.withColumn("is_canonical", F.row_number().over(w) == 1)
+    """W-2: marks the copy of a content that stands for all. The pick is one aggregation with map-side combine; it comes back by path, which
+    is unique, so a content that a third of all files share makes no hot key."""
+    best = media.groupBy("byte_len", "sha256").agg(F.min(F.struct("rank", "path")).alias("best")).select(F.col("best.path").alias("path"), F.lit(True).alias("is_canonical"))
+    return media.join(best, "path", "left").withColumn("is_canonical", F.coalesce("is_canonical", F.lit(False))).select(*media.columns, "is_canonical")
 
 
 def collapse(media: DataFrame) -> DataFrame:
-    """A-5: one row for each content -> (byte_len, sha256, path, n, paths). A single aggregation with map-side combine picks
-    the canonical path too, so a content that a third of all files share needs no window over its copies."""
-    return media.groupBy("byte_len", "sha256").agg(F.min(F.struct("rank", "path")).alias("best"), F.count("*").alias("n"), some_paths("path").alias("paths")).select("byte_len", "sha256", F.col("best.path").alias("path"), "n", "paths")
+    """A-5: one row for each content -> (byte_len, sha256, path, n, paths). An aggregation with map-side combine picks
+    the canonical path, so a content that a third of all files share needs no window over its copies; paths: the eight smallest."""
+    key = ["byte_len", "sha256"]
+    one = media.groupBy(*key).agg(F.min(F.struct("rank", "path")).alias("best"), F.count("*").alias("n"))
+    return one.join(first_paths(media, *key), key).select(*key, F.col("best.path").alias("path"), "n", "paths")
+
+
+def alias_findings(collapsed: DataFrame) -> DataFrame:
+    """A-5: a warning for each content with several paths."""
+    return finding(collapsed.where("n > 1"), "content_identical_takeout_aliases", F.col("paths"))
+
+
+def gathered(bridge: DataFrame, media: DataFrame, fields: list[str], name: str) -> DataFrame:
+    """A-5: what all copies of a content have (bridge: path, fields...) goes to its canonical path -> (path, name: sorted set of structs)."""
+    owner = media.join(collapse_owner(media), ["byte_len", "sha256"]).select("path", "owner")
+    every = bridge.join(owner, "path").select(F.col("owner").alias("path"), F.struct(*fields).alias("x")).distinct()
+    return every.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias(name))
+
+
+def collapse_owner(media: DataFrame) -> DataFrame:
+    """(byte_len, sha256, owner): the canonical path of each content."""
+    return media.groupBy("byte_len", "sha256").agg(F.min(F.struct("rank", "path")).alias("best")).select("byte_len", "sha256", F.col("best.path").alias("owner"))
 
 
-def resolve_metadata(media: DataFrame, fields: list[str]) -> DataFrame:
-    """A-6: per content and field the first non-null value in canonical order; all fields are null where any field has two values.
-    -> (sha256, fields..., conflicts). All conflicting fields are reported, in a set, not only those before the first."""
-    order = F.struct("rank", "path")
-    g = media.groupBy("byte_len", "sha256").agg(*[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], *[F.countDistinct(f).alias(f"n_{f}") for f in fields])
-    conflicts = F.filter(F.array(*[F.when(F.col(f"n_{f}") > 1, F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    clean = F.size(conflicts) == 0
-    return g.select("sha256", *[F.when(clean, F.col(f)).alias(f) for f in fields], conflicts.alias("conflicts"))
+def resolve_metadata(media: DataFrame, fields: list[str], albums: str | None = None) -> DataFrame:
+    """A-6: per content and field the first non-null value in canonical order; all fields are null where any field has two values, and the
+    albums (union of all copies' albums) empty. -> (byte_len, sha256, fields..., [albums,] conflicts). All conflicting fields are
+    reported, in a set, not only those before the first. A field conflicts if its smallest and largest values differ."""
+    key, order = ["byte_len", "sha256"], F.struct("rank", "path")
+    g = media.groupBy(*key).agg(*[F.min_by(F.col(f), F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields], *[F.min(f).alias(f"low_{f}") for f in fields], *[F.max(f).alias(f"high_{f}") for f in fields])
+    conflicts = F.filter(F.array(*[F.when(F.col(f"low_{f}") != F.col(f"high_{f}"), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    g = g.withColumn("conflicts", conflicts)
+    clean = F.size("conflicts") == 0
+    out = g.select(*key, *[F.when(clean, F.col(f)).alias(f) for f in fields], "conflicts")
+    if albums:
+        sets = media.select(*key, F.explode(albums).alias("album")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("album")).alias(albums))
+        out = out.join(sets, key, "left").withColumn(albums, F.when((F.size("conflicts") == 0) & F.col(albums).isNotNull(), F.col(albums)).otherwise(F.array().cast("array<string>")))
+        out = out.select(*key, *fields, albums, "conflicts")
+    return out
 
 
 def sidecar_conflicts(matches: DataFrame) -> DataFrame:
@@ -66,6 +97,8 @@ def sidecar_conflicts(matches: DataFrame) -> DataFrame:
     return g.select("media", "n", F.when(F.col("kinds") == 1, F.col("document")).alias("document"))
 
 
-def evidence(bridge: DataFrame) -> DataFrame:
-    """A-8: (path, rule_id, outcome) -> sorted set per path."""
-    return bridge.groupBy("path").agg(F.array_sort(F.collect_set(F.concat_ws(":", "rule_id", "outcome"))).alias("evidence"))
+def evidence(bridge: DataFrame, *fields: str, name: str = "evidence") -> DataFrame:
+    """A-8: (path, fields...) -> (path, sorted set of structs), for evidence (rule_id, outcome), metadata (relative_path, kind, rule_id) alike."""
+    fields = fields or ("rule_id", "outcome")
+    every = bridge.select("path", F.struct(*fields).alias("x")).distinct()
+    return every.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias(name))

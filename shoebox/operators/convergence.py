@@ -46,11 +46,12 @@ def linked_closure(assets: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def mismatches(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """J-15, V-5: keys on one side only, or with a field that differs -> (key, reason)."""
+    """J-15, V-5: keys on one side only, or with fields that differ -> (key, reason, fields: those that differ)."""
     x, y = (df.select(key, F.struct(*fields).alias(n)) for df, n in ((a, "l"), (b, "r")))
     both = x.join(y, key, "full_outer")
     reason = F.when(F.col("l").isNull(), "right_only").when(F.col("r").isNull(), "left_only").when(~F.col("l").eqNullSafe(F.col("r")), "differs")
-    return both.select(key, reason.alias("reason")).where("reason is not null")
+    off = F.filter(F.array(*[F.when(~F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+    return both.select(key, reason.alias("reason"), F.when(reason == "differs", off).otherwise(F.array().cast("array<string>")).alias("fields")).where("reason is not null")
 
 
 def drift(stored: DataFrame, observed: DataFrame) -> DataFrame:
@@ -94,9 +95,12 @@ def albums_by_operation(members: DataFrame, operations: DataFrame) -> DataFrame:
 
 
 def visibility_union(*inventories: DataFrame, key: str = "id", fields: list[str]) -> DataFrame:
-    """U-2: all inventories by key -> (key, n, conflict): the same key with different facts is a conflict."""
+    """U-2: all inventories by key -> (key, fields..., n, conflict): one row an asset; with different facts it is a conflict and its fields are null."""
     every = reduce(DataFrame.unionByName, inventories)
-    return every.groupBy(key).agg(F.count("*").alias("n"), (F.countDistinct(F.struct(*fields)) > 1).alias("conflict"))
+    facts = F.struct(*fields)
+    g = every.groupBy(key).agg(F.count("*").alias("n"), F.min(facts).alias("low"), F.max(facts).alias("high"))
+    conflict = ~F.col("low").eqNullSafe(F.col("high"))
+    return g.select(key, *[F.when(~conflict, F.col(f"low.{f}")).alias(f) for f in fields], "n", conflict.alias("conflict"))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

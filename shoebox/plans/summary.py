@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,15 +14,54 @@ def plan_summary(assets: DataFrame) -> DataFrame:
 
 
 def upload_summary(operations: DataFrame) -> DataFrame:
-    """A-10, A-13."""
+    """A-10: (byte_len, xmp, pair_id) -> one row."""
     return operations.agg(F.count("*").alias("operations"), F.sum("byte_len").alias("media_bytes"), F.count("xmp").alias("xmp"), F.countDistinct("pair_id").alias("pairs"))
 
 
-def import_summary(operations: DataFrame) -> DataFrame:
-    """A-11, A-12: (has_metadata, albums) -> counts and the ceiling of mutations: operations + metadata updates + two an album."""
-    albums = operations.select(F.explode("albums").alias("album")).agg(F.countDistinct("album").alias("albums"))
+def import_summary(operations: DataFrame, version: int = 2) -> DataFrame:
+    """A-11: (has_metadata, albums) -> one row: counts and the ceiling of mutations: operations + metadata updates + two an album, as creating an album
+    and adding to it are one request each. Version 1 plans change neither metadata nor albums, and their ceiling is 0."""
+    albums = operations.select(F.explode("albums").alias("album")).agg(F.countDistinct("album").alias("album_creates"))
     x = operations.agg(F.count("*").alias("operations"), F.count_if("has_metadata").alias("metadata_updates")).crossJoin(F.broadcast(albums))  # one row each
-    return x.withColumn("max_effects", F.col("operations") + F.col("metadata_updates") + 2 * F.col("albums"))
+    if version == 1:
+        x = x.withColumn("metadata_updates", F.lit(0).cast("bigint")).withColumn("album_creates", F.lit(0).cast("bigint"))
+    x = x.withColumn("album_memberships", F.col("album_creates"))
+    return x.withColumn("max_mutations", F.lit(0).cast("bigint") if version == 1 else F.col("operations") + F.col("metadata_updates") + 2 * F.col("album_creates"))
+
+
+def migration_summary(assets: DataFrame, albums: DataFrame) -> DataFrame:
+    """A-12: assets (byte_len, has_metadata), planned albums (one row each) -> one row; the ceiling counts planned albums, with members or not."""
+    planned = albums.agg(F.count("*").alias("album_creates"))
+    x = assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum("byte_len"), F.lit(0)).alias("media_bytes"), F.count_if("has_metadata").alias("metadata_updates")).crossJoin(F.broadcast(planned))  # one row each
+    return x.withColumn("album_memberships", F.col("album_creates")).withColumn("max_mutations", F.col("assets") + F.col("metadata_updates") + 2 * F.col("album_creates"))
+
+
+def archive_summary(assets: DataFrame) -> DataFrame:
+    """A-13: (byte_len) -> (assets, media_bytes). The sum is checked: beyond 64 bits it fails."""
+    return assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum(F.col("byte_len").cast("decimal(38,0)")), F.lit(0)).alias("n")).select("assets", F.col("n").cast("bigint").alias("media_bytes"))
+
+
+def album_members(operations: DataFrame, asset_ids: DataFrame) -> DataFrame:
+    """A-16: operations (operation_id, albums), asset_ids (operation_id, asset_id) -> (album, members: sorted set); operations without an id add nothing."""
+    rows = operations.select("operation_id", F.explode("albums").alias("album")).join(asset_ids, "operation_id").select("album", "asset_id").distinct()
+    return rows.groupBy("album").agg(F.array_sort(F.collect_list("asset_id")).alias("members"))
+
+
+def bounded_inventory(assets: DataFrame, page_size: int, max_assets: int) -> DataFrame:
+    """O-3: assets (id) -> + page, numbered from 1 in the order of ids; more than ``max_assets`` fail. Pages are cut within ranges of ids, whose
+    sizes are counted first, so no task sorts all ids."""
+    n = assets.count()
+    if n > max_assets:
+        raise ValueError(f"limit exceeded: {n} assets")
+    parts = max(1, -(-n // 1_000_000))
+    bounds = assets.approxQuantile("id", [i / parts for i in range(1, parts)], 0.001) if parts > 1 and dict(assets.dtypes)["id"] != "string" else []
+    part = F.lit(0)
+    for b in sorted(set(bounds)):
+        part = part + F.when(F.col("id") > b, 1).otherwise(0)
+    rows = assets.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("id")) + F.col("_before") - 1
+    return rows.join(F.broadcast(sizes), "_part").withColumn("page", F.floor(place / page_size) + 1).drop("_part", "_before")  # a row for each million
 
 
 def limit_violations(files: DataFrame, max_entries: int, max_per_dir: int, max_bytes: int, max_total: int) -> DataFrame:
@@ -37,34 +76,158 @@ def limit_violations(files: DataFrame, max_entries: int, max_per_dir: int, max_b
     return reduce(DataFrame.unionByName, rows)
 
 
-def tree_fingerprint(rows: DataFrame, column: str, buckets: int = 256) -> DataFrame:
-    """A-17 at scale: digest of sorted bucket digests, so no task sees all rows. Not the single-fold fingerprint."""
-    leaf = rows.select(F.sha2(F.col(column), 256).alias("d")).groupBy(F.substring("d", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
-    return leaf.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("fingerprint"))
+def plan_limit_violations(assets: DataFrame, members: DataFrame, max_assets: int, max_albums: int, max_memberships: int, max_album_members: int) -> DataFrame:
+    """A-18 for plans: assets (one row each), members (album, asset_id) -> (limit, key, value) beyond a limit."""
+    albums = members.groupBy("album").agg(F.count("*").alias("value"))
+    total = albums.agg(F.count("*").alias("albums"), F.coalesce(F.sum("value"), F.lit(0)).alias("memberships"))
+    one = lambda df, name, most: df.where(F.col("value") > most).select(F.lit(name).alias("limit"), F.lit("").alias("key"), "value")
+    rows = [
+        one(assets.agg(F.count("*").alias("value")), "assets", max_assets),
+        one(total.select(F.col("albums").alias("value")), "albums", max_albums),
+        one(total.select(F.col("memberships").alias("value")), "memberships", max_memberships),
+        albums.where(F.col("value") > max_album_members).select(F.lit("album_members").alias("limit"), F.col("album").alias("key"), "value"),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def tree_fingerprint(rows: DataFrame, column: str, width: int = 4) -> DataFrame:
+    """A-17 at scale: digests of sorted digests, by their first ``width`` hex digits, then by two less, up to one. A leaf holds rows / 16**width
+    digests of 64 bytes: 65,536 leaves by default; take a larger width above about 10**11 rows. Not the single-fold fingerprint."""
+    level = rows.select(F.sha2(F.col(column), 256).alias("d")).groupBy(F.left("d", F.lit(width)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"))
+    while width:
+        width = max(0, width - 2)
+        level = level.groupBy(F.left("b", F.lit(width)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
+    return level.select(F.col("d").alias("fingerprint"))
+
+
+def ordered_fingerprint(assets: DataFrame, sidecars: DataFrame, findings: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A-17 exactly: one fold over assets (relative_path, content_sha256, byte_len, metadata), sidecars (path, byte_len, sha256) and findings (severity,
+    rule_id, paths), warnings before errors. The fold is serial by definition, so more than ``max_rows`` rows fail; see ``tree_fingerprint``."""
+    from ..functions import expr as X
+
+    if assets.limit(max_rows + 1).count() + sidecars.limit(max_rows + 1).count() + findings.limit(max_rows + 1).count() > max_rows:
+        raise ValueError("too many rows for the ordered fingerprint")
+    text = lambda x: F.col(x).cast("string")
+    fields = {
+        0: assets.select(F.struct("relative_path").alias("key"), F.concat(F.array("relative_path", "content_sha256", text("byte_len")), F.flatten(F.transform("metadata", lambda m: F.array(m["relative_path"], m["rule_id"])))).alias("f")),
+        1: sidecars.select(F.struct(F.col("path").alias("relative_path")).alias("key"), F.array("path", text("byte_len"), "sha256").alias("f")),
+        2: findings.select(F.struct(F.concat(F.when(F.col("severity") == "warning", "0").otherwise("1"), "rule_id", F.lit(" "), "code", F.lit(" "), F.array_join("paths", " ")).alias("relative_path")).alias("key"), F.concat(F.array("rule_id"), "paths").alias("f")),
+    }
+    every = reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(i)) for i, df in fields.items()])
+    bits = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "f"))), lambda x: x["f"])), X.length_prefixed)
+    return every.agg(F.sha2(F.aggregate(bits, F.encode(F.lit("normalized-plan-source-v1\0"), "UTF-8"), lambda a, b: F.concat(a, b)), 256).alias("fingerprint"))
 
 
 def _violation(df: DataFrame, check: str, key: str) -> DataFrame:
     return df.select(F.lit(check).alias("check_id"), F.col(key).cast("string").alias("key"))
 
 
+#: Schema version of a plan -> source kinds that may have it.
+VERSIONS = {1: ("folder", "google_takeout"), 2: ("google_takeout",), 3: ("apple_photos",), 4: ("picasa",)}
+
+
+def _fits(version, kind):
+    fine = F.lit(False)
+    for v, kinds in VERSIONS.items():
+        fine = fine | ((version == v) & kind.isin(*kinds))
+    return F.coalesce(fine, F.lit(False))
+
+
+def _hex(column: str, n: int = 64):
+    return F.coalesce(F.col(column).rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(False))
+
+
 def plan_violations(assets: DataFrame) -> DataFrame:
-    """V-1: (operation_id, path, byte_len, sha256) -> (check_id, key)."""
+    """V-1, identities: (operation_id, path, byte_len, sha256) -> (check_id, key). An absent value is a violation like a wrong one."""
     twice = assets.groupBy("path").count().where("count > 1")
     ids = assets.groupBy("operation_id").count().where("count > 1")
     return reduce(DataFrame.unionByName, [
         _violation(twice, "path_unique", "path"),
         _violation(ids, "operation_unique", "operation_id"),
-        _violation(assets.where(~F.col("sha256").rlike("^[0-9a-f]{64}$")), "sha256", "path"),
-        _violation(assets.where("path = '' or path like '/%' or byte_len < 0"), "row", "path"),
+        _violation(assets.where(~_hex("sha256")), "sha256", "path"),
+        _violation(assets.where("not coalesce(path <> '' and path not like '/%' and byte_len >= 0, false)"), "row", "path"),
+    ])
+
+
+def normalized_plan_violations(assets: DataFrame, findings: DataFrame, summary: DataFrame, source: DataFrame) -> DataFrame:
+    """V-1 whole: assets, findings and summary of a plan, source (schema_version, kind, label, fingerprint_sha256) -> (check_id, key)."""
+    rows = assets.withColumnsRenamed({"relative_path": "path", "content_sha256": "sha256"})
+    flat = rows.where("normalized_metadata is not null").select("path", "normalized_metadata.*")
+    version = source.select("schema_version")
+    known = findings.where(F.col("rule_id").isNull() | (F.col("rule_id") == "") | ~F.col("severity").isin("warning", "error") | (F.size("paths") > 8))
+    empty = lambda a: F.exists(a, lambda x: F.coalesce(x["rule_id"] == "", F.lit(True)))
+    counted = assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum(F.size("metadata")), F.lit(0)).alias("sidecars"))
+    return reduce(DataFrame.unionByName, [
+        plan_violations(rows.select("operation_id", "path", "byte_len", "sha256")),
+        _violation(rows.where(~_hex("operation_id")), "operation_id", "path"),
+        _violation(rows.where(empty("evidence") | empty("metadata")), "rule_id", "path"),
+        _violation(known, "finding", "code"),
+        metadata_violations(flat),
+        _violation(flat.crossJoin(F.broadcast(version.where("schema_version = 1"))), "metadata_in_version_1", "path"),  # one row at most
+        _violation(source.where(~_fits(F.col("schema_version"), F.col("kind"))), "schema_source", "kind"),
+        _violation(source.where(F.coalesce(F.col("label") == "", F.lit(True)) | ~_hex("fingerprint_sha256")), "source", "kind"),
+        _violation(summary.select("assets", "sidecars").exceptAll(counted), "summary", "assets"),
     ])
 
 
 def upload_violations(operations: DataFrame) -> DataFrame:
-    """V-2, V-3: (operation_id, pair_id, role): a pair has one image and one video; a role needs a pair."""
+    """V-2, pairs: (operation_id, pair_id, role): a pair has one image and one video; a role needs a pair."""
     pairs = operations.where("pair_id is not null").groupBy("pair_id").agg(F.count_if(F.col("role") == "image").alias("i"), F.count_if(F.col("role") == "video").alias("v"))
     return _violation(pairs.where("i <> 1 or v <> 1"), "pair", "pair_id").unionByName(_violation(operations.where("(pair_id is null) <> (role is null)"), "role", "operation_id"))
 
 
+def dependency_violations(operations: DataFrame) -> DataFrame:
+    """V-2, V-3: (operation_id, pair_id, role, video_operation_id): an image of a pair names a video operation of the same pair."""
+    video = operations.where("role = 'video'").select(F.col("operation_id").alias("video_operation_id"), F.col("pair_id").alias("video_pair"))
+    images = operations.where("role = 'image'").join(video, "video_operation_id", "left")
+    return _violation(images.where("not coalesce(video_pair = pair_id, false)"), "dependency", "operation_id")
+
+
+def whole_upload_violations(operations: DataFrame, summary: DataFrame, version: int) -> DataFrame:
+    """V-2 whole: operations (operation_id, path, byte_len, sha256, pair_id, role, video_operation_id, xmp struct<path,byte_len,sha256>, has_metadata,
+    albums) and their summary (operations, media_bytes, xmp, pairs, metadata_updates, album_creates, album_memberships, max_mutations) -> (check_id, key)."""
+    xmp = F.col("xmp")
+    bad_xmp = xmp.isNotNull() & ~F.coalesce((xmp["path"] != "") & (xmp["byte_len"] > 0) & xmp["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False))
+    own = operations.agg(F.count("*").alias("operations"), F.coalesce(F.sum("byte_len"), F.lit(0)).alias("media_bytes"), F.count("xmp").alias("xmp"), F.count_if(F.col("role") == "image").alias("pairs"))
+    want = own.crossJoin(F.broadcast(import_summary(operations, version).drop("operations")))  # one row each
+    parts = [
+        plan_violations(operations.select("operation_id", "path", "byte_len", "sha256")),
+        _violation(operations.where(~_hex("operation_id")), "operation_id", "path"),
+        _violation(operations.where("not coalesce(byte_len > 0, false)"), "empty", "path"),
+        _violation(operations.where(bad_xmp), "xmp", "path"),
+        dependency_violations(operations),
+        _violation(summary.select(*want.columns).exceptAll(want), "summary", "operations"),
+    ]
+    if version == 1:
+        parts.append(_violation(operations.where(F.col("has_metadata") | (F.size("albums") > 0)), "metadata_in_version_1", "path"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def migration_violations(assets: DataFrame, albums: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """V-3: assets (source_asset_id, operation_id, original_file_name, byte_len, checksum_sha1, content_sha256, created_ms, modified_ms, pair_id, role,
+    video_operation_id, has_metadata), albums (name, member_operation_ids) -> (check_id, key). Members must be known, sorted and distinct."""
+    from ..functions import expr as X
+
+    time = lambda c: F.col(c).between(-62_135_596_800_000, 253_402_300_799_999)  # noqa: E731  # years 1 to 9999
+    fine = X.is_uuid4(F.col("source_asset_id")) & X.safe_name(F.col("original_file_name")) & (F.col("byte_len") > 0) & time("created_ms") & time("modified_ms")
+    fine = F.coalesce(fine, F.lit(False)) & _hex("operation_id") & _hex("checksum_sha1", 40) & _hex("content_sha256")
+    ids = F.col("member_operation_ids")
+    name = F.coalesce(F.octet_length("name").between(1, 4096) & ~F.col("name").rlike(r"[\\\x00-\x1F\x7F-\x9F]"), F.lit(False))
+    members = albums.select("name", F.explode("member_operation_ids").alias("operation_id"))
+    parts = [
+        _violation(assets.where(~fine), "asset", "source_asset_id"),
+        _violation(assets.groupBy("source_asset_id").count().where("count > 1"), "asset_unique", "source_asset_id"),
+        _violation(assets.groupBy("operation_id").count().where("count > 1"), "operation_unique", "operation_id"),
+        dependency_violations(assets),
+        _violation(albums.where(~name | ~F.coalesce((F.size(ids) > 0) & (F.array_sort(F.array_distinct(ids)) == ids), F.lit(False))), "album", "name"),
+        _violation(albums.groupBy("name").count().where("count > 1"), "album_unique", "name"),
+        _violation(members.join(assets.select("operation_id"), "operation_id", "left_anti").select("name").distinct(), "album_member", "name"),
+    ]
+    if summary is not None:
+        parts.append(_violation(summary.exceptAll(migration_summary(assets, albums)), "summary", "assets"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def archive_violations(assets: DataFrame) -> DataFrame:
     """V-4: manifest rows (asset_id, original_file_name, target_path, byte_len, checksum_sha1) -> (check_id, key).
     An absent value is a violation like a wrong one."""
@@ -80,7 +243,23 @@ def archive_violations(assets: DataFrame) -> DataFrame:
 
 
 def metadata_violations(assets: DataFrame) -> DataFrame:
-    """V-7: albums must be strictly increasing and times canonical -> (check_id, key)."""
-    from ..functions.expr import canonical_utc
+    """V-7: (path, albums, taken_at_utc or taken_at[, description, location]) -> (check_id, key): albums must be strictly increasing and valid, times and
+    decimals in their canonical form, coordinates in range, descriptions valid. Absent values are fine."""
+    from ..functions import expr as X
+
+    time = "taken_at_utc" if "taken_at_utc" in assets.columns else "taken_at"
+    parts = [
+        _violation(assets.where(F.array_sort(F.array_distinct("albums")) != F.col("albums")), "albums", "path"),
+        _violation(assets.where(F.exists("albums", lambda a: (F.octet_length(a) == 0) | (F.octet_length(a) > 4096) | a.rlike(r"[\\\x00-\x1F\x7F-\x9F]"))), "album_name", "path"),
+        _violation(assets.where(~F.col(time).eqNullSafe(X.canonical_utc(F.col(time)))), "taken_at", "path"),
+    ]
+    if "description" in assets.columns:
+        parts.append(_violation(assets.where(~X.text_valid(F.col("description"), 16 * 1024, True)), "description", "path"))
+    if "location" in assets.columns:
+        def half(name: str, most: int):
+            text = F.col("location")[name]
+            number = text.try_cast("double")
+            return F.coalesce((X.canonical_decimal(number) == text) & number.between(-most, most), F.lit(False))
 
-    return _violation(assets.where(F.array_sort(F.array_distinct("albums")) != F.col("albums")), "albums", "path").unionByName(_violation(assets.where(~F.col("taken_at").eqNullSafe(canonical_utc(F.col("taken_at")))), "taken_at", "path"))
+        parts.append(_violation(assets.where(F.col("location").isNotNull() & ~(half("latitude", 90) & half("longitude", 180))), "location", "path"))
+    return reduce(DataFrame.unionByName, parts)

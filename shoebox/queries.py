@@ -13,10 +13,12 @@ from .operators import aliases as A
 from .operators import convergence as C
 from .operators import journal as J
 from .operators import matching as M
+from .plans import build as B
 from .plans import summary as P
 from .sources import documents as D
 from .streaming import rollup as R
 
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -82,7 +84,7 @@ def _(s, d):
 @query("alias_metadata_conflict", f"""select sha256, case when count(distinct source) < 2 and count(distinct lang) < 2 then first(source order by rank, path) end source, case when count(distinct source) < 2 and count(distinct lang) < 2 then first(lang order by rank, path) end lang,
 concat_ws(',', case when count(distinct source) > 1 then 'source' end, case when count(distinct lang) > 1 then 'lang' end) conflicts from {MEDIA} group by byte_len, sha256""")
 def _(s, d):
-    return joined(A.resolve_metadata(media(s, d), ["source", "lang"]), "conflicts")
+    return joined(A.resolve_metadata(media(s, d), ["source", "lang"]), "conflicts").drop("byte_len")
 
 
 @query("plan_summary", f"select count(*) assets, cast(sum(case when doc_id % 3 = 0 then 1 else 0 end) as bigint) sidecars, cast(sum(byte_len) as bigint) bytes_read from {MEDIA}")
@@ -90,7 +92,7 @@ def _(s, d):
     return P.plan_summary(media(s, d).withColumn("associations", ex("case when doc_id % 3 = 0 then 1 else 0 end")))
 
 
-@query("fingerprint_tree", f"""with l as (select sha256(path) d from {MEDIA}), b as (select substr(d, 1, 2) b, sha256(string_agg(d, '' order by d)) d from l group by 1) select sha256(string_agg(d, '' order by b)) fingerprint from b""")
+@query("fingerprint_tree", f"""with l as (select sha256(path) d from {MEDIA}), a as (select substr(d, 1, 4) b, sha256(string_agg(d, '' order by d)) d from l group by 1), c as (select substr(b, 1, 2) b, sha256(string_agg(d, '' order by b)) d from a group by 1) select sha256(string_agg(d, '' order by b)) fingerprint from c""")
 def _(s, d):
     return P.tree_fingerprint(media(s, d), "path")
 
@@ -112,7 +114,7 @@ select 'i' || k operation_id, k pair_id, 'image' as role, 'v' || k video_operati
 def _(s, d):
     one = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).count().where("count = 1").join(t(s, d, "orders"), ex("pair_id = o_orderkey"), "left_semi").select("pair_id")
     both = one.select(ex("explode(array('image', 'video'))").alias("role"), "pair_id").select(ex("concat(substr(role, 1, 1), pair_id)").alias("operation_id"), "pair_id", "role")
-    return M.bind_pairs(both)
+    return M.bind_pairs(both).drop("missing_video")
 
 
 @query("orphan_sidecars", "select cast(o_orderkey as varchar) k from orders where o_orderkey not in (select l_orderkey from lineitem)")
@@ -145,7 +147,7 @@ select dir || '/' || stem || '.xmp' sidecar, case when i = 1 then b when n = 1 t
 def _(s, d):
     m = t(s, d, "supplier").select(ex("concat('s', s_nationkey, '/', s_suppkey % 7, case when s_suppkey % 2 = 0 then '.jpg' else '.mp4' end)").alias("path"))
     side = t(s, d, "nation").select("n_nationkey", ex("explode(sequence(0, 8))").alias("x")).select(ex("concat('s', n_nationkey, '/', x, '.xmp')").alias("path"))
-    return M.basename_sidecars(side, m)
+    return M.basename_sidecars(side, m).drop("candidates")
 
 
 @query("sidecar_title_match", f"""with docs as (select dir || '/x' || p_partkey || '.json' sidecar, dir, case when p_partkey % 4 = 0 then 'none.jpg' when p_partkey % 4 = 1 then 'shared.jpg' else stem || ext end name from {PART}),
@@ -157,16 +159,26 @@ def _(s, d):
     return M.title_sidecars(docs, p.select("path").unionByName(p.select(ex("concat(dir, '/shared.jpg')").alias("path")).distinct()))
 
 
-@query("sidecar_tiered_match", f"""with p as (select *, p_partkey % 6 c from {PART}), docs as (select dir, case c when 0 then p_partkey || ext || '.supp(2).json' when 1 then 't' || p_partkey || '.json' when 2 then stem || ext || '.json' when 3 then 'pre' || p_partkey || '.json' else 'zz' || p_partkey || '.json' end name, case c when 1 then stem || ext end title, p_partkey || '(2)' || ext indexed, c, p_partkey from p),
-m as (select dir, stem || ext as name, path from p union all select dir, 'pre' || p_partkey || 'long.jpg', dir || '/pre' || p_partkey || 'long.jpg' from p where c = 3),
-c as (select docs.dir || '/' || docs.name sidecar, 0 tier, path from docs join m on docs.dir = m.dir and c = 0 and m.name = indexed union all select docs.dir || '/' || docs.name, 1, path from docs join m on docs.dir = m.dir and m.name = title union all
-select docs.dir || '/' || docs.name, 2, path from docs join m on docs.dir = m.dir and m.name || '.json' = docs.name union all select docs.dir || '/' || docs.name, 3, path from docs join m on docs.dir = m.dir and starts_with(m.name, replace(docs.name, '.json', '')) and strlen(docs.name) >= 9),
-g as (select sidecar, tier, count(distinct path) n, min(path) path from c group by sidecar, tier qualify row_number() over (partition by sidecar order by tier) = 1)
-select docs.dir || '/' || docs.name sidecar, tier, n, case when n = 1 then path end media from docs left join g on docs.dir || '/' || docs.name = sidecar""")
+#: Media and documents of J-4: names with an index, base names of one to many characters, long endings, and names that begin alike.
+TIER_MEDIA = f"(select path, dir, stem || ext as name from {PART} union all select dir || '/' || p_partkey || '-copy' || ext, dir, p_partkey || '-copy' || ext from {PART} where p_partkey % 5 = 3)"
+TIER_DOCS = f"""(select dir, case p_partkey % 10 when 0 then p_partkey || ext || '.supp(2).json' when 1 then 't' || p_partkey || '.json' when 2 then stem || ext || '.json' when 3 then p_partkey || '.json' when 4 then p_partkey || ext || '.supplemental-metadata.json'
+when 5 then p_partkey || ext || '(2).json' when 6 then substr(cast(p_partkey as varchar), 1, 1) || '.json' when 7 then p_partkey || '.supplemental-metadata.json' when 8 then substr(cast(p_partkey as varchar), 1, 2) || 'x.json' else 'zz' || p_partkey || '.json' end as name,
+case when p_partkey % 10 in (1, 2) then stem || ext end title from {PART})"""
+
+
+@query("sidecar_tiered_match", f"""with m as {TIER_MEDIA}, d as (select distinct * from {TIER_DOCS}),
+x as (select *, dir || '/' || name sidecar, regexp_extract(name, '^(.*)\\(([0-9]+)\\)[.]json$', 2) i, regexp_extract(name, '^(.*)\\(([0-9]+)\\)[.]json$', 1) h from d),
+y as (select *, case when contains(h, '.') and not ends_with(h, '.') and starts_with('supplemental-metadata', regexp_extract(h, '[^.]*$')) then regexp_replace(h, '[.][^.]*$', '') else h end f from x),
+z as (select *, case when i <> '' then regexp_replace(f, '[.][^.]*$', '') || '(' || i || ').' || regexp_extract(f, '[^.]*$') end indexed, regexp_replace(name, '([.]supplemental-metadata)?[.]json$', '') base from y),
+c as (select sidecar, case when m.name = indexed then 0 when m.name = title then 1 when m.name = base then 2 else 3 end tier, m.path from z join m on z.dir = m.dir and (m.name = indexed or m.name = title or starts_with(m.name, base)) where base <> ''),
+g as (select sidecar, tier, count(*) n, min(path) path from c group by sidecar, tier qualify row_number() over (partition by sidecar order by tier) = 1)
+select z.sidecar, tier, n, case when n = 1 then path end media from z left join g on z.sidecar = g.sidecar""")
 def _(s, d):
-    p = part_media(s, d).withColumn("dir", X.parent(F.col("path"))).withColumn("k", ex("cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)")).withColumn("name", X.filename(F.col("path"))).withColumn("ext", ex("regexp_extract(path, '([.][a-z0-9]+)$', 1)")).withColumn("c", ex("k % 6"))
-    docs = p.select(ex("concat(dir, '/', case c when 0 then concat(k, ext, '.supp(2).json') when 1 then concat('t', k, '.json') when 2 then concat(name, '.json') when 3 then concat('pre', k, '.json') else concat('zz', k, '.json') end)").alias("path"), ex("case c when 1 then name end").alias("title"))
-    return M.tiered_sidecars(docs, p.select("path").unionByName(p.where("c = 3").select(ex("concat(dir, '/pre', k, 'long.jpg')").alias("path"))))
+    p = part_media(s, d).withColumn("dir", X.parent(F.col("path"))).withColumn("k", ex("cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)")).withColumn("name", X.filename(F.col("path"))).withColumn("ext", ex("regexp_extract(path, '([.][a-z0-9]+)$', 1)"))
+    name = """case k % 10 when 0 then concat(k, ext, '.supp(2).json') when 1 then concat('t', k, '.json') when 2 then concat(name, '.json') when 3 then concat(k, '.json') when 4 then concat(k, ext, '.supplemental-metadata.json')
+        when 5 then concat(k, ext, '(2).json') when 6 then concat(left(cast(k as string), 1), '.json') when 7 then concat(k, '.supplemental-metadata.json') when 8 then concat(left(cast(k as string), 2), 'x.json') else concat('zz', k, '.json') end"""
+    docs = p.select(ex(f"concat(dir, '/', {name})").alias("path"), ex("case when k % 10 in (1, 2) then name end").alias("title")).distinct()
+    return M.tiered_sidecars(docs, p.select("path").unionByName(p.where("k % 5 = 3").select(ex("concat(dir, '/', k, '-copy', ext)").alias("path")))).drop("candidates")
 
 
 @query("case_collisions", "with p as (select case when p_partkey % 2 = 0 then upper(p_name) else p_name end || '/' || p_brand || '.JPG' path from part) select lower(path) folded, count(*) n, array_to_string(list_sort(list(distinct path))[1:8], ',') paths from p group by 1 having count(*) > 1")
@@ -203,7 +215,7 @@ def _(s, d):
 @query("rule_evidence", "select cast(user_id as varchar) path, array_to_string(list_sort(list(distinct event_type || ':' || case when value > 50 then 'hit' else 'miss' end)), ',') evidence from events group by 1")
 def _(s, d):
     e = t(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("rule_id"), ex("case when value > 50 then 'hit' else 'miss' end").alias("outcome"))
-    return joined(A.evidence(e), "evidence")
+    return A.evidence(e).select("path", F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["rule_id"], x["outcome"])), ",").alias("evidence"))
 
 
 @query("album_membership", "select 'n' || c_nationkey || '/' || c_custkey || '.jpg' path, n_name || ',' || r_name albums from (select c_custkey, c_nationkey, least(n_name, r_name) n_name, greatest(n_name, r_name) r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)")
@@ -214,7 +226,7 @@ def _(s, d):
     return joined(M.with_albums(m, albums), "albums").select("path", "albums")
 
 
-@query("album_plan_summary", "select count(*) operations, count(*) filter (c_acctbal > 0) metadata_updates, (select count(distinct n_name) from customer join nation on c_nationkey = n_nationkey) + (select count(distinct c_mktsegment) from customer) albums, count(*) + count(*) filter (c_acctbal > 0) + 2 * ((select count(distinct n_name) from customer join nation on c_nationkey = n_nationkey) + (select count(distinct c_mktsegment) from customer)) max_effects from customer")
+@query("album_plan_summary", "with a as (select (select count(distinct n_name) from customer join nation on c_nationkey = n_nationkey) + (select count(distinct c_mktsegment) from customer) k), o as (select count(*) operations, count(*) filter (c_acctbal > 0) metadata_updates from customer) select operations, metadata_updates, k album_creates, k album_memberships, operations + metadata_updates + 2 * k max_mutations from a, o")
 def _(s, d):
     c = t(s, d, "customer").join(t(s, d, "nation"), ex("c_nationkey = n_nationkey"))
     return P.import_summary(c.select(ex("c_acctbal > 0").alias("has_metadata"), F.array("n_name", "c_mktsegment").alias("albums")))
@@ -284,11 +296,33 @@ def _(s, d):
     return e.select("event_id", X.epoch_to_utc(F.col("e")).alias("utc")).withColumn("ms", X.rfc3339_ms(F.col("utc")))
 
 
-@query("geo_normalize", "select event_id, case when round(value, 1) <= 90 and not (round(value, 1) = 0 and round(value * 2, 1) = 0) and event_id % 4 < 3 then round(value, 1) end lat, case when round(value, 1) <= 90 and not (round(value, 1) = 0 and round(value * 2, 1) = 0) and event_id % 4 < 3 then -round(value * 2, 1) end lon from events")
+@query("geo_normalize", """with e as (select event_id, cast(floor(value) as bigint) q, event_id % 4 m from events)
+select event_id, q > 90 and m < 3 invalid, m = 3 and q <> 0 hidden, case when m < 3 and q between 1 and 90 then cast(q as varchar) end lat, case when m < 3 and q between 1 and 90 then '-' || q || case m when 0 then '.5' when 1 then '.25' else '' end end lon from e""")
 def _(s, d):
-    g = ex("named_struct('latitude', round(value, 1), 'longitude', -round(value * 2, 1))")
+    g = ex("named_struct('latitude', cast(floor(value) as double), 'longitude', -(cast(floor(value) as double) + case when floor(value) = 0 then 0D else case event_id % 4 when 0 then 0.5D when 1 then 0.25D else 0D end end))")
     e = t(s, d, "events").withColumn("exif", F.when(ex("event_id % 4 = 3"), ex("named_struct('latitude', 0D, 'longitude', 0D)")).when(ex("event_id % 4 = 1"), g)).withColumn("geo", g)
-    return e.select("event_id", X.location(F.col("exif"), F.col("geo")).alias("l")).select("event_id", F.col("l.latitude").cast("double").alias("lat"), F.col("l.longitude").cast("double").alias("lon"))
+    at = X.location(F.col("exif"), F.col("geo"))
+    return e.select("event_id", X.geo_invalid(F.col("exif"), F.col("geo")).alias("invalid"), X.hides_location(F.col("exif"), F.col("geo")).alias("hidden"), at["latitude"].alias("lat"), at["longitude"].alias("lon"))
+
+
+@query("canonical_decimals", "select l_orderkey, l_linenumber, l_partkey, l_quantity, case when l_discount = 0 then '0' else regexp_replace(cast(cast(l_discount as decimal(10, 6)) as varchar), '0+$', '') end discount, cast(cast(l_quantity as bigint) as varchar) quantity, '-' || regexp_replace(regexp_replace(cast(cast(l_extendedprice as decimal(18, 2)) as varchar), '0+$', ''), '[.]$', '') price from lineitem")
+def _(s, d):
+    dec = X.canonical_decimal
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", dec(F.round("l_discount", 6)).alias("discount"), dec(F.col("l_quantity")).alias("quantity"), dec(-F.round("l_extendedprice", 2)).alias("price"))
+
+
+@query("capture_times", "select event_id, case when event_id % 5 = 0 then 'p' || event_id when event_id % 5 in (1, 2) then 'c' || event_id end taken, case when event_id % 3 = 0 then null else 'd' || event_id end description from events")
+def _(s, d):
+    e = t(s, d, "events").select("event_id", ex("case when event_id % 5 = 0 then concat('p', event_id) end").alias("taken"), ex("case when event_id % 5 in (0, 1, 2) then concat('c', event_id) end").alias("created"), ex("case when event_id % 3 = 0 then '' else concat('d', event_id) end").alias("text"))
+    return e.select("event_id", X.capture_time(F.col("taken"), F.col("created")).alias("taken"), X.description(F.col("text")).alias("description"))
+
+
+@query("takeout_paths", """with p as (select p_partkey k, case p_partkey % 6 when 0 then 'Photos from 2024' when 1 then 'Photos from 24' when 2 then 'Archive' when 3 then 'Trip' when 4 then 'Bin' else 'Photos from 20245' end dir, case when p_partkey % 4 = 0 then 'x.jpg' else 'metadata.json' end as name from part)
+select k, case when k % 6 = 0 then 0 else 1 end as rank, k % 6 = 3 and k % 4 <> 0 album_document, 'assets/' || k || '/' || name target from p""")
+def _(s, d):
+    p = t(s, d, "part").select(F.col("p_partkey").alias("k"), ex("case p_partkey % 6 when 0 then 'Photos from 2024' when 1 then 'Photos from 24' when 2 then 'Archive' when 3 then 'Trip' when 4 then 'Bin' else 'Photos from 20245' end").alias("dir"), ex("case when p_partkey % 4 = 0 then 'x.jpg' else 'metadata.json' end").alias("name"))
+    path = F.concat(F.lit("Takeout/"), "dir", F.lit("/"), "name")
+    return p.select("k", X.canonical_rank(path).alias("rank"), X.is_album_document(path).alias("album_document"), X.target_path(F.col("k").cast("string"), F.col("name")).alias("target"))
 
 
 @query("text_rules", "select doc_id, strlen(text) between 1 and 16384 and not regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') description_ok, strlen(text) between 1 and 4096 and not regexp_matches(text, '[\\x00-\\x1F\\x7F/\\\\]') title_ok from documents")
@@ -406,10 +440,11 @@ def _(s, d):
     return C.drift(o, o.withColumn("o_orderstatus", ex("case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end")))
 
 
-@query("list_detail_consistency", "select o_orderkey, case when o_orderstatus = 'P' then 'left_only' else 'differs' end reason from orders where o_orderstatus = 'P' or o_orderkey % 7 = 0")
+@query("list_detail_consistency", "select o_orderkey, case when o_orderstatus = 'P' then 'left_only' else 'differs' end reason, case when o_orderstatus = 'P' then '' else 'o_custkey' end fields from orders where o_orderstatus = 'P' or o_orderkey % 7 = 0")
 def _(s, d):
     o = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return C.mismatches(o, o.where("o_orderstatus <> 'P'").withColumn("o_custkey", ex("case when o_orderkey % 7 = 0 then -1 else o_custkey end")), "o_orderkey", ["o_custkey", "o_orderstatus"])
+    off = C.mismatches(o, o.where("o_orderstatus <> 'P'").withColumn("o_custkey", ex("case when o_orderkey % 7 = 0 then -1 else o_custkey end")), "o_orderkey", ["o_custkey", "o_orderstatus"])
+    return joined(off, "fields")
 
 
 @query("album_convergence", "select c_mktsegment album, case when n is null then 'create' when n = 1 then 'reuse' else 'ambiguous' end decision, case when n = 1 then id end album_id from (select distinct c_mktsegment from customer) left join (select p_brand b, count(*) n, min(p_partkey) id from part group by 1) on b = c_mktsegment union all select n_name, 'reuse', n_nationkey from nation")
@@ -450,7 +485,7 @@ def _(s, d):
     return C.linked_closure(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.drop("o_orderstatus"))
 
 
-@query("visibility_union", "with x as (select l_orderkey id, l_returnflag f, l_linestatus s from lineitem) select id, count(*) n, count(distinct f || s) > 1 as conflict from x group by 1")
+@query("visibility_union", "with x as (select l_orderkey id, l_returnflag f, l_linestatus s from lineitem) select id, count(*) n, count(distinct f || s) > 1 as conflict, case when count(distinct f || s) = 1 then min(f) end f, case when count(distinct f || s) = 1 then min(s) end s from x group by 1")
 def _(s, d):
     x = t(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"))
     return C.visibility_union(*[x.where(F.col("f") == f) for f in ("A", "N", "R")], fields=["f", "s"])
@@ -559,22 +594,152 @@ def _(s, d):
     return P.archive_violations(a.withColumn("checksum_sha1", ex("substr(h, 1, 40)")).withColumn("target_path", ex("concat(case when k % 19 = 0 then 'other/' else 'assets/' end, asset_id, '/', original_file_name)")))
 
 
-@query("progress_stream", "select user_id run, max(event_id) sequence, arg_max(event_type, event_id) stage, max(cast(floor(value) as bigint)) assets_observed from events group by 1")
+@query("progress_stream", "select user_id run, max(event_id) sequence, arg_max(event_type, event_id) stage, max(cast(floor(value) as bigint)) assets_observed, max(cast(strlen(props) as bigint)) bytes_read from events group by 1")
 def _(s, d):
-    e = R.event_stream(s, d, "events", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
-    p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"), F.floor("value").alias("assets_observed"))
+    e = R.event_stream(s, d, "events", EVENTS)
+    p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"), F.floor("value").alias("assets_observed"), F.octet_length("props").cast("long").alias("bytes_read"))
     return R.drain(R.progress(p), ["run"])
 
 
 @query("journal_stream", f"select user_id effect_key, sequence, outcome from {JOURNAL} qualify row_number() over (partition by user_id order by sequence desc) = 1")
 def _(s, d):
-    e = R.event_stream(s, d, "events", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    e = R.event_stream(s, d, "events", EVENTS)
     j = e.select(F.col("user_id").alias("effect_key"), F.col("event_id").alias("sequence"), ex("case event_type when 'click' then 'created' when 'view' then 'duplicate' when 'purchase' then 'failed' else 'indeterminate' end").alias("outcome"))
     return R.drain(R.journal_fold(j), ["effect_key"])
 
 
-@query("terminal_runs", "select user_id run, arg_max(event_type, event_id) stage, max(event_id) sequence from events group by 1 having arg_max(event_type, event_id) in ('purchase', 'logout')")
+@query("terminal_runs", "select user_id run, arg_min(event_type, event_id) stage, min(event_id) sequence from events where event_type in ('purchase', 'logout') group by 1")
 def _(s, d):
-    e = R.event_stream(s, d, "events", "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    e = R.event_stream(s, d, "events", EVENTS)
     p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"))
-    return R.drain(R.last_stage(p), ["run"]).where(F.col("stage").isin("purchase", "logout")).select("run", "stage", "sequence")
+    return R.drain(R.terminal_runs(p, ("purchase", "logout"), None), ["run"])
+
+
+@query("replay_buffer_stream", "select run, string_agg(sequence, ',' order by sequence) sequences from (select user_id run, event_id sequence from events qualify row_number() over (partition by user_id order by event_id desc) <= 8) group by 1")
+def _(s, d):
+    e = R.event_stream(s, d, "events", EVENTS)
+    return joined(R.drain(R.replay_buffer(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence")), 8, None), ["run"]), "sequences")
+
+
+@query("replayed_events", "with g as (select user_id run, min(event_id) low, max(event_id) high from events group by 1) select e.user_id run, e.event_id sequence from events e join customer on c_custkey = e.user_id join g on run = e.user_id where e.event_id > c_custkey * 70 - 40 and c_custkey * 70 - 40 <= high and c_custkey * 70 - 39 >= low")
+def _(s, d):
+    return J.replayed(t(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence")), t(s, d, "customer").select(F.col("c_custkey").alias("run"), ex("c_custkey * 70 - 40").alias("cursor")))
+
+
+@query("import_effects", """with e as (select *, case when event_type = 'purchase' then 'failed' when event_type = 'logout' then 'indeterminate' when m = 0 then case when event_type = 'click' then 'created' else 'duplicate' end when m = 2 then case when event_type = 'click' then 'created' else 'reused' end else 'completed' end outcome from (select event_id, event_id % 4 m, user_id, event_type from events))
+select count(*) filter (m = 0 and outcome = 'created') created, count(*) filter (m = 0 and outcome = 'duplicate') as duplicate, count(*) filter (m = 1 and outcome = 'completed') metadata_updated, count(*) filter (m = 2 and outcome = 'created') albums_created, count(*) filter (m = 2 and outcome = 'reused') albums_reused,
+count(*) filter (m = 3 and outcome = 'completed') album_memberships_updated, cast(sum(user_id % 3) as bigint) retried, count(*) filter (outcome = 'failed') failed, count(*) filter (outcome = 'indeterminate') as indeterminate, (select count(distinct c_mktsegment) from customer) resumed_effects from e""")
+def _(s, d):
+    e = t(s, d, "events").withColumn("m", ex("event_id % 4"))
+    kind, outcome = ex("case m when 0 then 'asset' when 1 then 'metadata' when 2 then 'album' else 'membership' end"), ex("case when event_type = 'purchase' then 'failed' when event_type = 'logout' then 'indeterminate' when m = 0 then case when event_type = 'click' then 'created' else 'duplicate' end when m = 2 then case when event_type = 'click' then 'created' else 'reused' end else 'completed' end")
+    effects = e.select(F.concat_ws(":", kind, F.sha2(F.col("event_id").cast("string"), 256)).alias("effect_key"), outcome.alias("outcome"), ex("cast(user_id % 3 as int)").alias("retry_count"))
+    return J.import_report(effects, t(s, d, "customer").select(F.col("c_mktsegment").alias("effect_key")))
+
+
+@query("album_members", "select o_orderpriority album, array_to_string(list_sort(list(distinct o_custkey)), ',') members from orders where o_custkey in (select c_custkey from customer where c_acctbal > 0) group by 1")
+def _(s, d):
+    o = t(s, d, "orders").select(ex("concat('op', o_orderkey)").alias("operation_id"), F.array("o_orderpriority").alias("albums"), "o_custkey")
+    ids = o.join(t(s, d, "customer").where("c_acctbal > 0"), ex("o_custkey = c_custkey"), "left_semi").select("operation_id", F.col("o_custkey").alias("asset_id"))
+    return joined(P.album_members(o.drop("o_custkey"), ids), "members")
+
+
+@query("migration_summary", "select count(*) assets, cast(sum(c_custkey) as bigint) media_bytes, count(*) filter (c_acctbal > 0) metadata_updates, (select count(*) from nation) album_creates, (select count(*) from nation) album_memberships, count(*) + count(*) filter (c_acctbal > 0) + 2 * (select count(*) from nation) max_mutations from customer")
+def _(s, d):
+    return P.migration_summary(t(s, d, "customer").select(F.col("c_custkey").alias("byte_len"), ex("c_acctbal > 0").alias("has_metadata")), t(s, d, "nation"))
+
+
+@query("archive_summary", "select count(*) assets, cast(sum(strlen(text)) as bigint) media_bytes from documents")
+def _(s, d):
+    return P.archive_summary(media(s, d))
+
+
+@query("bounded_inventory", "select o_orderkey id, (row_number() over (order by o_orderkey) - 1) // 1000 + 1 page from orders")
+def _(s, d):
+    return P.bounded_inventory(t(s, d, "orders").select(F.col("o_orderkey").alias("id")), 1000, 10**12)
+
+
+@query("plan_limits", "with m as (select o_orderpriority album, count(*) n from orders group by 1) select 'assets' as limit, '' as key, (select count(*) from customer) as value union all select 'albums', '', (select count(*) from m) union all select 'memberships', '', (select cast(sum(n) as bigint) from m) union all select 'album_members', album, n from m where n > 100")
+def _(s, d):
+    return P.plan_limit_violations(t(s, d, "customer"), t(s, d, "orders").select(F.col("o_orderpriority").alias("album"), F.col("o_custkey").alias("asset_id")), 1, 1, 1, 100)
+
+
+@query("dependency_violations", "select 'dependency' check_id, 'i' || o_orderkey as key from orders where o_orderkey % 3 = 0 or o_orderkey % 7 = 0")
+def _(s, d):
+    o = t(s, d, "orders").select("o_orderkey")
+    image = o.select(ex("concat('i', o_orderkey)").alias("operation_id"), F.col("o_orderkey").alias("pair_id"), F.lit("image").alias("role"), ex("case when o_orderkey % 3 <> 0 then concat('v', o_orderkey) end").alias("video_operation_id"))
+    video = o.select(ex("concat('v', o_orderkey)").alias("operation_id"), ex("case when o_orderkey % 7 = 0 then -1 else o_orderkey end").alias("pair_id"), F.lit("video").alias("role"), F.lit(None).cast("string").alias("video_operation_id"))
+    return P.dependency_violations(image.unionByName(video))
+
+
+@query("migration_violations", """with a as (select o_orderkey k, sha256(cast(o_orderkey as varchar)) h from orders), i as (select k, h, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || case when k % 11 = 0 then '5' else '4' end || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) id from a)
+select 'asset' check_id, id as key from i where k % 11 = 0 or k % 13 = 0 or k % 17 = 0 union all select 'album', n_name from nation where n_nationkey % 4 = 0 union all select 'album_member', n_name from nation where n_nationkey % 5 = 0""")
+def _(s, d):
+    a = t(s, d, "orders").select(F.col("o_orderkey").alias("k"), ex("sha2(cast(o_orderkey as string), 256)").alias("h"))
+    none = F.lit(None).cast("string")
+    assets = a.select(ex("concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', case when k % 11 = 0 then '5' else '4' end, substr(h, 14, 3), '-a', substr(h, 18, 3), '-', substr(h, 21, 12))").alias("source_asset_id"), F.col("h").alias("operation_id"), ex("case when k % 13 = 0 then 'nul.jpg' else concat(k, '.jpg') end").alias("original_file_name"), F.lit(1).alias("byte_len"), ex("substr(h, 1, 40)").alias("checksum_sha1"), F.col("h").alias("content_sha256"), ex("case when k % 17 = 0 then null else 0L end").alias("created_ms"), F.lit(0).cast("long").alias("modified_ms"), none.alias("pair_id"), none.alias("role"), none.alias("video_operation_id"), F.lit(False).alias("has_metadata"))
+    first = t(s, d, "orders").agg(F.min("o_orderkey").alias("k")).select(ex("sha2(cast(k as string), 256)").alias("one"))
+    albums = t(s, d, "nation").crossJoin(F.broadcast(first)).select(F.col("n_name").alias("name"), ex("case when n_nationkey % 20 = 0 then array('zz', 'a') when n_nationkey % 4 = 0 then array(one, one) when n_nationkey % 5 = 0 then array('0', one) else array(one) end").alias("member_operation_ids"))
+    return P.migration_violations(assets, albums)
+
+
+# whole plans: parts as media of an export, with documents made of their columns
+def export(s, d):
+    """media and sidecars: parts by directory and name, every third with a JSON document, a few of them broken."""
+    p = t(s, d, "part").withColumn("dir", ex("concat('Takeout/Google Photos/', case when p_size % 3 = 0 then 'Photos from 2024' else concat('Trip ', p_size) end)")).withColumn("name", ex("concat(p_partkey, case p_partkey % 3 when 0 then '.jpg' when 1 then '.mov' else '.heic' end)"))
+    content = ex("concat('content', p_partkey div 4)")
+    m = p.select(ex("concat(dir, '/', name)").alias("path"), F.octet_length(content).cast("long").alias("byte_len"), F.sha2(content, 256).alias("sha256"))
+    text = ex("""case when p_partkey % 21 = 0 then '{"title":5}' else concat('{"title":"', name, '","description":"', p_type, '","photoTakenTime":{"timestamp":"', p_partkey * 1000, '"},"geoData":{"latitude":', p_size, '.5,"longitude":-1}}') end""")
+    docs = p.where("p_partkey % 3 = 0").select(ex("concat(dir, '/', name, case when p_partkey % 2 = 0 then '.json' else '.supplemental-metadata.json' end)").alias("path"), text.alias("text"))
+    lone = p.where("p_partkey % 50 = 1").select(ex("concat(dir, '/lone', p_partkey, '.json')").alias("path"), ex("""concat('{"title":"none', p_partkey, '.jpg"}')""").alias("text"))
+    albums = p.where("p_size % 3 <> 0").select("dir", "p_size").distinct().select(ex("concat(dir, '/metadata.json')").alias("path"), ex("""concat('{"title":"Album ', p_size, '"}')""").alias("text"))
+    side = docs.unionByName(lone).unionByName(albums)
+    return m, side.select("path", F.lit("json").alias("kind"), F.octet_length("text").cast("long").alias("byte_len"), F.sha2("text", 256).alias("sha256"), "text")
+
+
+EXPORT = """p as (select *, 'Takeout/Google Photos/' || case when p_size % 3 = 0 then 'Photos from 2024' else 'Trip ' || p_size end dir, p_partkey || case p_partkey % 3 when 0 then '.jpg' when 1 then '.mov' else '.heic' end as name from part),
+m as (select *, dir || '/' || name path, cast(strlen('content' || p_partkey // 4) as bigint) len, sha256('content' || p_partkey // 4) h, case when p_size % 3 = 0 then 0 else 1 end as rank, p_partkey % 3 = 0 and p_partkey % 21 <> 0 doc, p_size % 3 <> 0 album from p),
+g as (select len, h, first(path order by rank, path) path, count(*) n, count(distinct case when doc then p_type end) d1, count(distinct case when doc then p_partkey end) d2, count(distinct case when doc then p_size end) d3, bool_or(doc or album) any_meta,
+  first(p_type order by rank, path) filter (doc) description, first(p_partkey order by rank, path) filter (doc) taken, first(p_size order by rank, path) filter (doc) lat, count(*) filter (doc) docs, count(distinct p_size) filter (album) album_files, array_to_string(list_sort(list(distinct 'Album ' || p_size) filter (album)), ',') albums, list_sort(list(path))[1:8] paths from m group by 1, 2)"""
+
+
+@query("takeout_plan_assets", f"""with {EXPORT} select path relative_path, len byte_len, h content_sha256, {sql_id("'normalized-plan-operation-v1'", "path", "h", "cast(len as varchar)")} operation_id, docs + album_files associations,
+any_meta and d1 < 2 and d2 < 2 and d3 < 2 has_metadata, case when d1 < 2 and d2 < 2 and d3 < 2 then description end description, case when d1 < 2 and d2 < 2 and d3 < 2 and taken is not null then strftime(make_timestamp(taken * 1000000000), '%Y-%m-%dT%H:%M:%SZ') end taken_at_utc,
+case when d1 < 2 and d2 < 2 and d3 < 2 then lat || '.5' end latitude, case when any_meta and d1 < 2 and d2 < 2 and d3 < 2 then coalesce(albums, '') end albums, 1 + cast(docs > 0 as int) + cast(album_files > 0 as int) + cast(n > 1 as int) proofs from g""")
+def _(s, d):
+    plan = B.build_plan("google_takeout", *export(s, d))
+    n = F.col("normalized_metadata")
+    return plan.assets.select("relative_path", "byte_len", "content_sha256", "operation_id", F.size("metadata").cast("long").alias("associations"), n.isNotNull().alias("has_metadata"), n["description"].alias("description"), n["taken_at_utc"].alias("taken_at_utc"), n["location"]["latitude"].alias("latitude"), F.when(n.isNotNull(), F.array_join(n["albums"], ",")).alias("albums"), F.size("evidence").alias("proofs"))
+
+
+@query("takeout_plan_findings", f"""with {EXPORT}, side as (select dir || '/' || name || case when p_partkey % 2 = 0 then '.json' else '.supplemental-metadata.json' end path, p_partkey from m where p_partkey % 3 = 0),
+f as (select 'invalid_takeout_json' code, path from side where p_partkey % 21 = 0 union all select 'takeout_metadata_without_media', dir || '/lone' || p_partkey || '.json' from m where p_partkey % 50 = 1
+union all select 'content_identical_takeout_aliases', array_to_string(paths, ',') from g where n > 1 union all select 'conflicting_takeout_description', path from g where d1 > 1 union all select 'conflicting_takeout_timestamp', path from g where d2 > 1 union all select 'conflicting_takeout_location', path from g where d3 > 1
+union all select 'takeout_media_without_json', path from g where docs = 0) select code, path paths from f""")
+def _(s, d):
+    return joined(B.build_plan("google_takeout", *export(s, d)).findings.select("code", "paths"), "paths")
+
+
+@query("takeout_plan_summary", f"""with {EXPORT} select count(*) assets, cast(sum(docs + album_files) as bigint) sidecars, (select cast(sum(len) as bigint) from m)
++ (select cast(sum(case when p_partkey % 21 = 0 then 11 else strlen('{{"title":"' || name || '","description":"' || p_type || '","photoTakenTime":{{"timestamp":"' || p_partkey * 1000 || '"}},"geoData":{{"latitude":' || p_size || '.5,"longitude":-1}}}}') end) as bigint) from m where p_partkey % 3 = 0)
++ (select cast(coalesce(sum(strlen('{{"title":"none' || p_partkey || '.jpg"}}')), 0) as bigint) from m where p_partkey % 50 = 1) + (select cast(sum(strlen('{{"title":"Album ' || p_size || '"}}')) as bigint) from (select distinct p_size from m where album)) bytes_read from g""")
+def _(s, d):
+    return B.build_plan("google_takeout", *export(s, d)).summary
+
+
+@query("folder_plan_findings", f"""with {PART.replace('(select', 'q as (select', 1)}, m as (select path, dir, stem, ext from q), side as (select case when p_partkey % 4 = 0 then path || '.json' when p_partkey % 4 = 1 then dir || '/' || stem || '.xmp' else dir || '/no' || p_partkey || '.xmp' end path, p_partkey % 4 c from q)
+select 'sidecar_without_media' code, path paths from side where c > 1""")
+def _(s, d):
+    p = part_media(s, d).withColumn("k", ex("cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)"))
+    side = p.select(ex("case when k % 4 = 0 then concat(path, '.json') when k % 4 = 1 then concat(regexp_replace(path, '[.][a-z0-9]+$', ''), '.xmp') else concat(regexp_replace(path, '/.*', ''), '/no', k, '.xmp') end").alias("path"))
+    side = side.select("path", X.metadata_kind(F.col("path")).alias("kind"), F.lit(1).cast("long").alias("byte_len"), F.lit("").alias("text"))
+    m = p.select("path", F.lit(1).cast("long").alias("byte_len"), F.sha2("path", 256).alias("sha256"))
+    return joined(B.build_plan("folder", m, side).findings.select("code", "paths"), "paths")
+
+
+@query("ini_documents", """with l as (select conv_id f, 'd' || conv_id dir, turn, case when turn = 0 then '[Picasa]' when turn = 1 then 'name=' || role when turn % 2 = 0 then '[' || role || turn || '.jpg]' else case when conv_id % 7 = 0 and turn = 3 then 'broken' else 'caption=c' || strlen(text) end end line from conversations),
+bad as (select distinct f from l where line = 'broken'), c as (select l.dir, lag(line) over (partition by f order by turn) s, line, f, turn from l)
+select dir, trim(s, '[]') as name, substr(line, 9) caption from c where starts_with(line, 'caption=') and starts_with(s, '[') and f not in (select f from bad)""")
+def _(s, d):
+    c = t(s, d, "conversations").withColumn("line", ex("case when turn = 0 then '[Picasa]' when turn = 1 then concat('name=', role) when turn % 2 = 0 then concat('[', role, turn, '.jpg]') else case when conv_id % 7 = 0 and turn = 3 then 'broken' else concat('caption=c', octet_length(text)) end end"))
+    files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x")).select(ex("concat('d', conv_id, '/.picasa.ini')").alias("path"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+    return D.read_ini(files)[1]

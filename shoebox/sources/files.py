@@ -1,54 +1,168 @@
-"""File trees and archives as tables of media and sidecars."""
+"""File trees and archives as tables of media and sidecars. Tasks list directories and stream files in blocks, so no file is too large."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import stat
+import unicodedata
 import zipfile
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..diagnostics import PICASA_ARCHIVE_RULES, finding, gather
 from ..functions import expr as X
+from ..operators.aliases import merge_archives
 
-ENTRY = "archive string, idx int, name string, size bigint, csize bigint, method int, flags int"
+BLOCK = 1 << 20
+LISTED = "path string, native string, byte_len bigint, modified bigint, kind string"
+ENTRY = "archive string, idx int, name string, size bigint, csize bigint, method int, flags int, symlink boolean, modified bigint"
+HASHED = "path string, byte_len bigint, sha256 string, sha1 string, text string"
 
 
-def scan_media(spark: SparkSession, root: str, prefix: str | None = None, limit_bytes: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
-    """S-1, S-3: (media, sidecars) below root with path, byte_len, digests and times. The extension filter reaches the
-    listing; files above limit_bytes are listed without digests, as a binary cell ends at 2 GiB."""
-    names = "*.{" + ",".join([*X.IMAGES, *X.VIDEOS, "json", "xmp"]) + "}"
-    reader = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names)
-    top = root.rstrip("/") + "/"
-    files = reader().load(root).where(F.col("length") <= limit_bytes)
-    large = reader().load(root).drop("content").where(F.col("length") > limit_bytes)
-    cols = [F.substring_index(F.col("path"), top, -1).alias("path"), F.col("length").alias("byte_len"), F.unix_millis("modificationTime").alias("modified")]
-    known = files.select(*cols, F.sha2("content", 256).alias("sha256"), F.base64(F.unhex(F.sha1("content"))).alias("sha1"), F.when(F.endswith("path", F.lit(".json")) & (F.col("length") <= 256 * 1024), F.col("content").cast("string")).alias("text"))
-    none = F.lit(None).cast("string")
-    every = known.unionByName(large.select(*cols, none.alias("sha256"), none.alias("sha1"), none.alias("text")))
+def _open(root: str):
+    """(file system, path) of a root; anything pyarrow can reach."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def _entries(root: str, below: str, deep: bool) -> Iterator[tuple]:
+    """Rows of LISTED for what is in a directory."""
+    from pyarrow import fs
+
+    system, top = _open(root)
+    local = isinstance(system, fs.LocalFileSystem)
+    for info in system.get_file_info(fs.FileSelector(f"{top}/{below}".rstrip("/"), recursive=deep)):
+        name = info.path[len(top) :].strip("/")
+        kind = "directory" if info.type == fs.FileType.Directory else "file" if info.type == fs.FileType.File else "special"
+        if local and os.path.islink(info.path):
+            kind = "symlink"
+        yield unicodedata.normalize("NFC", name), info.path, info.size or 0, (info.mtime_ns or 0) // 1_000_000, kind
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """All entries below root -> (path in NFC, native, byte_len, modified, kind: file, directory, symlink, special). The driver lists
+    the top directory only; tasks list what is below it."""
+    top = list(_entries(root, "", False))
+    dirs = [(r[1],) for r in top if r[4] == "directory"]
+    here = spark.createDataFrame(top, LISTED)
+    if not dirs:
+        return here
+    base = _open(root)[1]
+
+    def run(batches):
+        for batch in batches:
+            for native in batch["native"]:
+                yield pd.DataFrame(list(_entries(root, native[len(base) :].strip("/"), True)), columns=[c.split()[0] for c in LISTED.split(", ")])
+
+    below = spark.createDataFrame(dirs, "native string").repartition(min(len(dirs), 10_000)).mapInPandas(run, LISTED)
+    return here.unionByName(below)
+
+
+def hash_files(listed: DataFrame, root: str, partitions: int) -> DataFrame:
+    """(path, native, byte_len) -> HASHED, with the text of JSON and INI files up to their limits; an unreadable file has null digests, and one
+    whose length changed meanwhile has its new length."""
+
+    def run(batches):
+        system, _ = _open(root)
+        for batch in batches:
+            out = []
+            for path, native, size in zip(batch["path"], batch["native"], batch["byte_len"], strict=True):
+                long, short, n, kept = hashlib.sha256(), hashlib.sha1(), 0, []
+                small = path.lower().endswith((".json", ".ini")) and size <= 1 << 20
+                try:
+                    with system.open_input_stream(native, buffer_size=0) as f:
+                        while block := f.read(BLOCK):
+                            long.update(block)
+                            short.update(block)
+                            n += len(block)
+                            if small:
+                                kept.append(block)
+                    text = b"".join(kept).decode() if small else None
+                except UnicodeDecodeError:
+                    text = None
+                except OSError:
+                    out.append((path, size, None, None, None))
+                    continue
+                out.append((path, n, long.hexdigest(), base64.b64encode(short.digest()).decode(), text))
+            yield pd.DataFrame(out, columns=["path", "byte_len", "sha256", "sha1", "text"])
+
+    return listed.select("path", "native", "byte_len").repartition(partitions).mapInPandas(run, HASHED)
+
+
+def _split(files: DataFrame, max_path_bytes: int, noise: bool) -> tuple[DataFrame, DataFrame]:
+    """(files to read, findings): unsupported kinds go silently, export noise and overlong paths with a finding."""
+    path = F.col("path")
+    cut = X.noise_prefix(path) if noise else F.lit(None).cast("string")
+    rows = files.withColumn("noise", cut).withColumn("too_long", X.path_too_long(path, max_path_bytes))
+    ini = F.lower(X.filename(path)) == X.INI_NAME
+    wanted = rows.where("noise is null and not too_long").where(X.media_kind(path).isNotNull() | X.metadata_kind(path).isNotNull() | ini)
+    found = [finding(rows.where("noise is not null").select("noise").distinct(), "known_apple_export_noise", F.col("noise")), finding(rows.where("noise is null and too_long").limit(1), "portable_path_too_long", F.lit("<path-too-long>"))]
+    return wanted.drop("noise", "too_long"), gather(*found)
+
+
+def scan_media(spark: SparkSession, root: str, prefix: str | None = None, max_path_bytes: int = 4096, noise: bool = False, partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S-1, S-3: (media, sidecars, findings) below root. media: path, byte_len, sha256, sha1, created, modified (ms); sidecars: path, kind (json, xmp
+    or ini), byte_len, sha256, text. Extensions count in any case. Whole files are hashed in blocks, whatever their length. Links and special
+    files are not followed; with ``prefix`` the tree must have it, or this fails. Write the tables before using them more than once."""
+    tree = list_tree(spark, root)
     if prefix:
-        every = every.where(F.startswith("path", F.lit(prefix)))
-    return every.where(X.media_kind(F.col("path")).isNotNull()).drop("text"), every.where(X.metadata_kind(F.col("path")).isNotNull())
+        tree = require_prefix(tree, prefix)
+    files, found = _split(tree.where("kind = 'file'"), max_path_bytes, noise)
+    links = [finding(tree.where(f"kind = '{k}'"), code, F.col("path")) for k, code in (("symlink", "symlink_not_followed"), ("special", "special_file_not_read"))]
+    hashed = hash_files(files, root, partitions or spark.sparkContext.defaultParallelism).join(files.select("path", F.col("byte_len").alias("listed"), "modified"), "path")
+    fine = hashed.where("sha256 is not null and byte_len = listed")
+    trouble = [finding(hashed.where("sha256 is null"), "unreadable_source_file", F.col("path")), finding(hashed.where("sha256 is not null and byte_len <> listed"), "source_changed_during_scan", F.col("path"))]
+    media = fine.where(X.media_kind(F.col("path")).isNotNull()).select("path", "byte_len", "sha256", "sha1", F.lit(None).cast("bigint").alias("created"), "modified")
+    return media, _sidecars(fine), gather(found, *links, *trouble)
+
+
+def _sidecars(files: DataFrame) -> DataFrame:
+    kind = F.when(F.lower(X.filename(F.col("path"))) == X.INI_NAME, "ini").otherwise(X.metadata_kind(F.col("path")))
+    return files.withColumn("kind", kind).where("kind is not null").select("path", "kind", "byte_len", "sha256", "text")
+
+
+def require_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """S-3: the rows whose path lies at or below prefix; fails if there are none."""
+    inside = df.where((F.col("path") == prefix) | F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
+    if inside.isEmpty():
+        raise ValueError(f"unsupported layout: nothing below {prefix}")
+    return inside
 
 
-def list_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """S-2, first stage: central directories of ZIP parts that executors can open."""
+def list_archives(spark: SparkSession, paths: list[str], max_parts: int = 64) -> DataFrame:
+    """S-2, first stage: central directories of ZIP parts that executors can open; more than ``max_parts`` are refused."""
+    if len(paths) > max_parts:
+        raise ValueError(f"more than {max_parts} archive parts")
 
     def run(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             for path in batch["archive"]:
                 with zipfile.ZipFile(path) as z:
-                    rows = [(path, i, e.filename, e.file_size, e.compress_size, e.compress_type, e.flag_bits) for i, e in enumerate(z.infolist()) if not e.is_dir()]
-                yield pd.DataFrame(rows, columns=["archive", "idx", "name", "size", "csize", "method", "flags"])
+                    rows = [(path, i, e.filename, e.file_size, e.compress_size, e.compress_type, e.flag_bits, stat.S_ISLNK(e.external_attr >> 16), _zip_time(e)) for i, e in enumerate(z.infolist()) if not e.is_dir()]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
 
     return spark.createDataFrame([(p,) for p in sorted(paths)], "archive string").repartition(max(1, len(paths))).mapInPandas(run, ENTRY)
 
 
+def _zip_time(entry: zipfile.ZipInfo) -> int | None:
+    try:
+        return int(datetime(*entry.date_time, tzinfo=UTC).timestamp() * 1000)
+    except ValueError:
+        return None
+
+
 def hash_entries(entries: DataFrame, max_bytes: int = 1 << 34, max_ratio: int = 200, grace: int = 1 << 20) -> DataFrame:
-    """S-2, second stage: digests of admitted entries, streamed in blocks; rejected ones are never inflated -> (path, byte_len, sha256, sha1, rejection)."""
-    why = F.when(X.unsafe_entry(F.col("name")), "unsafe_path").otherwise(X.entry_rejection(*(F.col(c) for c in ("size", "csize", "method", "flags")), max_bytes, max_ratio, grace))
+    """S-2, second stage: digests of admitted entries, each opened by its number and streamed in blocks; rejected ones are never inflated
+    -> (archive, idx, path, byte_len, sha256, sha1, text, modified, rejection)."""
+    why = F.when(X.unsafe_entry(F.col("name")), "unsafe_path").when(F.col("symlink"), "symlink").otherwise(X.entry_rejection(*(F.col(c) for c in ("size", "csize", "method", "flags")), max_bytes, max_ratio, grace))
     judged = entries.withColumn("rejection", why)
 
     def run(batches: Iterator[pd.DataFrame]):
@@ -56,14 +170,60 @@ def hash_entries(entries: DataFrame, max_bytes: int = 1 << 34, max_ratio: int =
             out = []
             for archive, group in batch.groupby("archive", sort=False):
                 with zipfile.ZipFile(archive) as z:
-                    for name, size in zip(group["name"], group["size"], strict=True):
-                        long, short = hashlib.sha256(), hashlib.sha1()
-                        with z.open(name) as f:
+                    known = z.infolist()
+                    for idx, size in zip(group["idx"], group["size"], strict=True):
+                        entry, long, short, kept = known[idx], hashlib.sha256(), hashlib.sha1(), []
+                        small = entry.filename.lower().endswith((".json", ".ini")) and size <= 1 << 20
+                        with z.open(entry) as f:
                             while block := f.read(1 << 16):
                                 long.update(block)
                                 short.update(block)
-                        out.append((name, size, long.hexdigest(), base64.b64encode(short.digest()).decode()))
-            yield pd.DataFrame(out, columns=["path", "byte_len", "sha256", "sha1"])
+                                if small:
+                                    kept.append(block)
+                        try:
+                            text = b"".join(kept).decode() if small else None
+                        except UnicodeDecodeError:
+                            text = None
+                        out.append((archive, idx, size, long.hexdigest(), base64.b64encode(short.digest()).decode(), text))
+            yield pd.DataFrame(out, columns=["archive", "idx", "byte_len", "sha256", "sha1", "text"])
+
+    good = judged.where("rejection is null").repartition("archive", "idx").mapInPandas(run, "archive string, idx int, byte_len bigint, sha256 string, sha1 string, text string")
+    none = F.lit(None).cast("string")
+    names = X.with_nfc(judged.select("archive", "idx", F.col("name").alias("path"), "size", "modified", "rejection"))
+    bad = names.where("rejection is not null").select("archive", "idx", "path", F.col("size").alias("byte_len"), none.alias("sha256"), none.alias("sha1"), none.alias("text"), "modified", "rejection")
+    return good.join(names.where("rejection is null").drop("size"), ["archive", "idx"]).select(*bad.columns).unionByName(bad)
+
+
+def scan_archives(spark: SparkSession, paths: list[str], export: str = "takeout", prefix: str | None = None, noise: bool = False, max_path_bytes: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S-2, A-4: ZIP parts as one tree -> (media, sidecars, findings), as ``scan_media``. ``export``: takeout, apple or picasa; the latter two
+    count an entry's time as part of its identity. Any rejected entry is refused as a whole scan, like a missing prefix."""
+    hashed = hash_entries(_wanted(list_archives(spark, paths), max_path_bytes, noise))
+    rejected = hashed.where("rejection is not null").select("path", "rejection").head(1)
+    if rejected:
+        raise ValueError(f"archive entry {rejected[0].path}: {rejected[0].rejection}")
+    if prefix:
+        hashed = require_prefix(hashed, prefix)
+    identity = ["byte_len", "sha256"] + (["modified"] if export != "takeout" else [])
+    ini = F.lower(X.filename(F.col("path"))) == X.INI_NAME
+    merged = merge_archives(hashed.where(~ini), identity)
+    names = ("identical_takeout_archive_entry", "conflicting_takeout_archive_entry") if export == "takeout" else ("identical_archive_entry", "conflicting_archive_entry")
+    rules = PICASA_ARCHIVE_RULES if export == "picasa" else {}
+    found = [finding(merged.where(f"outcome = '{o}'"), code, F.col("path"), rule=rules.get(code)) for o, code in zip(("duplicate", "conflict"), names, strict=True)]
+    listed = list_archives(spark, paths).withColumnRenamed("name", "path")
+    if noise:
+        cut = listed.select(X.noise_prefix(F.col("path")).alias("noise")).where("noise is not null").distinct()
+        found.append(finding(cut, "known_apple_export_noise", F.col("noise")))
+    rest = hashed.where(~ini).join(merged.where("outcome <> 'conflict'").select("path"), "path", "left_semi").groupBy("path").agg(*[F.min_by(c, F.struct("archive", "idx")).alias(c) for c in ("byte_len", "sha256", "sha1", "text", "modified")])
+    every = rest.unionByName(hashed.where(ini).select(*rest.columns))
+    media = every.where(X.media_kind(F.col("path")).isNotNull()).select("path", "byte_len", "sha256", "sha1", F.lit(None).cast("bigint").alias("created"), "modified")
+    return media, _sidecars(every), reduce(DataFrame.unionByName, found).distinct()
+
 
-    good = judged.where("rejection is null").repartition("archive", "idx").mapInPandas(run, "path string, byte_len bigint, sha256 string, sha1 string")
-    return good.withColumn("rejection", F.lit(None).cast("string")).unionByName(judged.where("rejection is not null").select(F.col("name").alias("path"), F.col("size").alias("byte_len"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("sha1"), "rejection"))
+def _wanted(entries: DataFrame, max_path_bytes: int, noise: bool) -> DataFrame:
+    """Entries to judge and hash: media, sidecars and INI files outside export noise. Overlong paths fail the scan."""
+    path = F.col("name")
+    rows = entries.where(X.noise_prefix(path).isNull()) if noise else entries
+    rows = rows.where(X.media_kind(path).isNotNull() | X.metadata_kind(path).isNotNull() | (F.lower(X.filename(path)) == X.INI_NAME) | X.unsafe_entry(path))
+    if not rows.where(X.path_too_long(path, max_path_bytes)).isEmpty():
+        raise ValueError("limit exceeded: max_path_bytes")
+    return rows

@@ -27,11 +27,33 @@ def read_effects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
+def write_operations(operations: DataFrame, summary: DataFrame, path: str, manifest: bool = False) -> None:
+    """K-2: an upload plan's or migration plan's operations, sorted by path, with their one-row summary; ``manifest``: an archive's assets, sorted by asset_id."""
+    key = "asset_id" if manifest else "path"
+    operations.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(f"{path}/{'assets' if manifest else 'operations'}")
+    summary.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")  # one row
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """K-5: a one-row report as JSON."""
+    report.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def _known(spark: SparkSession, path: str, key: str, like: DataFrame) -> DataFrame:
+    """The keys stored at path; none before the first append. Any other trouble with reading is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return like.select(key).limit(0)
+    return spark.read.parquet(path).select(key)
+
+
 def append_receipts(new: DataFrame, path: str, key: str = "receipt_ref") -> None:
     """K-4: receipts that are not yet there."""
-    spark = new.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception:  # the first append  # noqa: BLE001
-        known = spark.createDataFrame([], new.select(key).schema)
+    known = _known(new.sparkSession, path, key, new)
     new.dropDuplicates([key]).join(known, key, "left_anti").withColumn("stored", F.lit(True)).write.mode("append").parquet(path)
+
+
+def append_history(records: DataFrame, path: str) -> None:
+    """K-4: terminal records (sequence, recorded_unix, status, ...), each sequence once."""
+    known = _known(records.sparkSession, path, "sequence", records)
+    records.dropDuplicates(["sequence"]).join(known, "sequence", "left_anti").write.mode("append").parquet(path)

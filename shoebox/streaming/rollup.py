@@ -2,39 +2,80 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
+    """A table as a stream: the file name.parquet, or the files of a directory of that name; no other table that begins alike."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """T-1: per run the newest sequence with its stage, and the most assets observed. Late and repeated rows change nothing."""
-    return events.groupBy("run").agg(F.max("sequence").alias("sequence"), F.max_by("stage", "sequence").alias("stage"), F.max("assets_observed").alias("assets_observed"))
+    """T-1: per run the newest sequence with its stage, and the most assets observed and bytes read. Late and repeated rows change nothing."""
+    more = [F.max(c).alias(c) for c in ("assets_observed", "bytes_read") if c in events.columns]
+    return events.groupBy("run").agg(F.max("sequence").alias("sequence"), F.max_by("stage", "sequence").alias("stage"), *more)
 
 
 def journal_fold(effects: DataFrame) -> DataFrame:
-    """T-3: the newest effect of each key."""
+    """T-3: the newest effect of each key. State is one row a key, as is the result; give the stream a RocksDB state store where keys exceed memory."""
     return effects.groupBy("effect_key").agg(F.max_by(F.struct("sequence", "outcome"), "sequence").alias("x")).select("effect_key", "x.sequence", "x.outcome")
 
 
-def last_stage(events: DataFrame) -> DataFrame:
-    """T-5: the newest stage of each run; a run is over once that is a terminal one."""
-    return events.groupBy("run").agg(F.max_by("stage", "sequence").alias("stage"), F.max("sequence").alias("sequence"))
+def replay_buffer(events: DataFrame, n: int = 128, forget_ms: int | None = 3_600_000) -> DataFrame:
+    """T-4: (run, sequence) -> per run, whenever it has news: the newest n sequences, oldest first. State is n numbers a run, and goes when a run
+    has had no event for ``forget_ms``. Late and repeated events change nothing that is newer. Without ``forget_ms`` state stays: for streams that end, as a
+    stream with timeouts never runs out of batches."""
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = set(state.get[0]) if state.exists else set()
+        for pdf in batches:
+            known.update(int(x) for x in pdf["sequence"])
+            known = set(heapq.nlargest(n, known))
+        newest = sorted(known)
+        state.update((newest,))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame({"run": [key[0]], "sequences": [newest]})
+
+    kind = events.schema["run"].dataType.simpleString()
+    return events.select("run", "sequence").groupBy("run").applyInPandasWithState(update, f"run {kind}, sequences array<bigint>", "sequences array<bigint>", "update", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+
+
+def terminal_runs(events: DataFrame, terminal: tuple[str, ...], forget_ms: int | None = 3_600_000) -> DataFrame:
+    """T-5: (run, sequence, stage) -> the first terminal event of each run, once. After it, a mark holds further rows of the run off for ``forget_ms``,
+    then the state is cleared; runs without a terminal event hold no state. None: as for ``replay_buffer``."""
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        rows = rows[rows["stage"].isin(terminal)].sort_values("sequence")
+        if state.exists or rows.empty:
+            return
+        state.update((True,))
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
+        yield pd.DataFrame({"run": [key[0]], "stage": [rows["stage"].iloc[0]], "sequence": [int(rows["sequence"].iloc[0])]})
+
+    kind = events.schema["run"].dataType.simpleString()
+    return events.select("run", "sequence", "stage").groupBy("run").applyInPandasWithState(update, f"run {kind}, stage string, sequence bigint", "ended boolean", "update", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
 
 
 def drain(stream: DataFrame, key: list[str]) -> DataFrame:
     """Runs a keyed update stream over all that is there and returns its newest row of each key, as a table."""
     spark = stream.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoebox-")
-    at = os.path.join(top, uuid.uuid4().hex)
+    at = shared_folder(spark)
+
     def write(df: DataFrame, n: int) -> None:
         df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/b{n}")
 

@@ -1,7 +1,6 @@
 """Operators on small hand-made tables: facts, quirks and negative cases."""
 
 import hashlib
-import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +12,8 @@ from shoebox.operators import journal as J
 from shoebox.operators import matching as M
 from shoebox.plans import summary as P
 from shoebox.sources import documents as D
-from shoebox.sources import files, sinks
+from shoebox.sources import sinks
+from shoebox.streaming import rollup as R
 
 
 def one(spark, column):
@@ -72,7 +72,40 @@ def test_noise_and_nfc(spark):
 def test_tiers_stop_at_the_first_hit(spark):
     media = spark.createDataFrame([("d/a(1).jpg",), ("d/a.jpg",), ("d/long-name-x.jpg",), ("d/long-name-y.jpg",)], "path string")
     docs = spark.createDataFrame([("d/a.jpg(1).json", "a.jpg"), ("d/a.jpg.json", None), ("d/long-name.json", None), ("d/none.json", None)], "path string, title string")
-    assert rows(M.tiered_sidecars(docs, media)) == [("d/a.jpg(1).json", 0, 1, "d/a(1).jpg"), ("d/a.jpg.json", 2, 1, "d/a.jpg"), ("d/long-name.json", 3, 2, None), ("d/none.json", None, None, None)]
+    assert rows(M.tiered_sidecars(docs, media).drop("candidates")) == [("d/a.jpg(1).json", 0, 1, "d/a(1).jpg"), ("d/a.jpg.json", 2, 1, "d/a.jpg"), ("d/long-name.json", 3, 2, None), ("d/none.json", None, None, None)]
+
+
+def test_prefix_tier_has_no_least_length(spark):
+    media = spark.createDataFrame([("d/a1.jpg",), ("d/b12.jpg",), ("d/b13.jpg",), ("e/IMG_1.jpg",)], "path string")
+    docs = spark.createDataFrame([("d/a.json", None), ("d/b.json", None), ("d/b12.supplemental-metadata.json", None), ("e/IMG_1.jpg.supplemental-metadata.json", None), ("d/.json", None)], "path string, title string")
+    got = [tuple(r) for r in M.tiered_sidecars(docs, media).orderBy("sidecar").collect()]
+    assert got == [("d/.json", None, None, None, []), ("d/a.json", 3, 1, "d/a1.jpg", []), ("d/b.json", 3, 2, None, ["d/b12.jpg", "d/b13.jpg"]), ("d/b12.supplemental-metadata.json", 3, 1, "d/b12.jpg", []), ("e/IMG_1.jpg.supplemental-metadata.json", 2, 1, "e/IMG_1.jpg", [])]
+
+
+def test_paths_are_the_eight_smallest(spark):
+    media = spark.range(40).selectExpr("concat('d', id % 20, '/', case when id % 2 = 0 then 'X' else 'x' end, '.jpg') path")
+    assert [r.paths for r in A.duplicate_basenames(media).collect()] == [sorted({f"d{i}/{'X' if i % 2 == 0 else 'x'}.jpg" for i in range(20)})[:8]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 19, 20, 1000])
+def test_statistics_are_exact(spark, n):
+    import random
+    import statistics
+
+    rng = random.Random(n)
+    values = [rng.choice((rng.random(), 0.5)) for _ in range(n)]
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, value double")
+    row = J.statistics(df, "g").first()
+    assert (row.lowest, row.highest, row.p95) == (min(values), max(values), sorted(values)[-(-95 * n // 100) - 1]) and abs(row.median - statistics.median(values)) < 1e-12
+    assert tuple(J.statistics(df, "g", accuracy=20).first()) == tuple(row)
+
+
+def test_streams_forget(spark, tmp_path):
+    spark.createDataFrame([("r", 1, "run"), ("r", 2, "done"), ("r", 3, "done"), ("s", 5, "run"), ("s", 4, "run")], "run string, sequence long, stage string").write.parquet(str(tmp_path / "e.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "e2.parquet"))
+    stream = R.event_stream(spark, str(tmp_path), "e", "run string, sequence long, stage string")
+    assert rows(R.drain(R.terminal_runs(stream, ("done",), None), ["run"])) == [("r", "done", 2)]
+    assert rows(R.drain(R.replay_buffer(stream, 2, None), ["run"])) == [("r", [2, 3]), ("s", [4, 5])]
 
 
 def test_live_pairs_need_exactly_one_of_each(spark):
@@ -87,7 +120,7 @@ def test_conflict_hides_duplicate(spark):
 
 def test_all_conflicting_fields_are_reported(spark):
     m = spark.createDataFrame([(1, "h", 0, "a", "x", "1"), (1, "h", 1, "b", "y", "2"), (1, "g", 1, "c", None, "3"), (1, "g", 1, "d", "z", "3")], "byte_len int, sha256 string, rank int, path string, f string, g string")
-    assert rows(A.resolve_metadata(m, ["f", "g"])) == [("g", "z", "3", []), ("h", None, None, ["f", "g"])]
+    assert rows(A.resolve_metadata(m, ["f", "g"]).drop("byte_len")) == [("g", "z", "3", []), ("h", None, None, ["f", "g"])]
 
 
 def test_pending_keeps_pairs_together(spark):
@@ -122,27 +155,12 @@ def test_json_rejects_duplicate_keys(spark):
     assert rows(D.parse_json(df, "j", {"title": "string"}).select("i", "title", "invalid")) == [(1, None, True), (2, "a", False), (3, None, True), (4, None, False)]
 
 
-def test_ini_files(spark, tmp_path):
-    (tmp_path / "x.ini").write_text("[Picasa]\nname=Trip\n[a.jpg]\ncaption=one\ncaption=two\n")
-    got = D.ini_settings(D.read_ini(spark, str(tmp_path))).select("section", "key", "value", "conflict")
-    assert rows(got) == [("Picasa", "name", "Trip", False), ("a.jpg", "caption", "one", True)]
-
-
-def test_tree_and_archive_scans_agree(spark, tmp_path):
-    tree = tmp_path / "tree"
-    (tree / "d").mkdir(parents=True)
-    content = {"d/a.jpg": b"image", "d/a.jpg.json": b"{}", "d/skip.txt": b"x"}
-    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
-        for name, data in content.items():
-            (tree / name).write_bytes(data)
-            z.writestr(name, data)
-        z.writestr("../evil.jpg", b"x")
-    media, sidecars = files.scan_media(spark, str(tree))
-    assert [(r.path, r.sha256) for r in media.collect()] == [("d/a.jpg", hashlib.sha256(b"image").hexdigest())]
-    assert [r.path for r in sidecars.collect()] == ["d/a.jpg.json"]
-    entries = files.hash_entries(files.list_archives(spark, [str(tmp_path / "p.zip")]))
-    assert {r.path: r.rejection for r in entries.collect()} == {"d/a.jpg": None, "d/a.jpg.json": None, "d/skip.txt": None, "../evil.jpg": "unsafe_path"}
-    assert entries.where("path = 'd/a.jpg'").first().sha256 == media.first().sha256
+def test_ini_settings(spark):
+    text = "[Picasa]\nname=Trip\n[a.jpg]\ncaption=one\ncaption=two\n"
+    lines = D.ini_lines(spark.createDataFrame([("d/.picasa.ini", text)], "path string, text string"))
+    assert rows(D.ini_settings(lines).select("section", "key", "value", "conflict")) == [("Picasa", "name", "Trip", False), ("a.jpg", "caption", "one", True)]
+    albums, captions, found = D.read_ini(spark.createDataFrame([("d/.picasa.ini", text), ("e/.picasa.ini", "; c\n[Picasa]\nname=T\n[b.jpg]\ncaption = x = y\n")], "path string, text string"))
+    assert rows(albums) == [("e", "T")] and rows(captions) == [("e", "b.jpg", "x = y")] and [r.paths for r in found.collect()] == [["d"]]
 
 
 def test_effects_are_appended_once(spark, tmp_path):
@@ -153,6 +171,18 @@ def test_effects_are_appended_once(spark, tmp_path):
     assert rows(sinks.read_effects(spark, str(tmp_path / "j"))) == [("asset:1", 1), ("asset:2", 2)]
 
 
+def test_receipts_and_history_are_appended_once(spark, tmp_path):
+    new = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "receipt_ref string, sequence int")
+    for _ in range(2):
+        sinks.append_receipts(new, str(tmp_path / "r"))
+        sinks.append_history(new, str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 2 and spark.read.parquet(str(tmp_path / "h")).count() == 2
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no")
+    with pytest.raises(Exception):  # noqa: B017
+        sinks.append_receipts(new, str(tmp_path / "broken"))
+
+
 def test_archive_manifest_and_report(spark):
     a, b = "00000000-0000-4000-8000-000000000001", "00000000-0000-4000-8000-000000000002"
     cols = "asset_id string, original_file_name string, target_path string, byte_len int, checksum_sha1 string"
