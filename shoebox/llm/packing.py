@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .kernels import lean
-from .token_counts import ChunkCache, chunks_of
+from .token_counts import Encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -162,11 +162,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     tail = as_bytes([end_id])
 
     def run(batches):
-        cache, packer = ChunkCache(tokenizer, as_bytes), Packer(capacity, group_windows, slack, piece)
+        encoder, packer = Encoder(tokenizer, as_bytes), Packer(capacity, group_windows, slack, piece)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                packer.add(doc_id, b"".join([cache[c] for c in chunks_of(text.as_py() or b"")]) + tail)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(doc_id, b"".join(encoder.values(text.as_py() or "")) + tail)
             yield packer.batch()
         packer.flush()
         yield packer.batch()

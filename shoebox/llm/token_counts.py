@@ -39,65 +39,56 @@ _LETTERS = _byte_letters()
 
 
 class Encoder:
-    """Token ids of white-space-free chunks. Chunks of plain letters, digits and signs are cut
-    into pre-tokens here and each distinct pre-token is encoded once by the tokenizer's model;
-    all others go through the whole tokenizer."""
+    """Values (``of`` their token ids) of pre-tokens and of white-space-free chunks. Texts of plain letters, digits and signs are cut
+    into pre-tokens here, and each is encoded once by the tokenizer's model; of all others, the chunks go through the whole tokenizer."""
 
-    def __init__(self, path: str, limit_bytes: int = 12_000_000):
+    def __init__(self, path: str, of=len, limit_bytes: int = 30_000_000):
         import json
 
         from tokenizers import Tokenizer
 
-        self.whole, self.pieces = Tokenizer.from_file(path), Bounded(limit_bytes)
+        self.whole, self.of = Tokenizer.from_file(path), of
+        self.pieces, self.chunks = Cache(self.piece, limit_bytes), Cache(self.chunk, limit_bytes)
         parts = json.loads(self.whole.to_str()).get("pre_tokenizer") or {}
         self.simple = any((p.get("pattern") or {}).get("Regex") == WORD_PATTERN for p in parts.get("pretokenizers", []))
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-            ids = tuple(t.id for t in self.whole.model.tokenize(shown))
-            self.pieces.put(piece, ids, 150 + len(piece) + 8 * len(ids))
-        return ids
+    def piece(self, piece: str):
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return self.of([t.id for t in self.whole.model.tokenize(shown)])
+
+    def chunk(self, chunk: bytes):
+        return self.of(self.whole.encode(chunk.decode(), add_special_tokens=False).ids)
 
     def cut(self, text: str) -> list[str] | None:
         """The text's pre-tokens; None if it must go through the whole tokenizer."""
         return _PIECES(text.lower()) if self.simple and _SIMPLE(text) and "<|" not in text else None
 
-    def ids(self, chunk: bytes) -> list[int]:
-        text = chunk.decode()
+    def values(self, text: str) -> list:
+        """What ``of`` gives for the parts of a text, in order."""
         pieces = self.cut(text)
-        if pieces is None:
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return [i for p in pieces for i in self.piece(p)]
+        if pieces is not None:
+            known, find = self.pieces.new, self.pieces.find
+            return [known[p] if p in known else find(p) for p in pieces]
+        known, find = self.chunks.new, self.chunks.find
+        return [known[c] if c in known else find(c) for c in chunks_of(text.encode())]
 
 
-class Bounded(dict):
-    """A cache bounded in bytes (as given with each value): a full one is emptied, which costs time only."""
+class Cache:
+    """A cache of two generations, each bounded in bytes: a full new one takes the place of the old one, whose
+    entries come back as they are asked for. So frequent keys stay, and rare ones cost time only."""
 
-    def __init__(self, limit_bytes: int):
-        super().__init__()
-        self.limit, self.size = limit_bytes, 0
+    def __init__(self, make, limit_bytes: int):
+        self.make, self.limit, self.size, self.new, self.old = make, limit_bytes, 0, {}, {}
 
-    def put(self, key, value, size: int) -> None:
-        self.size += size
+    def find(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.size += 150 + len(key) + (len(value) if isinstance(value, bytes) else 0)
         if self.size > self.limit:
-            self.clear()
-            self.size = size
-        self[key] = value
-
-
-class ChunkCache(Bounded):
-    """Chunk -> value, filled on a miss."""
-
-    def __init__(self, path: str, of, limit_bytes: int = 24_000_000):
-        super().__init__(limit_bytes)
-        self.encoder, self.of = Encoder(path), of
-
-    def __missing__(self, chunk: bytes):
-        value = self.of(self.encoder.ids(chunk))
-        self.put(chunk, value, 150 + len(chunk) + (len(value) if isinstance(value, bytes) else 0))
+            self.old, self.size = dict(self.new), 0
+            self.new.clear()
+        self.new[key] = value
         return value
 
 
@@ -119,7 +110,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = 2000, s
                 room -= len(text)
                 if room >= 0:
                     seen.update(encoder.cut(text) or ())
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([len(encoder.piece(p)) for p in seen], pa.int32())], ["piece", "n", "length"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([encoder.piece(p) for p in seen], pa.int32())], ["piece", "n", "length"])
 
     found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").where(low).mapInArrow(lean(run), "piece string, n long, length int")
     counts = found.groupBy("piece").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
@@ -136,18 +127,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, sample_docs
     known = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, sample_docs, size=table_size))
 
     def run(batches):
-        table, rare = known.value, ChunkCache(tokenizer, len)
-        encoder = rare.encoder
-
-        def length(piece: str) -> int:
-            n = table.get(piece)
-            return len(encoder.piece(piece)) if n is None else n
+        table, encoder = known.value, Encoder(tokenizer)
+        rare, find = encoder.pieces.new, encoder.pieces.find
 
         def tokens(text: str) -> int:
             pieces = encoder.cut(text)
-            if pieces is not None:
-                return sum([table[p] if p in table else length(p) for p in pieces])
-            return sum([rare[c] for c in chunks_of(text.encode())])
+            if pieces is None:
+                return sum(encoder.values(text))
+            return sum([table[p] if p in table else rare[p] if p in rare else find(p) for p in pieces])
 
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
