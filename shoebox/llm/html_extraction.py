@@ -1,15 +1,18 @@
 """HTML extraction (operator 7): layout-aware rendering of the visible text.
 
-A small tree builder closes the elements whose end tags HTML lets authors leave out, and drops what is never
-shown. The renderer walks the tree with a stack of its own (any nesting depth): inline text
+A small tree builder closes the elements whose end tags HTML lets authors leave out. The renderer walks the tree with a stack of its own
+(any nesting depth) and leaves out what a browser does not show: elements that are never rendered, ``hidden`` and ``display: none``
+with all below them, and text whose inherited visibility is hidden, while a visible part inside it is shown. Inline text
 is joined with single spaces, blocks start on new lines, paragraphs and the like
 are set off by an empty line, list items are marked and indented, and the cells of a table
-are padded so that its columns line up.
+are padded so that its columns line up, spans and wide signs counted.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,18 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .kernels import lean
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NEVER = frozenset("head script style template noscript title iframe object canvas audio video svg math datalist".split())
+NEVER = frozenset("head script style template noscript title iframe object canvas audio video datalist progress meter rp desc metadata defs symbol clippath mask annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
-BLOCK = SPACED | frozenset("html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr".split())
+BLOCK = SPACED | frozenset("html body address article aside caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option search section summary tbody td tfoot th thead tr textarea text foreignobject mtr".split())
 #: Opening one of the keys ends an open element of the second set, up to an element of the third.
 _ROWS = frozenset(("thead", "tbody", "tfoot"))
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "option": ({"option"}, {"select", "optgroup", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"})}
 CLOSES |= dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})) | dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"}))
 CLOSES |= {"tr": ({"td", "th", "tr"}, {"table", *_ROWS})} | dict.fromkeys(_ROWS, ({"td", "th", "tr", *_ROWS}, {"table"}))
 _ENDS_P = BLOCK - {"html", "body", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"} | {"hr"}
-_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_RULE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Input types that show no text of their own, and the labels of buttons without one.
+SILENT = frozenset("hidden checkbox radio file password color range image".split())
+LABELS = {"submit": "Submit", "reset": "Reset", "button": ""}
 
 
 class TreeBuilder(HTMLParser):
@@ -81,10 +88,49 @@ class TreeBuilder(HTMLParser):
         self.open[-1][2].append(data)
 
 
-def hidden(tag: str, attrs: dict) -> bool:
-    if tag in NEVER or "hidden" in attrs or (tag == "input" and (attrs.get("type") or "").lower() == "hidden"):
+def styles(attrs: dict) -> dict:
+    """display and visibility from the style attribute: the last important declaration, else the last."""
+    out, strong = {}, set()
+    for name, value, important in _RULE.findall(attrs.get("style") or ""):
+        name = name.lower()
+        if important or name not in strong:
+            out[name] = value.lower()
+        if important:
+            strong.add(name)
+    return out
+
+
+def hidden(tag: str, attrs: dict, style: dict) -> bool:
+    """Whether an element and all below it are not rendered."""
+    if tag in NEVER or (tag == "dialog" and "open" not in attrs):
         return True
-    return bool(attrs.get("style") and _HIDDEN.search(attrs["style"]))
+    return style["display"] == "none" if "display" in style else "hidden" in attrs
+
+
+def field_text(attrs: dict) -> str:
+    """What an input shows."""
+    kind = (attrs.get("type") or "text").lower()
+    if kind in SILENT:
+        return (attrs.get("alt") or "") if kind == "image" else ""
+    if kind in LABELS:
+        return attrs["value"] if attrs.get("value") is not None else LABELS[kind]
+    return attrs.get("value") or attrs.get("placeholder") or ""
+
+
+def shown_options(node) -> list:
+    """The children of a select that show: all of a list box, else the selected option, or the first."""
+    _, attrs, children = node
+    if "multiple" in attrs or _number(attrs.get("size"), 1) > 1:
+        return children
+    every, stack = [], list(reversed(children))
+    while stack:
+        child = stack.pop()
+        if not isinstance(child, str):
+            if child[0] == "option":
+                every.append(child)
+            elif child[0] == "optgroup":
+                stack.extend(reversed(child[2]))
+    return [x for x in every if "selected" in x[1]][-1:] or every[:1]
 
 
 class Page:
@@ -126,27 +172,71 @@ class Page:
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Cells (lists of lines) as text columns, two spaces apart."""
-    width: list[int] = []
+def width_of(text: str) -> int:
+    """Columns that a text takes: two for a wide sign, none for a combining one."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, colspan, rowspan) as text columns, two spaces apart. Columns in which no cell begins take no room."""
+    placed, busy = [], {}  # busy: column -> rows that a cell above still takes
     for row in rows:
-        for i, cell in enumerate(row):
-            width.extend([0] * (i + 1 - len(width)))
-            width[i] = max([width[i], *map(len, cell)])
+        at, cells, taken = 0, [], {}
+        for lines, across, down in row:
+            while busy.get(at, 0) > 0:
+                at += 1
+            cells.append((at, across, lines))
+            taken.update(dict.fromkeys(range(at, at + across), down))
+            at += across
+        both = {c: max(busy.get(c, 0), taken.get(c, 0)) for c in busy | taken}
+        busy = {c: n - 1 for c, n in both.items() if n > 1}
+        placed.append(cells)
+    begun = sorted({at for cells in placed for at, _, _ in cells})
+    number, width = {c: i for i, c in enumerate(begun)}, [0] * len(begun)
+    spans = sorted((bisect.bisect_left(begun, at + across) - number[at], number[at], max(map(width_of, lines), default=0)) for cells in placed for at, across, lines in cells)
+    for n, first, size in spans:  # the narrow cells first; a wider one stretches its last column
+        width[first + n - 1] += max(0, size - sum(width[first : first + n]) - 2 * (n - 1))
+    start = [sum(width[:i]) + 2 * i for i in range(len(width))]
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(row)).rstrip())
+    for cells in placed:
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line, used = [], 0
+            for at, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    x = start[number[at]]
+                    line.append(" " * (x - used) + lines[k])
+                    used = x + width_of(lines[k])
+            out.append("".join(line))
     return out
 
 
+def marker(style: str, n: int) -> str:
+    """The number of a list item: decimal, letters (a, A) or Roman (i, I)."""
+    if style.lower() == "a" and n > 0:
+        text = ""
+        while n:
+            n, letter = divmod(n - 1, 26)
+            text = chr(97 + letter) + text
+        return text if style == "a" else text.upper()
+    if style.lower() == "i" and 0 < n < 4000:
+        text = ""
+        for value, sign in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+            text += sign * (n // value)
+            n %= value
+        return text if style == "i" else text.upper()
+    return str(n)
+
+
 def render(root) -> str:
     page, pages, lists, tables, pre = Page(), [], [], [], 0
-    stack = [(root, False)]
+    stack = [(root, False, True)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, visible = stack.pop()
         if isinstance(node, str):
-            page.text(node, pre > 0)
+            if visible:
+                page.text(node, pre > 0)
             continue
         tag, attrs, children = node
         if leaving:
@@ -154,9 +244,8 @@ def render(root) -> str:
                 lines, page = page.finish(), pages.pop()
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append(lines)
-                for _ in range(_span(attrs) - 1):
-                    tables[-1][-1].append([])
+                down = _number(attrs.get("rowspan"), 1)
+                tables[-1][-1].append((lines, max(1, min(1000, _number(attrs.get("colspan"), 1))), min(65534, down or 65534)))  # the limits of HTML itself
                 continue
             page.end()
             if tag == "table":
@@ -170,20 +259,25 @@ def render(root) -> str:
                 page.prefix, page.mark = attrs["\0"]
             elif tag in ("blockquote", "dd"):
                 page.prefix = page.prefix[:-2]
-            pre -= tag == "pre"
+            pre -= tag in ("pre", "textarea")
             if tag in SPACED:
                 page.gap = max(page.gap, 0 if lists else 1)
             continue
-        if hidden(tag, attrs):
+        style = styles(attrs)
+        if hidden(tag, attrs, style):
             continue
+        if "visibility" in style and style["visibility"] != "inherit":
+            visible = style["visibility"] == "visible"
         if tag == "br":
             page.end(True)
         elif tag == "hr":
             page.end()
-            page.now = ["---"]
-            page.end()
-        elif tag == "img":
-            page.text(attrs.get("alt") or "", False)
+            if visible:
+                page.now = ["---"]
+                page.end()
+        elif tag in ("img", "input"):
+            if visible:
+                page.text(attrs.get("alt") or "" if tag == "img" else field_text(attrs), False)
         elif tag in ("td", "th") and tables:
             pages.append(page)
             page = Page()
@@ -191,37 +285,39 @@ def render(root) -> str:
             page.end()
             if tag in SPACED:
                 page.gap = max(page.gap, 0 if lists else 1)
-            if tag in ("ul", "ol", "menu", "dir"):
-                lists.append(_number(attrs.get("start")) if tag == "ol" else None)
+            if tag in ("ul", "menu", "dir"):
+                lists.append(None)
+            elif tag == "ol":
+                items = sum(not isinstance(c, str) and c[0] == "li" for c in children) if "reversed" in attrs else 0
+                lists.append([_number(attrs.get("start"), items or 1), -1 if "reversed" in attrs else 1, attrs.get("type") or "1"])
             elif tag == "li":
                 attrs["\0"] = page.prefix, page.mark
                 page.prefix, page.mark = page.prefix + " " * len(page.mark), "- "
                 if lists and lists[-1] is not None:
-                    page.mark = f"{lists[-1]}. "
-                    lists[-1] += 1
+                    n = _number(attrs.get("value"), lists[-1][0])
+                    page.mark = f"{marker(attrs.get('type') or lists[-1][2], n)}. "
+                    lists[-1][0] = n + lists[-1][1]
             elif tag in ("blockquote", "dd"):
                 page.prefix += "  "
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
-            pre += tag == "pre"
+            pre += tag in ("pre", "textarea")
         if tag in BLOCK:
-            stack.append((node, True))
+            stack.append((node, True, visible))
         if tag == "details" and "open" not in attrs:
             children = [c for c in children if not isinstance(c, str) and c[0] == "summary"]
-        stack.extend((c, False) for c in reversed(children))
+        elif tag == "select":
+            children = shown_options(node)
+        stack.extend((c, False, visible) for c in reversed(children))
     while pages:  # cells are always left, so this only guards a broken tree
         page = pages.pop()
     return "\n".join(page.finish())
 
 
-def _span(attrs: dict) -> int:
-    return max(1, min(100, _number(attrs.get("colspan"))))
-
-
-def _number(value) -> int:
-    return int(value) if value and re.fullmatch(r"[0-9]{1,6}", value) else 1
+def _number(value, other: int) -> int:
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,6}", value.strip()) else other
 
 
 def visible_text(html: str) -> str:
@@ -233,14 +329,14 @@ def visible_text(html: str) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, text, n_lines), one row for each page: its whole visible text. Null and empty pages give an empty text and
-    no lines; repeated rows and null keys stay; other columns are ignored."""
+    no lines; repeated rows and null keys stay; other columns are ignored; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
             texts = [visible_text(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], [key, "text", "n_lines"])
 
-    return pages.select(F.col(key).cast("long"), F.col(html).cast("string")).mapInArrow(run, f"{key} long, text string, n_lines long")
+    return pages.select(F.col(key).cast("long"), F.col(html).cast("string")).mapInArrow(lean(run), f"{key} long, text string, n_lines long")
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:
