@@ -16,6 +16,7 @@ from .operators import matching as M
 from .plans import build as B
 from .plans import summary as P
 from .sources import documents as D
+from .sources.tables import cut
 from .streaming import rollup as R
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -178,7 +179,8 @@ def _(s, d):
     name = """case k % 10 when 0 then concat(k, ext, '.supp(2).json') when 1 then concat('t', k, '.json') when 2 then concat(name, '.json') when 3 then concat(k, '.json') when 4 then concat(k, ext, '.supplemental-metadata.json')
         when 5 then concat(k, ext, '(2).json') when 6 then concat(left(cast(k as string), 1), '.json') when 7 then concat(k, '.supplemental-metadata.json') when 8 then concat(left(cast(k as string), 2), 'x.json') else concat('zz', k, '.json') end"""
     docs = p.select(ex(f"concat(dir, '/', {name})").alias("path"), ex("case when k % 10 in (1, 2) then name end").alias("title")).distinct()
-    return M.tiered_sidecars(docs, p.select("path").unionByName(p.where("k % 5 = 3").select(ex("concat(dir, '/', k, '-copy', ext)").alias("path")))).drop("candidates")
+    names = p.select("path").unionByName(p.where("k % 5 = 3").select(ex("concat(dir, '/', k, '-copy', ext)").alias("path")))
+    return M.tiered_sidecars(cut(docs), cut(names)).drop("candidates")  # cut: else these made-up names are inlined into every step
 
 
 @query("case_collisions", "with p as (select case when p_partkey % 2 = 0 then upper(p_name) else p_name end || '/' || p_brand || '.JPG' path from part) select lower(path) folded, count(*) n, array_to_string(list_sort(list(distinct path))[1:8], ',') paths from p group by 1 having count(*) > 1")
@@ -693,7 +695,7 @@ def export(s, d):
     lone = p.where("p_partkey % 50 = 1").select(ex("concat(dir, '/lone', p_partkey, '.json')").alias("path"), ex("""concat('{"title":"none', p_partkey, '.jpg"}')""").alias("text"))
     albums = p.where("p_size % 3 <> 0").select("dir", "p_size").distinct().select(ex("concat(dir, '/metadata.json')").alias("path"), ex("""concat('{"title":"Album ', p_size, '"}')""").alias("text"))
     side = docs.unionByName(lone).unionByName(albums)
-    return m, side.select("path", F.lit("json").alias("kind"), F.octet_length("text").cast("long").alias("byte_len"), F.sha2("text", 256).alias("sha256"), "text")
+    return cut(m), cut(side.select("path", F.lit("json").alias("kind"), F.octet_length("text").cast("long").alias("byte_len"), F.sha2("text", 256).alias("sha256"), "text"))
 
 
 EXPORT = """p as (select *, 'Takeout/Google Photos/' || case when p_size % 3 = 0 then 'Photos from 2024' else 'Trip ' || p_size end dir, p_partkey || case p_partkey % 3 when 0 then '.jpg' when 1 then '.mov' else '.heic' end as name from part),
@@ -733,7 +735,7 @@ def _(s, d):
     side = p.select(ex("case when k % 4 = 0 then concat(path, '.json') when k % 4 = 1 then concat(regexp_replace(path, '[.][a-z0-9]+$', ''), '.xmp') else concat(regexp_replace(path, '/.*', ''), '/no', k, '.xmp') end").alias("path"))
     side = side.select("path", X.metadata_kind(F.col("path")).alias("kind"), F.lit(1).cast("long").alias("byte_len"), F.lit("").alias("text"))
     m = p.select("path", F.lit(1).cast("long").alias("byte_len"), F.sha2("path", 256).alias("sha256"))
-    return joined(B.build_plan("folder", m, side).findings.select("code", "paths"), "paths")
+    return joined(B.build_plan("folder", cut(m), cut(side)).findings.select("code", "paths"), "paths")
 
 
 @query("ini_documents", """with l as (select conv_id f, 'd' || conv_id dir, turn, case when turn = 0 then '[Picasa]' when turn = 1 then 'name=' || role when turn % 2 = 0 then '[' || role || turn || '.jpg]' else case when conv_id % 7 = 0 and turn = 3 then 'broken' else 'caption=c' || strlen(text) end end line from conversations),
