@@ -18,7 +18,7 @@ from ..functions import expr as X
 from ..operators import aliases as A
 from ..operators import matching as M
 from ..sources import documents as S
-from ..sources.tables import cut, discard
+from ..sources.tables import cut, cut_all, discard
 
 EMPTY = "array<string>"
 METADATA = f"struct<description:string,taken_at_utc:string,location:{S.LOCATION},albums:array<string>>"
@@ -198,8 +198,8 @@ def build_plan(adapter: str | SourceAdapter, media: DataFrame, sidecars: DataFra
     kind = ADAPTERS[adapter] if isinstance(adapter, str) else adapter
     ini = sidecars.where("kind = 'ini'").select("path", "text")
     every, notes, twice = A.drop_collisions(media.select("path", "byte_len", "sha256"), sidecars.where("kind <> 'ini'").select("path", "kind", "byte_len", "text"))
-    every, notes, twice = map(cut, (every, notes, twice))
-    assets, bridge, found = map(cut, kind.match(every, notes))
+    every, notes, twice = cut_all(every, notes, twice)
+    assets, bridge, found = cut_all(*kind.match(every, notes))
     pairs = cut(M.live_pairs(assets))
     roles = pairs.select(F.col("image").alias("path"), "pair_id", F.lit("image").alias("role")).unionByName(pairs.select(F.col("video").alias("path"), "pair_id", F.lit("video").alias("role")))
     proofs = [assets.select("path", F.lit(D.REGULAR_MEDIA).alias("rule_id"), F.lit("streamed_content_identity").alias("outcome")), _attached(bridge), roles.select("path", F.lit(D.LIVE_PHOTO).alias("rule_id"), F.lit("live_photo_member").alias("outcome"))]
