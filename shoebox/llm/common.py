@@ -1,13 +1,14 @@
-"""What several operators share: folds, bounded labelled samples, tables and the shared folder."""
+"""What several operators share: folds, bounded labelled samples, tables, rows taken apart, cut-offs by count."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, discard, shared_folder
+
+__all__ = ["apart", "cut", "discard", "in_fold", "labelled_sample", "named", "shared_folder", "table", "together", "top_counts"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,34 +56,6 @@ def together(df: DataFrame, docs: DataFrame, *more: Column) -> DataFrame:
     return df.select(*[F.col("text").cast(kind).alias(c) if c.lower() == "text" else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)], *more)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a temporary one only where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="shoebox-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there and any executor can be lost."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.cut_path = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``cut`` wrote, once no plan reads them any more; other tables are left alone."""
-    for df in tables:
-        path = getattr(df, "cut_path", None)
-        if path:
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def top_counts(counts: DataFrame, size: int) -> DataFrame:
     """Of (..., n) the rows with the largest n, at most ``size``: those from a cut-off on, which a histogram of n gives (exact up
     to 1024, 64 steps an octave above). Rows at a cut-off that would exceed size stay out together, so no task ranks them all."""

@@ -7,7 +7,7 @@ occurs as a whole. Words that no item has, and pairs of neighbours that no item
 so only the runs between them are streamed, word by word; finding the runs is vectorised.
 
 Tasks cut the items into blocks of at most ``block_words`` words, build each block's automaton and pack it into arrays (about
-70 bytes a word). The driver fetches packed blocks in groups of at most ``group_bytes`` and broadcasts a group at a time; no item
+60 bytes a word). The driver fetches packed blocks in groups of at most ``group_bytes`` and broadcasts a group at a time; no item
 text passes through it. One group, the usual case, is one pass over the documents. With more, each group's hits are written
 before the next group is sent, and joined with the documents at the end; so neither the driver nor a task ever holds more than a group.
 Words are compared by 64-bit fingerprints: a document word passes for one of v item words by chance with a probability of v / 2**64.
