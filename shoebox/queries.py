@@ -16,7 +16,8 @@ from .operators import matching as M
 from .plans import build as B
 from .plans import summary as P
 from .sources import documents as D
-from .sources.tables import cut
+from .sources import sinks as K
+from .sources.tables import cut, shared_folder
 from .streaming import rollup as R
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -745,3 +746,51 @@ def _(s, d):
     c = t(s, d, "conversations").withColumn("line", ex("case when turn = 0 then '[Picasa]' when turn = 1 then concat('name=', role) when turn % 2 = 0 then concat('[', role, turn, '.jpg]') else case when conv_id % 7 = 0 and turn = 3 then 'broken' else concat('caption=c', octet_length(text)) end end"))
     files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("x")).select(ex("concat('d', conv_id, '/.picasa.ini')").alias("path"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
     return D.read_ini(files)[1]
+
+
+def search_pages(s, d):
+    """Customers as exported search pages of 20, a directory a nation, a page a line."""
+    c = t(s, d, "customer").select(F.col("c_nationkey").alias("listing"), F.col("c_custkey").alias("id"), ex("(row_number() over (partition by c_nationkey order by c_custkey) - 1) div 20 + 1").alias("page"))
+    g = c.groupBy("listing", "page").agg(ex("array_sort(collect_list(named_struct('id', cast(id as string), 'originalFileName', concat(id, '.jpg'))))").alias("items"), F.count("*").alias("n"))
+    g = g.withColumn("last", ex("max(page) over (partition by listing)"))
+    page = ex("to_json(named_struct('assets', named_struct('items', items, 'count', n, 'nextPage', case when page < last then cast(page + 1 as string) end, 'total', n)))")
+    path = shared_folder(s)
+    g.select("listing", page.alias("value")).write.partitionBy("listing").text(path)
+    return path + "/*"
+
+
+@query("inventory_pages", "select c_nationkey nation, (r - 1) // 20 + 1 page, count(*) items, count(*) declared from (select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) r from customer) group by 1, 2")
+def _(s, d):
+    pages = D.read_inventory(s, search_pages(s, d), False)[1]
+    return pages.select(ex("cast(regexp_extract(listing, 'listing=([0-9]+)', 1) as bigint)").alias("nation"), "page", F.col("items").cast("long").alias("items"), "declared")
+
+
+@query("album_pages", "select 'listing=' || c_nationkey album, cast(c_custkey as varchar) asset_id from customer where c_acctbal > 0")
+def _(s, d):
+    scope = t(s, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("id"))
+    return D.read_albums(s, search_pages(s, d), scope, False)
+
+
+@query("effects_journal", "select event_id sequence, sha256(cast(user_id as varchar)) effect_key from events")
+def _(s, d):
+    path, e = shared_folder(s), t(s, d, "events").select(F.col("event_id").alias("sequence"), F.sha2(F.col("user_id").cast("string"), 256).alias("effect_key"))
+    write = K.append_effects(path)
+    write(e.where("sequence % 2 = 0"), 0)
+    write(e.where("sequence % 2 = 1"), 1)
+    write(e.where("sequence % 2 = 1").unionByName(e.where("sequence % 2 = 1")), 1)  # delivered again
+    return K.read_effects(s, path)
+
+
+@query("receipts_sink", "select c_custkey receipt_ref, c_nationkey plan_ref, true stored from customer")
+def _(s, d):
+    path, r = shared_folder(s), t(s, d, "customer").select(F.col("c_custkey").alias("receipt_ref"), F.col("c_nationkey").alias("plan_ref"))
+    K.append_receipts(r.where("receipt_ref % 3 = 0"), path)
+    K.append_receipts(r, path)
+    return s.read.parquet(path)
+
+
+@query("plan_sink", "select p_partkey path, p_size byte_len from part")
+def _(s, d):
+    path, p = shared_folder(s), t(s, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("byte_len"))
+    K.write_plan(p, p.limit(0), P.archive_summary(p), path)
+    return s.read.parquet(f"{path}/assets")

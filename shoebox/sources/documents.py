@@ -130,23 +130,24 @@ def read_ini(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept.where("what = 'album'").select("dir", F.col("value").alias("album")), kept.where("what = 'caption'").select("dir", F.col("section").alias("name"), F.col("value").alias("caption")), found
 
 
-def _pages(spark: SparkSession, path: str) -> DataFrame:
+def _pages(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """Pages with their listing (the file's directory) and number. The last page has no successor's number: it follows the largest one before it."""
-    pages = spark.read.schema(INVENTORY).option("multiLine", True).json(path).select("assets", F.col("_metadata.file_path").alias("file"))
+    pages = spark.read.schema(INVENTORY).option("multiLine", multi_line).json(path).select("assets", F.col("_metadata.file_path").alias("file"))
     pages = pages.withColumn("listing", X.parent(F.col("file"))).withColumn("next", F.col("assets.nextPage").cast("bigint"))
     every = Window.partitionBy("listing")
     return pages.withColumn("page", F.coalesce(F.col("next") - 1, F.coalesce(F.max("next").over(every), F.lit(1))))
 
 
-def read_inventory(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S-6: exported search pages, one directory a listing -> (assets with their listing, pages (listing, page, items, declared))."""
-    pages = _pages(spark, path)
+def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S-6: exported search pages, one directory a listing -> (assets with their listing, pages (listing, page, items, declared)).
+    ``multi_line``: a page a file; else a page a line."""
+    pages = _pages(spark, path, multi_line)
     return pages.select("listing", F.explode("assets.items").alias("x")).select("listing", "x.*"), pages.select("listing", "page", F.size("assets.items").alias("items"), F.col("assets.count").alias("declared"))
 
 
-def read_albums(spark: SparkSession, path: str, assets: DataFrame) -> DataFrame:
+def read_albums(spark: SparkSession, path: str, assets: DataFrame, multi_line: bool = True) -> DataFrame:
     """S-7: pages of album members, one directory an album -> (album, asset_id) of assets that are in scope (id), once each. An album without any is left out."""
-    members, _ = read_inventory(spark, path)
+    members, _ = read_inventory(spark, path, multi_line)
     known = members.select(F.element_at(F.split(F.url_decode("listing"), "/"), -1).alias("album"), F.col("id").alias("asset_id"))
     return known.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select("album", "asset_id").distinct()
 
