@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, discard, table, top_counts
 from .kernels import lean
 
 #: The split pattern of the word-level byte-pair tokenizer, as its file states it,
@@ -114,7 +114,10 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int = 2000, s
 
     found = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").where(low).mapInArrow(lean(run), "piece string, n long, length int")
     counts = found.groupBy("piece").agg(F.sum("n").alias("n"), F.min("length").alias("length"))
-    return {r.piece: r.length for r in counts.orderBy(F.desc("n"), "piece").limit(size).collect()}  # the sample is bounded, and so is what is ranked
+    counts = cut(counts)  # else every task sends its own best to the driver
+    best = {r.piece: r.length for r in top_counts(counts, size).collect()}
+    discard(counts)
+    return best
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, sample_docs: int = 2000, table_size: int = 20_000) -> DataFrame:
