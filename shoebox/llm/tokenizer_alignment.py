@@ -372,7 +372,7 @@ def pair_counts(index: DataFrame) -> DataFrame:
 
 def scores(index: DataFrame, counts: DataFrame) -> DataFrame:
     """(row, n_best, count_sum): what the postings return to their documents. A task holds one container's sums at a time."""
-    known = index.where("a is not null").select("a", "b", "container", "plane", "places", "bits").join(counts, ["a", "b"])
+    known = index.where("a is not null").select("a", "b", "container", "plane", "places", "bits").join(counts.hint("merge"), ["a", "b"])  # pairs have no bound that allows sending them to all
     dealt = known.select("container", "plane", "places", "bits", "count", "best").repartition("container").sortWithinPartitions("container")
 
     def run(batches):
@@ -417,7 +417,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     scored = scores(index, pair_counts(index))
     plain = index.where("a is null").select(*[c.split()[0] for c in DOCUMENTS.split(", ")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return plain.join(scored, "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    return plain.join(scored.hint("merge"), "row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
