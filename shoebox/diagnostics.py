@@ -33,6 +33,8 @@ CODES = {
     "special_file_not_read": ("warning", "FS_SPECIAL_FILE_SKIPPED_V1"),
     "non_unicode_path": ("error", "FS_NON_UNICODE_PATH_V1"),
     "portable_path_too_long": ("error", "FS_PATH_LIMIT_EXCEEDED_V1"),
+    "unreadable_directory": ("error", "FS_UNREADABLE_FILE_V1"),
+    "unreadable_metadata": ("error", "FS_UNREADABLE_FILE_V1"),
     "unreadable_source_file": ("error", "FS_UNREADABLE_FILE_V1"),
     "source_changed_during_scan": ("error", "FS_SOURCE_CHANGED_V1"),
     "known_apple_export_noise": ("warning", "APPLE_EXPORT_NOISE_SKIPPED_V1"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import diagnostics as D
@@ -18,6 +18,8 @@ from ..functions import expr as X
 from ..operators import aliases as A
 from ..operators import matching as M
 from ..sources import documents as S
+from ..sources.archives import scan_archives
+from ..sources.files import APPLE_NOISE, Scan, Skip, scan_media
 from ..sources.tables import cut, cut_all, discard
 
 EMPTY = "array<string>"
@@ -43,13 +45,16 @@ class Plan:
 
 @dataclass(frozen=True)
 class SourceAdapter:
-    """How a kind of export becomes a plan: the schema version, the rule for paths to skip, the matching and what is added to the finished plan."""
+    """How a kind of export becomes a plan: the schema version, the matching, what is added to the finished plan, what a scan skips, the folder that
+    it must have, and the family of its archives."""
 
     kind: str
     version: int
-    noise: bool
     match: Callable[..., tuple[DataFrame, DataFrame, DataFrame]]
     finish: Callable[..., Plan] = lambda plan, **options: plan
+    skip: Skip | None = None
+    prefix: str | None = None
+    archives: str | None = None
 
 
 def _attached(bridge: DataFrame) -> DataFrame:
@@ -69,17 +74,16 @@ def match_folder(media: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, Data
     return media.withColumn("normalized", F.lit(None).cast(METADATA)), bridge, found
 
 
-def _json_only(sidecars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _json_only(sidecars: DataFrame, album_titles: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents that parse, their findings, all parsed documents)."""
-    docs = cut(S.read_sidecar_json(sidecars.where("kind = 'json'")))
+    docs = cut(S.read_sidecar_json(sidecars.where("kind = 'json'"), album_titles))
     found = D.gather(S.json_findings(docs), D.finding(sidecars.where("kind = 'xmp'"), "unsupported_takeout_metadata_family", F.col("path")))
     return docs.where("error is null"), found, docs
 
 
 def match_takeout_titles(media: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """J-3 (version 1): a document's title names one file of its directory."""
-    docs, found, _ = _json_only(sidecars)
-    docs = docs.where("title <> ''")
+    """J-3 (version 1): a document's title names one file of its directory; album documents are documents like any other."""
+    docs, found, _ = _json_only(sidecars, False)
     asked = docs.select(F.col("path").alias("sidecar"), F.concat_ws("/", F.nullif(X.parent(F.col("path")), F.lit("")), "title").alias("path"))
     hit = asked.join(media.select("path"), "path")
     several = hit.groupBy("path").agg(F.count("*").alias("n"), F.min("sidecar").alias("sidecar"))
@@ -180,13 +184,31 @@ def finish_picasa(plan: Plan, ini: DataFrame | None = None, ini_albums: bool = T
     return replace(plan, assets=assets.select(*columns), findings=findings)
 
 
-ADAPTERS = {
-    "folder": SourceAdapter("folder", 1, False, match_folder),
-    "google_takeout_v1": SourceAdapter("google_takeout", 1, False, match_takeout_titles),
-    "google_takeout": SourceAdapter("google_takeout", 2, False, match_takeout),
-    "apple_photos": SourceAdapter("apple_photos", 3, True, match_folder, finish_folder_albums),
-    "picasa": SourceAdapter("picasa", 4, False, match_folder, finish_picasa),
-}
+ADAPTERS: dict[str, SourceAdapter] = {}
+
+
+def register(name: str, adapter: SourceAdapter) -> None:
+    """Makes an adapter known by a name that is free."""
+    if name in ADAPTERS:
+        raise ValueError(f"adapter {name} is known already")
+    ADAPTERS[name] = adapter
+
+
+register("folder", SourceAdapter("folder", 1, match_folder))
+register("google_takeout_v1", SourceAdapter("google_takeout", 1, match_takeout_titles, prefix=X.TAKEOUT_PREFIX))
+register("google_takeout", SourceAdapter("google_takeout", 2, match_takeout, prefix=X.TAKEOUT_PREFIX, archives="takeout"))
+register("apple_photos", SourceAdapter("apple_photos", 3, match_folder, finish_folder_albums, skip=APPLE_NOISE, archives="apple"))
+register("picasa", SourceAdapter("picasa", 4, match_folder, finish_picasa, archives="picasa"))
+
+
+def scan_source(spark: SparkSession, source: str | list[str], adapter: str | SourceAdapter, **limits) -> Scan:
+    """The scan that an adapter asks for: of a tree (a path or URI), or of ZIP parts (a list of them)."""
+    kind = ADAPTERS[adapter] if isinstance(adapter, str) else adapter
+    if isinstance(source, str):
+        return scan_media(spark, source, kind.prefix, kind.skip, **limits)
+    if not kind.archives:
+        raise ValueError(f"{kind.kind} has no archives")
+    return scan_archives(spark, source, kind.archives, kind.prefix if kind.archives == "takeout" else None, kind.skip, **limits)
 
 
 def build_plan(adapter: str | SourceAdapter, media: DataFrame, sidecars: DataFrame, scan_findings: DataFrame | None = None, **options) -> Plan:

@@ -38,11 +38,11 @@ def _kind(doc: Column, path: str) -> Column:
     return F.when(kind != "VOID", kind)
 
 
-def read_sidecar_json(sidecars: DataFrame) -> DataFrame:
+def read_sidecar_json(sidecars: DataFrame, album_titles: bool = True) -> DataFrame:
     """S-4: sidecars (path, byte_len, text) of JSON -> (path, title, description, taken_at_utc, location, error: null, invalid or oversized).
 
     Types are strict: a title that is a number, or coordinates without a half, make the document invalid. Only an album document may
-    have an empty title; its directory's name is then the title. F-9 to F-15 are applied.
+    have an empty title, and only with ``album_titles``; its directory's name is then the title. F-9 to F-15 are applied.
     """
     doc = F.col("doc")
     kinds = {f"k_{n.replace('.', '_')}": _kind(doc, f"$.{n}") for n in ("title", "description", "photoTakenTime", "photoTakenTime.timestamp", "creationTime", "creationTime.timestamp", "geoDataExif", "geoData")}
@@ -55,7 +55,7 @@ def read_sidecar_json(sidecars: DataFrame) -> DataFrame:
     d = d.withColumns({"raw_title": text("title"), "description": X.description(text("description")), "time": X.capture_time(*times.values())} | geo)
     d = d.withColumns({"taken_at_utc": X.epoch_to_utc(F.col("time")), "location": X.location(*map(F.col, geo))})
     other = lambda k, pattern: F.col(f"k_{k}").isNotNull() & ~F.col(f"k_{k}").rlike(pattern)
-    title, empty_ok = F.col("raw_title"), X.is_album_document(F.col("path"))
+    title, empty_ok = F.col("raw_title"), X.is_album_document(F.col("path")) & F.lit(album_titles)
     bad = [
         doc.isNull(),
         title.isNull() | ~(X.text_valid(title, TITLE_BYTES) | (empty_ok & (title == ""))),

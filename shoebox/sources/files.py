@@ -1,229 +1,332 @@
-"""File trees and archives as tables of media and sidecars. Tasks list directories and stream files in blocks, so no file is too large."""
+"""File trees as tables of media and sidecars.
+
+A walk in rounds: each round is one job over the frontier, the directories that are known but not listed. A task goes down from its directories until it has
+listed ``budget`` entries and hands the rest to the next round, where they are dealt anew, so that no task lists a deep or wide subtree alone.
+Names are bytes; what export noise covers is neither listed nor read. Then one pass opens every wanted file once and streams it in blocks through both digests,
+in tasks filled by bytes. Both results are written once, and all that a scan returns reads them.
+"""
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import os
 import stat
 import unicodedata
-import zipfile
-from collections.abc import Iterator
-from datetime import UTC, datetime
-from functools import reduce
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import cache
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..diagnostics import PICASA_ARCHIVE_RULES, finding, gather
+from ..diagnostics import finding, gather
 from ..functions import expr as X
-from ..operators.aliases import merge_archives
+from .tables import cut, discard, read_folder, shared_folder
 
 BLOCK = 1 << 20
-LISTED = "path string, native string, byte_len bigint, modified bigint, kind string"
-ENTRY = "archive string, idx int, name string, size bigint, csize bigint, method int, flags int, symlink boolean, modified bigint"
-HASHED = "path string, byte_len bigint, sha256 string, sha1 string, text string"
+#: Sidecars up to so many bytes come with their text.
+TEXT_BYTES = 1 << 20
+#: What opening a file costs, as bytes read.
+OPENING = 1 << 16
+TREE = "native binary, path string, kind string, byte_len bigint, modified_ns bigint"
+HASHED = "native binary, path string, byte_len bigint, sha256 string, sha1 string, text string, created bigint, modified bigint, trouble string"
+#: Kinds of tree rows that are findings, with what stands for a path that can't be shown.
+TROUBLE = {"non_unicode": ("non_unicode_path", "<non-unicode>"), "overlong": ("portable_path_too_long", "<path-over-limit>"), "unreadable_directory": ("unreadable_directory", None),
+           "unreadable_metadata": ("unreadable_metadata", None), "symlink": ("symlink_not_followed", None), "special": ("special_file_not_read", None), "noise": ("known_apple_export_noise", None)}
+
+
+class Local:
+    """A folder of this machine's file system, by byte names."""
+
+    def __init__(self, top: str):
+        self.top = os.fsencode(os.path.abspath(top))
+
+    def list(self, below: bytes) -> Iterator[tuple]:
+        """(name, kind, length, modified in ns) of what is in a directory; kind is null where an entry can't be inspected."""
+        with os.scandir(os.path.join(self.top, below)) as entries:
+            for e in entries:
+                try:
+                    s = e.stat(follow_symlinks=False)
+                except OSError:
+                    yield e.name, "unreadable_metadata", 0, 0
+                    continue
+                kind = "symlink" if stat.S_ISLNK(s.st_mode) else "directory" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "special"
+                yield e.name, kind, s.st_size, s.st_mtime_ns
 
+    def open(self, native: bytes):
+        file = open(os.path.join(self.top, native), "rb", buffering=0)
+        if not os.fstat(file.fileno()).st_mode & 0o444:
+            file.close()
+            raise PermissionError(native)
+        return file
 
-def _open(root: str):
-    """(file system, path) of a root; anything pyarrow can reach."""
-    from pyarrow import fs
+    def facts(self, native: bytes, file) -> tuple:
+        """What changes when a file does; its path must still lead to the open file."""
+        one, other = os.fstat(file.fileno()), os.stat(os.path.join(self.top, native))
+        return (one.st_size, one.st_mtime_ns) if (one.st_dev, one.st_ino, one.st_size) == (other.st_dev, other.st_ino, other.st_size) else (-1, -1)
+
+    def created(self, native: bytes) -> int | None:
+        return _birth(os.path.join(self.top, native))
+
+
+class Remote:
+    """A folder of any file system that pyarrow reaches. It has no links, and its times of creation are not known."""
+
+    def __init__(self, system, top: str):
+        self.system, self.top = system, top.rstrip("/")
 
-    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+    def _at(self, below: bytes) -> str:
+        return f"{self.top}/{below.decode()}".rstrip("/")
 
+    def list(self, below: bytes) -> Iterator[tuple]:
+        from pyarrow import fs
 
-def _entries(root: str, below: str, deep: bool) -> Iterator[tuple]:
-    """Rows of LISTED for what is in a directory."""
+        kinds = {fs.FileType.Directory: "directory", fs.FileType.File: "file"}
+        for info in self.system.get_file_info(fs.FileSelector(self._at(below))):
+            yield info.base_name.encode(), kinds.get(info.type, "special"), info.size or 0, info.mtime_ns or 0
+
+    def open(self, native: bytes):
+        return self.system.open_input_file(self._at(native))
+
+    def facts(self, native: bytes, file) -> tuple:
+        return file.size(), self.system.get_file_info(self._at(native)).mtime_ns or 0
+
+    def created(self, native: bytes) -> None:
+        return None
+
+
+def place(root: str) -> Local | Remote:
+    """Where a tree or file lies: a path, or a URI of any file system that pyarrow can reach."""
+    if "://" not in root and not root.startswith("file:"):
+        return Local(root)
     from pyarrow import fs
 
-    system, top = _open(root)
-    local = isinstance(system, fs.LocalFileSystem)
-    for info in system.get_file_info(fs.FileSelector(f"{top}/{below}".rstrip("/"), recursive=deep)):
-        name = info.path[len(top) :].strip("/")
-        kind = "directory" if info.type == fs.FileType.Directory else "file" if info.type == fs.FileType.File else "special"
-        if local and os.path.islink(info.path):
-            kind = "symlink"
-        yield unicodedata.normalize("NFC", name), info.path, info.size or 0, (info.mtime_ns or 0) // 1_000_000, kind
-
-
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All entries below root -> (path in NFC, native, byte_len, modified, kind: file, directory, symlink, special). The driver lists
-    the top directory only; tasks list what is below it."""
-    top = list(_entries(root, "", False))
-    dirs = [(r[1],) for r in top if r[4] == "directory"]
-    here = spark.createDataFrame(top, LISTED)
-    if not dirs:
-        return here
-    base = _open(root)[1]
+    system, top = fs.FileSystem.from_uri(root)
+    return Local(top) if isinstance(system, fs.LocalFileSystem) else Remote(system, top)
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL(None, use_errno=True).statx
+    except (AttributeError, OSError):  # another system
+        return None
+
+
+def _birth(path: bytes) -> int | None:
+    """A file's time of creation in ms, where the system tells it."""
+    statx, out = _libc(), ctypes.create_string_buffer(256)
+    asked = 0x800  # the time of creation; its seconds and nanoseconds stand at byte 80
+    if not statx or statx(-100, path, 0, asked, out) or not int.from_bytes(out[0:4], "little") & asked:
+        return None
+    return int.from_bytes(out[80:88], "little", signed=True) * 1000 + int.from_bytes(out[88:92], "little") // 1_000_000
+
+
+@dataclass(frozen=True)
+class Skip:
+    """Names of files and folders that an export leaves around: whole names in any case, and beginnings. Neither listed nor read below them."""
+
+    names: tuple[str, ...]
+    beginnings: tuple[str, ...] = ()
+
+    def prefix(self, path: str) -> str | None:
+        """The path up to its first such component."""
+        parts = path.split("/")
+        for i, part in enumerate(parts):
+            if ascii_lower(part) in self.names or part.startswith(self.beginnings or ("\0",)):
+                return "/".join(parts[: i + 1])
+        return None
+
+    def column(self, path: Column) -> Column:
+        return X.skipped_prefix(path, self.names, self.beginnings)
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+APPLE_NOISE = Skip(X.NOISE, ("._",))
+
+
+def _record(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [pa.field(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=pa.schema(fields))
 
+
+def _listing(root: str, skip: Skip | None, max_path_bytes: int, max_directory_entries: int | None, budget: int) -> Callable:
     def run(batches):
+        tree, listed, rows = place(root), 0, []
         for batch in batches:
-            for native in batch["native"]:
-                yield pd.DataFrame(list(_entries(root, native[len(base) :].strip("/"), True)), columns=[c.split()[0] for c in LISTED.split(", ")])
+            stack = batch.column(0).to_pylist()
+            while stack:
+                below = stack.pop()
+                if listed >= budget:
+                    rows.append((below, None, "open", None, None))
+                    continue
+                here, own = (below.decode() if below else "."), 0
+                try:
+                    for name, kind, size, modified in tree.list(below):
+                        native, own = (below + b"/" if below else b"") + name, own + 1
+                        if max_directory_entries and own > max_directory_entries:
+                            rows.append((below, unicodedata.normalize("NFC", here), "limit", None, None))
+                            break
+                        try:
+                            path = unicodedata.normalize("NFC", native.decode())
+                        except UnicodeDecodeError:
+                            rows.append((native, None, "non_unicode", None, None))
+                            continue
+                        if len(path.encode()) > max_path_bytes:
+                            rows.append((native, None, "overlong", None, None))
+                        elif skip and (noise := skip.prefix(path)) is not None:
+                            rows.append((native, noise, "noise", None, None))
+                        else:
+                            rows.append((native, path, kind, size, modified))
+                            if kind == "directory":
+                                stack.append(native)
+                        if len(rows) >= 10_000:
+                            yield _record(rows, TREE)
+                            rows = []
+                except OSError:
+                    rows.append((below, unicodedata.normalize("NFC", here), "unreadable_directory", None, None))
+                listed += own
+        if rows:
+            yield _record(rows, TREE)
+
+    return run
+
+
+def walk(spark: SparkSession, root: str, skip: Skip | None = None, max_path_bytes: int = 4096, max_entries: int | None = None, max_directory_entries: int | None = None, budget: int = 50_000) -> DataFrame:
+    """All entries below root, as a table: TREE, paths in NFC. kind: file, directory, symlink, special, or a key of TROUBLE. Findings keep the walk
+    going; a limit that is exceeded ends it. The first round is short, so that work spreads early."""
+    at, frontier, known, rounds = shared_folder(spark), spark.createDataFrame([(bytearray(),)], "native binary"), 1, 0
+    while known:
+        run = _listing(root, skip, max_path_bytes, max_directory_entries, budget if rounds else min(budget, 1000))
+        frontier.repartition(min(known, 10_000)).mapInArrow(run, TREE).write.parquet(f"{at}/round={rounds}")
+        done = spark.read.schema(TREE).parquet(f"{at}/round={rounds}")
+        frontier = done.where("kind = 'open'").select("native")
+        known, seen, over = done.agg(F.count_if(F.col("kind") == "open"), F.count_if(~F.col("kind").isin("open", "limit")), F.count_if(F.col("kind") == "limit")).first()
+        rounds, max_entries = rounds + 1, max_entries - seen if max_entries is not None else None
+        if over:
+            raise ValueError("limit exceeded: max_directory_entries")
+        if max_entries is not None and max_entries < 0:
+            raise ValueError("limit exceeded: max_entries")
+    tree = read_folder(spark, at, TREE)
+    out = tree.where("kind <> 'open'")
+    out.cut_path = at
+    return out
+
+
+def deal(rows: DataFrame, weight: Column, key: Column, tasks: int) -> DataFrame:
+    """rows in ``tasks`` partitions of about equal weight, heaviest first. The few rows that weigh a quarter of a task's share or more are dealt
+    in turn, there and back; all others by a hash of their key."""
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    heavy = weight * 4 * tasks >= F.lit(total)  # at most 4 * tasks rows
+    nth = F.row_number().over(Window.orderBy(F.desc("weight"), "key")) - 1
+    lap, seat = F.floor(nth / tasks), F.pmod(nth, F.lit(tasks))
+    few = rows.where(heavy).withColumns({"weight": weight, "key": key}).withColumn("slot", F.when(lap % 2 == 0, seat).otherwise(tasks - 1 - seat).cast("int"))
+    many = rows.where(~heavy).withColumns({"weight": weight, "key": key}).withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(tasks)).cast("int"))
+    return few.unionByName(many).repartitionById(tasks, "slot").sortWithinPartitions(F.desc("weight")).drop("slot", "weight", "key")
+
+
+def tasks_for(spark: SparkSession, rows: DataFrame, weight: Column, task_bytes: int = 1 << 29) -> int:
+    """Enough tasks for ``task_bytes`` each, but no fewer than two a core."""
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    return int(min(100_000, max(2 * spark.sparkContext.defaultParallelism, total // task_bytes)))
+
+
+def digests(stream, keep: bool) -> tuple:
+    """(length, sha256, base64 of sha1, text or null) of a stream, read in blocks."""
+    long, short, n, kept, buffer = hashlib.sha256(), hashlib.sha1(), 0, [], memoryview(bytearray(BLOCK))
+    while size := stream.readinto(buffer):
+        long.update(buffer[:size])
+        short.update(buffer[:size])
+        n += size
+        if keep and n <= TEXT_BYTES:
+            kept.append(bytes(buffer[:size]))
+    try:
+        text = b"".join(kept).decode() if keep and n <= TEXT_BYTES else None
+    except UnicodeDecodeError:
+        text = None
+    return n, long.hexdigest(), base64.b64encode(short.digest()).decode(), text
 
-    below = spark.createDataFrame(dirs, "native string").repartition(min(len(dirs), 10_000)).mapInPandas(run, LISTED)
-    return here.unionByName(below)
 
+def is_text(path: str) -> bool:
+    return path.lower().endswith((".json", ".ini"))
 
-def hash_files(listed: DataFrame, root: str, partitions: int) -> DataFrame:
-    """(path, native, byte_len) -> HASHED, with the text of JSON and INI files up to their limits; an unreadable file has null digests, and one
-    whose length changed meanwhile has its new length."""
+
+def hash_files(files: DataFrame, root: str, tasks: int) -> DataFrame:
+    """TREE rows of files -> HASHED. Each file is opened once. trouble: unreadable (no digests), or changed since it was listed or while it was read."""
 
     def run(batches):
-        system, _ = _open(root)
+        tree = place(root)
         for batch in batches:
             out = []
-            for path, native, size in zip(batch["path"], batch["native"], batch["byte_len"], strict=True):
-                long, short, n, kept = hashlib.sha256(), hashlib.sha1(), 0, []
-                small = path.lower().endswith((".json", ".ini")) and size <= 1 << 20
+            for native, path, _, size, modified in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    with system.open_input_stream(native, buffer_size=0) as f:
-                        while block := f.read(BLOCK):
-                            long.update(block)
-                            short.update(block)
-                            n += len(block)
-                            if small:
-                                kept.append(block)
-                    text = b"".join(kept).decode() if small else None
-                except UnicodeDecodeError:
-                    text = None
+                    with tree.open(native) as file:
+                        before = tree.facts(native, file)
+                        n, long, short, text = digests(file, is_text(path))
+                        changed = before != (size, modified) or tree.facts(native, file) != before or n != size
+                    out.append((native, path, n, long, short, text, tree.created(native), modified // 1_000_000, "changed" if changed else None))
                 except OSError:
-                    out.append((path, size, None, None, None))
-                    continue
-                out.append((path, n, long.hexdigest(), base64.b64encode(short.digest()).decode(), text))
-            yield pd.DataFrame(out, columns=["path", "byte_len", "sha256", "sha1", "text"])
+                    out.append((native, path, size, None, None, None, None, modified // 1_000_000, "unreadable"))
+            yield _record(out, HASHED)
 
-    return listed.select("path", "native", "byte_len").repartition(partitions).mapInPandas(run, HASHED)
+    return deal(files, F.col("byte_len") + OPENING, F.col("native"), tasks).mapInArrow(run, HASHED)
 
 
-def _split(files: DataFrame, max_path_bytes: int, noise: bool) -> tuple[DataFrame, DataFrame]:
-    """(files to read, findings): unsupported kinds go silently, export noise and overlong paths with a finding."""
-    path = F.col("path")
-    cut = X.noise_prefix(path) if noise else F.lit(None).cast("string")
-    rows = files.withColumn("noise", cut).withColumn("too_long", X.path_too_long(path, max_path_bytes))
-    ini = F.lower(X.filename(path)) == X.INI_NAME
-    wanted = rows.where("noise is null and not too_long").where(X.media_kind(path).isNotNull() | X.metadata_kind(path).isNotNull() | ini)
-    found = [finding(rows.where("noise is not null").select("noise").distinct(), "known_apple_export_noise", F.col("noise")), finding(rows.where("noise is null and too_long").limit(1), "portable_path_too_long", F.lit("<path-too-long>"))]
-    return wanted.drop("noise", "too_long"), gather(*found)
-
-
-def scan_media(spark: SparkSession, root: str, prefix: str | None = None, max_path_bytes: int = 4096, noise: bool = False, partitions: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """S-1, S-3: (media, sidecars, findings) below root. media: path, byte_len, sha256, sha1, created, modified (ms); sidecars: path, kind (json, xmp
-    or ini), byte_len, sha256, text. Extensions count in any case. Whole files are hashed in blocks, whatever their length. Links and special
-    files are not followed; with ``prefix`` the tree must have it, or this fails. Write the tables before using them more than once."""
-    tree = list_tree(spark, root)
-    if prefix:
-        tree = require_prefix(tree, prefix)
-    files, found = _split(tree.where("kind = 'file'"), max_path_bytes, noise)
-    links = [finding(tree.where(f"kind = '{k}'"), code, F.col("path")) for k, code in (("symlink", "symlink_not_followed"), ("special", "special_file_not_read"))]
-    hashed = hash_files(files, root, partitions or spark.sparkContext.defaultParallelism).join(files.select("path", F.col("byte_len").alias("listed"), "modified"), "path")
-    fine = hashed.where("sha256 is not null and byte_len = listed")
-    trouble = [finding(hashed.where("sha256 is null"), "unreadable_source_file", F.col("path")), finding(hashed.where("sha256 is not null and byte_len <> listed"), "source_changed_during_scan", F.col("path"))]
-    media = fine.where(X.media_kind(F.col("path")).isNotNull()).select("path", "byte_len", "sha256", "sha1", F.lit(None).cast("bigint").alias("created"), "modified")
-    return media, _sidecars(fine), gather(found, *links, *trouble)
-
-
-def _sidecars(files: DataFrame) -> DataFrame:
-    kind = F.when(F.lower(X.filename(F.col("path"))) == X.INI_NAME, "ini").otherwise(X.metadata_kind(F.col("path")))
-    return files.withColumn("kind", kind).where("kind is not null").select("path", "kind", "byte_len", "sha256", "text")
+@dataclass(frozen=True)
+class Scan:
+    """media: path, byte_len, sha256, sha1, created, modified (ms); sidecars: path, kind (json, xmp or ini), byte_len, sha256, text; findings."""
 
+    media: DataFrame
+    sidecars: DataFrame
+    findings: DataFrame
+    tables: list = field(default_factory=list)
 
-def require_prefix(df: DataFrame, prefix: str) -> DataFrame:
-    """S-3: the rows whose path lies at or below prefix; fails if there are none."""
-    inside = df.where((F.col("path") == prefix) | F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
-    if inside.isEmpty():
-        raise ValueError(f"unsupported layout: nothing below {prefix}")
-    return inside
+    def __iter__(self):
+        return iter((self.media, self.sidecars, self.findings))
 
+    def discard(self) -> None:
+        """Deletes the tables below this scan, once nothing reads them any more."""
+        discard(*self.tables)
 
-def list_archives(spark: SparkSession, paths: list[str], max_parts: int = 64) -> DataFrame:
-    """S-2, first stage: central directories of ZIP parts that executors can open; more than ``max_parts`` are refused."""
-    if len(paths) > max_parts:
-        raise ValueError(f"more than {max_parts} archive parts")
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
-            for path in batch["archive"]:
-                with zipfile.ZipFile(path) as z:
-                    rows = [(path, i, e.filename, e.file_size, e.compress_size, e.compress_type, e.flag_bits, stat.S_ISLNK(e.external_attr >> 16), _zip_time(e)) for i, e in enumerate(z.infolist()) if not e.is_dir()]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")])
+def wanted(path: Column) -> Column:
+    return X.media_kind(path).isNotNull() | X.metadata_kind(path).isNotNull() | (F.lower(X.filename(path)) == X.INI_NAME)
 
-    return spark.createDataFrame([(p,) for p in sorted(paths)], "archive string").repartition(max(1, len(paths))).mapInPandas(run, ENTRY)
-
-
-def _zip_time(entry: zipfile.ZipInfo) -> int | None:
-    try:
-        return int(datetime(*entry.date_time, tzinfo=UTC).timestamp() * 1000)
-    except ValueError:
-        return None
 
+def parted(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(media, sidecars) of entries with digests."""
+    path = F.col("path")
+    kind = F.when(F.lower(X.filename(path)) == X.INI_NAME, "ini").otherwise(X.metadata_kind(path))
+    media = entries.where(X.media_kind(path).isNotNull()).select("path", "byte_len", "sha256", "sha1", "created", "modified")
+    return media, entries.withColumn("kind", kind).where("kind is not null").select("path", "kind", "byte_len", "sha256", "text")
+
+
+def scan_media(spark: SparkSession, root: str, prefix: str | None = None, skip: Skip | None = None, max_path_bytes: int = 4096, max_entries: int | None = None, max_directory_entries: int | None = None, tasks: int | None = None) -> Scan:
+    """S-1, S-3: the media, sidecars and findings of the tree below root, a path or URI. Extensions count in any case. Whole files are hashed in
+    blocks, whatever their length. Links and special files are not followed; with ``prefix`` the tree must have that directory, or this fails. Two
+    names that are one in NFC are two rows. A file that changed meanwhile is a finding, with what was read."""
+    tree = walk(spark, root, skip, max_path_bytes, max_entries, max_directory_entries)
+    if prefix and tree.where((F.col("kind") == "directory") & (F.col("path") == prefix)).isEmpty():
+        discard(tree)
+        raise ValueError(f"unsupported layout: nothing below {prefix}")
+    files = tree.where("kind = 'file'").where(wanted(F.col("path")))
+    entries = cut(hash_files(files, root, tasks or tasks_for(spark, files, F.col("byte_len") + OPENING)))
+    found = [finding(tree.where(F.col("kind") == kind), code, F.lit(shown) if shown else F.col("path")) for kind, (code, shown) in TROUBLE.items()]
+    found += [finding(entries.where(F.col("trouble") == t), code, F.col("path")) for t, code in (("unreadable", "unreadable_source_file"), ("changed", "source_changed_during_scan"))]
+    return Scan(*parted(entries.where("sha256 is not null")), gather(*found), [tree, entries])
 
-def hash_entries(entries: DataFrame, max_bytes: int = 1 << 34, max_ratio: int = 200, grace: int = 1 << 20) -> DataFrame:
-    """S-2, second stage: digests of admitted entries, each opened by its number and streamed in blocks; rejected ones are never inflated
-    -> (archive, idx, path, byte_len, sha256, sha1, text, modified, rejection)."""
-    why = F.when(X.unsafe_entry(F.col("name")), "unsafe_path").when(F.col("symlink"), "symlink").otherwise(X.entry_rejection(*(F.col(c) for c in ("size", "csize", "method", "flags")), max_bytes, max_ratio, grace))
-    judged = entries.withColumn("rejection", why)
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for batch in batches:
-            out = []
-            for archive, group in batch.groupby("archive", sort=False):
-                with zipfile.ZipFile(archive) as z:
-                    known = z.infolist()
-                    for idx, size in zip(group["idx"], group["size"], strict=True):
-                        entry, long, short, kept = known[idx], hashlib.sha256(), hashlib.sha1(), []
-                        small = entry.filename.lower().endswith((".json", ".ini")) and size <= 1 << 20
-                        with z.open(entry) as f:
-                            while block := f.read(1 << 16):
-                                long.update(block)
-                                short.update(block)
-                                if small:
-                                    kept.append(block)
-                        try:
-                            text = b"".join(kept).decode() if small else None
-                        except UnicodeDecodeError:
-                            text = None
-                        out.append((archive, idx, size, long.hexdigest(), base64.b64encode(short.digest()).decode(), text))
-            yield pd.DataFrame(out, columns=["archive", "idx", "byte_len", "sha256", "sha1", "text"])
-
-    good = judged.where("rejection is null").repartition("archive", "idx").mapInPandas(run, "archive string, idx int, byte_len bigint, sha256 string, sha1 string, text string")
-    none = F.lit(None).cast("string")
-    names = X.with_nfc(judged.select("archive", "idx", F.col("name").alias("path"), "size", "modified", "rejection"))
-    bad = names.where("rejection is not null").select("archive", "idx", "path", F.col("size").alias("byte_len"), none.alias("sha256"), none.alias("sha1"), none.alias("text"), "modified", "rejection")
-    return good.join(names.where("rejection is null").drop("size"), ["archive", "idx"]).select(*bad.columns).unionByName(bad)
-
-
-def scan_archives(spark: SparkSession, paths: list[str], export: str = "takeout", prefix: str | None = None, noise: bool = False, max_path_bytes: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """S-2, A-4: ZIP parts as one tree -> (media, sidecars, findings), as ``scan_media``. ``export``: takeout, apple or picasa; the latter two
-    count an entry's time as part of its identity. Any rejected entry is refused as a whole scan, like a missing prefix."""
-    hashed = hash_entries(_wanted(list_archives(spark, paths), max_path_bytes, noise))
-    rejected = hashed.where("rejection is not null").select("path", "rejection").head(1)
-    if rejected:
-        raise ValueError(f"archive entry {rejected[0].path}: {rejected[0].rejection}")
-    if prefix:
-        hashed = require_prefix(hashed, prefix)
-    identity = ["byte_len", "sha256"] + (["modified"] if export != "takeout" else [])
-    ini = F.lower(X.filename(F.col("path"))) == X.INI_NAME
-    merged = merge_archives(hashed.where(~ini), identity)
-    names = ("identical_takeout_archive_entry", "conflicting_takeout_archive_entry") if export == "takeout" else ("identical_archive_entry", "conflicting_archive_entry")
-    rules = PICASA_ARCHIVE_RULES if export == "picasa" else {}
-    found = [finding(merged.where(f"outcome = '{o}'"), code, F.col("path"), rule=rules.get(code)) for o, code in zip(("duplicate", "conflict"), names, strict=True)]
-    listed = list_archives(spark, paths).withColumnRenamed("name", "path")
-    if noise:
-        cut = listed.select(X.noise_prefix(F.col("path")).alias("noise")).where("noise is not null").distinct()
-        found.append(finding(cut, "known_apple_export_noise", F.col("noise")))
-    rest = hashed.where(~ini).join(merged.where("outcome <> 'conflict'").select("path"), "path", "left_semi").groupBy("path").agg(*[F.min_by(c, F.struct("archive", "idx")).alias(c) for c in ("byte_len", "sha256", "sha1", "text", "modified")])
-    every = rest.unionByName(hashed.where(ini).select(*rest.columns))
-    media = every.where(X.media_kind(F.col("path")).isNotNull()).select("path", "byte_len", "sha256", "sha1", F.lit(None).cast("bigint").alias("created"), "modified")
-    return media, _sidecars(every), reduce(DataFrame.unionByName, found).distinct()
-
-
-def _wanted(entries: DataFrame, max_path_bytes: int, noise: bool) -> DataFrame:
-    """Entries to judge and hash: media, sidecars and INI files outside export noise. Overlong paths fail the scan."""
-    path = F.col("name")
-    rows = entries.where(X.noise_prefix(path).isNull()) if noise else entries
-    rows = rows.where(X.media_kind(path).isNotNull() | X.metadata_kind(path).isNotNull() | (F.lower(X.filename(path)) == X.INI_NAME) | X.unsafe_entry(path))
-    if not rows.where(X.path_too_long(path, max_path_bytes)).isEmpty():
-        raise ValueError("limit exceeded: max_path_bytes")
-    return rows
+def require_prefix(df: DataFrame, prefix: str) -> DataFrame:
+    """S-3: the rows whose path lies at or below prefix; fails if there are none."""
+    inside = df.where((F.col("path") == prefix) | F.startswith("path", F.lit(prefix.rstrip("/") + "/")))
+    if inside.isEmpty():
+        raise ValueError(f"unsupported layout: nothing below {prefix}")
+    return inside

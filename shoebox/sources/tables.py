@@ -10,11 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoebox-")
+    """A new folder below spark.checkpoint.dir, which all executors share; a temporary one only on a local master where that is unset, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="shoebox-")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All Parquet files below a folder, whatever its subfolders are called."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table: its lineage ends there, it is computed once, and any executor can be lost."""
     path = shared_folder(df.sparkSession)

@@ -10,7 +10,7 @@ from shoebox import diagnostics as D
 from shoebox.plans import build as B
 from shoebox.plans import summary as P
 from shoebox.sources import documents as S
-from shoebox.sources import files
+from shoebox.sources import archives, files
 
 TAKEOUT = "Takeout/Google Photos/"
 ALPHA = '{"title":"alpha.png","description":"synthetic alpha description","creationTime":{"timestamp":"1704060000","formatted":"ignored creation display"},"photoTakenTime":{"timestamp":"1704067200","formatted":"ignored capture display"},"geoData":{"latitude":1.25,"longitude":2.5},"geoDataExif":{"latitude":3.5,"longitude":-4.25}}\n'
@@ -127,7 +127,7 @@ def tree(tmp_path_factory):
 
 
 def test_folder_scan_and_plan(spark, tree):
-    media, sidecars, found = files.scan_media(spark, str(tree), noise=True)
+    media, sidecars, found = files.scan_media(spark, str(tree), skip=files.APPLE_NOISE)
     rows = {r.path: r for r in media.collect()}
     assert set(rows) == {"Case.PNG", "case.png", "alpha.JPG", "nested dir/café.png", "nested dir/repeat.Mov", "other/repeat.Mov", "pair.mov", "pair.png"}
     assert all(r.sha256 == hashlib.sha256(png(p.replace("é", "é"))).hexdigest() and r.byte_len == len(png(p.replace("é", "é"))) for p, r in rows.items())
@@ -151,18 +151,18 @@ def test_archives_equal_the_tree(spark, tree, tmp_path):
     with pytest.warns(UserWarning), zipfile.ZipFile(tmp_path / "p2.zip", "w") as z:
         z.writestr("twice.jpg", b"1")
         z.writestr("twice.jpg", b"2")
-    media, sidecars, found = files.scan_archives(spark, [str(tmp_path / f"p{i}.zip") for i in range(3)])
+    media, sidecars, found = archives.scan_archives(spark, [f"file://{tmp_path}/p{i}.zip" for i in range(3)])
     assert {r.path: r.sha256 for r in media.collect()} == {p: hashlib.sha256(png(p)).hexdigest() for p in names if not p.endswith(("json", "xmp"))}
     assert sorted(r.path for r in sidecars.collect()) == ["alpha.JPG.json", "lone.json", "pair.xmp"]
     assert sorted((r.code, tuple(r.paths)) for r in found.collect()) == [("conflicting_takeout_archive_entry", ("twice.jpg",)), ("identical_takeout_archive_entry", ("pair.png",))]
-    entries = files.hash_entries(files.list_archives(spark, [str(tmp_path / "p2.zip")]))
+    entries = archives.hash_entries(archives.judge(archives.list_archives(spark, [str(tmp_path / "p2.zip")])), 2)
     assert sorted(r.sha256 for r in entries.collect()) == sorted(hashlib.sha256(x).hexdigest() for x in (b"1", b"2"))
     with pytest.raises(ValueError, match="64"):
-        files.list_archives(spark, ["x"] * 65)
+        archives.list_archives(spark, ["x"] * 65)
     with zipfile.ZipFile(tmp_path / "evil.zip", "w") as z:
         z.writestr("../evil.jpg", b"x")
     with pytest.raises(ValueError, match="unsafe_path"):
-        files.scan_archives(spark, [str(tmp_path / "evil.zip")])
+        archives.scan_archives(spark, [str(tmp_path / "evil.zip")])
 
 
 def test_inventory_pages(spark, tmp_path):
