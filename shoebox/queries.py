@@ -15,7 +15,9 @@ from .operators import journal as J
 from .operators import matching as M
 from .plans import build as B
 from .plans import summary as P
+from .sources import archives as Z
 from .sources import documents as D
+from .sources import files as T
 from .sources import sinks as K
 from .sources.tables import cut, shared_folder
 from .streaming import rollup as R
@@ -794,3 +796,100 @@ def _(s, d):
     path, p = shared_folder(s), t(s, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("byte_len"))
     K.write_plan(p, p.limit(0), P.archive_summary(p), path)
     return s.read.parquet(f"{path}/assets")
+
+
+# documents as the files of an export: every kind, export noise, a name in two forms of Unicode, parts of an archive
+def export_files(s, d):
+    """(native, path, text) of one file a document."""
+    kind = "case doc_id % 5 when 0 then '.jpg' when 1 then '.MOV' when 2 then '.json' when 3 then '.txt' else '.xmp' end"
+    path = f"concat(source, '/', lang, '/', case when doc_id % 11 = 0 then '@eaDir/' else '' end, case when doc_id % 7 = 0 then 'cafe\\u0301' else 'n' end, doc_id, {kind})"
+    return t(s, d, "documents").select(ex(path).cast("binary").alias("native"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), "doc_id")
+
+
+def write_tree(files, root):
+    """Each task writes its rows; a task that runs again writes the same."""
+
+    def run(batches):
+        import os
+
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+        for batch in batches:
+            for native, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{top}/{native.decode()}"
+                system.create_dir(at.rpartition("/")[0])
+                with system.open_output_stream(at) as out:
+                    out.write(body)
+        yield from ()
+
+    files.select("native", "body").mapInArrow(run, "native binary, body binary").write.format("noop").mode("overwrite").save()
+
+
+def write_parts(files, root, parts):
+    """ZIP parts, each streamed by one task: (part, native, body)."""
+
+    def run(batches):
+        import io
+        import os
+        import zipfile
+
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+        system.create_dir(top)
+        out = z = None
+        for batch in batches:
+            for part, native, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if z is None:
+                    out = io.BufferedWriter(system.open_output_stream(f"{top}/part{part}.zip").__enter__())
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(native.decode(), (2024, 1, 1, 0, 0, 0)), body, zipfile.ZIP_DEFLATED)
+        if z is not None:
+            z.close()
+            out.close()
+        yield from ()
+
+    files.select("part", "native", "body").repartitionById(parts, "part").sortWithinPartitions("native").mapInArrow(run, "part int, native binary, body binary").write.format("noop").mode("overwrite").save()
+
+
+FILES = """f as (select source || '/' || lang || '/' || case when doc_id % 11 = 0 then '@eaDir/' else '' end || case when doc_id % 7 = 0 then 'café' else 'n' end || doc_id || case doc_id % 5 when 0 then '.jpg' when 1 then '.MOV' when 2 then '.json' when 3 then '.txt' else '.xmp' end path, doc_id, source, lang, coalesce(text, '') body from documents)"""
+KIND = "case doc_id % 5 when 0 then 'image' when 1 then 'video' when 2 then 'json' else 'xmp' end"
+
+
+def scanned(scan):
+    path = F.col("path")
+    return scan.media.select("path", X.media_kind(path).alias("kind"), "byte_len", "sha256", "sha1").unionByName(scan.sidecars.select("path", "kind", "byte_len", "sha256", F.lit(None).cast("string").alias("sha1")))
+
+
+@query("tree_scan", f"with {FILES} select path, {KIND} kind, cast(strlen(body) as bigint) byte_len, sha256(body) sha256, case when doc_id % 5 < 2 then base64(unhex(sha1(body))) end sha1 from f where doc_id % 5 <> 3 and doc_id % 11 <> 0")
+def _(s, d):
+    root = shared_folder(s)
+    write_tree(export_files(s, d), root)
+    return scanned(B.scan_source(s, root, "apple_photos"))
+
+
+@query("tree_scan_findings", f"with {FILES} select 'known_apple_export_noise' code, source || '/' || lang || '/@eaDir' paths from f where doc_id % 11 = 0 group by 2")
+def _(s, d):
+    root = shared_folder(s)
+    write_tree(export_files(s, d), root)
+    return joined(B.scan_source(s, root, "apple_photos").findings.select("code", "paths"), "paths")
+
+
+def export_parts(s, d, parts=8):
+    """The files in parts by number; every tenth is in the next part too, every fiftieth there with another content."""
+    f = export_files(s, d).withColumn("native", F.concat(F.lit("Takeout/Google Photos/").cast("binary"), "native"))
+    twice = f.where("doc_id % 10 = 0").select("native", ex("case when doc_id % 50 = 0 then concat(body, cast('x' as binary)) else body end").alias("body"), ex(f"cast((doc_id + 1) % {parts} as int)").alias("part"))
+    root = shared_folder(s)
+    write_parts(f.select("native", "body", ex(f"cast(doc_id % {parts} as int)").alias("part")).unionByName(twice), root, parts)
+    return [f"{root}/part{i}.zip" for i in range(parts)]
+
+
+@query("archive_scan", f"with {FILES} select 'Takeout/Google Photos/' || path path, {KIND} kind, cast(strlen(body) as bigint) byte_len, sha256(body) sha256, case when doc_id % 5 < 2 then base64(unhex(sha1(body))) end sha1 from f where doc_id % 5 <> 3 and doc_id % 50 <> 0")
+def _(s, d):
+    return scanned(B.scan_source(s, export_parts(s, d), "google_takeout"))
+
+
+@query("archive_scan_findings", f"with {FILES} select case when doc_id % 50 = 0 then 'conflicting_takeout_archive_entry' else 'identical_takeout_archive_entry' end code, 'Takeout/Google Photos/' || path paths from f where doc_id % 10 = 0")
+def _(s, d):
+    return joined(B.scan_source(s, export_parts(s, d), "google_takeout").findings.select("code", "paths"), "paths")

@@ -140,8 +140,8 @@ def hash_entries(judged: DataFrame, tasks: int) -> DataFrame:
 def scan_archives(spark: SparkSession, archives: list[str], export: str = "takeout", prefix: str | None = None, skip: Skip | None = None, max_path_bytes: int = 4096, max_entries: int | None = None, tasks: int | None = None) -> Scan:
     """S-2, A-4: ZIP parts as one tree, as ``scan_media``. ``export``: takeout, apple or picasa; the latter two count an entry's time as part of its
     identity. Only what lies below ``prefix`` counts, and something must. An entry that is refused or damaged refuses the whole scan, as does a part that changes meanwhile."""
-    before = _facts(archives)
-    listed = cut(list_archives(spark, archives))
+    directories = list_archives(spark, archives)
+    before, listed = _facts(archives), cut(directories)
     try:
         judged = judge(listed)
         if max_entries is not None and listed.count() > max_entries:
