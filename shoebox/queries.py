@@ -21,6 +21,7 @@ from .sources import files as T
 from .sources import sinks as K
 from .sources.tables import cut, shared_folder
 from .streaming import rollup as R
+from .streaming import state as W
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 QUERIES: dict = {}
@@ -610,20 +611,30 @@ def _(s, d):
 def _(s, d):
     e = R.event_stream(s, d, "events", EVENTS)
     j = e.select(F.col("user_id").alias("effect_key"), F.col("event_id").alias("sequence"), ex("case event_type when 'click' then 'created' when 'view' then 'duplicate' when 'purchase' then 'failed' else 'indeterminate' end").alias("outcome"))
-    return R.drain(R.journal_fold(j), ["effect_key"])
+    return R.drain(W.journal_fold(j), ["effect_key"])
 
 
 @query("terminal_runs", "select user_id run, arg_min(event_type, event_id) stage, min(event_id) sequence from events where event_type in ('purchase', 'logout') group by 1")
 def _(s, d):
     e = R.event_stream(s, d, "events", EVENTS)
-    p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"))
-    return R.drain(R.terminal_runs(p, ("purchase", "logout"), None), ["run"])
+    p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"), F.col("ts").cast("timestamp").alias("ts"))
+    return R.deliveries(W.terminal_runs(p, ("purchase", "logout"), "event", 3_600_000)).drop("_batch")
 
 
 @query("replay_buffer_stream", "select run, string_agg(sequence, ',' order by sequence) sequences from (select user_id run, event_id sequence from events qualify row_number() over (partition by user_id order by event_id desc) <= 8) group by 1")
 def _(s, d):
     e = R.event_stream(s, d, "events", EVENTS)
-    return joined(R.drain(R.replay_buffer(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence")), 8, None), ["run"]), "sequences")
+    p = e.select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("ts"))
+    return joined(R.drain(W.replay_buffer(p, 8, "event", 3_600_000), ["run"]), "sequences")
+
+
+@query("subscriptions", """with f as (select user_id run, min(event_id) ends from events where event_type = 'logout' group by 1), e as (select user_id run, event_id sequence, event_type stage from events left join f on run = user_id where event_id <= coalesce(ends, event_id) qualify row_number() over (partition by user_id order by event_id desc) <= 128),
+g as (select run, min(sequence) low, max(sequence) high from e group by 1), c as (select c_custkey run, c_custkey // 3 subscriber, case when c_custkey % 5 > 0 then c_custkey * 70 - 40 end as after from customer), s as (select run, subscriber, after, case when low is null then 'unknown' when after > high then 'invalid' when after + 1 < low then 'exhausted' else 'event' end delivery from c left join g using (run))
+select run, cast(subscriber as varchar) subscriber, delivery, null::bigint sequence, null stage from s where delivery <> 'event' union all select run, cast(subscriber as varchar), delivery, sequence, stage from s join e using (run) where delivery = 'event' and sequence > coalesce(after, -1)""")
+def _(s, d):
+    e = R.event_stream(s, d, "events", EVENTS).select(F.col("user_id").alias("run"), F.col("event_id").alias("sequence"), F.col("event_type").alias("stage"))
+    c = R.event_stream(s, d, "customer", "c_custkey bigint").select(F.col("c_custkey").alias("run"), ex("c_custkey div 3").alias("subscriber"), ex("case when c_custkey % 5 > 0 then c_custkey * 70 - 40 end").alias("after"))
+    return R.deliveries(W.subscriptions(e, c, 128, ("logout",))).drop("_batch")
 
 
 @query("replayed_events", "with g as (select user_id run, min(event_id) low, max(event_id) high from events group by 1) select e.user_id run, e.event_id sequence from events e join customer on c_custkey = e.user_id join g on run = e.user_id where e.event_id > c_custkey * 70 - 40 and c_custkey * 70 - 40 <= high and c_custkey * 70 - 39 >= low")

@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def read_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, schema) -> DataFrame:
     """All Parquet files below a folder, whatever its subfolders are called."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
 

@@ -1,14 +1,11 @@
-"""Sequence-ordered streams. There is no event time in these data, so state is keyed and guarded by sequence."""
+"""Streams over files, rollups by key, and running them over what is there; see ``state`` for keyed state."""
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import read_folder, shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
@@ -22,65 +19,30 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("run").agg(F.max("sequence").alias("sequence"), F.max_by("stage", "sequence").alias("stage"), *more)
 
 
-def journal_fold(effects: DataFrame) -> DataFrame:
-    """T-3: the newest effect of each key. State is one row a key, as is the result; give the stream a RocksDB state store where keys exceed memory."""
-    return effects.groupBy("effect_key").agg(F.max_by(F.struct("sequence", "outcome"), "sequence").alias("x")).select("effect_key", "x.sequence", "x.outcome")
-
+def advance(stream: DataFrame, at: str) -> None:
+    """Runs a stream over all that is there, from where it stopped at this place before; its batches stand below ``out``. A batch that runs again replaces itself."""
 
-def replay_buffer(events: DataFrame, n: int = 128, forget_ms: int | None = 3_600_000) -> DataFrame:
-    """T-4: (run, sequence) -> per run, whenever it has news: the newest n sequences, oldest first. State is n numbers a run, and goes when a run
-    has had no event for ``forget_ms``. Late and repeated events change nothing that is newer. Without ``forget_ms`` state stays: for streams that end, as a
-    stream with timeouts never runs out of batches."""
-
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known = set(state.get[0]) if state.exists else set()
-        for pdf in batches:
-            known.update(int(x) for x in pdf["sequence"])
-            known = set(heapq.nlargest(n, known))
-        newest = sorted(known)
-        state.update((newest,))
-        if forget_ms:
-            state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame({"run": [key[0]], "sequences": [newest]})
+    def write(df: DataFrame, n: int) -> None:
+        df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/b{n}")
 
-    kind = events.schema["run"].dataType.simpleString()
-    return events.select("run", "sequence").groupBy("run").applyInPandasWithState(update, f"run {kind}, sequences array<bigint>", "sequences array<bigint>", "update", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
-def terminal_runs(events: DataFrame, terminal: tuple[str, ...], forget_ms: int | None = 3_600_000) -> DataFrame:
-    """T-5: (run, sequence, stage) -> the first terminal event of each run, once. After it, a mark holds further rows of the run off for ``forget_ms``,
-    then the state is cleared; runs without a terminal event hold no state. None: as for ``replay_buffer``."""
+def read_deliveries(stream: DataFrame, at: str) -> DataFrame:
+    """What ``advance`` has written so far, with the number of each row's batch."""
+    return read_folder(stream.sparkSession, f"{at}/out", stream.withColumn("_batch", F.lit(0)).schema)
 
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        rows = rows[rows["stage"].isin(terminal)].sort_values("sequence")
-        if state.exists or rows.empty:
-            return
-        state.update((True,))
-        if forget_ms:
-            state.setTimeoutDuration(forget_ms)
-        yield pd.DataFrame({"run": [key[0]], "stage": [rows["stage"].iloc[0]], "sequence": [int(rows["sequence"].iloc[0])]})
 
-    kind = events.schema["run"].dataType.simpleString()
-    return events.select("run", "sequence", "stage").groupBy("run").applyInPandasWithState(update, f"run {kind}, stage string, sequence bigint", "ended boolean", "update", "ProcessingTimeTimeout" if forget_ms else "NoTimeout")
+def deliveries(stream: DataFrame, at: str | None = None) -> DataFrame:
+    """All rows that a stream gives over what is there, as a table."""
+    at = at or shared_folder(stream.sparkSession)
+    advance(stream, at)
+    return read_deliveries(stream, at)
 
 
 def drain(stream: DataFrame, key: list[str]) -> DataFrame:
     """Runs a keyed update stream over all that is there and returns its newest row of each key, as a table."""
-    spark = stream.sparkSession
-    at = shared_folder(spark)
-
-    def write(df: DataFrame, n: int) -> None:
-        df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/b{n}")
-
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.option("recursiveFileLookup", True).parquet(f"{at}/out")
+    out = deliveries(stream)
     rest = [c for c in out.columns if c not in (*key, "_batch")]
     return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*key, "x.*")
