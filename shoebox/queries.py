@@ -18,6 +18,7 @@ from .plans import summary as P
 from .sources import archives as Z
 from .sources import documents as D
 from .sources import files as T
+from .sources import journal_store as J3
 from .sources import sinks as K
 from .sources.tables import cut, shared_folder
 from .streaming import rollup as R
@@ -794,12 +795,33 @@ def _(s, d):
     return K.read_effects(s, path)
 
 
+@query("effects_journal_stream", "select event_id sequence, sha256(cast(user_id as varchar)) effect_key from events where event_id % 3 < 2")
+def _(s, d):
+    path, e = shared_folder(s), t(s, d, "events").select(F.col("event_id").alias("sequence"), F.sha2(F.col("user_id").cast("string"), 256).alias("effect_key"))
+    write, at = K.append_effects(path), shared_folder(s)
+    stream = lambda: K.stream_effects(s, path, "sequence bigint, effect_key string")
+    write(e.where("sequence % 3 = 0"), 0)
+    R.advance(stream(), at)
+    J3.Journal(s, path).stage(e.where("sequence % 3 = 2"))  # never committed
+    write(e.where("sequence % 3 = 1"), 1)
+    write(e.where("sequence % 3 = 1"), 1)
+    return R.deliveries(stream(), at).drop("_batch")
+
+
+@query("history_sink", "select event_id sequence, cast(floor(epoch(ts)) as bigint) recorded_unix, event_type status from events where event_type in ('purchase', 'logout')")
+def _(s, d):
+    path, h = shared_folder(s), t(s, d, "events").where("event_type in ('purchase', 'logout')").select(F.col("event_id").alias("sequence"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("recorded_unix"), F.col("event_type").alias("status"))
+    K.append_history(h.where("sequence % 2 = 0"), path)
+    K.append_history(h.unionByName(h), path)
+    return K.read_stored(s, path)
+
+
 @query("receipts_sink", "select c_custkey receipt_ref, c_nationkey plan_ref, true stored from customer")
 def _(s, d):
     path, r = shared_folder(s), t(s, d, "customer").select(F.col("c_custkey").alias("receipt_ref"), F.col("c_nationkey").alias("plan_ref"))
     K.append_receipts(r.where("receipt_ref % 3 = 0"), path)
     K.append_receipts(r, path)
-    return s.read.parquet(path)
+    return K.read_stored(s, path)
 
 
 @query("plan_sink", "select p_partkey path, p_size byte_len from part")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .journal_store import Journal
+
 
 def write_plan(assets: DataFrame, diagnostics: DataFrame, summary: DataFrame, path: str) -> None:
     """K-1, K-2: three Parquet tables; assets are range-partitioned and sorted by path."""
@@ -14,17 +16,22 @@ def write_plan(assets: DataFrame, diagnostics: DataFrame, summary: DataFrame, pa
 
 
 def append_effects(path: str):
-    """K-3: for foreachBatch. A batch that is delivered again writes to the same place, so no effect is doubled."""
+    """K-3: for foreachBatch. A batch that is delivered again is already in the log, so no effect is doubled; one that was cut short never shows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["effect_key", "sequence"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        Journal(batch.sparkSession, path).append(batch.dropDuplicates(["effect_key", "sequence"]), batch_id)
 
     return write
 
 
 def read_effects(spark: SparkSession, path: str) -> DataFrame:
-    """S-8: the journal that append_effects wrote."""
-    return spark.read.parquet(path).drop("batch")
+    """S-8: the effects that have been committed."""
+    return Journal(spark, path).read()
+
+
+def stream_effects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S-8: the same as a stream, batch by batch."""
+    return Journal(spark, path).stream(schema)
 
 
 def write_operations(operations: DataFrame, summary: DataFrame, path: str, manifest: bool = False) -> None:
@@ -39,21 +46,16 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def _known(spark: SparkSession, path: str, key: str, like: DataFrame) -> DataFrame:
-    """The keys stored at path; none before the first append. Any other trouble with reading is an error."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return like.select(key).limit(0)
-    return spark.read.parquet(path).select(key)
-
-
 def append_receipts(new: DataFrame, path: str, key: str = "receipt_ref") -> None:
     """K-4: receipts that are not yet there."""
-    known = _known(new.sparkSession, path, key, new)
-    new.dropDuplicates([key]).join(known, key, "left_anti").withColumn("stored", F.lit(True)).write.mode("append").parquet(path)
+    Journal(new.sparkSession, path).append_new(new.withColumn("stored", F.lit(True)), key)
 
 
 def append_history(records: DataFrame, path: str) -> None:
     """K-4: terminal records (sequence, recorded_unix, status, ...), each sequence once."""
-    known = _known(records.sparkSession, path, "sequence", records)
-    records.dropDuplicates(["sequence"]).join(known, "sequence", "left_anti").write.mode("append").parquet(path)
+    Journal(records.sparkSession, path).append_new(records, "sequence")
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """K-4: the receipts or records that have been committed."""
+    return Journal(spark, path).read()
