@@ -96,12 +96,16 @@ class Side:
         crossed = [p for p in pieces if EDGE.search(p.replace("▁", " "))]
         self.cuts = not crossed and not any("\n" in p for p in pieces if self.pieces)
 
-    def ids(self, units: list[str]) -> list[list[int]]:
-        """Of units, wherever they stand in space + text."""
+    def ids(self, units: list[str]) -> list[int]:
+        """Of units one after the other, each as it stands in space + text: wherever a unit begins, nothing is joined."""
         if self.pieces:
             found = self.model.encode([u[1:] if u[:1] == " " else u for u in units], num_threads=1)
-            return [ids if u[:1] == " " else ids[1:] for u, ids in zip(units, found, strict=True)]  # a line end joins no piece, so the space put before it is one
-        return [list(chain.from_iterable(map(self.words.__getitem__, self.split(u)))) if self.known and SETTLED(u) else self.model.encode(u, add_special_tokens=False).ids for u in units]
+            return [*chain.from_iterable([ids if u[:1] == " " else ids[1:] for u, ids in zip(units, found, strict=True)])]  # a line end joins no piece, so the space put before it is one
+        joined = "".join(units)
+        if self.known and SETTLED(joined):
+            return [*chain.from_iterable(map(self.words.__getitem__, self.split(joined)))]
+        odd = [[*chain.from_iterable(map(self.words.__getitem__, self.split(u)))] if self.known and SETTLED(u) else self.model.encode(u, add_special_tokens=False).ids for u in units]
+        return [*chain.from_iterable(odd)]
 
 
 def sums_between(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,6 +136,8 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, limit_bytes: int = 120_000_000):
         self.side_a, self.side_b, self.limit = Side(path_a), Side(path_b), limit_bytes
         self.cuts = self.side_a.cuts and self.side_b.cuts
+        most = max(len(self.side_a.bytes), len(self.side_b.bytes))
+        self.shown = [f"{i}{sign}".encode() for sign in ",|;" for i in range(most)]  # within a side of a group, at the end of its first, at its end
         self.clear()
 
     def clear(self) -> None:
@@ -140,23 +146,23 @@ class Aligner:
 
     def add(self, units: list[str]) -> None:
         """Encodes and aligns new units, all at once."""
-        ids_a, ids_b, raw = self.side_a.ids(units), self.side_b.ids(units), [u.encode() for u in units]
-        flat_a, flat_b = ([*chain.from_iterable(ids)] for ids in (ids_a, ids_b))
-        a, b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
-        sums = np.zeros((len(units), 5), np.int64)
-        sums[:, 0], sums[:, 1] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-        spelt_a, spelt_b, whole = b"".join(map(self.side_a.bytes.__getitem__, flat_a)), b"".join(map(self.side_b.bytes.__getitem__, flat_b)), b"".join(raw)
+        raw = [u.encode() for u in units]
         length = np.array([len(u) for u in raw], np.int64)
-        own_a, own_b = sums_between(self.side_a.sizes[a], sums[:, 0]), sums_between(self.side_b.sizes[b], sums[:, 1])
-        fine = (own_a == length) & (own_b == length)
-        if not (fine.all() and spelt_a == whole == spelt_b):  # one by one
-            at_a, at_b = np.cumsum(own_a).tolist(), np.cumsum(own_b).tolist()
-            fine &= [spelt_a[x - len(u) : x] == u == spelt_b[y - len(u) : y] for x, y, u in zip(at_a, at_b, raw, strict=True)]
-            a, b = a[np.repeat(fine, sums[:, 0])], b[np.repeat(fine, sums[:, 1])]
-        sums[:, 4] = fine
+        ids = [side.ids(units) for side in (self.side_a, self.side_b)]
+        a, b = (np.array(x, np.int64) for x in ids)
+        fine = np.ones(len(units), bool)
+        whole = b"".join(raw)
+        if not all(b"".join(map(side.bytes.__getitem__, x)) == whole for side, x in zip((self.side_a, self.side_b), ids, strict=True)):  # one by one
+            each = [[side.ids([u]) for u in units] for side in (self.side_a, self.side_b)]
+            fine = np.array([all(b"".join(map(side.bytes.__getitem__, x)) == u for side, x in zip((self.side_a, self.side_b), pair, strict=True)) for u, *pair in zip(raw, *each, strict=True)], bool)
+            a, b = (np.array([*chain.from_iterable(x for x, good in zip(of, fine, strict=True) if good)], np.int64) for of in each)
         good = np.flatnonzero(fine)
         ends_a, ends_b = np.cumsum(self.side_a.sizes[a]), np.cumsum(self.side_b.sizes[b])
         unit_ends = np.cumsum(length[good])
+        sums = np.zeros((len(units), 5), np.int64)
+        sums[:, 4] = fine
+        for k, ends in ((0, ends_a), (1, ends_b)):
+            sums[good, k] = np.diff(np.searchsorted(ends, unit_ends, "right"), prepend=0)
         # between two neighbouring borders of either side lies one pair of overlapping tokens
         edges = np.union1d(ends_a, ends_b)
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -178,18 +184,16 @@ class Aligner:
         self.texts += every
         self.room -= sum(260 + 3 * len(u) + len(x) for u, x in zip(raw, every, strict=True)) + 8 * len(pairs)
 
-    @staticmethod
-    def _texts(a, b, group_a, group_b, borders) -> list[bytes]:
+    def _texts(self, a, b, group_a, group_b, borders) -> list[bytes]:
         """``a1,a2|b1`` for each group, joined by ``;`` for each unit: its groups end before its border."""
         side = np.repeat([0, 1], [len(a), len(b)])
         group = np.concatenate([group_a, group_b])
-        order = np.lexsort((side, group))
+        order = np.argsort(group * 2 + side, kind="stable")
         ids, side, group = np.concatenate([a, b])[order], side[order], group[order]
         ends = np.append((side[1:] != side[:-1]) | (group[1:] != group[:-1]), True) if len(ids) else np.zeros(0, bool)
-        signs = np.where(ends, np.where(side == 0, "|", ";"), ",").tolist()
-        parts = [f"{i}{s}" for i, s in zip(ids.tolist(), signs, strict=True)]
+        shown = [*map(self.shown.__getitem__, (ids + len(self.shown) // 3 * np.where(ends, 1 + side, 0)).tolist())]
         at = np.searchsorted(group, borders).tolist()
-        return ["".join(parts[lo:hi])[:-1].encode() for lo, hi in zip([0, *at], at, strict=False)]
+        return [b"".join(shown[lo:hi])[:-1] for lo, hi in zip([0, *at], at, strict=False)]
 
     def texts_at_once(self, parts: list[str]) -> tuple:
         """(sums of each part, bytes of its groups or None where a unit isn't spelled, and (part, pair, times) of links, of which a pair may come several times)."""
@@ -260,7 +264,7 @@ class Aligner:
     def _whole(self, text: str) -> tuple | None:
         """A text with a unit that its tokens don't spell: the whole decides."""
         alone = Aligner.__new__(Aligner)
-        alone.side_a, alone.side_b, alone.limit = self.side_a, self.side_b, 0
+        alone.side_a, alone.side_b, alone.limit, alone.shown = self.side_a, self.side_b, 0, self.shown
         alone.clear()
         alone.add([" " + text])
         return ((*alone.sums[:4], hashlib.sha256(alone.texts[0]).hexdigest()), np.array(alone.pairs, np.int64)) if alone.sums[4] else None
