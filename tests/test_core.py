@@ -175,7 +175,7 @@ def test_receipts_and_history_are_appended_once(spark, tmp_path):
     for _ in range(2):
         sinks.append_receipts(new, str(tmp_path / "r"))
         sinks.append_history(new, str(tmp_path / "h"))
-    assert sinks.read_stored(spark, str(tmp_path / "r")).count() == 2 and K.read_stored(spark, str(tmp_path / "h")).count() == 2
+    assert sinks.read_stored(spark, str(tmp_path / "r")).count() == 2 and sinks.read_stored(spark, str(tmp_path / "h")).count() == 2
     (tmp_path / "broken" / "log").mkdir(parents=True)
     (tmp_path / "broken" / "log" / "0000000000000000000.json").write_text('{"batch": 0, "folder": "gone", "files": []}')
     with pytest.raises(Exception):  # noqa: B017
