@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..diagnostics import finding, first_paths
 from ..functions import expr as X
+from ..sources.tables import cut
 
 
 def unicode_collisions(media: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -62,16 +63,24 @@ def alias_findings(collapsed: DataFrame) -> DataFrame:
     return finding(collapsed.where("n > 1"), "content_identical_takeout_aliases", F.col("paths"))
 
 
-def gathered(bridge: DataFrame, media: DataFrame, fields: list[str], name: str) -> DataFrame:
-    """A-5: what all copies of a content have (bridge: path, fields...) goes to its canonical path -> (path, name: sorted set of structs)."""
-    owner = media.join(collapse_owner(media), ["byte_len", "sha256"]).select("path", "owner")
-    every = bridge.join(owner, "path").select(F.col("owner").alias("path"), F.struct(*fields).alias("x")).distinct()
-    return every.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias(name))
-
-
 def collapse_owner(media: DataFrame) -> DataFrame:
-    """(byte_len, sha256, owner): the canonical path of each content."""
-    return media.groupBy("byte_len", "sha256").agg(F.min(F.struct("rank", "path")).alias("best")).select("byte_len", "sha256", F.col("best.path").alias("owner"))
+    """(byte_len, sha256, owner, n): the canonical path of each content, and its copies."""
+    best = media.groupBy("byte_len", "sha256").agg(F.min(F.struct("rank", "path")).alias("best"), F.count("*").alias("n"))
+    return best.select("byte_len", "sha256", F.col("best.path").alias("owner"), "n")
+
+
+def owners(media: DataFrame, parts: int | None = None) -> DataFrame:
+    """A-5: (path, owner) of every copy. Contents of so many copies that one task would have more than its eighth of a share from them alone are few, by their
+    counts: their owners are sent to all tasks. The rest is joined by hash, so no content is any task's work."""
+    parts = parts or int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(collapse_owner(media))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * 8 * parts > total  # fewer than 8 * parts contents
+    key = ["byte_len", "sha256"]
+    few = known.where(heavy).select(*key, "owner")
+    tagged = media.select("path", *key).join(F.broadcast(few), key, "left")
+    rest = tagged.where("owner is null").select("path", *key).join(known.where(~heavy).select(*key, "owner"), key)
+    return tagged.where("owner is not null").select("path", "owner").unionByName(rest.select("path", "owner"))
 
 
 def resolve_metadata(media: DataFrame, fields: list[str], albums: str | None = None) -> DataFrame:

@@ -115,3 +115,35 @@ def differential(plan: DataFrame, observed: DataFrame) -> DataFrame:
     n = a.join(b, "path", "full_outer").agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count("*").alias("every"))
     checks = {"equal": (F.col("only_a") + F.col("only_b")) == 0, "subset": F.col("only_a") == 0, "superset": F.col("only_b") == 0, "disjoint": F.col("only_a") + F.col("only_b") == F.col("every")}
     return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), v.alias("passed")) for k, v in checks.items()])).alias("x")).select("x.*")
+
+
+#: Check of a plan against what another tool was seen to do -> whether the observed facts must equal the plan's, or may be some of them.
+PLAN_CHECKS = {"discovered": "equal", "sidecar": "equal", "duplicate": "equal", "uploaded": "subset", "updated": "subset", "album": "equal"}
+
+
+def plan_facts(assets: DataFrame, findings: DataFrame) -> DataFrame:
+    """U-3: what a plan says, as (check_id, path, value): files discovered (assets and their aliases), sidecars attached, duplicates, assets to upload, assets with
+    metadata, and their albums."""
+    alias = findings.where("code = 'content_identical_takeout_aliases'").select(F.explode("paths").alias("path")).distinct()
+    own = assets.select(F.col("relative_path").alias("path"))
+    fact = lambda df, check, value=None: df.select(F.lit(check).alias("check_id"), "path", (value if value is not None else F.lit("")).alias("value"))
+    albums = assets.where("normalized_metadata is not null").select(F.col("relative_path").alias("path"), F.explode("normalized_metadata.albums").alias("album"))
+    parts = [
+        fact(own.unionByName(alias), "discovered"),
+        fact(assets.select(F.explode("metadata.relative_path").alias("path")), "sidecar"),
+        fact(alias.join(own, "path", "left_anti"), "duplicate"),
+        fact(own, "uploaded"),
+        fact(assets.where("normalized_metadata is not null").select(F.col("relative_path").alias("path")), "updated"),
+        fact(albums, "album", F.col("album")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def plan_differential(assets: DataFrame, findings: DataFrame, observed: DataFrame) -> DataFrame:
+    """U-3 for plans: observed facts (check_id, path, value) against a plan's -> (check_id, passed, missing, unexpected), one row for each of PLAN_CHECKS. All
+    checks are one comparison."""
+    said, seen = plan_facts(assets, findings).withColumn("s", F.lit(1)), observed.select("check_id", "path", "value").distinct().withColumn("o", F.lit(1))
+    both = said.join(seen, ["check_id", "path", "value"], "full_outer").groupBy("check_id").agg(F.count_if(F.col("o").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("unexpected"))
+    known = F.explode(F.array(*[F.struct(F.lit(c).alias("check_id"), F.lit(m).alias("mode")) for c, m in PLAN_CHECKS.items()])).alias("x")
+    out = assets.sparkSession.range(1).select(known).select("x.*").join(both, "check_id", "left").na.fill(0, ["missing", "unexpected"])
+    return out.select("check_id", ((F.col("unexpected") == 0) & ((F.col("mode") == "subset") | (F.col("missing") == 0))).alias("passed"), "missing", "unexpected")

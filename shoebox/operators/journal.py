@@ -53,10 +53,12 @@ def dry_run(plan: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def effect_violations(effects: DataFrame) -> DataFrame:
-    """V-6: rows whose key is not prefix:64 hex, or whose id is there against the outcome -> (sequence, reason)."""
+    """V-6: rows whose key is not prefix:64 hex, or whose id is there against the outcome -> (sequence, reason). An id is 1 to 4096 bytes; any other is none."""
     bad_key = ~F.col("effect_key").rlike("^(asset|metadata|album|membership):[0-9a-f]{64}$")
     wants = F.col("outcome").isin("created", "duplicate", "reused")
-    reason = F.when(bad_key, "key").when(wants & F.col("remote_id").isNull(), "id_missing").when(~wants & F.col("remote_id").isNotNull(), "id_unexpected")
+    bad_key, wants = F.coalesce(bad_key, F.lit(True)), F.coalesce(wants, F.lit(False))
+    there = F.coalesce(F.octet_length("remote_id").between(1, 4096), F.lit(False))
+    reason = F.when(bad_key, "key").when(wants & ~there, "id_missing").when(~wants & there, "id_unexpected")
     return effects.select("sequence", reason.alias("reason")).where("reason is not null")
 
 

@@ -29,7 +29,7 @@ METADATA = f"struct<description:string,taken_at_utc:string,location:{S.LOCATION}
 @dataclass(frozen=True)
 class Plan:
     """assets: operation_id, relative_path, media_kind, byte_len, content_sha256, metadata, normalized_metadata, live_photo, evidence; findings: see
-    ``diagnostics``; summary: one row; kind and version: of the source."""
+    ``diagnostics``; summary: one row; kind and version: of the source; source: its row, once ``document.with_source`` has added it."""
 
     kind: str
     version: int
@@ -37,6 +37,7 @@ class Plan:
     findings: DataFrame
     summary: DataFrame
     tables: list = field(default_factory=list)
+    source: DataFrame | None = None
 
     def discard(self) -> None:
         """Deletes the tables below this plan, once its parts have been written."""
@@ -121,7 +122,7 @@ def match_takeout(media: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, Dat
     bridge = good.select("path", "sidecar", F.lit("json").alias("kind"), "rule_id").unionByName(m.where("album is not null").select("path", F.col("album_sidecar").alias("sidecar"), F.lit("json").alias("kind"), F.lit(D.TAKEOUT_ALBUM).alias("rule_id")))
     # one asset for each content
     folded = cut(A.collapse(m))
-    owner = m.join(A.collapse_owner(m), ["byte_len", "sha256"]).select("path", "owner")
+    owner = A.owners(m)
     merged = A.resolve_metadata(m, ["description", "taken_at_utc", "location"], "albums")
     merged = merged.join(m.groupBy("byte_len", "sha256").agg(F.max(F.col("has").isNotNull() | F.col("album").isNotNull()).alias("any")), ["byte_len", "sha256"])
     out = cut(folded.join(merged, ["byte_len", "sha256"]))

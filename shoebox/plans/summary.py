@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from .checks import Checks, differences
+
 
 def plan_summary(assets: DataFrame) -> DataFrame:
     """A-9: assets (byte_len, associations) -> one row; associations count sidecars attached, not files."""
@@ -47,21 +50,27 @@ def album_members(operations: DataFrame, asset_ids: DataFrame) -> DataFrame:
     return rows.groupBy("album").agg(F.array_sort(F.collect_list("asset_id")).alias("members"))
 
 
-def bounded_inventory(assets: DataFrame, page_size: int, max_assets: int) -> DataFrame:
-    """O-3: assets (id) -> + page, numbered from 1 in the order of ids; more than ``max_assets`` fail. Pages are cut within ranges of ids, whose
-    sizes are counted first, so no task sorts all ids."""
+def numbered(rows: DataFrame, *keys: str, parts: int | None = None, name: str = "nth") -> DataFrame:
+    """rows with their place, from 1, in the order of keys of any type: ranges of keys are sorted by a task each, and the sizes of the ranges before it are
+    added to a row's place in its own. Rows of equal keys are told apart by their content, so only rows that are equal throughout share a range. Ranges are
+    written once; the driver sees a number for each."""
+    tie = F.xxhash64(*rows.columns)
+    ranges = rows.withColumn("_tie", tie)
+    ranges = ranges.repartitionByRange(parts, *keys, "_tie") if parts else ranges.repartitionByRange(*keys, "_tie")
+    placed = cut(ranges.sortWithinPartitions(*keys, "_tie").withColumn("_id", F.monotonically_increasing_id()).drop("_tie"))
+    placed = placed.withColumns({"_range": F.shiftright("_id", 33), "_nth": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", before).drop("n")
+    out = placed.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.col("_nth") + 1)  # a row for each range
+    return out.select(*rows.columns, name)
+
+
+def bounded_inventory(assets: DataFrame, page_size: int, max_assets: int, parts: int | None = None) -> DataFrame:
+    """O-3: assets (id) -> + page, numbered from 1 in the order of ids of any type; more than ``max_assets`` fail."""
     n = assets.count()
     if n > max_assets:
         raise ValueError(f"limit exceeded: {n} assets")
-    parts = max(1, -(-n // 1_000_000))
-    bounds = assets.approxQuantile("id", [i / parts for i in range(1, parts)], 0.001) if parts > 1 and dict(assets.dtypes)["id"] != "string" else []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + F.when(F.col("id") > b, 1).otherwise(0)
-    rows = assets.withColumn("_part", part)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("id")) + F.col("_before") - 1
-    return rows.join(F.broadcast(sizes), "_part").withColumn("page", F.floor(place / page_size) + 1).drop("_part", "_before")  # a row for each million
+    return numbered(assets, "id", parts=parts, name="_place").withColumn("page", F.floor((F.col("_place") - 1) / page_size) + 1).drop("_place")
 
 
 def limit_violations(files: DataFrame, max_entries: int, max_per_dir: int, max_bytes: int, max_total: int) -> DataFrame:
@@ -100,22 +109,25 @@ def tree_fingerprint(rows: DataFrame, column: str, width: int = 4) -> DataFrame:
     return level.select(F.col("d").alias("fingerprint"))
 
 
-def ordered_fingerprint(assets: DataFrame, sidecars: DataFrame, findings: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def ordered_fingerprint(assets: DataFrame, sidecars: DataFrame, findings: DataFrame, max_rows: int = 100_000, version: int = 2) -> DataFrame:
     """A-17 exactly: one fold over assets (relative_path, content_sha256, byte_len, metadata), sidecars (path, byte_len, sha256) and findings (severity,
-    rule_id, paths), warnings before errors. The fold is serial by definition, so more than ``max_rows`` rows fail; see ``tree_fingerprint``."""
+    rule_id, paths), warnings before errors. The fold is serial by definition, so more than ``max_rows`` rows fail; see ``tree_fingerprint``. Version 3 leaves out lengths and sidecars and adds albums."""
     from ..functions import expr as X
 
+    if version == 3:
+        sidecars = sidecars.limit(0)
+
     if assets.limit(max_rows + 1).count() + sidecars.limit(max_rows + 1).count() + findings.limit(max_rows + 1).count() > max_rows:
         raise ValueError("too many rows for the ordered fingerprint")
     text = lambda x: F.col(x).cast("string")
     fields = {
-        0: assets.select(F.struct("relative_path").alias("key"), F.concat(F.array("relative_path", "content_sha256", text("byte_len")), F.flatten(F.transform("metadata", lambda m: F.array(m["relative_path"], m["rule_id"])))).alias("f")),
+        0: assets.select(F.struct("relative_path").alias("key"), F.concat(F.array("relative_path", "content_sha256", *([text("byte_len")] if version < 3 else [])), F.flatten(F.transform("metadata", lambda m: F.array(m["relative_path"], m["rule_id"]))), *([F.coalesce(F.col("normalized_metadata.albums"), F.array().cast("array<string>"))] if version == 3 else [])).alias("f")),
         1: sidecars.select(F.struct(F.col("path").alias("relative_path")).alias("key"), F.array("path", text("byte_len"), "sha256").alias("f")),
         2: findings.select(F.struct(F.concat(F.when(F.col("severity") == "warning", "0").otherwise("1"), "rule_id", F.lit(" "), "code", F.lit(" "), F.array_join("paths", " ")).alias("relative_path")).alias("key"), F.concat(F.array("rule_id"), "paths").alias("f")),
     }
     every = reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(i)) for i, df in fields.items()])
     bits = F.transform(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "key", "f"))), lambda x: x["f"])), X.length_prefixed)
-    return every.agg(F.sha2(F.aggregate(bits, F.encode(F.lit("normalized-plan-source-v1\0"), "UTF-8"), lambda a, b: F.concat(a, b)), 256).alias("fingerprint"))
+    return every.agg(F.sha2(F.aggregate(bits, F.encode(F.lit("apple-photos-source-v1\0" if version == 3 else "normalized-plan-source-v1\0"), "UTF-8"), lambda a, b: F.concat(a, b)), 256).alias("fingerprint"))
 
 
 def _violation(df: DataFrame, check: str, key: str) -> DataFrame:
@@ -137,36 +149,34 @@ def _hex(column: str, n: int = 64):
     return F.coalesce(F.col(column).rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(False))
 
 
+def _identities(path: str = "path", sha256: str = "sha256") -> Checks:
+    """V-1, identities of rows with operation_id, byte_len, a path and a digest."""
+    row = F.expr(f"{path} <> '' and {path} not like '/%' and byte_len >= 0")
+    return Checks(F.col(path), {"sha256": ~_hex(sha256), "row": ~F.coalesce(row, F.lit(False))}, {"path_unique": F.col(path), "operation_unique": F.col("operation_id")})
+
+
 def plan_violations(assets: DataFrame) -> DataFrame:
     """V-1, identities: (operation_id, path, byte_len, sha256) -> (check_id, key). An absent value is a violation like a wrong one."""
-    twice = assets.groupBy("path").count().where("count > 1")
-    ids = assets.groupBy("operation_id").count().where("count > 1")
-    return reduce(DataFrame.unionByName, [
-        _violation(twice, "path_unique", "path"),
-        _violation(ids, "operation_unique", "operation_id"),
-        _violation(assets.where(~_hex("sha256")), "sha256", "path"),
-        _violation(assets.where("not coalesce(path <> '' and path not like '/%' and byte_len >= 0, false)"), "row", "path"),
-    ])
+    return Checks.violations(_identities().facts(assets))
 
 
 def normalized_plan_violations(assets: DataFrame, findings: DataFrame, summary: DataFrame, source: DataFrame) -> DataFrame:
-    """V-1 whole: assets, findings and summary of a plan, source (schema_version, kind, label, fingerprint_sha256) -> (check_id, key)."""
-    rows = assets.withColumnsRenamed({"relative_path": "path", "content_sha256": "sha256"})
-    flat = rows.where("normalized_metadata is not null").select("path", "normalized_metadata.*")
-    version = source.select("schema_version")
-    known = findings.where(F.col("rule_id").isNull() | (F.col("rule_id") == "") | ~F.col("severity").isin("warning", "error") | (F.size("paths") > 8))
+    """V-1 whole: assets, findings and summary of a plan, source (schema_version, kind, label, fingerprint_sha256) -> (check_id, key). The assets are read once."""
+    version = source.select("schema_version").first()  # one row
+    one, known = F.lit(bool(version and version[0] == 1)), F.col("normalized_metadata")
     empty = lambda a: F.exists(a, lambda x: F.coalesce(x["rule_id"] == "", F.lit(True)))
-    counted = assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum(F.size("metadata")), F.lit(0)).alias("sidecars"))
+    base = _identities("relative_path", "content_sha256")
+    own = {"operation_id": ~_hex("operation_id"), "rule_id": empty("evidence") | empty("metadata"), "metadata_in_version_1": known.isNotNull() & one}
+    own |= {name: known.isNotNull() & F.coalesce(bad, F.lit(False)) for name, bad in metadata_checks(lambda f: known[f], {"description", "location"}, "taken_at_utc").items()}
+    checks = Checks(base.key, base.failed | own, base.unique, totals={"assets": F.lit(1), "sidecars": F.size("metadata")})
+    facts = checks.facts(assets)
+    wrong = findings.where(F.col("rule_id").isNull() | (F.col("rule_id") == "") | ~F.col("severity").isin("warning", "error") | (F.size("paths") > 8))
     return reduce(DataFrame.unionByName, [
-        plan_violations(rows.select("operation_id", "path", "byte_len", "sha256")),
-        _violation(rows.where(~_hex("operation_id")), "operation_id", "path"),
-        _violation(rows.where(empty("evidence") | empty("metadata")), "rule_id", "path"),
-        _violation(known, "finding", "code"),
-        metadata_violations(flat),
-        _violation(flat.crossJoin(F.broadcast(version.where("schema_version = 1"))), "metadata_in_version_1", "path"),  # one row at most
+        Checks.violations(facts),
+        _violation(wrong, "finding", "code"),
         _violation(source.where(~_fits(F.col("schema_version"), F.col("kind"))), "schema_source", "kind"),
         _violation(source.where(F.coalesce(F.col("label") == "", F.lit(True)) | ~_hex("fingerprint_sha256")), "source", "kind"),
-        _violation(summary.select("assets", "sidecars").exceptAll(counted), "summary", "assets"),
+        differences(summary, checks.sums(facts), "summary"),
     ])
 
 
@@ -185,22 +195,23 @@ def dependency_violations(operations: DataFrame) -> DataFrame:
 
 def whole_upload_violations(operations: DataFrame, summary: DataFrame, version: int) -> DataFrame:
     """V-2 whole: operations (operation_id, path, byte_len, sha256, pair_id, role, video_operation_id, xmp struct<path,byte_len,sha256>, has_metadata,
-    albums) and their summary (operations, media_bytes, xmp, pairs, metadata_updates, album_creates, album_memberships, max_mutations) -> (check_id, key)."""
-    xmp = F.col("xmp")
+    albums) and their summary (operations, media_bytes, xmp, pairs, metadata_updates, album_creates, album_memberships, max_mutations) -> (check_id, key).
+    All but the dependencies are one pass."""
+    xmp, image = F.col("xmp"), F.col("role") == "image"
     bad_xmp = xmp.isNotNull() & ~F.coalesce((xmp["path"] != "") & (xmp["byte_len"] > 0) & xmp["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False))
-    own = operations.agg(F.count("*").alias("operations"), F.coalesce(F.sum("byte_len"), F.lit(0)).alias("media_bytes"), F.count("xmp").alias("xmp"), F.count_if(F.col("role") == "image").alias("pairs"))
-    want = own.crossJoin(F.broadcast(import_summary(operations, version).drop("operations")))  # one row each
-    parts = [
-        plan_violations(operations.select("operation_id", "path", "byte_len", "sha256")),
-        _violation(operations.where(~_hex("operation_id")), "operation_id", "path"),
-        _violation(operations.where("not coalesce(byte_len > 0, false)"), "empty", "path"),
-        _violation(operations.where(bad_xmp), "xmp", "path"),
-        dependency_violations(operations),
-        _violation(summary.select(*want.columns).exceptAll(want), "summary", "operations"),
-    ]
+    base = _identities()
+    failed = base.failed | {"operation_id": ~_hex("operation_id"), "empty": ~F.coalesce(F.col("byte_len") > 0, F.lit(False)), "xmp": bad_xmp}
     if version == 1:
-        parts.append(_violation(operations.where(F.col("has_metadata") | (F.size("albums") > 0)), "metadata_in_version_1", "path"))
-    return reduce(DataFrame.unionByName, parts)
+        failed["metadata_in_version_1"] = F.coalesce(F.col("has_metadata"), F.lit(False)) | F.coalesce(F.size("albums") > 0, F.lit(False))
+    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
+    totals = {"operations": F.lit(1), "media_bytes": F.col("byte_len"), "xmp": yes(xmp.isNotNull()), "pairs": yes(image), "metadata_updates": yes(F.col("has_metadata")) if version > 1 else F.lit(0)}
+    checks = Checks(base.key, failed, base.unique, {"album_creates": F.col("albums")}, totals)
+    facts = checks.facts(operations)
+    own = checks.sums(facts)
+    if version == 1:
+        own = own.withColumn("album_creates", F.lit(0).cast("bigint"))
+    own = own.withColumn("album_memberships", F.col("album_creates")).withColumn("max_mutations", F.lit(0).cast("bigint") if version == 1 else F.col("operations") + F.col("metadata_updates") + 2 * F.col("album_creates"))
+    return reduce(DataFrame.unionByName, [Checks.violations(facts), dependency_violations(operations), differences(summary, own, "summary")])
 
 
 def migration_violations(assets: DataFrame, albums: DataFrame, summary: DataFrame | None = None) -> DataFrame:
@@ -228,38 +239,72 @@ def migration_violations(assets: DataFrame, albums: DataFrame, summary: DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def archive_violations(assets: DataFrame) -> DataFrame:
-    """V-4: manifest rows (asset_id, original_file_name, target_path, byte_len, checksum_sha1) -> (check_id, key).
-    An absent value is a violation like a wrong one."""
+def _archive_checks() -> Checks:
     from ..functions import expr as X
 
     ident, name = F.col("asset_id"), F.col("original_file_name")
     fine = X.is_uuid4(ident) & X.safe_name(name) & X.is_hex(F.col("checksum_sha1"), 40) & (F.col("byte_len") >= 0) & (F.col("target_path") == X.target_path(ident, name))
+    return Checks(ident, {"asset": ~F.coalesce(fine, F.lit(False))}, {"asset_unique": ident, "path_unique": F.col("target_path")}, totals={"assets": F.lit(1), "media_bytes": F.col("byte_len")})
+
+
+def archive_violations(assets: DataFrame) -> DataFrame:
+    """V-4: manifest rows (asset_id, original_file_name, target_path, byte_len, checksum_sha1) -> (check_id, key).
+    An absent value is a violation like a wrong one."""
+    return Checks.violations(_archive_checks().facts(assets))
+
+
+#: The manifest's and report's schema version, and the server version that they are for.
+ARCHIVE_VERSION, SERVER_VERSION = 1, (3, 1)
+
+
+def archive_manifest_violations(assets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """V-4 whole: rows as ``archive_violations`` and the manifest's one row (schema_version, configuration_sha256, identity_sha256, major, minor, assets,
+    media_bytes) -> (check_id, key). The assets are read once."""
+    checks = _archive_checks()
+    facts = checks.facts(assets)
+    version = F.coalesce(F.col("schema_version") == ARCHIVE_VERSION, F.lit(False))
+    server = F.coalesce((F.col("major") == SERVER_VERSION[0]) & (F.col("minor") == SERVER_VERSION[1]), F.lit(False))
     return reduce(DataFrame.unionByName, [
-        _violation(assets.where(~F.coalesce(fine, F.lit(False))), "asset", "asset_id"),
-        _violation(assets.groupBy("asset_id").count().where("count > 1"), "asset_unique", "asset_id"),
-        _violation(assets.groupBy("target_path").count().where("count > 1"), "path_unique", "target_path"),
+        Checks.violations(facts),
+        _violation(manifest.where(~version), "schema", "schema_version"),
+        _violation(manifest.where(~(_hex("configuration_sha256") & _hex("identity_sha256") & server)), "identity", "identity_sha256"),
+        differences(manifest, checks.sums(facts), "summary"),
     ])
 
 
-def metadata_violations(assets: DataFrame) -> DataFrame:
-    """V-7: (path, albums, taken_at_utc or taken_at[, description, location]) -> (check_id, key): albums must be strictly increasing and valid, times and
-    decimals in their canonical form, coordinates in range, descriptions valid. Absent values are fine."""
+def archive_report_violations(reports: DataFrame, expected: DataFrame) -> DataFrame:
+    """V-4: reports (manifest_sha256, schema_version, downloaded, already_complete), expected (manifest_sha256, assets) -> (check_id, key): a report's version and
+    identity, and that what was downloaded and what was there add up to the manifest's assets. A report of no known manifest fails too."""
+    known = reports.join(expected.select("manifest_sha256", "assets"), "manifest_sha256", "left")
+    fine = (F.col("schema_version") == ARCHIVE_VERSION) & _hex("manifest_sha256") & (F.col("downloaded").cast("decimal(38,0)") + F.col("already_complete") == F.col("assets"))
+    return _violation(known.where(~F.coalesce(fine, F.lit(False))), "report", "manifest_sha256")
+
+
+def metadata_checks(field, known: set[str], time: str) -> dict:
+    """V-7: check -> whether metadata fail it; ``field`` gives a column by name, ``known`` tells which of description and location there are. Null where absent."""
     from ..functions import expr as X
 
-    time = "taken_at_utc" if "taken_at_utc" in assets.columns else "taken_at"
-    parts = [
-        _violation(assets.where(F.array_sort(F.array_distinct("albums")) != F.col("albums")), "albums", "path"),
-        _violation(assets.where(F.exists("albums", lambda a: (F.octet_length(a) == 0) | (F.octet_length(a) > 4096) | a.rlike(r"[\\\x00-\x1F\x7F-\x9F]"))), "album_name", "path"),
-        _violation(assets.where(~F.col(time).eqNullSafe(X.canonical_utc(F.col(time)))), "taken_at", "path"),
-    ]
-    if "description" in assets.columns:
-        parts.append(_violation(assets.where(~X.text_valid(F.col("description"), 16 * 1024, True)), "description", "path"))
-    if "location" in assets.columns:
+    albums = field("albums")
+    out = {
+        "albums": F.array_sort(F.array_distinct(albums)) != albums,
+        "album_name": F.exists(albums, lambda a: (F.octet_length(a) == 0) | (F.octet_length(a) > 4096) | a.rlike(r"[\\\x00-\x1F\x7F-\x9F]")),
+        "taken_at": ~field(time).eqNullSafe(X.canonical_utc(field(time))),
+    }
+    if "description" in known:
+        out["description"] = ~X.text_valid(field("description"), 16 * 1024, True)
+    if "location" in known:
         def half(name: str, most: int):
-            text = F.col("location")[name]
+            text = field("location")[name]
             number = text.try_cast("double")
             return F.coalesce((X.canonical_decimal(number) == text) & number.between(-most, most), F.lit(False))
 
-        parts.append(_violation(assets.where(F.col("location").isNotNull() & ~(half("latitude", 90) & half("longitude", 180))), "location", "path"))
-    return reduce(DataFrame.unionByName, parts)
+        out["location"] = field("location").isNotNull() & ~(half("latitude", 90) & half("longitude", 180))
+    return out
+
+
+def metadata_violations(assets: DataFrame) -> DataFrame:
+    """V-7: (path, albums, taken_at_utc or taken_at[, description, location]) -> (check_id, key): albums must be strictly increasing and valid, times and
+    decimals in their canonical form, coordinates in range, descriptions valid. Absent values are fine."""
+    time = "taken_at_utc" if "taken_at_utc" in assets.columns else "taken_at"
+    failed = {name: F.coalesce(bad, F.lit(False)) for name, bad in metadata_checks(F.col, set(assets.columns), time).items()}
+    return Checks.violations(Checks(F.col("path"), failed).facts(assets))

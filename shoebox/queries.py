@@ -14,6 +14,8 @@ from .operators import convergence as C
 from .operators import journal as J
 from .operators import matching as M
 from .plans import build as B
+from .plans import digest_tree as G
+from .plans import document as Y
 from .plans import summary as P
 from .sources import archives as Z
 from .sources import documents as D
@@ -401,9 +403,9 @@ def _(s, d):
     return J.report(journal(s, d).withColumnRenamed("user_id", "effect_key"))
 
 
-@query("effect_violations", f"select sequence, case when user_id % 5 = 0 then 'key' when outcome in ('created', 'duplicate') and sequence % 3 = 0 then 'id_missing' when outcome not in ('created', 'duplicate') and sequence % 3 <> 0 then 'id_unexpected' end reason from {JOURNAL} where reason is not null")
+@query("effect_violations", f"select sequence, case when user_id % 5 = 0 then 'key' when outcome in ('created', 'duplicate') and (sequence % 3 = 0 or sequence % 7 = 0) then 'id_missing' when outcome not in ('created', 'duplicate') and sequence % 3 <> 0 and sequence % 7 <> 0 then 'id_unexpected' end reason from {JOURNAL} where reason is not null")
 def _(s, d):
-    e = journal(s, d).select("sequence", "outcome", ex("case when user_id % 5 = 0 then concat('other:', sha2(cast(user_id as string), 256)) else concat('asset:', sha2(cast(user_id as string), 256)) end").alias("effect_key"), ex("case when sequence % 3 <> 0 then 'r' end").alias("remote_id"))
+    e = journal(s, d).select("sequence", "outcome", ex("case when user_id % 5 = 0 then concat('other:', sha2(cast(user_id as string), 256)) else concat('asset:', sha2(cast(user_id as string), 256)) end").alias("effect_key"), ex("case when sequence % 7 = 0 then case when sequence % 2 = 0 then '' else repeat('x', 5000) end when sequence % 3 <> 0 then 'r' end").alias("remote_id"))
     return J.effect_violations(e)
 
 
@@ -926,3 +928,118 @@ def _(s, d):
 @query("archive_scan_findings", f"with {FILES} select case when doc_id % 50 = 0 then 'conflicting_takeout_archive_entry' else 'identical_takeout_archive_entry' end code, 'Takeout/Google Photos/' || path paths from f where doc_id % 10 = 0")
 def _(s, d):
     return joined(B.scan_source(s, export_parts(s, d), "google_takeout").findings.select("code", "paths"), "paths")
+
+
+# plan documents
+def documented(s, d):
+    """A built plan, written with its source and read back."""
+    media, sidecars = export(s, d)
+    plan, path = B.build_plan("google_takeout", media, sidecars), shared_folder(s)
+    Y.write_document(Y.with_source(plan, sidecars, "export"), path)
+    plan.discard()
+    return Y.read_document(s, path)
+
+
+@query("plan_document_assets", ORACLE["takeout_plan_assets"])
+def _(s, d):
+    n = F.col("normalized_metadata")
+    return documented(s, d).assets.select("relative_path", "byte_len", "content_sha256", "operation_id", F.size("metadata").cast("long").alias("associations"), n.isNotNull().alias("has_metadata"), n["description"].alias("description"), n["taken_at_utc"].alias("taken_at_utc"), n["location"]["latitude"].alias("latitude"), F.when(n.isNotNull(), F.array_join(n["albums"], ",")).alias("albums"), F.size("evidence").alias("proofs"))
+
+
+@query("plan_document_findings", ORACLE["takeout_plan_findings"])
+def _(s, d):
+    return joined(documented(s, d).findings.select("code", "paths"), "paths")
+
+
+@query("plan_document_header", ORACLE["takeout_plan_summary"].replace("select count(*) assets", "select 2 schema_version, 'google_takeout' kind, 'export' as label, 64 fingerprint, count(*) assets", 1))
+def _(s, d):
+    plan = documented(s, d)
+    head = plan.source.select(F.col("schema_version").cast("int"), "kind", "label", F.length("fingerprint_sha256").alias("fingerprint"))
+    return head.join(F.broadcast(plan.summary))  # one row each
+
+
+@query("plan_differential", f"""with {EXPORT}, seen as (select path from m), said as (select path from g union select unnest(paths) from g where n > 1), dup as (select unnest(paths) path from g where n > 1 except select path from g),
+c as (select 'discovered' check_id, (select count(*) from (select * from said except select * from seen)) missing, (select count(*) from (select * from seen except select * from said)) unexpected
+union all select 'duplicate', (select count(*) from dup), 0 union all select 'uploaded', (select count(*) from (select path from g except select path from m where p_partkey % 2 = 0)), (select count(*) from (select path from m where p_partkey % 2 = 0 except select path from g)))
+select check_id, unexpected = 0 and (missing = 0 or check_id = 'uploaded') passed, missing, unexpected from c""")
+def _(s, d):
+    media, sidecars = export(s, d)
+    plan = B.build_plan("google_takeout", media, sidecars)
+    fact = lambda df, name: df.select(F.lit(name).alias("check_id"), "path", F.lit("").alias("value"))
+    even = media.where("cast(regexp_extract(path, '([0-9]+)[.][a-z]+$', 1) as bigint) % 2 = 0")
+    return C.plan_differential(plan.assets, plan.findings, fact(media, "discovered").unionByName(fact(even, "uploaded"))).where("check_id in ('discovered', 'duplicate', 'uploaded')")
+
+
+@query("apple_plan", f"select path relative_path, 'd' || p_size albums, cast(p_partkey % 4 = 1 as bigint) associations, 2 + cast(p_partkey % 4 = 1 as int) proofs from {PART}")
+def _(s, d):
+    p = part_media(s, d).withColumn("k", ex("cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)"))
+    side = p.where("k % 4 = 1").select(ex("concat(regexp_replace(path, '[.][a-z0-9]+$', ''), '.xmp')").alias("path"), F.lit("xmp").alias("kind"), F.lit(1).cast("long").alias("byte_len"), F.lit("").alias("text"))
+    plan = B.build_plan("apple_photos", cut(p.select("path", F.lit(1).cast("long").alias("byte_len"), F.sha2("path", 256).alias("sha256"))), cut(side), mode="immediate")
+    return plan.assets.select("relative_path", F.array_join("normalized_metadata.albums", ",").alias("albums"), F.size("metadata").cast("long").alias("associations"), F.size("evidence").alias("proofs"))
+
+
+@query("picasa_plan", f"select path relative_path, 'Album ' || p_size albums, case when p_partkey % 10 = 0 then 'c' || p_partkey end description, 2 + cast(p_partkey % 10 = 0 as int) proofs from {PART}")
+def _(s, d):
+    p = part_media(s, d).withColumns({"k": ex("cast(regexp_extract(path, '/([0-9]+)', 1) as bigint)"), "dir": X.parent(F.col("path"))})
+    line = ex("case when k % 10 = 0 then concat('[', substring_index(path, '/', -1), ']\\ncaption=c', k) end")
+    ini = p.groupBy("dir").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("x")).select(F.concat("dir", F.lit("/.picasa.ini")).alias("path"), F.lit("ini").alias("kind"), F.lit(1).cast("long").alias("byte_len"), ex("concat('[Picasa]\\nname=Album ', substr(dir, 2), '\\n', x)").alias("text"))
+    plan = B.build_plan("picasa", cut(p.select("path", F.lit(1).cast("long").alias("byte_len"), F.sha2("path", 256).alias("sha256"))), cut(ini))
+    n = F.col("normalized_metadata")
+    return plan.assets.select("relative_path", F.array_join(n["albums"], ",").alias("albums"), n["description"].alias("description"), F.size("evidence").alias("proofs"))
+
+
+@query("drift_by_tree", ORACLE["plan_drift"])
+def _(s, d):
+    o = t(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    other = o.withColumn("o_orderstatus", ex("case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end"))
+    return G.drift(*[G.write_tree(x, ["o_orderkey"], shared_folder(s)) for x in (o, other)])
+
+
+@query("inventory_pages_by_text", "select md5(cast(o_orderkey as varchar)) id, (row_number() over (order by md5(cast(o_orderkey as varchar))) - 1) // 1000 + 1 page from orders")
+def _(s, d):
+    return P.bounded_inventory(t(s, d, "orders").select(F.md5(F.col("o_orderkey").cast("string")).alias("id")), 1000, 10**12, 7)
+
+
+@query("xmp_binding_v1", "with b as (select l_orderkey k, count(*) every, count(*) filter (l_returnflag = 'R') n, min(case when l_returnflag = 'R' then 's' || l_partkey || '.xmp' end) x from lineitem group by 1) select 'o' || o_orderkey operation_id, case when every = 1 and n = 1 then x end xmp, case when every > 1 or every > n then 'unsupported' else 'bound' end outcome from orders left join b on o_orderkey = k")
+def _(s, d):
+    bridge = t(s, d, "lineitem").select(ex("concat('o', l_orderkey)").alias("operation_id"), ex("concat('s', l_partkey, case when l_returnflag = 'R' then '.xmp' else '.json' end)").alias("sidecar"))
+    return M.bind_xmp(t(s, d, "orders").select(ex("concat('o', o_orderkey)").alias("operation_id")), bridge, 1)
+
+
+UPLOAD = "(select o_orderkey k, sha256(cast(o_orderkey as varchar)) operation_id, case when o_orderkey % 13 = 0 then 'same' else 'p' || o_orderkey end path, o_orderkey % 7 byte_len, case when o_orderkey % 19 = 0 then 'bad' else sha256('x' || o_orderkey) end h, o_orderkey % 2 = 0 has_metadata, 'a' || o_orderkey % 5 album from orders)"
+
+
+@query("whole_upload_violations", f"""with o as {UPLOAD} select 'path_unique' check_id, path as key from o group by path having count(*) > 1 union all select 'sha256', path from o where h = 'bad' union all select 'empty', path from o where byte_len = 0 union all select 'dependency', operation_id from o where k % 4 = 0 and (k % 12 = 0 or k + 1 not in (select k from o)) union all select 'summary', 'operations,max_mutations'""")
+def _(s, d):
+    o = t(s, d, "orders").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("operation_id"), ex("case when o_orderkey % 13 = 0 then 'same' else concat('p', o_orderkey) end").alias("path"), ex("o_orderkey % 7").alias("byte_len"), ex("case when o_orderkey % 19 = 0 then 'bad' else sha2(concat('x', o_orderkey), 256) end").alias("sha256"), ex("case when o_orderkey % 4 < 2 then o_orderkey div 4 end").alias("pair_id"), ex("case o_orderkey % 4 when 0 then 'image' when 1 then 'video' end").alias("role"), ex("case when o_orderkey % 4 = 0 then sha2(cast(o_orderkey + case when o_orderkey % 12 = 0 then 2 else 1 end as string), 256) end").alias("video_operation_id"), F.lit(None).cast("struct<path:string,byte_len:bigint,sha256:string>").alias("xmp"), ex("o_orderkey % 2 = 0").alias("has_metadata"), ex("array(concat('a', o_orderkey % 5))").alias("albums"))
+    stated = P.import_summary(o).join(F.broadcast(o.agg(F.sum("byte_len").alias("media_bytes"), F.lit(0).alias("xmp"), F.count_if(F.col("role") == "image").alias("pairs"))))  # one row each
+    return P.whole_upload_violations(o, stated.withColumn("operations", F.col("operations") + 1).withColumn("max_mutations", F.lit(-1)), 2)
+
+
+@query("archive_manifest_violations", ORACLE["archive_violations"] + " union all select 'schema', '2' union all select 'identity', 'x' union all select 'summary', 'media_bytes'")
+def _(s, d):
+    h = t(s, d, "orders").select(F.col("o_orderkey").alias("k"), ex("sha2(cast(o_orderkey - case when o_orderkey % 17 = 0 then 1 else 0 end as string), 256)").alias("h"), F.col("o_custkey").alias("byte_len"), ex("case when o_orderkey % 13 = 0 then 'con.txt' else concat(o_orderkey, '.jpg') end").alias("original_file_name"))
+    a = h.withColumn("asset_id", ex("concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', case when k % 11 = 0 then '5' else '4' end, substr(h, 14, 3), '-a', substr(h, 18, 3), '-', substr(h, 21, 12))"))
+    a = a.withColumn("checksum_sha1", ex("substr(h, 1, 40)")).withColumn("target_path", ex("concat(case when k % 19 = 0 then 'other/' else 'assets/' end, asset_id, '/', original_file_name)"))
+    manifest = P.archive_summary(a).select(F.lit(2).alias("schema_version"), F.sha2(F.lit("c"), 256).alias("configuration_sha256"), F.lit("x").alias("identity_sha256"), F.lit(3).alias("major"), F.lit(1).alias("minor"), "assets", (F.col("media_bytes") + 1).alias("media_bytes"))
+    return P.archive_manifest_violations(a, manifest)
+
+
+@query("archive_report_violations", "select 'report' check_id, case when c_custkey % 11 = 0 then 'short' else sha256(cast(c_custkey as varchar)) end as key from customer where c_custkey % 9 = 0 or c_custkey % 7 = 0 or c_custkey % 11 = 0")
+def _(s, d):
+    c = t(s, d, "customer")
+    reports = c.select(ex("case when c_custkey % 11 = 0 then 'short' else sha2(cast(c_custkey as string), 256) end").alias("manifest_sha256"), F.lit(1).alias("schema_version"), ex("c_custkey % 10").alias("downloaded"), ex("10 - c_custkey % 10 + case when c_custkey % 7 = 0 then 1 else 0 end").alias("already_complete"))
+    return P.archive_report_violations(reports, c.where("c_custkey % 9 <> 0").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("manifest_sha256"), F.lit(10).alias("assets")))
+
+
+@query("operations_sink", "select o_orderkey operation_id, 'p' || o_orderkey path, o_custkey byte_len, (select count(*) from orders) operations, (select count(*) from orders) assets from orders")
+def _(s, d):
+    """Operations and an archive's manifest with their summaries, written and read back."""
+    one, other = shared_folder(s), shared_folder(s)
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("operation_id"), ex("concat('p', o_orderkey)").alias("path"), F.col("o_custkey").alias("byte_len"))
+    K.write_operations(o, o.agg(F.count("*").alias("operations")), one)
+    K.write_operations(o.withColumnRenamed("operation_id", "asset_id"), P.archive_summary(o), other, manifest=True)
+    K.write_report(s.read.json(f"{other}/summary"), f"{other}/report")
+    totals = s.read.json(f"{one}/summary").join(F.broadcast(s.read.json(f"{other}/report").select("assets")))  # one row each
+    kept = s.read.parquet(f"{other}/assets").select(F.col("asset_id").alias("operation_id"), "path")
+    return s.read.parquet(f"{one}/operations").join(kept, ["operation_id", "path"]).join(F.broadcast(totals))  # one row

@@ -13,11 +13,14 @@ GEO = "struct<latitude:double,longitude:double>"
 LOCATION = "struct<latitude:string,longitude:string>"
 INVENTORY = "assets struct<items:array<struct<id:string,originalFileName:string,checksum:string,type:string,exifInfo:struct<fileSizeInByte:bigint,dateTimeOriginal:string,description:string,latitude:double,longitude:double>,fileCreatedAt:string,fileModifiedAt:string,livePhotoVideoId:string>>,count:bigint,nextPage:string,total:bigint>"
 _FINDINGS = "array<struct<rule_id:string,code:string,paths:array<string>>>"
+_ASSET = {
+    "operation_id": "string", "relative_path": "string", "media_kind": "string", "byte_len": "bigint", "content_sha256": "string", "metadata": "array<struct<relative_path:string,kind:string,rule_id:string>>",
+    "normalized_metadata": f"struct<description:string,taken_at_utc:string,location:{LOCATION},albums:array<string>>", "live_photo": "struct<pair_id:string,role:string>", "evidence": "array<struct<rule_id:string,outcome:string>>",
+}
+PLAN_ASSET = ", ".join(f"{name} {kind}" for name, kind in _ASSET.items())
 PLAN = (
     "schema_version int, source struct<kind:string,label:string,fingerprint_sha256:string,case_sensitive:boolean,unicode_normalization:string>, "
-    "assets array<struct<operation_id:string,relative_path:string,media_kind:string,byte_len:bigint,content_sha256:string,metadata:array<struct<relative_path:string,kind:string,rule_id:string>>,"
-    f"normalized_metadata:struct<description:string,taken_at_utc:string,location:{LOCATION},albums:array<string>>,live_photo:struct<pair_id:string,role:string>,evidence:array<struct<rule_id:string,outcome:string>>>>, "
-    f"warnings {_FINDINGS}, errors {_FINDINGS}, summary struct<assets:bigint,sidecars:bigint,bytes_read:bigint>"
+    f"assets array<struct<{','.join(map(':'.join, _ASSET.items()))}>>, warnings {_FINDINGS}, errors {_FINDINGS}, summary struct<assets:bigint,sidecars:bigint,bytes_read:bigint>"
 )
 #: Limits of INI documents and of sidecar texts.
 INI_BYTES, INI_LINES, INI_LINE_BYTES, INI_SECTIONS = 1_048_576, 20_000, 16_384, 10_000

@@ -9,8 +9,9 @@ from .journal_store import Journal
 
 
 def write_plan(assets: DataFrame, diagnostics: DataFrame, summary: DataFrame, path: str) -> None:
-    """K-1, K-2: three Parquet tables; assets are range-partitioned and sorted by path."""
-    assets.repartitionByRange("path").sortWithinPartitions("path").write.mode("errorifexists").parquet(f"{path}/assets")
+    """K-1 as three Parquet tables; assets are range-partitioned and sorted by path. See ``plans.document`` for documents."""
+    key = "relative_path" if "relative_path" in assets.columns else "path"
+    assets.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(f"{path}/assets")
     diagnostics.write.mode("errorifexists").parquet(f"{path}/diagnostics")
     summary.coalesce(1).write.mode("errorifexists").json(f"{path}/summary")
 
