@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 FACT = "struct<what:string,check_id:string,key:string,n:decimal(38,0)>"
 
 
@@ -26,20 +28,23 @@ class Checks:
     totals: dict[str, Column] = field(default_factory=dict)
 
     def facts(self, rows: DataFrame) -> DataFrame:
-        """(what, check_id, key, rows, n): what is failed, unique, set or total."""
+        """(what, check_id, key, rows, n): what is failed, unique (those found twice only), set or total. Written once, as violations and sums read it: it holds what
+        is wrong, not the rows."""
         fact = lambda what, name, key, n: F.struct(F.lit(what).alias("what"), F.lit(name).alias("check_id"), key.cast("string").alias("key"), n.cast("decimal(38,0)").alias("n"))
         one, none = F.lit(1), F.lit(0)
         parts = [F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), fact("failed", name, self.key, one)) for name, c in self.failed.items()]), lambda x: x.isNotNull())] if self.failed else []
         parts += [F.array(*[fact("unique", name, c, none) for name, c in self.unique.items()])] if self.unique else []
-        parts += [F.coalesce(F.transform(c, lambda x, name=name: fact("set", name, x, none)), F.array().cast(f"array<{FACT}>")) for name, c in self.sets.items()]
+        member = lambda name: lambda x: fact("set", name, x, none)  # noqa: E731  # a second argument would be the place
+        parts += [F.coalesce(F.transform(c, member(name)), F.array().cast(f"array<{FACT}>")) for name, c in self.sets.items()]
         parts += [F.array(*[fact("total", name, F.lit(""), F.coalesce(c.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))) for name, c in self.totals.items()])] if self.totals else []
-        return rows.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.what", "x.check_id", "x.key").agg(F.count("*").alias("rows"), F.sum("x.n").alias("n"))
+        grouped = rows.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.what", "x.check_id", "x.key").agg(F.count("*").alias("rows"), F.sum("x.n").alias("n"))
+        return cut(grouped.where("what <> 'unique' or rows > 1"))
 
     @staticmethod
     def violations(facts: DataFrame) -> DataFrame:
         """(check_id, key): one row for each failed check of a row, one for each value that is not unique."""
         times = F.when(F.col("what") == "failed", F.col("rows")).otherwise(1).cast("int")
-        bad = facts.where("what = 'failed' or what = 'unique' and rows > 1")
+        bad = facts.where("what in ('failed', 'unique')")
         return bad.select("check_id", "key", F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
     def sums(self, facts: DataFrame) -> DataFrame:
