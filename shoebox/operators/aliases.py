@@ -10,16 +10,16 @@ from ..functions import expr as X
 from ..sources.tables import cut
 
 
-def unicode_collisions(media: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """A-1, U-1: normalised paths that occur more than once over both -> (path, n). Those paths are to be dropped."""
-    both = X.with_nfc(media.select("path").unionByName(sidecars.select("path")))
-    return both.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+def unicode_collisions(media: DataFrame, sidecars: DataFrame, nfc: bool = False) -> DataFrame:
+    """A-1, U-1: normalised paths that occur more than once over both -> (path, n). Those paths are to be dropped. ``nfc``: they are normalised, as scans give them."""
+    both = media.select("path").unionByName(sidecars.select("path"))
+    return (both if nfc else X.with_nfc(both)).groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def drop_collisions(media: DataFrame, sidecars: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A-1: (media, sidecars, findings) with paths in NFC and without those that collide."""
-    twice = unicode_collisions(media, sidecars)
-    fine = [X.with_nfc(df).join(twice, "path", "left_anti").select(*df.columns) for df in (media, sidecars)]
+def drop_collisions(media: DataFrame, sidecars: DataFrame, nfc: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A-1: (media, sidecars, findings) with paths in NFC and without those that collide, which are a table of their own."""
+    twice = cut(unicode_collisions(media, sidecars, nfc))
+    fine = [(df if nfc else X.with_nfc(df)).join(twice, "path", "left_anti").select(*df.columns) for df in (media, sidecars)]
     return *fine, finding(twice, "native_paths_share_nfc_path", F.col("path"))
 
 

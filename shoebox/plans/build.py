@@ -212,15 +212,20 @@ def scan_source(spark: SparkSession, source: str | list[str], adapter: str | Sou
     return scan_archives(spark, source, kind.archives, kind.prefix if kind.archives == "takeout" else None, kind.skip, **limits)
 
 
-def build_plan(adapter: str | SourceAdapter, media: DataFrame, sidecars: DataFrame, scan_findings: DataFrame | None = None, **options) -> Plan:
-    """A plan of media (path, byte_len, sha256) and sidecars (path, kind, byte_len, text). Options go to the adapter's ``finish``.
+def plan_scan(adapter: str | SourceAdapter, scan: Scan, **options) -> Plan:
+    """The plan of a scan, whose paths are in NFC."""
+    return build_plan(adapter, *scan, nfc=True, **options)
+
+
+def build_plan(adapter: str | SourceAdapter, media: DataFrame, sidecars: DataFrame, scan_findings: DataFrame | None = None, nfc: bool = False, **options) -> Plan:
+    """A plan of media (path, byte_len, sha256) and sidecars (path, kind, byte_len, text). Options go to the adapter's ``finish``. ``nfc``: paths are normalised.
 
     Steps: paths in NFC, colliding ones dropped (A-1); matching; live pairs (J-7) after aliases are folded; case collisions (A-2) and repeated
     base names (A-3) over what is left; ids (F-16), sorted sets (A-8), summary (A-9: attachments, and bytes of all that was read).
     """
     kind = ADAPTERS[adapter] if isinstance(adapter, str) else adapter
     ini = sidecars.where("kind = 'ini'").select("path", "text")
-    every, notes, twice = A.drop_collisions(media.select("path", "byte_len", "sha256"), sidecars.where("kind <> 'ini'").select("path", "kind", "byte_len", "text"))
+    every, notes, twice = A.drop_collisions(media.select("path", "byte_len", "sha256"), sidecars.where("kind <> 'ini'").select("path", "kind", "byte_len", "text"), nfc)
     every, notes, twice = cut_all(every, notes, twice)
     assets, bridge, found = cut_all(*kind.match(every, notes))
     pairs = cut(M.live_pairs(assets))
