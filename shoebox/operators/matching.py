@@ -72,12 +72,18 @@ def tiered_sidecars(docs: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def live_pairs(media: DataFrame) -> DataFrame:
-    """J-7: exactly one image and one .mov of a directory and stem -> (pair_id, image, video). Names are taken apart once a row, and files of no such kind go first."""
-    ext = X.extension(F.col("path"))
+    """J-7: exactly one image and one .mov of a directory and stem -> (pair_id, image, video). Files of no such kind go first. An extension travels as a
+    number, its bytes, so that the aggregation's buffers are of fixed size and it hashes instead of sorting; the paths are put together again from it."""
+    path, ext = F.col("path"), X.extension(F.col("path"))
     m = media.select("path", ext.isin(*X.IMAGES).alias("is_image"), (ext == "mov").alias("is_mov")).where("is_image or is_mov")
-    m = m.select(X.parent(F.col("path")).alias("dir"), X.stem(F.col("path")).alias("stem"), "path", "is_image")
-    g = m.groupBy("dir", "stem").agg(F.count_if("is_image").alias("images"), F.count_if(~F.col("is_image")).alias("movs"), F.min(F.when(F.col("is_image"), F.col("path"))).alias("image"), F.min(F.when(~F.col("is_image"), F.col("path"))).alias("video"))
-    return g.where("images = 1 and movs = 1").select(X.stable_id(F.lit("live-photo-v1"), F.col("image"), F.col("video")).alias("pair_id"), "image", "video")
+    name = X.filename(path)
+    as_number = F.conv(F.hex(F.substring_index(path, ".", -1)), 16, 10).cast("bigint")  # at most eight signs, of ASCII
+    m = m.select(F.left(path, F.length(path) - F.length(name)).alias("folder"), X.stem(path).alias("stem"), as_number.alias("ext"), "is_image")
+    image, video = F.when(F.col("is_image"), F.col("ext")), F.when(~F.col("is_image"), F.col("ext"))
+    g = m.groupBy("folder", "stem").agg(F.count(image).alias("images"), F.count(video).alias("movs"), F.min(image).alias("image"), F.min(video).alias("video"))
+    whole = lambda n: F.concat("folder", "stem", F.lit("."), F.decode(F.unhex(F.hex(n)), "UTF-8")).alias(n)
+    pairs = g.where("images = 1 and movs = 1").select(whole("image"), whole("video"))
+    return pairs.select(X.stable_id(F.lit("live-photo-v1"), F.col("image"), F.col("video")).alias("pair_id"), "image", "video")
 
 
 def bind_pairs(assets: DataFrame) -> DataFrame:

@@ -200,3 +200,8 @@ def test_every_sql_twin_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_live_pairs_keep_names_as_they_are(spark):
+    media = spark.createDataFrame([(p,) for p in ("A.JPG", "A.Mov", "/x/b.c.HeIc", "/x/b.c.MOV", "/d.jpeg", "/d.mov", "é/ü.TIFF", "é/ü.mov", "e/.jpg", "e/.mov", "f/g.webp", "F/g.mov")], "path string")
+    assert sorted((r.image, r.video) for r in M.live_pairs(media).collect()) == [("/d.jpeg", "/d.mov"), ("/x/b.c.HeIc", "/x/b.c.MOV"), ("A.JPG", "A.Mov"), ("é/ü.TIFF", "é/ü.mov")]
