@@ -260,3 +260,20 @@ def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_conversation_repair": op11_conversation_repair}
+ORACLE = {"op11_conversation_repair": """with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') k from conversations),
+f as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, 8 * strlen(k)), lambda i: (ascii(substr(k, i // 8 + 1, 1)) >> (i % 8)::integer) & 1)), lambda x, b: xor(x >> 1, 3988292384 * (xor(x, b) & 1))), 4294967295) % 20 fate from c),
+d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case when fate = 1 then '' when fate = 2 then translate(text, '.!?', '') else text end as text from f, range(2) r(copy) where fate <> 0 and (copy = 0 or fate = 3)),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, row_number() over (partition by conv_id, role, text order by turn nulls first) seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) body from d),
+r as (select *, body = '' as blank, body <> '' and seen > 1 as dup, body <> '' and seen = 1 and right(body, 1) not in ('.', '!', '?') as trunc, left(role, 1) initial, lag(left(role, 1)) over (partition by conv_id order by i) before from o),
+nxt(place, initial, dest) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(place, pos, edits) as (select place, place, '' from (values (0), (1), (2), (3)) p(place) union all select place, dest, 'I' from nxt where initial <> 's' union all select a.place, b.dest, 'II' from nxt a join nxt b on a.dest = b.place where a.initial <> 's'),
+mv(place, initial, dest, cost, edits, kind) as (select place, null, pos, 3 * strlen(edits) + 4, edits || 'D', 'D' from ins union all select ins.place, initial, dest, 3 * strlen(edits), edits || 'K', 'K' from ins join nxt on pos = nxt.place union all select ins.place, null, dest, 3 * strlen(edits) + 3, edits || 'R', 'R' from ins join nxt on pos = nxt.place where initial <> 's'),
+dp as (select conv_id, 0::bigint i, 0 place, 0::bigint as cost, '' audit from (select distinct conv_id from r)
+union all select conv_id, i, dest, best.c, best.a from (select dp.conv_id, r.i, mv.dest, min({'c': dp.cost + mv.cost + case when trunc and kind <> 'D' then 3 else 0 end, 'a': dp.audit || mv.edits}) best from dp join r on r.conv_id is not distinct from dp.conv_id and r.i = dp.i + 1 join mv on mv.place = dp.place and (kind = 'D' or not blank and not dup and (kind = 'R' or mv.initial = r.initial)) group by 1, 2, 3)),
+n as (select conv_id, max(i) n, count(*) filter (blank) blank, count(*) filter (dup) as duplicate, count(*) filter (trunc) truncated, count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps from r group by 1),
+e as (select dp.conv_id, min({'c': dp.cost + 3 * strlen(ins.edits), 'a': dp.audit || ins.edits}) best from dp join n on n.conv_id is not distinct from dp.conv_id and dp.i = n.n join ins on ins.place = dp.place and ins.pos in (0, 3) group by 1),
+l as (select conv_id, best.a audit, unnest(range(1, strlen(best.a) + 1)) j from e), w as (select *, substr(audit, j, 1) edit, strlen(replace(audit, 'D', '')) kept, strlen(replace(substr(audit, 1, j), 'D', '')) nth, strlen(replace(substr(audit, 1, j), 'I', '')) i from l),
+lines as (select w.conv_id, j, case when edit = 'K' then role || ':' || text else case when (nth - kept % 2) % 2 = 1 then 'user:' else 'assistant:' end || case when edit = 'R' then text else '' end end line from w left join r on r.conv_id is not distinct from w.conv_id and r.i = w.i and edit <> 'I' where edit <> 'D'),
+t as (select conv_id, string_agg(line, chr(10) order by j) whole from lines group by 1)
+select a.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') audit, sha256(coalesce(whole, '')) repaired_sha256
+from (select distinct conv_id from conversations) a left join n on n.conv_id is not distinct from a.conv_id left join e on e.conv_id is not distinct from a.conv_id left join t on t.conv_id is not distinct from a.conv_id"""}
