@@ -263,8 +263,9 @@ QUERIES = {"op11_conversation_repair": op11_conversation_repair}
 ORACLE = {"op11_conversation_repair": """with recursive c as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') k from conversations),
 f as (select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, 8 * strlen(k)), lambda i: (ascii(substr(k, i // 8 + 1, 1)) >> (i % 8)::integer) & 1)), lambda x, b: xor(x >> 1, 3988292384 * (xor(x, b) & 1))), 4294967295) % 20 fate from c),
 d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case when fate = 1 then '' when fate = 2 then translate(text, '.!?', '') else text end as text from f, range(2) r(copy) where fate <> 0 and (copy = 0 or fate = 3)),
-o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, row_number() over (partition by conv_id, role, text order by turn nulls first) seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) body from d),
-r as (select *, body = '' as blank, body <> '' and seen > 1 as dup, body <> '' and seen = 1 and right(body, 1) not in ('.', '!', '?') as trunc, left(role, 1) initial, lag(left(role, 1)) over (partition by conv_id order by i) before from o),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) body from d),
+q as (select *, row_number() over (partition by conv_id, role, text order by i) seen from o),
+r as (select *, body = '' as blank, body <> '' and seen > 1 as dup, body <> '' and seen = 1 and right(body, 1) not in ('.', '!', '?') as trunc, left(role, 1) initial, lag(left(role, 1)) over (partition by conv_id order by i) before from q),
 nxt(place, initial, dest) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
 ins(place, pos, edits) as (select place, place, '' from (values (0), (1), (2), (3)) p(place) union all select place, dest, 'I' from nxt where initial <> 's' union all select a.place, b.dest, 'II' from nxt a join nxt b on a.dest = b.place where a.initial <> 's'),
 mv(place, initial, dest, cost, edits, kind) as (select place, null, pos, 3 * strlen(edits) + 4, edits || 'D', 'D' from ins union all select ins.place, initial, dest, 3 * strlen(edits), edits || 'K', 'K' from ins join nxt on pos = nxt.place union all select ins.place, null, dest, 3 * strlen(edits) + 3, edits || 'R', 'R' from ins join nxt on pos = nxt.place where initial <> 's'),
