@@ -75,10 +75,17 @@ def retain(history: DataFrame, cutoff: int, n: int) -> DataFrame:
 
 
 def page_gaps(pages: DataFrame) -> DataFrame:
-    """W-8: (listing, page, items, declared) -> pages whose successor is not page + 1, or whose count is off."""
-    w = Window.partitionBy("listing").orderBy("page")
-    x = pages.withColumn("next", F.lead("page").over(w))
-    return x.select("listing", "page", (F.col("next") != F.col("page") + 1).alias("gap"), (F.col("items") != F.col("declared")).alias("count_off")).where("coalesce(gap, false) or count_off")
+    """W-8: (listing, page, items, declared) -> pages whose successor is not page + 1, or whose count is off. A page that is there twice is followed by itself. Pages look
+    for their successors by a join, and only those without one ask how far their listing goes, so a listing of any length is no single task's work."""
+    own = Window.partitionBy("listing", "page")
+    x = pages.withColumns({"nth": F.row_number().over(own.orderBy("items", "declared")), "times": F.count("*").over(own)})
+    after = pages.select("listing", (F.col("page") - 1).alias("page"), F.lit(True).alias("followed")).distinct()
+    x = x.join(after, ["listing", "page"], "left").withColumn("again", F.col("nth") < F.col("times"))
+    known = x.where("followed or again").withColumn("gap", F.col("again"))
+    ends = pages.groupBy("listing").agg(F.max("page").alias("last"))
+    open_ = x.where("followed is null and not again").join(ends, "listing").withColumn("gap", F.when(F.col("page") < F.col("last"), F.lit(True))).drop("last")
+    out = known.unionByName(open_)
+    return out.select("listing", "page", "gap", (F.col("items") != F.col("declared")).alias("count_off")).where("coalesce(gap, false) or count_off")
 
 
 def order_violations(rows: DataFrame, group: str, position: str, value: str) -> DataFrame:

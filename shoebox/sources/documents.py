@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..diagnostics import finding, gather
@@ -134,11 +134,13 @@ def read_ini(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _pages(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
-    """Pages with their listing (the file's directory) and number. The last page has no successor's number: it follows the largest one before it."""
+    """Pages with their listing (the file's directory) and number. The last page has no successor's number: it follows the largest one before it. Only last
+    pages meet what is counted of their listing, so a listing's pages stay where they are read."""
     pages = spark.read.schema(INVENTORY).option("multiLine", multi_line).json(path).select("assets", F.col("_metadata.file_path").alias("file"))
     pages = pages.withColumn("listing", X.parent(F.col("file"))).withColumn("next", F.col("assets.nextPage").cast("bigint"))
-    every = Window.partitionBy("listing")
-    return pages.withColumn("page", F.coalesce(F.col("next") - 1, F.coalesce(F.max("next").over(every), F.lit(1))))
+    largest = pages.groupBy("listing").agg(F.max("next").alias("page"))
+    last = pages.where("next is null").join(largest, "listing").withColumn("page", F.coalesce("page", F.lit(1).cast("bigint")))
+    return pages.where("next is not null").withColumn("page", F.col("next") - 1).unionByName(last)
 
 
 def read_inventory(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:

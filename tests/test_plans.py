@@ -1,4 +1,5 @@
-"""Whole plans against facts worked out by hand: four kinds of export with their paths, digests, documents and expected plans."""
+"""Whole plans against fixed values of the plan format: four kinds of export with their paths, digests, documents, and the ids and fingerprints that
+plans of them must have."""
 
 import hashlib
 import zipfile
@@ -12,6 +13,7 @@ from shoebox.plans import summary as P
 from shoebox.sources import documents as S
 from shoebox.sources import archives, files
 
+# Texts, digests, ids and fingerprints below must be as the plan format has them.
 TAKEOUT = "Takeout/Google Photos/"
 ALPHA = '{"title":"alpha.png","description":"synthetic alpha description","creationTime":{"timestamp":"1704060000","formatted":"ignored creation display"},"photoTakenTime":{"timestamp":"1704067200","formatted":"ignored capture display"},"geoData":{"latitude":1.25,"longitude":2.5},"geoDataExif":{"latitude":3.5,"longitude":-4.25}}\n'
 BETA = '{"title":"beta.png","description":"synthetic beta description","creationTime":{"timestamp":"1704153600","formatted":"ignored local display"},"geoData":{"latitude":0,"longitude":0}}\n'
@@ -19,7 +21,7 @@ BETA = '{"title":"beta.png","description":"synthetic beta description","creation
 
 def tables(spark, media, sidecars):
     kinds = {"json": "json", "xmp": "xmp", "ini": "ini"}
-    side = [(p, kinds[p.rsplit(".", 1)[1]], len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), t) for p, t in sidecars]
+    side = [(p, kinds[p.rsplit(".", 1)[1].lower()], len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), t) for p, t in sidecars]
     return spark.createDataFrame(media, "path string, byte_len long, sha256 string"), spark.createDataFrame(side, "path string, kind string, byte_len long, sha256 string, text string")
 
 
@@ -101,7 +103,7 @@ def test_picasa_plan(spark):
     d = "Albums/Synthetic/"
     media = [(d + "20240102-030405-image.png", 69, "82ea26b98483108e97abd3efe54c140b9aaa76e9df76f22262fe574d07468c8d"), (d + "captioned.png", 69, "a3d81b8f11847aaff2db3a7bcc177fa4a85d748dc3771154000f9f9ddeeea285")]
     ini = "[Picasa]\nname=Synthetic Picasa Album\n[captioned.png]\ncaption=Synthetic caption\n[pair.png]\nstar=yes\n"
-    plan = B.build_plan("picasa", *tables(spark, media, [(d + ".picasa.ini", ini), ("bad/.picasa.ini", "name=x\n"), ("two/.picasa.ini", "[a.jpg]\ncaption=1\n"), ("two/.PICASA.INI".lower().replace("picasa", "picasa"), "[a.jpg]\ncaption=1\n")]))
+    plan = B.build_plan("picasa", *tables(spark, media, [(d + ".picasa.ini", ini), ("bad/.picasa.ini", "name=x\n"), ("two/.picasa.ini", "[a.jpg]\ncaption=1\n"), ("two/.PICASA.INI", "[a.jpg]\ncaption=1\n")]))
     assets = assets_of(plan)
     dated, captioned = assets[d + "20240102-030405-image.png"], assets[d + "captioned.png"]
     assert (dated.operation_id, captioned.operation_id) == ("1a722dc1acff0069e876747396f1742a72794f4c13d7454a965ae4e74bda022b", "487c02d245d6646d1b562e24050afefd2fd17d1c6b6a4283f7601c29a4acc911")
