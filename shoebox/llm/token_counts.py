@@ -3,17 +3,19 @@
 A text is cut into pre-tokens as the tokenizer cuts it, and its count is the sum of their lengths in tokens. Tier 1 is a broadcast
 hash table with the lengths of the most frequent pre-tokens of a bounded sample; tier 2 is a cache of the task,
 filled by encoding what the table lacks, once each. No pre-token of the corpus is ever
-shuffled. The table only saves work: any table gives the same counts. Texts with letters outside ASCII and Latin-1
-go by their white-space-free runs ("chunks"), of which the odd ones go through the whole tokenizer.
+shuffled. The table only saves work: any table gives the same counts. This holds for all scripts whose letters the tokenizer's rules are sure about; texts
+with other signs, or special strings, go by their white-space-free runs ("chunks") through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = "a-zß-öø-ÿ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+").findall
 _SIMPLE = re.compile(r"[\t-\r -~ß-öø-ÿÀ-ÖØ-Þ]*").fullmatch
+#: Ranges of signs that all versions of Unicode of the last years sort, compose and lower-case alike, one by one: Latin, Greek but for the sigma that looks at its
+#: neighbours, Cyrillic, punctuation, symbols, Chinese, Japanese, Korean, pictures.
+_SETTLED = re.compile("[\t-\r -~\xa1-\u012f\u0131-\u03a2\u03a4-\u052f\u1e00-\u1e95\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u2bff\u3001-\u9fef\uac00-\ud7a3\uff01-\uffdc\U0001f300-\U0001f64f]*").fullmatch
+_WORDS = regex.compile(WORD_PATTERN).findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,8 +45,8 @@ _LETTERS = _byte_letters()
 
 
 class Encoder:
-    """Values (``of`` their token ids) of pre-tokens and of white-space-free chunks. Texts of plain letters, digits and signs are cut
-    into pre-tokens here, and each is encoded once by the tokenizer's model; of all others, the chunks go through the whole tokenizer."""
+    """Values (``of`` their token ids) of pre-tokens and of white-space-free chunks. Texts of settled signs are cut into pre-tokens here, as the
+    tokenizer would, and each is encoded once by the tokenizer's model; of all others, the chunks go through the whole tokenizer."""
 
     def __init__(self, path: str, of=len, limit_bytes: int = 30_000_000):
         import json
@@ -51,6 +57,8 @@ class Encoder:
         self.pieces, self.chunks = Cache(self.piece, limit_bytes), Cache(self.chunk, limit_bytes)
         parts = json.loads(self.whole.to_str()).get("pre_tokenizer") or {}
         self.simple = any((p.get("pattern") or {}).get("Regex") == WORD_PATTERN for p in parts.get("pretokenizers", []))
+        before = json.loads(self.whole.to_str()).get("normalizer") or {}
+        self.settled = self.simple and [n.get("type") for n in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
 
     def piece(self, piece: str):
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
@@ -61,7 +69,11 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """The text's pre-tokens; None if it must go through the whole tokenizer."""
-        return _PIECES(text.lower()) if self.simple and _SIMPLE(text) and "<|" not in text else None
+        if not self.simple or "<|" in text:
+            return None
+        if _SIMPLE(text):
+            return _PIECES(text.lower())
+        return _WORDS(unicodedata.normalize("NFC", text).lower()) if self.settled and _SETTLED(text) else None
 
     def values(self, text: str) -> list:
         """What ``of`` gives for the parts of a text, in order."""

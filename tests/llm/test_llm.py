@@ -56,6 +56,22 @@ def key(rows):
     return sorted(rows, key=repr)
 
 
+def test_all_scripts_go_by_pre_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    whole, encoder, rng = Tokenizer.from_file(tokenizer()), token_counts.Encoder(tokenizer()), random.Random(6)
+    texts = ["it’s “quoted” – hello…", "Привет, мир! Ещё ёлка", "日本語のテキスト。漢字 한국어 텍스트", "e\u0301 İstanbul ΟΔΟΣ", "ΑΒΓ ΐ ǅ ﬁ", "café déjà vu 12½ ²", "🙂👍 ok", "<|endoftext|> ‘x’", "a\u00a0b\u2003c\u200bd"]
+    signs = "aZé’“”–…жЯ漢か한é́½²🙂 \n'01"
+    texts += ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(300)]
+    assert all(sum(encoder.values(t)) == len(whole.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert [encoder.cut(t) is not None for t in texts[:9]] == [True, True, True, False, False, True, True, False, False]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    frequent = token_counts.frequent_lengths(spark.read.parquet(path), tokenizer())
+    assert {"’", "“", "привет", "漢字", "한국어"} <= set(frequent)  # the broadcast table serves them
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.read.parquet(path), tokenizer()).collect()} == {i: len(whole.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
