@@ -2,7 +2,7 @@
 
 A small tree builder closes the elements whose end tags HTML lets authors leave out. The renderer walks the tree with a stack of its own
 (any nesting depth) and leaves out what a browser does not show: elements that are never rendered, ``hidden`` and ``display: none``
-with all below them, and text whose inherited visibility is hidden, while a visible part inside it is shown. Inline text
+(of the style attribute or of a style sheet, by tag, class and id) with all below them, and text whose inherited visibility is hidden, while a visible part inside it is shown. Inline text
 is joined with single spaces, blocks start on new lines, paragraphs and the like
 are set off by an empty line, list items are marked and indented, and the cells of a table
 are padded so that its columns line up, spans and wide signs counted.
@@ -32,7 +32,13 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "option": ({"option"}, {"
 CLOSES |= dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})) | dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"}))
 CLOSES |= {"tr": ({"td", "th", "tr"}, {"table", *_ROWS})} | dict.fromkeys(_ROWS, ({"td", "th", "tr", *_ROWS}, {"table"}))
 _ENDS_P = BLOCK - {"html", "body", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup"} | {"hr"}
-_RULE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_RULE = re.compile(r"(?:^|;)\s*(display|visibility|white-space)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: HTML's own white space; a no-break space is none and stays.
+SPACE = " \t\n\f\r"
+_WORDS = re.compile(f"[^{SPACE}]+").findall
+_SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.I)
+#: white-space values -> how text is set: as it stands, by lines, or run together.
+SETTING = {"pre": "pre", "pre-wrap": "pre", "break-spaces": "pre", "pre-line": "line", "normal": "", "nowrap": ""}
 #: Input types that show no text of their own, and the labels of buttons without one.
 SILENT = frozenset("hidden checkbox radio file password color range image".split())
 LABELS = {"submit": "Submit", "reset": "Reset", "button": ""}
@@ -45,6 +51,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = ["html", {}, []]
         self.open = [self.root]
+        self.sheets: list[str] = []
 
     def _close(self, tags, barrier) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -73,7 +80,10 @@ class TreeBuilder(HTMLParser):
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        """A slash closes elements of drawings and formulas; elsewhere it means nothing."""
         self.handle_starttag(tag, attrs)
+        if self.open[-1][0] == tag and tag not in VOID and any(n[0] in ("svg", "math") for n in self.open):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         barrier = {"table"} if tag not in ("table", "body", "html") else set()
@@ -85,19 +95,70 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "style":
+            self.sheets.append(data)
         self.open[-1][2].append(data)
 
 
-def styles(attrs: dict) -> dict:
-    """display and visibility from the style attribute: the last important declaration, else the last."""
-    out, strong = {}, set()
-    for name, value, important in _RULE.findall(attrs.get("style") or ""):
-        name = name.lower()
-        if important or name not in strong:
-            out[name] = value.lower()
-        if important:
-            strong.add(name)
-    return out
+def declarations(text: str) -> list[tuple[bool, str, str]]:
+    """(important, property, value) of the properties that decide what shows."""
+    return [(bool(important), name.lower(), value.lower()) for name, value, important in _RULE.findall(text)]
+
+
+class Sheet:
+    """What style sheets say of an element by its tag, classes and id; other selectors are left out, as are rules for other media."""
+
+    def __init__(self, texts: list[str]):
+        self.rules, self.used = {}, 0
+        for text in texts:
+            self._read(re.sub(r"/\*.*?\*/", "", text, flags=re.S))
+
+    def _read(self, text: str) -> None:
+        at = 0
+        while (start := text.find("{", at)) >= 0:
+            depth, end = 1, start + 1
+            for sign in re.finditer(r"[{}]", text[start + 1 :]):
+                depth += 1 if sign[0] == "{" else -1
+                if not depth:
+                    end = start + 1 + sign.start()
+                    break
+            else:
+                end = len(text)
+            head, body = text[at:start].rpartition(";")[2].strip(), text[start + 1 : end]
+            if head.startswith("@"):
+                if re.fullmatch(r"@media\s+(all|screen)|@supports.*|@layer.*", head, re.I | re.S):
+                    self._read(body)
+            elif known := declarations(body):
+                for selector in head.split(","):
+                    whole = _SELECTOR.fullmatch(selector.strip())
+                    if whole and whole[0]:
+                        marks = re.findall(r"[.#][\w-]+", whole[2])
+                        tag = (whole[1] or "*").lower()
+                        rank = (sum(m[0] == "#" for m in marks), sum(m[0] == "." for m in marks), tag != "*")
+                        self.used += 1
+                        self.rules.setdefault(marks[0] if marks else tag, []).append((tag, frozenset(marks), rank, self.used, known))
+            at = end + 1
+
+    def of(self, tag: str, attrs: dict) -> list:
+        """(important, rank, order, property, value) of the rules that an element matches."""
+        marks = {f".{c}" for c in (attrs.get("class") or "").split()} | ({f"#{attrs['id']}"} if attrs.get("id") else set())
+        return [(important, rank, order, name, value) for key in (tag, "*", *marks) for only, need, rank, order, known in self.rules.get(key, ()) if only in ("*", tag) and need <= marks for important, name, value in known]
+
+
+def styles(tag: str, attrs: dict, sheet: Sheet) -> dict:
+    """display, visibility and white-space: important declarations first, then the style attribute, then the closest rule, then the last."""
+    own = [(important, (9, 0, 0), i, name, value) for i, (important, name, value) in enumerate(declarations(attrs.get("style") or ""))]
+    return {name: value for _, _, _, name, value in sorted(own + (sheet.of(tag, attrs) if sheet.rules else []))} if own or sheet.rules else {}
+
+
+def in_order(children: list) -> list:
+    """A table's children as they show: its caption, its head, its foot last."""
+    place = {"caption": 0, "thead": 1, "tfoot": 3}
+    seen: dict = {}
+    for child in children:
+        tag = child[0] if not isinstance(child, str) else ""
+        seen.setdefault(tag, child)
+    return sorted(children, key=lambda c: 2 if isinstance(c, str) or seen.get(c[0]) is not c else place.get(c[0], 2))
 
 
 def hidden(tag: str, attrs: dict, style: dict) -> bool:
@@ -139,30 +200,37 @@ class Page:
     def __init__(self):
         self.lines, self.now, self.gap, self.space, self.prefix, self.mark = [], [], 0, False, "", ""
 
-    def text(self, data: str, pre: bool) -> None:
-        if pre:
+    def text(self, data: str, setting: str) -> None:
+        if setting == "pre":
             first, *rest = data.split("\n")
             self.now.append(first)
             for line in rest:
                 self.end(True)
                 self.now.append(line)
             return
-        words = data.split()
+        if setting == "line":
+            first, *rest = data.split("\n")
+            self.text(first, "")
+            for line in rest:
+                self.end(True)
+                self.text(line, "")
+            return
+        words = _WORDS(data)
         if not words:
             self.space |= bool(data) and bool(self.now)
             return
-        if self.now and (self.space or data[0].isspace()):
+        if self.now and (self.space or data[0] in SPACE):
             self.now.append(" ")
         self.now.append(" ".join(words))
-        self.space = data[-1].isspace()
+        self.space = data[-1] in SPACE
 
     def end(self, keep: bool = False) -> None:
         """Ends the line; an empty one only counts if it is kept."""
-        line = "".join(self.now).rstrip()
+        line = "".join(self.now).rstrip(SPACE)
         if line or (keep and self.lines):
             if self.lines and self.gap and line:
                 self.lines.extend([""] * self.gap)
-            self.lines.append((self.prefix + self.mark + line).rstrip())
+            self.lines.append((self.prefix + self.mark + line).rstrip(SPACE))
             self.gap = 0
             self.mark = " " * len(self.mark)
         self.now, self.space = [], False
@@ -229,14 +297,14 @@ def marker(style: str, n: int) -> str:
     return str(n)
 
 
-def render(root) -> str:
-    page, pages, lists, tables, pre = Page(), [], [], [], 0
-    stack = [(root, False, True)]
+def render(root, sheets: list[str] = ()) -> str:
+    page, pages, lists, tables, sheet = Page(), [], [], [], Sheet(list(sheets))
+    stack = [(root, False, True, "")]
     while stack:
-        node, leaving, visible = stack.pop()
+        node, leaving, visible, setting = stack.pop()
         if isinstance(node, str):
             if visible:
-                page.text(node, pre > 0)
+                page.text(node, setting)
             continue
         tag, attrs, children = node
         if leaving:
@@ -259,15 +327,16 @@ def render(root) -> str:
                 page.prefix, page.mark = attrs["\0"]
             elif tag in ("blockquote", "dd"):
                 page.prefix = page.prefix[:-2]
-            pre -= tag in ("pre", "textarea")
             if tag in SPACED:
                 page.gap = max(page.gap, 0 if lists else 1)
             continue
-        style = styles(attrs)
+        style = styles(tag, attrs, sheet)
         if hidden(tag, attrs, style):
             continue
         if "visibility" in style and style["visibility"] != "inherit":
             visible = style["visibility"] == "visible"
+        setting = "pre" if tag in ("pre", "textarea") else setting
+        setting = SETTING.get(style.get("white-space"), setting)
         if tag == "br":
             page.end(True)
         elif tag == "hr":
@@ -277,7 +346,7 @@ def render(root) -> str:
                 page.end()
         elif tag in ("img", "input"):
             if visible:
-                page.text(attrs.get("alt") or "" if tag == "img" else field_text(attrs), False)
+                page.text(attrs.get("alt") or "" if tag == "img" else field_text(attrs), "")
         elif tag in ("td", "th") and tables:
             pages.append(page)
             page = Page()
@@ -303,14 +372,15 @@ def render(root) -> str:
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
-            pre += tag in ("pre", "textarea")
         if tag in BLOCK:
-            stack.append((node, True, visible))
+            stack.append((node, True, visible, setting))
         if tag == "details" and "open" not in attrs:
             children = [c for c in children if not isinstance(c, str) and c[0] == "summary"]
         elif tag == "select":
             children = shown_options(node)
-        stack.extend((c, False, visible) for c in reversed(children))
+        elif tag == "table":
+            children = in_order(children)
+        stack.extend((c, False, visible, setting) for c in reversed(children))
     while pages:  # cells are always left, so this only guards a broken tree
         page = pages.pop()
     return "\n".join(page.finish())
@@ -324,7 +394,7 @@ def visible_text(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return render(builder.root)
+    return render(builder.root, builder.sheets)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
