@@ -74,3 +74,22 @@ def test_history_and_receipts(spark, tmp_path):
     K.append_history(effects(spark, 1, 2), path)
     K.append_history(effects(spark, 2, 3), path)
     assert rows(K.read_stored(spark, path)) == [(1, "k1"), (2, "k2"), (3, "k3")]
+
+
+def test_a_stream_writes_each_batch_once(spark, tmp_path):
+    path, check = str(tmp_path / "j"), tmp_path / "check"
+    effects(spark, 1, 2, 2).write.parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(EFFECTS).parquet(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(K.append_effects(path)).option("checkpointLocation", str(check)).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    (check / "commits" / "0").unlink()  # the stream died after the journal's commit and before its own
+    for crc in (check / "commits").glob(".0.crc"):
+        crc.unlink()
+    run()
+    effects(spark, 3).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert rows(K.read_effects(spark, path)) == [(1, "k1"), (2, "k2"), (3, "k3")] and [c.batch for c in Journal(spark, path).commits()] == [0, 1]
