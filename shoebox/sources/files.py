@@ -104,6 +104,8 @@ def place(root: str) -> Local | Remote:
         return Local(root)
     from pyarrow import fs
 
+    if root.startswith("file:") and "%" not in root:  # Spark writes such names as they are, with spaces
+        return Local("/" + root.removeprefix("file:").lstrip("/"))
     system, top = fs.FileSystem.from_uri(root)
     return Local(top) if isinstance(system, fs.LocalFileSystem) else Remote(system, top)
 

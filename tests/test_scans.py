@@ -213,6 +213,10 @@ def test_version_1_takes_no_empty_titles(spark):
     assert codes(B.build_plan("google_takeout", media, side).findings) == []
 
 
+def test_places():
+    assert [files.place(u).top for u in ("/a b/c", "file:/a b/c", "file:///a b/c", "file:///a%20b/c")] == [b"/a b/c"] * 4
+
+
 def test_shared_folder_must_be_named_on_a_cluster():
     from shoebox.sources.tables import shared_folder
 
