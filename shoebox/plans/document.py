@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..diagnostics import SCHEMA as FINDING
 from ..sources.documents import PLAN, PLAN_ASSET
 from .build import Plan
-from .summary import ordered_fingerprint, tree_fingerprint
+from .summary import json_fingerprint, ordered_fingerprint, tree_fingerprint
 
 HEADER = "schema_version int, source struct<kind:string,label:string,fingerprint_sha256:string,case_sensitive:boolean,unicode_normalization:string>, summary struct<assets:bigint,sidecars:bigint,bytes_read:bigint>"
 SIDES = {"warning": "warnings", "error": "errors"}
@@ -23,8 +23,8 @@ SIDES = {"warning": "warnings", "error": "errors"}
 def plan_fingerprint(plan: Plan, sidecars: DataFrame, exact: bool = False) -> DataFrame:
     """A-17 -> one row (fingerprint). ``exact``: the plan format's single fold, which is serial and refuses large plans; else the digest of three trees of digests, of any size."""
     if exact:
-        if plan.version not in (1, 2, 3):
-            raise ValueError(f"no single fold for plans of version {plan.version}")
+        if plan.version == 4:
+            return json_fingerprint(plan.assets, plan.findings)
         return ordered_fingerprint(plan.assets, sidecars, plan.findings, version=plan.version)
     line = lambda df: df.select(F.to_json(F.struct(*df.columns)).alias("line"))
     parts = [line(plan.assets), line(sidecars.select("path", "byte_len", "sha256")), line(plan.findings)]

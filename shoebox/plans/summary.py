@@ -130,6 +130,21 @@ def ordered_fingerprint(assets: DataFrame, sidecars: DataFrame, findings: DataFr
     return every.agg(F.sha2(F.aggregate(bits, F.encode(F.lit("apple-photos-source-v1\0" if version == 3 else "normalized-plan-source-v1\0"), "UTF-8"), lambda a, b: F.concat(a, b)), 256).alias("fingerprint"))
 
 
+def json_fingerprint(assets: DataFrame, findings: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A-17 exactly, for version 4: the digest of assets, warnings and errors as one compact JSON text. Serial and bounded like ``ordered_fingerprint``."""
+    if assets.limit(max_rows + 1).count() + findings.limit(max_rows + 1).count() > max_rows:
+        raise ValueError("too many rows for the ordered fingerprint")
+    whole = lambda *columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    names = ["operation_id", "relative_path", "media_kind", "byte_len", "content_sha256", "metadata", "normalized_metadata", "live_photo", "evidence"]
+    line = F.when(F.col("normalized_metadata").isNull(), whole(*[n for n in names if n != "normalized_metadata"])).otherwise(whole(*names))  # left out where there are none; other nulls stay
+    listed = lambda df, key, line: df.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), line.alias("line")))), lambda x: x["line"]), ","), F.lit("]")).alias("x"))
+    parts = [listed(assets, F.col("relative_path"), line)]
+    parts += [listed(findings.where(F.col("severity") == s), F.struct("rule_id", "code", "paths"), whole("rule_id", "code", "paths")) for s in ("warning", "error")]
+    every = reduce(DataFrame.unionByName, [p.withColumn("i", F.lit(i)) for i, p in enumerate(parts)])  # three rows
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda x: x["x"]), ",")
+    return every.agg(F.sha2(F.concat(F.lit("picasa-source-v1\0["), text, F.lit("]")), 256).alias("fingerprint"))
+
+
 def _violation(df: DataFrame, check: str, key: str) -> DataFrame:
     return df.select(F.lit(check).alias("check_id"), F.col(key).cast("string").alias("key"))
 

@@ -193,3 +193,26 @@ def test_inventory_pages(spark, tmp_path):
 def test_sidecar_documents(spark, text, error):
     row = S.read_sidecar_json(tables(spark, [], [("d/a.json", text)])[1]).first()
     assert row.error == error and (row.title is None) == (error is not None)
+
+
+def test_single_fold_of_version_4(spark):
+    from shoebox.plans import document as Y
+
+    d = "Albums/Synthetic/"
+    media = [(d + "20240102-030405-image.png", 69, "82ea26b98483108e97abd3efe54c140b9aaa76e9df76f22262fe574d07468c8d"), (d + "captioned.png", 69, "a3d81b8f11847aaff2db3a7bcc177fa4a85d748dc3771154000f9f9ddeeea285"), (d + "pair.mov", 54, "fff51d63cbe5f7468f77cd021fbf4aa163a571ea326b109b95883a0b887be51f"), (d + "pair.png", 70, "08d84f8def566dabb601183fd5ac1b4272bb82c966369331aafeb4a3a6898afd")]
+    side = tables(spark, media, [(d + ".picasa.ini", "[Picasa]\nname=Synthetic Picasa Album\n[captioned.png]\ncaption=Synthetic caption\n[pair.png]\nstar=yes\n"), (d + "pair.xmp", "<x/>")])
+    plan = Y.with_source(B.build_plan("picasa", *side), side[1], "x", exact=True)
+    assert plan.source.first().fingerprint_sha256 == "638fb912810a7167018785aa6fd999abea5bb071ec7539aad97538640fa31951"
+    with pytest.raises(ValueError, match="too many"):
+        P.json_fingerprint(plan.assets, plan.findings, 3)
+
+
+def test_single_fold_of_version_3(spark):
+    from shoebox.plans import document as Y
+
+    d = "Albums/Synthetic Journey/"
+    media = [(d + "café.png", 69, "3b7d62738b363c3bf0f01cfc016702418208db2a0c709a07e926c7ea6b20089b"), (d + "pair.mov", 58, "bb203c857e3fdafdf15f81b9774af23b2ee0df2879717d313202a572c6adaa72"), (d + "pair.png", 73, "00637d047201d9f974683c20a29f4ddf4e95ac282dd918618aeb3b929f30b573"), (d + "rendered-edited.png", 71, "ed4821e2d24c60de485980ead96092bc452262fe5f14c2dc0200f19970a00a12"), (d + "rendered.png", 71, "54e16240f6a8a447f033d6ef39932a7f1a41db249440aa81b9a5c883a48ea8c1")]
+    media, side = tables(spark, media, [(d + "pair.xmp", "<x/>")])
+    noise = spark.createDataFrame([("warning", "APPLE_EXPORT_NOISE_SKIPPED_V1", "known_apple_export_noise", [p]) for p in (".DS_Store", "Recently Deleted")], D.SCHEMA)
+    plan = Y.with_source(B.build_plan("apple_photos", media, side, noise), side, "x", exact=True)
+    assert plan.source.first().fingerprint_sha256 == "15b45ab9382549e08c3c8233bbd1636afdee28b6d5ea049b55761106666d36b7"
