@@ -102,9 +102,9 @@ class Tree:
 
     FANOUT = 8
 
-    def __init__(self, bitmap: np.ndarray, size: np.ndarray, rest: np.ndarray, lost: np.ndarray, sets: list | None = None):
+    def __init__(self, bitmap: np.ndarray, size: np.ndarray, rest: np.ndarray, lost: np.ndarray, sets: list | None = None, exact: np.ndarray | None = None):
         order = np.lexsort((*bitmap[:, :2].T, size))  # neighbours are alike in size, then in their first bits
-        self.order, self.sets = order, sets and [sets[i] for i in order]
+        self.order, self.sets, self.exact = order, sets and [sets[i] for i in order], None if exact is None else exact[order]
         self.levels = [(np.ascontiguousarray(bitmap[order]).view(U), size[order], size[order], rest[order], lost[order])]
         while len(self.levels[-1][0]) > self.FANOUT:
             b, lo, hi, rest, lost = self.levels[-1]
@@ -151,6 +151,28 @@ class Forest:
         return out
 
 
+def shared_bits(sets: list, most: int = 1 << 16) -> np.ndarray | None:
+    """Per set a bitmap of those of its shingles that another set here has too: their overlaps are exact. None if there are more than ``most`` such shingles."""
+    values, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    if (n := int(often.sum())) > most:
+        return None
+    bit, owner, keep = (np.cumsum(often) - 1)[number], np.repeat(np.arange(len(sets)), [len(s) for s in sets]), often[number]
+    out = np.zeros((len(sets), max(1, -(-n // 64))), U)
+    np.bitwise_or.at(out, (owner[keep], bit[keep] // 64), U(1) << (bit[keep] % 64).astype(U))
+    return out
+
+
+def linking(left: Tree, right: Tree, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of leaves i and j link."""
+    if left.exact is not None:
+        both = np.bitwise_count(left.exact[i] & right.exact[j]).sum(1, dtype=np.int64)
+    else:
+        pairs = [(left.sets[x], right.sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        both = np.array([int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum()) for s, t in pairs], np.int64)
+    return 100 * both >= percent * (left.levels[0][1][i] + right.levels[0][1][j] - both)
+
+
 def traverse(left: Tree, right: Tree, mine: np.ndarray, yours: np.ndarray, percent: int, found: Forest) -> None:
     """Dual traversal of two trees (or of one with itself) over the classes ``mine`` and ``yours``: joins linking pairs in ``found``; trees
     without sets join all pairs that signatures allow."""
@@ -170,17 +192,15 @@ def traverse(left: Tree, right: Tree, mine: np.ndarray, yours: np.ndarray, perce
         while len(i):
             keep = apart(0, 0, i, j)
             i, j = i[keep], j[keep]
-            for x, y in zip(i[:64].tolist(), j[:64].tolist(), strict=True):
-                a, b = mine[x], yours[y]
-                if found.label[a] == found.label[b]:
-                    continue
-                if left.sets:
-                    s, t = left.sets[x], right.sets[y]
-                    both = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                    if 100 * both < percent * (len(s) + len(t) - both):
-                        continue
-                found.join(int(a), int(b))
-            i, j = i[64:], j[64:]
+            n = 64 if left.exact is None else 512
+            x, y = i[:n], j[:n]
+            if left.sets:
+                keep = linking(left, right, x, y, percent)
+                x, y = x[keep], y[keep]
+            for a, b in zip(mine[x].tolist(), yours[y].tolist(), strict=True):
+                if found.label[a] != found.label[b]:
+                    found.join(a, b)
+            i, j = i[n:], j[n:]
 
     def down(la: int, lb: int, i: np.ndarray, j: np.ndarray) -> None:
         keep = apart(la, lb, i, j)
@@ -221,13 +241,14 @@ def forest(group: pa.Table, percent: int) -> pa.Table:
         members = members.chunk(0) if isinstance(members, pa.ChunkedArray) else members
         values, border = members.values.to_numpy(zero_copy_only=False).view(U), members.offsets.to_numpy()
         sets = [np.sort(values[border[i] : border[i + 1]]) for i in order]
+        exact = shared_bits(sets)
         parts = signatures(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
     else:
-        sets = None
+        sets = exact = None
         bitmap = np.frombuffer(b"".join(group["bitmap"].to_pylist()), np.uint8).reshape(-1, BITS // 8)
         parts = [bitmap[order], *(group[c].to_numpy()[order] for c in ("n", "rest", "lost"))]
     n = int((~right).sum())
-    tree = lambda lo, hi: Tree(*(x[lo:hi] for x in parts), sets and sets[lo:hi])
+    tree = lambda lo, hi: Tree(*(x[lo:hi] for x in parts), sets and sets[lo:hi], None if exact is None else exact[lo:hi])
     names, number = np.unique(ids, return_inverse=True)
     found = Forest(len(names))
     if n == len(ids) and n > 1:

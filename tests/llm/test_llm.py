@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -325,3 +326,30 @@ def test_pipeline_stages_take_effect(spark):
     assert counts == sorted(counts, reverse=True) and 0 < counts[-1] < 200
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "_few_round", lambda edges: pytest.fail("a round on stars"))
+    rows = components.components(spark.createDataFrame([(1, 5), (1, 7), (9, 2)], "u long, v long")).collect()
+    assert {(r.node, r.component) for r in rows} == {(1, 1), (5, 1), (7, 1), (9, 2), (2, 2)} and len(rows) == 5
+
+
+@pytest.mark.parametrize("few", [-1, 1 << 20])
+def test_components_by_either_round(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(-20, 0)] + [(200, 300), (300, 250), (250, 200)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys([*range(-20, 0), 100], -20), 200: 200, 250: 200, 300: 200}
+
+
+def test_sets_of_a_group_link_alike_by_bits_and_by_lookup():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.choice(60, 40), rng.integers(100, 1 << 40, 3)).astype(np.uint64)) for _ in range(50)]
+    exact = jaccard_join.shared_bits(sets)
+    assert jaccard_join.shared_bits(sets, 10) is None
+    parts = jaccard_join.signatures(np.concatenate(sets), np.append(0, np.cumsum([len(s) for s in sets])))
+    i, j = (a.reshape(-1) for a in np.indices((50, 50)))
+    one, other = (jaccard_join.Tree(*parts, sets, e) for e in (exact, None))
+    assert (jaccard_join.linking(one, one, i, j, 60) == jaccard_join.linking(other, other, i, j, 60)).all()
+    want = [100 * len(a & b) >= 60 * len(a | b) for a in (set(s.tolist()) for s in one.sets) for b in (set(s.tolist()) for s in one.sets)]
+    assert jaccard_join.linking(one, one, i, j, 60).tolist() == want
