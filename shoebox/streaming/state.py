@@ -3,6 +3,7 @@
 Each is a stateful processor over state variables in RocksDB, so that keys need not fit into memory. Rows are guarded by their sequence: late and
 repeated ones change nothing. State that has to go does so by a clock of the caller's choice: ``event``, timers against the watermark of the column ``ts``; or
 ``processing``, a time to live. The sequence is the only order that the data have, so a watermark is for clearing state alone.
+Most keys have few rows in a batch, so what a key costs counts: processors take plain rows (no table a key), and what a key holds is one value, asked for once and written if it changed.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,7 +45,7 @@ class Forgetful(StatefulProcessor):
                     self.handle.deleteTimer(t)
                 self.handle.registerTimer(newest_ms + self.forget_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget()
         yield from ()
 
@@ -57,8 +57,9 @@ def _one(x) -> tuple:
     return x if isinstance(x, tuple) else (x,)
 
 
-def _newest_ms(pdf: pd.DataFrame) -> int:
-    return int(pdf["ts"].max().value // 1_000_000) if "ts" in pdf.columns and pdf["ts"].notna().any() else 0
+def _ms(row: Row) -> int:
+    """The time of a row, 0 if it has none."""
+    return int(row["ts"].timestamp() * 1000) if "ts" in row and row["ts"] is not None else 0
 
 
 class Fold(Forgetful):
@@ -70,18 +71,17 @@ class Fold(Forgetful):
     def forget(self) -> None:
         self.latest.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.latest.get()
         best, newest = before, 0
-        for pdf in rows:
-            newest = max(newest, _newest_ms(pdf))
-            row = pdf.loc[pdf["sequence"].idxmax()]
-            if best is None or int(row["sequence"]) > best[0]:
-                best = (int(row["sequence"]), row["outcome"])
+        for row in rows:
+            newest = max(newest, _ms(row))
+            if row["sequence"] is not None and (best is None or row["sequence"] > best[0]):
+                best = (row["sequence"], row["outcome"])
         if best != before:
             self.latest.update(best)
             self.touch(newest)
-            yield pd.DataFrame({"effect_key": [key[0]], "sequence": [best[0]], "outcome": [best[1]]})
+            yield Row(effect_key=key[0], sequence=best[0], outcome=best[1])
 
 
 class Buffer(Forgetful):
@@ -92,23 +92,25 @@ class Buffer(Forgetful):
         self.n = n
 
     def variables(self, handle, ttl) -> None:
-        self.newest = handle.getListState("newest", "sequence bigint", ttl)
+        self.newest = handle.getValueState("newest", "sequences array<bigint>", ttl)
 
     def forget(self) -> None:
         self.newest.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = [x[0] for x in self.newest.get()]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        (before,) = self.newest.get() or ([],)
+        before = list(before)
         known, newest = set(before), 0
-        for pdf in rows:
-            newest = max(newest, _newest_ms(pdf))
-            known.update(map(int, pdf["sequence"]))
-            known = set(heapq.nlargest(self.n, known))
-        after = sorted(known)
+        for row in rows:
+            newest = max(newest, _ms(row))
+            known.add(row["sequence"])
+            if len(known) > 2 * self.n + 1000:
+                known = set(heapq.nlargest(self.n, known))
+        after = sorted(heapq.nlargest(self.n, known))
         self.touch(newest)
         if after != before:
-            self.newest.put([(x,) for x in after])
-            yield pd.DataFrame({"run": [key[0]], "sequences": [after]})
+            self.newest.update((after,))
+            yield Row(run=key[0], sequences=after)
 
 
 class Ends(Forgetful):
@@ -125,18 +127,16 @@ class Ends(Forgetful):
     def forget(self) -> None:
         self.open.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if self.ended.exists():
             return
         events, sequence = self.open.get() or (0, -1)
         end, newest = None, 0
-        for pdf in rows:
-            newest = max(newest, _newest_ms(pdf))
-            ends = pdf[pdf["stage"].isin(self.terminal)]
-            if len(ends):
-                row = ends.loc[ends["sequence"].idxmin()]
-                end = min(end or (int(row["sequence"]), row["stage"]), (int(row["sequence"]), row["stage"]))
-            events, sequence = events + len(pdf), max(sequence, int(pdf["sequence"].max()))
+        for row in rows:
+            newest = max(newest, _ms(row))
+            if row["stage"] in self.terminal:
+                end = min(end or (row["sequence"], row["stage"]), (row["sequence"], row["stage"]))
+            events, sequence = events + 1, max(sequence, row["sequence"])
         if end is None:
             self.open.update((events, sequence))
             self.touch(newest)
@@ -146,7 +146,7 @@ class Ends(Forgetful):
         if self.clock == "event":
             for (t,) in map(_one, list(self.handle.listTimers())):
                 self.handle.deleteTimer(t)
-        yield pd.DataFrame({"run": [key[0]], "stage": [end[1]], "sequence": [end[0]]})
+        yield Row(run=key[0], stage=end[1], sequence=end[0])
 
 
 class Subscriptions(Forgetful):
@@ -158,24 +158,26 @@ class Subscriptions(Forgetful):
         self.n, self.terminal = n, terminal
 
     def variables(self, handle, ttl) -> None:
-        self.kept = handle.getListState("kept", "sequence bigint, stage string", ttl)
+        self.kept = handle.getValueState("kept", "sequences array<bigint>, stages array<string>, followed boolean", ttl)
         self.live = handle.getMapState("live", "subscriber string", "since bigint", ttl)
 
     def forget(self) -> None:
         self.kept.clear()
         self.live.clear()
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(x) for x in self.kept.get()]
-        followers = {k[0]: v[0] for k, v in self.live.iterator()}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.kept.get()
+        kept = list(zip(held[0], held[1], strict=True)) if held else []
+        # followers of a run are looked for where some are known, or where the times to live of both may differ
+        known = {k[0]: v[0] for k, v in self.live.iterator()} if (held[2] if held else self.clock == "processing") else {}
+        followers = dict(known)
         before, newest, events, cursors = kept[-1:], 0, {}, {}
-        for pdf in rows:
-            newest = max(newest, _newest_ms(pdf))
-            own = pdf["subscriber"].isna()
-            for sequence, stage in zip(pdf["sequence"][own], pdf["stage"][own], strict=True):
-                events.setdefault(int(sequence), stage)
-            for subscriber, sequence in zip(pdf["subscriber"][~own], pdf["sequence"][~own], strict=True):
-                cursors[subscriber] = None if pd.isna(sequence) else int(sequence)
+        for row in rows:
+            newest = max(newest, _ms(row))
+            if row["subscriber"] is None:
+                events.setdefault(row["sequence"], row["stage"])
+            else:
+                cursors[row["subscriber"]] = row["sequence"]
         out = []
         ended = bool(kept) and kept[-1][1] in self.terminal
         for sequence in sorted(events):
@@ -197,17 +199,16 @@ class Subscriptions(Forgetful):
                 out += [(subscriber, "event", *e) for e in kept if after is None or e[0] > after]
                 if not ended:
                     followers[subscriber] = kept[-1][0]
-        if kept[-1:] != before:
-            self.kept.put(kept)
-        known = {k[0] for k in self.live.keys()}
-        for subscriber in known - set(followers):
+        if kept[-1:] != before or kept and bool(followers) != held[2]:
+            self.kept.update(([e[0] for e in kept], [e[1] for e in kept], bool(followers)))
+        for subscriber in known.keys() - followers.keys():
             self.live.removeKey((subscriber,))
-        for subscriber in set(followers) - known:
+        for subscriber in followers.keys() - known.keys():
             self.live.updateValue((subscriber,), (followers[subscriber],))
         if kept or followers:
             self.touch(newest)
-        if out:
-            yield pd.DataFrame({"run": [key[0]] * len(out), **{c: [r[i] for r in out] for i, c in enumerate(("subscriber", "delivery"))}, "sequence": pd.array([r[2] for r in out], "Int64"), "stage": [r[3] for r in out]})
+        for subscriber, delivery, sequence, stage in out:
+            yield Row(run=key[0], subscriber=subscriber, delivery=delivery, sequence=sequence, stage=stage)
 
 
 def _keyed(rows: DataFrame, key: str, columns: list[str], processor: Forgetful, schema: str) -> DataFrame:
@@ -219,7 +220,7 @@ def _keyed(rows: DataFrame, key: str, columns: list[str], processor: Forgetful,
         columns = [*columns, "ts"]
         rows = rows.withWatermark("ts", "0 seconds")
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *columns).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=f"{key} {kind}, {schema}", outputMode="Update", timeMode=MODES[processor.clock])
+    return rows.select(key, *columns).groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=f"{key} {kind}, {schema}", outputMode="Update", timeMode=MODES[processor.clock])
 
 
 def journal_fold(effects: DataFrame, clock: str | None = None, forget_ms: int | None = None) -> DataFrame:

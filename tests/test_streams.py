@@ -4,6 +4,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 
 from shoebox.streaming import rollup as R
 from shoebox.streaming import state as W
@@ -122,3 +123,21 @@ def test_subscribers_follow_a_run(spark, feed, tmp_path):
     cursors.put(("r", "last", 7))
     out = R.deliveries(stream(), at)
     assert got_(2) == [("last", "event", 8, "done")]
+
+
+def test_what_a_key_costs_does_not_include_a_table():
+    """A processor gets plain rows and asks for its state once."""
+    asked = []
+
+    class Held:
+        def get(self):
+            asked.append("get")
+
+        def update(self, value):
+            asked.append(value)
+
+    p = W.Fold(None, None)
+    p.latest = Held()
+    rows = [Row(effect_key=1, sequence=5, outcome="a"), Row(effect_key=1, sequence=9, outcome="b"), Row(effect_key=1, sequence=7, outcome="c")]
+    assert list(p.handleInputRows((1,), iter(rows), None)) == [Row(effect_key=1, sequence=9, outcome="b")]
+    assert asked == ["get", (9, "b")]
