@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..diagnostics import PICASA_ARCHIVE_RULES, finding, gather
 from ..functions import expr as X
 from ..operators.aliases import merge_archives
-from .files import BLOCK, OPENING, TEXT_BYTES, Local, Scan, Skip, _record, deal, is_text, parted, place, require_prefix, tasks_for, wanted
+from .files import BLOCK, HELD_BYTES, HELD_FILES, OPENING, TEXT_BYTES, Local, Scan, Skip, _record, deal, is_text, parted, place, require_prefix, tasks_for, wanted
 from .tables import cut, discard
 
 LISTED = "archive string, idx int, name string, size bigint, csize bigint, method int, flags int, symlink boolean, modified bigint, start bigint, crc bigint"
@@ -103,7 +103,7 @@ def hash_entries(judged: DataFrame, tasks: int) -> DataFrame:
         opened, tree, name, file = None, None, None, None
         try:
             for batch in batches:
-                out = []
+                out, held = [], 0
                 for archive, idx, path, size, csize, method, modified, start, crc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if archive != opened:
                         if file:
@@ -128,7 +128,12 @@ def hash_entries(judged: DataFrame, tasks: int) -> DataFrame:
                     except UnicodeDecodeError:
                         text = None
                     out.append((archive, idx, path, n, long.hexdigest(), base64.b64encode(short.digest()).decode(), text, modified, not fine or n != size or check != crc))
-                yield _record(out, HASHED)
+                    held += len(text or "")
+                    if held >= HELD_BYTES or len(out) >= HELD_FILES:
+                        yield _record(out, HASHED)
+                        out, held = [], 0
+                if out:
+                    yield _record(out, HASHED)
         finally:
             if file:
                 file.close()

@@ -230,3 +230,14 @@ def test_shared_folder_must_be_named_on_a_cluster():
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Session())
     assert Path(__file__).exists()
+
+
+def test_a_task_holds_the_texts_of_few_files(tmp_path):
+    n = 3 * files.HELD_FILES
+    (tmp_path / "a.json").write_bytes(b"{}")
+    (tmp_path / "b.json").write_bytes(b"x" * files.TEXT_BYTES)
+    for name, most in (("a.json", files.HELD_FILES), ("b.json", files.HELD_BYTES // files.TEXT_BYTES)):
+        size, when = (s := os.stat(tmp_path / name)).st_size, s.st_mtime_ns
+        rows = files._record([(name.encode(), name, "file", size, when)] * n if most > 100 else [(name.encode(), name, "file", size, when)] * 40, files.TREE)
+        out = [b.num_rows for b in files._hashing(str(tmp_path))(iter([rows]))]
+        assert sum(out) == rows.num_rows and max(out) <= most
