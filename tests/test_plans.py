@@ -216,3 +216,13 @@ def test_single_fold_of_version_3(spark):
     noise = spark.createDataFrame([("warning", "APPLE_EXPORT_NOISE_SKIPPED_V1", "known_apple_export_noise", [p]) for p in (".DS_Store", "Recently Deleted")], D.SCHEMA)
     plan = Y.with_source(B.build_plan("apple_photos", media, side, noise), side, "x", exact=True)
     assert plan.source.first().fingerprint_sha256 == "15b45ab9382549e08c3c8233bbd1636afdee28b6d5ea049b55761106666d36b7"
+
+
+def test_rows_of_one_file_are_many_tasks_work(spark):
+    """Documents of one small file are parsed by many tasks, not by one."""
+    media = spark.range(400).select(F.expr("concat('d/', id, '.jpg')").alias("path"), F.lit(1).cast("long").alias("byte_len"), F.sha2(F.col("id").cast("string"), 256).alias("sha256")).coalesce(1)
+    notes = media.select(F.concat("path", F.lit(".json")).alias("path"), F.lit("json").alias("kind"), F.lit(2).cast("long").alias("byte_len"), F.lit("{}").alias("text"))
+    plan = B.build_plan("folder", media, notes)
+    for table in plan.tables[:2]:
+        shares = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert sum(shares) == 400 and max(shares) < 400
